@@ -77,3 +77,224 @@ count(zone_zip) AS n_in_zone FROM c GROUP BY risk_category""")
 ORACLE: dict[str, str] = {
     "X0_risk_category_counts": RISK_FLAGSHIP,
 }
+
+
+def _bi(expr: str) -> str:
+    return f"cast({expr} AS bigint)"
+
+
+_M_AGE_BMI = ("m AS (SELECT *, cast(2024 - birth_year AS int) AS age, "
+              "weight_kg / (height_m * height_m) AS bmi FROM medical)")
+_RULES = [
+    ("patient_id", "matches ^P\\d{3}$", "patient_id IS NOT NULL AND regexp_matches(patient_id, '^P[0-9]{3}$')"),
+    ("age", "int in [18, 120]", "age IS NOT NULL AND age BETWEEN 18 AND 120"),
+    ("bmi", "float in [15.0, 50.0]", "bmi IS NOT NULL AND bmi BETWEEN 15.0 AND 50.0"),
+    ("disease_risk", "isin {0, 1}", "disease_risk IS NOT NULL AND disease_risk IN (0, 1)"),
+]
+
+ORACLE["V1_flag_medical_rows"] = _with(("medical",), _M_AGE_BMI + ",\nf AS (SELECT patient_id, list_filter([" + ", ".join(
+    f"CASE WHEN NOT coalesce({p}, false) THEN '{c}: {n}' END" for c, n, p in _RULES) + "], lambda x: x IS NOT NULL) AS fl FROM m)",
+    "SELECT patient_id, len(fl) = 0 AS is_valid, cast(len(fl) AS int) AS n_failures, "
+    "array_to_string(fl, '; ') AS failures FROM f")
+
+ORACLE["V2_rule_failure_report"] = _with(("medical",), _M_AGE_BMI, " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{n}' AS \"check\", {_bi(f'count_if(NOT coalesce({p}, false))')} AS n_failed, "
+    f"count(*) AS n_rows FROM m" for c, n, p in _RULES))
+
+ORACLE["V4_duplicate_keys"] = ("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem "
+                               "GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+
+_V5_COLS = ["fasting_glucose", "triglycerides", "smoking_status", "alcohol_consumption", "diet_quality",
+            "hdl_cholesterol"]
+ORACLE["V5_missing_value_shares"] = _with(("medical", "lifestyle"),
+    "j AS (SELECT m.*, l.smoking_status, l.exercise_frequency, l.alcohol_consumption, l.diet_quality "
+    "FROM medical m LEFT JOIN lifestyle l ON m.patient_id = l.patient_id),\n"
+    "u AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {_bi(f'count_if({c} IS NULL)')} AS n_missing, count(*) AS n_rows FROM j"
+        for c in _V5_COLS) + ")",
+    "SELECT \"column\", n_missing, n_rows, round(n_missing / n_rows, 6) AS missing_share, "
+    "n_missing / n_rows > 0.05 AS flagged FROM u")
+
+_V6 = [("blood_pressure", "int", "INTEGER"), ("patient_id", "int", "INTEGER"), ("zip_code", "string", "VARCHAR"),
+       ("birth_year", "double", "DOUBLE")]
+ORACLE["V6_type_check"] = _with(("medical",), "", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", '{t}' AS expected, "
+    f"{_bi(f'count_if(cast({c} AS VARCHAR) IS NOT NULL AND try_cast(cast({c} AS VARCHAR) AS {d}) IS NULL)')} AS n_bad, "
+    f"count(*) AS n_rows FROM medical" for c, t, d in _V6))
+
+_V7 = [("weight_kg", 50.0, 100.0), ("height_m", 1.5, 1.9), ("fasting_glucose", 70.0, 170.0)]
+ORACLE["V7_range_check"] = _with(("medical",), "", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {lo} AS lo, {hi} AS hi, "
+    f"{_bi(f'count_if({c} IS NOT NULL AND NOT ({c} BETWEEN {lo} AND {hi}))')} AS n_out FROM medical"
+    for c, lo, hi in _V7))
+
+ORACLE["V8_feature_store_check"] = _with(("medical",), """
+src AS (SELECT printf('P%03d', c_custkey) AS patient_id,
+  cast(50 + (c_custkey * 13) % 60 + CASE WHEN c_custkey % 20 = 0 THEN 1 ELSE 0 END AS double) AS weight_kg,
+  cast(30 + (c_custkey * 5) % 50 AS double) AS hdl_cholesterol,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE cast(70 + (c_custkey * 17) % 110 AS double) END AS fasting_glucose
+  FROM customer),
+a AS (SELECT max(cast(m.exam_date AS timestamp)) AS last_ts,
+  sum(cast(m.weight_kg IS NOT NULL AS int) + cast(m.hdl_cholesterol IS NOT NULL AS int)
+      + cast(m.fasting_glucose IS NOT NULL AS int)) / (count(*) * 3) AS completeness,
+  avg(CASE WHEN s.patient_id IS NOT NULL THEN cast((m.weight_kg IS NOT DISTINCT FROM s.weight_kg)
+      AND (m.hdl_cholesterol IS NOT DISTINCT FROM s.hdl_cholesterol)
+      AND (m.fasting_glucose IS NOT DISTINCT FROM s.fasting_glucose) AS double) END) AS consistency
+  FROM medical m LEFT JOIN src s ON m.patient_id = s.patient_id)""",
+    "SELECT strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts, "
+    "cast(floor(epoch(timestamp '2024-12-31 12:00:00')) - floor(epoch(last_ts)) AS bigint) AS staleness_seconds, "
+    "floor(epoch(timestamp '2024-12-31 12:00:00')) - floor(epoch(last_ts)) <= 3600 AS fresh, "
+    "round(completeness, 6) AS completeness, completeness >= 0.99 AS complete, "
+    "round(consistency, 6) AS consistency, consistency >= 0.95 AS consistent FROM a")
+
+_PIPE = "pl AS (SELECT event_id, cast(user_id % 4 AS int) AS pipeline, ts, event_type = 'error' AS is_error FROM events)"
+ORACLE["V9_heartbeat_gaps"] = ("WITH " + _PIPE + ",\n"
+    "g AS (SELECT pipeline, ts, lag(ts) OVER (PARTITION BY pipeline ORDER BY ts, event_id) AS prev_ts FROM pl)\n"
+    "SELECT pipeline, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, "
+    "cast(floor(epoch(ts)) - floor(epoch(prev_ts)) AS bigint) AS gap_seconds FROM g "
+    "WHERE floor(epoch(ts)) - floor(epoch(prev_ts)) > 1800")
+
+ORACLE["V9_error_rate_windows"] = ("WITH " + _PIPE + "\n"
+    "SELECT pipeline, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, "
+    + _bi("count_if(is_error)") + " AS n_error, round(count_if(is_error) / count(*), 6) AS error_rate, "
+    "count_if(is_error) / count(*) > 0.3 AS alert FROM pl GROUP BY pipeline, date_trunc('day', ts)")
+
+_CODEMAP = ("cm AS (SELECT printf('D%02d', p_partkey % 50) AS code, min(p_brand) AS standard_code FROM part "
+            "WHERE p_partkey % 50 < 40 GROUP BY 1)")
+ORACLE["V10_unmapped_codes"] = _with(("meds",), _CODEMAP,
+    "SELECT DISTINCT drug AS code FROM meds WHERE drug NOT IN (SELECT code FROM cm)")
+ORACLE["V10_mapped_code_counts"] = _with(("meds",), _CODEMAP,
+    "SELECT cm.standard_code, count(*) AS n FROM meds LEFT JOIN cm ON meds.drug = cm.code GROUP BY 1")
+
+# ---------------------------------------------------------------- P
+ORACLE["P1_P2_age_bmi"] = _with(("medical",), _M_AGE_BMI, "SELECT patient_id, age, round(bmi, 6) AS bmi FROM m")
+ORACLE["P3_metabolic_score"] = _with(("medical",), "",
+    "SELECT patient_id, round(0.5 * fasting_glucose + 0.3 * hdl_cholesterol - 0.2 * triglycerides, 6) "
+    "AS metabolic_score FROM medical")
+_LIFE_RISK = ("(CASE smoking_status WHEN 'never' THEN 0 WHEN 'former' THEN 1 WHEN 'current' THEN 3 END) "
+              "+ greatest(0, 4 - exercise_frequency) "
+              "+ (CASE WHEN alcohol_consumption IS NULL THEN NULL ELSE least(alcohol_consumption, 10) END)")
+ORACLE["P4_lifestyle_risk"] = _with(("lifestyle",), "",
+    f"SELECT patient_id, round({_LIFE_RISK}, 6) AS lifestyle_risk FROM lifestyle")
+_WITHIN = ("m.longitude > z.min_x AND m.longitude < z.max_x AND m.latitude > z.min_y AND m.latitude < z.max_y")
+ORACLE["P5_pollution_index_spatial"] = _with(("medical", "zones"), "",
+    "SELECT m.patient_id, z.zip_code AS zone, round(0.7 * z.pm2_5 + 0.3 * z.no2_level, 6) AS pollution_index, "
+    "round((0.7 * z.pm2_5 + 0.3 * z.no2_level) * m.years_in_location, 6) AS cumulative_exposure "
+    f"FROM medical m LEFT JOIN zones z ON {_WITHIN}")
+ORACLE["P6_J3_pollution_exposure"] = _with(("medical", "zones"), "",
+    "SELECT m.patient_id, round(ln(1 + z.pm2_5), 6) AS pollution_exposure FROM medical m JOIN zones z "
+    "ON m.zip_code = z.zip_code")
+ORACLE["P7_activity_score"] = _with(("lifestyle",),
+    "f AS (SELECT exercise_frequency, count(*) / sum(count(*)) OVER () AS s FROM lifestyle "
+    "WHERE exercise_frequency IS NOT NULL GROUP BY 1)",
+    "SELECT l.patient_id, round(f.s, 6) AS activity_score FROM lifestyle l LEFT JOIN f "
+    "ON l.exercise_frequency = f.exercise_frequency")
+ORACLE["P9_risk_category_counts"] = _with(("predictions",), "",
+    "SELECT model, CASE WHEN p >= 0.7 THEN 'high' WHEN p >= 0.4 THEN 'medium' ELSE 'low' END AS risk_category, "
+    "count(*) AS n FROM predictions GROUP BY 1, 2")
+ORACLE["P10_kbins_quantile"] = ("WITH e AS (SELECT quantile_cont(l_extendedprice, [0.2, 0.4, 0.6, 0.8]) AS q "
+    "FROM lineitem)\nSELECT cast(l_extendedprice >= q[1] AS int) + cast(l_extendedprice >= q[2] AS int) "
+    "+ cast(l_extendedprice >= q[3] AS int) + cast(l_extendedprice >= q[4] AS int) AS bin, count(*) AS n "
+    "FROM lineitem, e GROUP BY 1")
+ORACLE["P11_digitize_age"] = _with(("medical",), _M_AGE_BMI,
+    "SELECT cast(age >= 30 AS int) + cast(age >= 45 AS int) + cast(age >= 60 AS int) + cast(age >= 75 AS int) "
+    "AS age_bin, count(*) AS n FROM m GROUP BY 1")
+ORACLE["P12_generalize_bmi"] = _with(("medical",), _M_AGE_BMI,
+    "SELECT CASE WHEN bmi BETWEEN 0.0 AND 18.5 THEN 'under' WHEN bmi BETWEEN 18.5 AND 25.0 THEN 'normal' "
+    "WHEN bmi BETWEEN 25.0 AND 30.0 THEN 'over' WHEN bmi BETWEEN 30.0 AND 45.0 THEN 'obese' ELSE 'other' END "
+    "AS bmi_group, count(*) AS n FROM m GROUP BY 1")
+ORACLE["P13_blood_pressure_parse"] = _with(("medical",), "",
+    "SELECT patient_id, try_cast(split_part(blood_pressure, '/', 1) AS INTEGER) AS systolic, "
+    "try_cast(split_part(blood_pressure, '/', 2) AS INTEGER) AS diastolic FROM medical")
+
+# ---------------------------------------------------------------- J
+ORACLE["J1_medical_lifestyle_join"] = _with(("medical", "lifestyle"), "",
+    "SELECT m.patient_id, m.sex, m.zip_code, l.smoking_status, l.exercise_frequency, l.alcohol_consumption, "
+    "l.diet_quality FROM medical m JOIN lifestyle l ON m.patient_id = l.patient_id")
+ORACLE["J2_zip_zone_join"] = _with(("medical", "zones"), "",
+    "SELECT m.zip_code, m.patient_id, z.pm2_5, z.no2_level FROM medical m JOIN zones z ON m.zip_code = z.zip_code")
+ORACLE["J4_one_to_one_join_counts"] = _with(("medical", "lifestyle"), "",
+    "SELECT l.diet_quality, m.sex, count(*) AS n, round(avg(m.weight_kg), 6) AS avg_weight FROM medical m "
+    "JOIN lifestyle l ON m.patient_id = l.patient_id GROUP BY 1, 2")
+ORACLE["J5_spatial_within_join"] = _with(("medical", "zones"), "",
+    f"SELECT m.patient_id, z.zip_code AS zone FROM medical m LEFT JOIN zones z ON {_WITHIN}")
+ORACLE["J7_fuse_modalities"] = _with(("medical", "lifestyle", "genotypes"), """
+c AS (SELECT patient_id, weight_kg FROM medical WHERE disease_risk = 1),
+l AS (SELECT patient_id, diet_quality FROM lifestyle WHERE exercise_frequency >= 4),
+g AS (SELECT patient_id, count(*) AS n_called FROM genotypes WHERE genotype IS NOT NULL AND genotype <> 'NN'
+      GROUP BY 1),
+ids AS (SELECT patient_id FROM c UNION SELECT patient_id FROM l UNION SELECT patient_id FROM g)""",
+    "SELECT ids.patient_id, c.weight_kg, l.diet_quality, g.n_called, c.patient_id IS NOT NULL AS has_clinical, "
+    "l.patient_id IS NOT NULL AS has_lifestyle, g.patient_id IS NOT NULL AS has_genomic FROM ids "
+    "LEFT JOIN c ON ids.patient_id = c.patient_id LEFT JOIN l ON ids.patient_id = l.patient_id "
+    "LEFT JOIN g ON ids.patient_id = g.patient_id")
+ORACLE["J8_risk_profile"] = _with(("medical", "lifestyle", "zones"), "",
+    "SELECT m.patient_id, round(0.5 * m.fasting_glucose + 0.3 * m.hdl_cholesterol - 0.2 * m.triglycerides, 6) "
+    f"AS metabolic_score, round(z.pm2_5, 6) AS pm2_5, round({_LIFE_RISK.replace('smoking_status', 'l.smoking_status').replace('exercise_frequency', 'l.exercise_frequency').replace('alcohol_consumption', 'l.alcohol_consumption')}, 6) AS lifestyle_risk "
+    "FROM medical m LEFT JOIN zones z ON m.zip_code = z.zip_code LEFT JOIN lifestyle l ON m.patient_id = l.patient_id")
+
+# ---------------------------------------------------------------- I
+ORACLE["I1_I2_impute_median_mode"] = _with(("medical", "lifestyle"), """
+j AS (SELECT m.patient_id, m.fasting_glucose, m.triglycerides, l.smoking_status, l.alcohol_consumption
+      FROM medical m JOIN lifestyle l ON m.patient_id = l.patient_id),
+f AS (SELECT median(fasting_glucose) AS g, median(triglycerides) AS t, median(alcohol_consumption) AS a,
+      (SELECT smoking_status FROM j WHERE smoking_status IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+      AS s FROM j)""",
+    "SELECT patient_id, coalesce(fasting_glucose, g) AS fasting_glucose, coalesce(triglycerides, t) AS triglycerides, "
+    "coalesce(smoking_status, s) AS smoking_status, coalesce(alcohol_consumption, a) AS alcohol_consumption FROM j, f")
+ORACLE["I3_one_hot_encode"] = _with(("lifestyle",), "",
+    "SELECT patient_id, " + ", ".join(
+        f"coalesce(cast({c} = '{v}' AS int), 0) AS {c}_{v}"
+        for c, vs in [("smoking_status", ["current", "former", "never"]), ("diet_quality", ["fair", "good", "poor"])]
+        for v in vs) + " FROM lifestyle")
+ORACLE["I4_standard_scale"] = _with(("medical",),
+    "s AS (SELECT avg(weight_kg) AS mw, stddev_pop(weight_kg) AS sw, avg(height_m) AS mh, stddev_pop(height_m) AS sh, "
+    "avg(hdl_cholesterol) AS mc, stddev_pop(hdl_cholesterol) AS sc FROM medical)",
+    "SELECT patient_id, round((weight_kg - mw) / sw, 6) AS weight_kg, round((height_m - mh) / sh, 6) AS height_m, "
+    "round((hdl_cholesterol - mc) / sc, 6) AS hdl_cholesterol FROM medical, s")
+ORACLE["I7_train_test_split_sizes"] = ("WITH c AS (SELECT count(*) AS n FROM customer)\n"
+    "SELECT true AS is_test, cast(ceil(n * 0.2) AS bigint) AS n FROM c UNION ALL "
+    "SELECT false AS is_test, cast(n - ceil(n * 0.2) AS bigint) AS n FROM c")
+ORACLE["I8_stratified_fold_sizes"] = _with(("medical",),
+    "c AS (SELECT disease_risk, count(*) AS n FROM medical GROUP BY 1)",
+    "SELECT disease_risk, cast(f.range AS int) AS fold, cast(n // 5 + CASE WHEN f.range < n % 5 THEN 1 ELSE 0 END "
+    "AS bigint) AS n FROM c, range(5) AS f")
+
+# ---------------------------------------------------------------- N
+_N1 = ["weight_kg", "height_m", "fasting_glucose", "hdl_cholesterol", "triglycerides"]
+ORACLE["N1_describe_medical"] = _with(("medical",), "", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+    f"round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, "
+    f"round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max FROM medical" for c in _N1))
+ORACLE["N2_value_counts"] = _with(("medical",), "c AS (SELECT disease_risk, count(*) AS n FROM medical GROUP BY 1)",
+    "SELECT disease_risk, n, printf('%.1f%%', round(n * 100.0 / sum(n) OVER (), 1)) AS share FROM c")
+
+# ---------------------------------------------------------------- A (columns)
+ORACLE["A1_pseudonymize_ids"] = _with(("medical",), "", "SELECT patient_id, sha256(patient_id) AS pid_hash FROM medical")
+ORACLE["A2_generalize_columns"] = _with(("medical",), _M_AGE_BMI,
+    "SELECT patient_id, cast(age >= 30 AS int) + cast(age >= 50 AS int) + cast(age >= 70 AS int) AS age_band, "
+    "CASE WHEN weight_kg BETWEEN 0.0 AND 69.0 THEN 'light' WHEN weight_kg BETWEEN 70.0 AND 89.0 THEN 'medium' "
+    "WHEN weight_kg BETWEEN 90.0 AND 200.0 THEN 'heavy' ELSE 'other' END AS weight_band FROM m")
+ORACLE["A4_mask_document_text"] = ("WITH d AS (SELECT doc_id, CASE WHEN length(text) <= 4 THEN text "
+    "ELSE repeat('*', length(text) - 4) || right(text, 4) END AS masked FROM documents)\n"
+    "SELECT doc_id, cast(length(masked) AS int) AS n_chars, right(masked, 4) AS tail, sha256(masked) AS masked_sha FROM d")
+ORACLE["A5_deidentify"] = "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+ORACLE["A8_encrypt_roundtrip"] = ("SELECT c_custkey, cast(octet_length(encode(c_name)) + 28 AS int) AS enc_bytes, "
+                                  "true AS roundtrip_ok FROM customer")
+
+
+def _hmac_sql(col: str, key: str) -> str:
+    kb = key.encode().ljust(64, b"\0")
+    ipad = bytes(b ^ 0x36 for b in kb).hex()
+    opad = bytes(b ^ 0x5C for b in kb).hex()
+    return f"sha256(unhex('{opad}') || unhex(sha256(unhex('{ipad}') || encode({col}))))"
+
+
+ORACLE["A9_hmac_signature"] = f"SELECT c_custkey, {_hmac_sql('c_name', 'secret-key')} AS signature FROM customer"
+ORACLE["A10_dlp_keyword_hits"] = ("WITH k AS (SELECT unnest(['token', 'license', 'mail', 'password', 'ssn']) "
+    "AS keyword)\nSELECT keyword, count(*) AS n FROM documents JOIN k ON contains(lower(text), keyword) GROUP BY 1")
+ORACLE["A11_sanitize_input"] = ("WITH s AS (SELECT page_id, regexp_replace(html, '[;\\\\''\"<>]', '', 'g') AS clean "
+    "FROM pages)\nSELECT page_id, cast(length(clean) AS int) AS n_chars, sha256(clean) AS clean_sha FROM s")
+ORACLE["A22_suspicious_code_scan"] = ("SELECT doc_id FROM documents WHERE contains(text, 'eval(') OR "
+                                      "contains(text, 'exec(') OR contains(text, 'os.system(') OR "
+                                      "contains(text, 'token = \"')")

@@ -140,13 +140,16 @@ def feature_store_check(features: DataFrame, source: DataFrame, key: str, ts: st
         "consistency", (F.col("consistency") >= consistency_min).alias("consistent"))
 
 
-def heartbeat_gaps(log: DataFrame, pipeline: str, ts: str, max_gap_seconds: int) -> DataFrame:
+def heartbeat_gaps(log: DataFrame, pipeline: str, ts: str, max_gap_seconds: int,
+                   tiebreak: str | None = None) -> DataFrame:
     """V9 heartbeat: consecutive heartbeats of a pipeline further apart
-    than the limit (``lag`` per pipeline, ordered by time)."""
-    w = Window.partitionBy(pipeline).orderBy(ts)
-    prev = F.lag(ts).over(w)
-    g = log.select(pipeline, F.col(ts).alias("ts"), prev.alias("prev_ts"))
-    gap = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("prev_ts").cast("timestamp"))
+    than the limit.  The previous beat comes from ``bucketed_lag`` so one
+    chatty pipeline is not a single task."""
+    from medlake.operators.ordered import bucketed_lag
+    order = [ts] + ([tiebreak] if tiebreak else [])
+    g = bucketed_lag(log.select(pipeline, ts, *([tiebreak] if tiebreak else [])), order, ts,
+                     partition_cols=[pipeline], out="prev_ts")
+    gap = F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(F.col("prev_ts").cast("timestamp"))
     return g.withColumn("gap_seconds", gap).where(F.col("gap_seconds") > max_gap_seconds)
 
 

@@ -24,3 +24,11 @@ def register(name: str):
 
 
 register("X0_risk_category_counts")(risk.risk_category_counts)
+
+
+def _load_all() -> None:
+    """Import the query modules so their ``@register`` calls run."""
+    from medlake.plans import q_core  # noqa: F401
+
+
+_load_all()
