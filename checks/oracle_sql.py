@@ -298,3 +298,105 @@ ORACLE["A11_sanitize_input"] = ("WITH s AS (SELECT page_id, regexp_replace(html,
 ORACLE["A22_suspicious_code_scan"] = ("SELECT doc_id FROM documents WHERE contains(text, 'eval(') OR "
                                       "contains(text, 'exec(') OR contains(text, 'os.system(') OR "
                                       "contains(text, 'token = \"')")
+
+# ---------------------------------------------------------------- R
+from medlake.operators.rules import FIRST_FAILURE, PROFILE_THRESHOLDS, RULES  # noqa: E402
+from medlake.sources.reference_data import PRS_PANELS, SNP_TABLE  # noqa: E402
+
+
+def _rule_hits_sql() -> str:
+    parts = []
+    seen: dict[str, list[str]] = {}
+    for d, c, p, _ in RULES:
+        prev = seen.setdefault(d, [])
+        cond = f"coalesce({p}, false)"
+        if d in FIRST_FAILURE and prev:
+            cond += " AND NOT (" + " OR ".join(f"coalesce({q}, false)" for q in prev) + ")"
+        prev.append(p)
+        parts.append(f"SELECT patient_id, '{d}' AS disease, '{c}' AS code FROM clinical WHERE {cond}")
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["R0_rule_hits"] = _with(("clinical",), "", _rule_hits_sql())
+ORACLE["R25_rule_summary"] = _with(("clinical",), "h AS (" + _rule_hits_sql() + ")",
+    "SELECT disease, code, count(*) AS n_flagged, round(count(*) / (SELECT count(*) FROM clinical), 6) AS rate "
+    "FROM h GROUP BY 1, 2")
+ORACLE["R24_bp_ckd_staging"] = _with(("clinical",), """
+s AS (SELECT patient_id,
+  CASE WHEN systolic >= 140 OR diastolic >= 90 THEN 'Hypertension' WHEN systolic >= 130 OR diastolic >= 80
+       THEN 'Elevated' ELSE 'Normal' END AS bp_class,
+  CASE WHEN egfr >= 90 THEN 'G1' WHEN egfr >= 60 THEN 'G2' WHEN egfr >= 45 THEN 'G3a' WHEN egfr >= 30 THEN 'G3b'
+       WHEN egfr >= 15 THEN 'G4' ELSE 'G5' END AS gfr_stage,
+  CASE WHEN acr < 30 THEN 'A1' WHEN acr < 300 THEN 'A2' ELSE 'A3' END AS acr_stage FROM clinical)""",
+    "SELECT *, CASE WHEN gfr_stage = 'G1' AND acr_stage = 'A1' THEN 0.1 WHEN gfr_stage = 'G1' AND acr_stage = 'A2' "
+    "THEN 0.2 WHEN gfr_stage = 'G1' AND acr_stage = 'A3' THEN 0.3 ELSE 0.5 END AS ckd_risk FROM s")
+ORACLE["R26_profile_threshold_counts"] = _with(("clinical",), "h AS (" + " UNION ALL ".join(
+    f"SELECT patient_id, '{prof}' AS profile, '{m}' AS marker FROM clinical WHERE {m} {op} {v}"
+    + (f" AND sex = '{sx}'" if sx else "") for prof, m, op, v, sx in PROFILE_THRESHOLDS) + ")",
+    "SELECT profile, marker, count(*) AS n FROM h GROUP BY 1, 2")
+
+# ---------------------------------------------------------------- K
+_K = {
+    "K1_ascvd": "coalesce(1 - pow(0.9533, exp(ascvd_base - 2.4692)), 0.5)",
+    "K2_framingham_heart": "coalesce(100.0 / (1 + exp(-(0.1125 * age - 0.2569 * hdl))), 0.5)",
+    "K3_chads_vasc": "cast(chf AS int) + cast(hypertension AS int) + cast(age >= 75 AS int) * 2 + cast(diabetes AS int)"
+                     " + cast(stroke_history AS int) * 2 + cast(vascular_disease AS int)"
+                     " + cast(age >= 65 AND age < 75 AS int) + cast(sex = 'F' AS int)",
+    "K4_qdiabetes": "coalesce(100 * (1 - pow(0.987, exp(qdiabetes_terms))), 0.5)",
+    "K6_gail": "coalesce(100 * (1 - exp(-0.0001056 * pow(age, 4.334) * gail_factor)), 0.5)",
+    "K7_pcpt": "0.249 * (CASE WHEN psa > 0 THEN ln(psa) END) + 0.094 * age - 0.068 * prostate_volume",
+    "K8_bode": "cast(fev1_points + dyspnea_points + walk_points + cast(bmi < 21 AS int) AS double)",
+    "K9_asthma_exacerbation": "2.7 * fev1_variability + 1.3 * saba_uses",
+    "K10_ckd_progression": "0.1 * egfr + 0.3 * acr + 0.2 * cast(diabetes AS int)",
+    "K11_aki": "(CASE WHEN egfr_drop_pct > 25 THEN 2.0 ELSE 0.0 END) + (CASE WHEN sepsis THEN 1.5 ELSE 0.0 END)"
+               " + (CASE WHEN nephrotoxins THEN 1.0 ELSE 0.0 END)",
+    "K12_framingham_stroke": "0.0634 * age + 0.0056 * systolic - 0.0423 * hdl",
+    "K13_caide": "cast(cast(age >= 45 AS int) + cast(education_years < 10 AS int) + cast(hypertension AS int)"
+                 " + cast(bmi >= 30 AS int) + cast(physically_inactive AS int) AS double)",
+    "K14_metabolic_syndrome": "cast(cast(waist_cm > CASE WHEN sex = 'M' THEN 102 ELSE 88 END AS int)"
+                              " + cast(triglycerides >= 150 AS int) + cast(hdl < CASE WHEN sex = 'M' THEN 40 ELSE 50 END AS int)"
+                              " + cast(systolic >= 130 OR diastolic >= 85 AS int) + cast(fpg >= 100 AS int) AS double)",
+    "K15_composite": "least(greatest((0.4 * metabolic_points + 0.3 * inflammatory_score + 0.3 * family_history_score)"
+                     " / 10.0, 0.0), 1.0)",
+}
+for _k, _e in _K.items():
+    ORACLE[_k] = _with(("clinical",), "", f"SELECT patient_id, round({_e}, 6) AS score FROM clinical")
+_ADA_PTS = ("cast(age >= 45 AS int) + cast(bmi >= 25 AS int) + cast(family_history_score >= 3 AS int) "
+            "+ cast(hypertension AS int) + cast(physically_inactive AS int)")
+ORACLE["K5_ada_risk"] = _with(("clinical",), f"a AS (SELECT patient_id, {_ADA_PTS} AS points FROM clinical)",
+    "SELECT patient_id, points, round(CASE points WHEN 0 THEN 3.0 WHEN 1 THEN 6.0 WHEN 2 THEN 12.0 WHEN 3 THEN 20.0 "
+    "WHEN 4 THEN 25.0 WHEN 5 THEN 33.0 ELSE 50.0 END, 6) AS score FROM a")
+
+# ---------------------------------------------------------------- L
+_SNP_VALUES = ", ".join(f"('{r}', '{g}', {k}, '{a}', '{c}', {f})" for r, g, k, a, c, f in SNP_TABLE)
+_SNP = f"snp AS (SELECT * FROM (VALUES {_SNP_VALUES}) AS t(rsid, gene, risk, allele, condition, population_freq))"
+_PANEL = "panels AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{r}')" for c, r in PRS_PANELS) + \
+         ") AS t(condition, rsid))"
+_CNT = ("(length(coalesce(genotype, 'NN')) - length(replace(coalesce(genotype, 'NN'), allele, '')))")
+_FACTOR = f"coalesce(CASE WHEN {_CNT} = 2 THEN risk * risk WHEN {_CNT} = 1 THEN risk ELSE 1.0 END, 1.0)"
+ORACLE["L1_snp_factors"] = _with(("genotypes",), _SNP,
+    f"SELECT g.patient_id, g.rsid, round({_FACTOR}, 6) AS factor FROM genotypes g JOIN snp s ON g.rsid = s.rsid")
+
+
+def _prs_sql(cond_filter: str) -> str:
+    return (f"{_SNP},\n{_PANEL},\n"
+            f"ref AS (SELECT p.condition, p.rsid, s.risk, s.allele FROM panels p LEFT JOIN snp s ON p.rsid = s.rsid "
+            f"WHERE {cond_filter}),\n"
+            f"fa AS (SELECT g.patient_id, r.condition, {_FACTOR} AS f FROM genotypes g JOIN ref r ON g.rsid = r.rsid),\n"
+            "pr AS (SELECT patient_id, condition, product(f) - 1 AS prs FROM fa GROUP BY patient_id, condition),\n"
+            "base AS (SELECT m.patient_id, c.condition FROM medical m, (SELECT DISTINCT condition FROM ref) c),\n"
+            "allp AS (SELECT base.patient_id, base.condition, coalesce(pr.prs, 0.0) AS prs FROM base LEFT JOIN pr "
+            "ON base.patient_id = pr.patient_id AND base.condition = pr.condition)")
+
+
+ORACLE["L2_prs_diabetes"] = _with(("genotypes", "medical"), _prs_sql("p.condition = 'diabetes'"),
+                                  "SELECT patient_id, condition, round(prs, 6) AS prs FROM allp")
+ORACLE["L3_prs_all_conditions"] = _with(("genotypes", "medical"), _prs_sql("true"),
+                                        "SELECT patient_id, condition, round(prs, 6) AS prs FROM allp")
+ORACLE["L5_prs_percentile"] = _with(("genotypes", "medical"), _prs_sql("true"),
+    "SELECT patient_id, condition, round(prs, 6) AS prs, "
+    "round(percent_rank() OVER (PARTITION BY condition ORDER BY round(prs, 9)) * 100, 6) AS percentile FROM allp")
+ORACLE["L6_allele_frequency"] = _with(("genotypes",), _SNP,
+    f"SELECT g.rsid, s.population_freq, round(sum({_CNT}) / (2.0 * count(*)), 6) AS observed_freq, "
+    "count(*) AS n_called FROM genotypes g JOIN snp s ON g.rsid = s.rsid WHERE g.genotype IS NOT NULL "
+    "GROUP BY g.rsid, s.population_freq")
