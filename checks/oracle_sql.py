@@ -400,3 +400,201 @@ ORACLE["L6_allele_frequency"] = _with(("genotypes",), _SNP,
     f"SELECT g.rsid, s.population_freq, round(sum({_CNT}) / (2.0 * count(*)), 6) AS observed_freq, "
     "count(*) AS n_called FROM genotypes g JOIN snp s ON g.rsid = s.rsid WHERE g.genotype IS NOT NULL "
     "GROUP BY g.rsid, s.population_freq")
+
+# ---------------------------------------------------------------- E
+def _d0(num: str, den: str) -> str:
+    return f"(CASE WHEN ({den}) = 0 THEN 0.0 ELSE ({num}) / ({den}) END)"
+
+
+_CM = ("cm AS (SELECT model, " + _bi("count_if(p >= 0.5 AND y = 1)") + " AS tp, " + _bi("count_if(p >= 0.5 AND y <> 1)")
+       + " AS fp, " + _bi("count_if(p < 0.5 AND y = 1)") + " AS fn, " + _bi("count_if(p < 0.5 AND y <> 1)")
+       + " AS tn FROM predictions GROUP BY model)")
+_CLS = ("cls AS (SELECT model, tp, fp, fn, tn, " + _d0("tp + tn", "tp + fp + fn + tn") + " AS accuracy, "
+        + _d0("tp", "tp + fp") + " AS precision, " + _d0("tp", "tp + fn") + " AS recall, "
+        + _d0("2 * tp", "2 * tp + fp + fn") + " AS f1 FROM cm)")
+ORACLE["E1_classification_metrics"] = _with(("predictions",), _CM + ",\n" + _CLS,
+    "SELECT model, tp, fp, fn, tn, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, "
+    "round(recall, 6) AS recall, round(f1, 6) AS f1 FROM cls")
+_SC = ("sc AS (SELECT model, p, " + _bi("count_if(y = 1)") + " AS pos, " + _bi("count_if(y <> 1)")
+       + " AS neg FROM predictions GROUP BY model, p)")
+_AUC = ("auc_r AS (SELECT *, sum(neg) OVER (PARTITION BY model ORDER BY p ROWS UNBOUNDED PRECEDING) AS cum_neg, "
+        "sum(pos) OVER (PARTITION BY model) AS tp_all, sum(neg) OVER (PARTITION BY model) AS tn_all FROM sc),\n"
+        "auc AS (SELECT model, sum(pos * ((cum_neg - neg) + neg / 2.0)) / (max(tp_all) * max(tn_all)) AS auc, "
+        "cast(max(tp_all) AS bigint) AS n_pos, cast(max(tn_all) AS bigint) AS n_neg FROM auc_r GROUP BY model)")
+ORACLE["E2_roc_auc"] = _with(("predictions",), _SC + ",\n" + _AUC,
+                             "SELECT model, round(auc, 6) AS auc, n_pos, n_neg FROM auc")
+_PR = ("pr AS (SELECT model, p AS threshold, pos, neg, "
+       "sum(pos) OVER (PARTITION BY model ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp, "
+       "sum(neg) OVER (PARTITION BY model ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS fp, "
+       "sum(pos) OVER (PARTITION BY model) AS n_pos, sum(neg) OVER (PARTITION BY model) AS n_neg FROM sc)")
+ORACLE["E3_precision_recall_curve"] = _with(("predictions",), _SC + ",\n" + _PR,
+    f"SELECT model, threshold, round({_d0('tp', 'tp + fp')}, 6) AS precision, round({_d0('tp', 'n_pos')}, 6) AS recall "
+    "FROM pr")
+ORACLE["E4_confusion_matrix"] = _with(("predictions",), _CM,
+    "SELECT model, 1 AS actual, 1 AS predicted, tp AS n FROM cm UNION ALL SELECT model, 0, 1, fp FROM cm "
+    "UNION ALL SELECT model, 1, 0, fn FROM cm UNION ALL SELECT model, 0, 0, tn FROM cm")
+_AP = f"ap AS (SELECT model, sum(pos * {_d0('tp', 'tp + fp')}) / max(n_pos) AS ap FROM pr GROUP BY model)"
+ORACLE["E5_average_precision"] = _with(("predictions",), _SC + ",\n" + _PR + ",\n" + _AP,
+                                       "SELECT model, round(ap, 6) AS ap FROM ap")
+_BR = "br AS (SELECT model, avg(pow(p - y, 2)) AS brier FROM predictions GROUP BY model)"
+ORACLE["E6_brier_score"] = _with(("predictions",), _BR, "SELECT model, round(brier, 6) AS brier FROM br")
+ORACLE["E7_threshold_sweep"] = _with(("predictions",),
+    "sw AS (SELECT model, t.range / 10.0 AS threshold, count_if(p >= t.range / 10.0 AND y = 1) AS tp, "
+    "count_if(p >= t.range / 10.0 AND y <> 1) AS fp, count_if(p < t.range / 10.0 AND y = 1) AS fn "
+    "FROM predictions, range(0, 11) t GROUP BY model, t.range)",
+    f"SELECT model, round(threshold, 6) AS threshold, round({_d0('tp', 'tp + fp')}, 6) AS precision, "
+    f"round({_d0('tp', 'tp + fn')}, 6) AS recall, round({_d0('2 * tp', '2 * tp + fp + fn')}, 6) AS f1 FROM sw")
+_YJ = ("yj AS (SELECT model, threshold, " + _d0("tp", "n_pos") + " - " + _d0("fp", "n_neg") + " AS youden_j, "
+       "row_number() OVER (PARTITION BY model ORDER BY tp * n_neg - fp * n_pos DESC, threshold DESC) AS rn FROM pr)")
+ORACLE["E8_youden_threshold"] = _with(("predictions",), _SC + ",\n" + _PR + ",\n" + _YJ,
+    "SELECT model, threshold, round(youden_j, 6) AS youden_j FROM yj WHERE rn = 1")
+_ECE = ("eb AS (SELECT model, least(floor(p * 10), 9) AS b, count(*) AS n, avg(y) AS ay, avg(p) AS ap_ FROM predictions "
+        "GROUP BY 1, 2),\nece AS (SELECT model, sum(n / tot * abs(ay - ap_)) AS ece FROM "
+        "(SELECT *, sum(n) OVER (PARTITION BY model) AS tot FROM eb) GROUP BY model)")
+ORACLE["E9_calibration_error"] = _with(("predictions",), _ECE, "SELECT model, round(ece, 6) AS ece FROM ece")
+_REPORT = ",\n".join([_CM, _CLS, _SC, _AUC, _PR, _AP, _BR, _ECE, _YJ]) + (
+    ",\nrep AS (SELECT auc.model, auc.auc, ap.ap, br.brier, ece.ece, yj.threshold AS best_threshold, cls.accuracy, "
+    "cls.precision, cls.recall, cls.f1 FROM auc JOIN ap ON auc.model = ap.model JOIN br ON auc.model = br.model "
+    "JOIN ece ON auc.model = ece.model JOIN yj ON auc.model = yj.model AND yj.rn = 1 "
+    "JOIN cls ON auc.model = cls.model)")
+ORACLE["E10_evaluation_report"] = _with(("predictions",), _REPORT, "SELECT model, " + ", ".join(
+    f"round({c}, 6) AS {c}" for c in ("auc", "ap", "brier", "ece", "best_threshold", "accuracy", "precision",
+                                       "recall", "f1")) + " FROM rep")
+ORACLE["E11_leaderboard"] = _with(("predictions",), _REPORT,
+    "SELECT model, round(f1, 6) AS f1, round(auc, 6) AS auc, cast(rank() OVER (ORDER BY round(f1, 6) DESC) AS int) "
+    "AS rank FROM rep")
+ORACLE["E12_metrics_text"] = _with(("predictions",), _CM + ",\n" + _CLS,
+    "SELECT model, " + ", ".join(f"printf('%.3f', {c}) AS {c}" for c in ("accuracy", "precision", "recall", "f1"))
+    + " FROM cls")
+
+# ---------------------------------------------------------------- Q drift
+_NUMF = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_CATF = ["l_returnflag", "l_linestatus"]
+_RC = ("rc AS (SELECT *, year(l_shipdate) <= 1996 AS is_ref FROM lineitem "
+       "WHERE year(l_shipdate) <= 1996 OR year(l_shipdate) >= 2000)")
+
+
+def _long_sql(cols, cast):
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, cast({c} AS {cast}) AS value, is_ref FROM rc "
+                              f"WHERE {c} IS NOT NULL" for c in cols)
+
+
+_KS = (_RC + ",\nlg AS (" + _long_sql(_NUMF, "double") + "),\n"
+       "kc AS (SELECT feature, value, count_if(is_ref) AS n_ref, count_if(NOT is_ref) AS n_cur FROM lg GROUP BY 1, 2),\n"
+       "kr AS (SELECT *, sum(n_ref) OVER w AS c_ref, sum(n_cur) OVER w AS c_cur, "
+       "sum(n_ref) OVER (PARTITION BY feature) AS t_ref, sum(n_cur) OVER (PARTITION BY feature) AS t_cur FROM kc "
+       "WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING)),\n"
+       "ks AS (SELECT feature, max(abs(c_ref / t_ref - c_cur / t_cur)) AS d, max(t_ref) AS n1, max(t_cur) AS n2 "
+       "FROM kr GROUP BY feature),\n"
+       "kl AS (SELECT *, (sqrt(n1 * n2 / (n1 + n2)) + 0.12 + 0.11 / sqrt(n1 * n2 / (n1 + n2))) * d AS lam FROM ks),\n"
+       "kp AS (SELECT *, CASE WHEN lam < 1e-3 THEN 1.0 ELSE least(greatest((SELECT sum(2.0 * pow(-1, k - 1) "
+       "* exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) t(k)), 0.0), 1.0) END AS p_value FROM kl)")
+ORACLE["Q1_ks_drift"] = "WITH " + _KS + "\nSELECT feature, round(d, 6) AS statistic, round(p_value, 6) AS p_value, " \
+    "p_value < 0.05 / 4 AS drift, cast(n1 AS bigint) AS n_ref, cast(n2 AS bigint) AS n_cur FROM kp"
+ORACLE["Q1_chi2_statistics"] = ("WITH " + _RC + ",\nlg AS (" + _long_sql(_CATF, "varchar") + "),\n"
+    "cc AS (SELECT feature, value, count_if(is_ref) AS o_ref, count_if(NOT is_ref) AS o_cur FROM lg GROUP BY 1, 2),\n"
+    "ct AS (SELECT *, sum(o_ref) OVER (PARTITION BY feature) AS n_ref, sum(o_cur) OVER (PARTITION BY feature) AS n_cur "
+    "FROM cc),\nce AS (SELECT *, (o_ref + o_cur) * n_ref / (n_ref + n_cur) AS e_ref, "
+    "(o_ref + o_cur) * n_cur / (n_ref + n_cur) AS e_cur FROM ct)\n"
+    "SELECT feature, round(sum(pow(o_ref - e_ref, 2) / e_ref + pow(o_cur - e_cur, 2) / e_cur), 6) AS statistic, "
+    "cast(count(*) - 1 AS bigint) AS dof FROM ce GROUP BY feature")
+_Q3C = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"]
+ORACLE["Q3_dataset_summary"] = (
+    "SELECT count(*) AS n_rows, 4 AS n_columns, cast(sum(" + " + ".join(f"cast({c} IS NULL AS bigint)" for c in _Q3C)
+    + ") AS bigint) AS n_missing_cells, cast(count(*) - (SELECT count(*) FROM (SELECT DISTINCT " + ", ".join(_Q3C)
+    + " FROM lineitem)) AS bigint) AS n_duplicated_rows, "
+    + " + ".join(f"cast(coalesce(min({c}) = max({c}), true) AS int)" for c in _Q3C)
+    + " AS n_constant_columns FROM lineitem")
+_TR = ("tr AS (SELECT model, avg(p) AS mean_score, max(p) AS max_score, regr_slope(p, idx) AS slope FROM "
+       "(SELECT model, p, cast(row_number() OVER (PARTITION BY model ORDER BY ts, event_id) AS double) AS idx "
+       "FROM predictions) GROUP BY model)")
+ORACLE["Q4_drift_trend"] = _with(("predictions",), _TR,
+    "SELECT model, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score, "
+    "round(slope * 1e6, 6) AS slope_e6, CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM tr")
+ORACLE["Q5_performance_report"] = _with(("predictions",), ",\n".join([_SC, _AUC, _BR, _ECE, _TR]) +
+    ",\nspan AS (SELECT model, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, "
+    "strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM predictions GROUP BY model)",
+    "SELECT span.model, first_ts, last_ts, round(auc, 6) AS auc, round(brier, 6) AS brier, round(ece, 6) AS ece, "
+    "CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM span JOIN auc USING (model) "
+    "JOIN br USING (model) JOIN ece USING (model) JOIN tr USING (model)")
+ORACLE["Q6_psi"] = ("WITH " + _RC + ",\n"
+    "e AS (SELECT quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM rc "
+    "WHERE is_ref),\nb AS (SELECT is_ref, " + " + ".join(f"cast(l_extendedprice >= q[{i}] AS int)" for i in range(1, 10))
+    + " AS bin FROM rc, e WHERE l_extendedprice IS NOT NULL),\n"
+    "c AS (SELECT bin, count_if(is_ref) AS n_ref, count_if(NOT is_ref) AS n_cur FROM b GROUP BY bin),\n"
+    "pq AS (SELECT greatest(n_ref / sum(n_ref) OVER (), 1e-4) AS p, greatest(n_cur / sum(n_cur) OVER (), 1e-4) AS q "
+    "FROM c)\nSELECT round(sum((q - p) * ln(q / p)), 6) AS psi, 'l_extendedprice' AS feature FROM pq")
+
+# ---------------------------------------------------------------- Q monitors
+ORACLE["Q9_rolling_accuracy_alerts"] = _with(("predictions",),
+    "ok AS (SELECT model, event_id, ts, cast((p >= 0.5) = (y = 1) AS int) AS ok FROM predictions),\n"
+    "rl AS (SELECT model, event_id, row_number() OVER w AS row_index, "
+    "sum(ok) OVER (PARTITION BY model ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS s, "
+    "avg(ok) OVER (PARTITION BY model) AS base FROM ok WINDOW w AS (PARTITION BY model ORDER BY ts, event_id))",
+    "SELECT model, event_id, cast(row_index AS bigint) AS row_index, "
+    "round(s / least(row_index, 1000), 6) AS rolling_accuracy, s / least(row_index, 1000) <= base - 0.15 AS alert FROM rl")
+ORACLE["Q10_latency_percentiles"] = (
+    "SELECT event_type, strftime(cast(ts AS date), '%Y-%m-%d') AS day, round(quantile_cont(value, 0.95), 6) AS p95, "
+    "round(quantile_cont(value, 0.99), 6) AS p99, quantile_cont(value, 0.95) > 300 OR quantile_cont(value, 0.99) > 400 "
+    "AS breach FROM events GROUP BY event_type, cast(ts AS date)")
+ORACLE["Q11_prediction_distribution"] = _with(("predictions",),
+    "mu AS (SELECT model, avg(p) AS m FROM predictions GROUP BY model),\n"
+    "mo AS (SELECT pr.model, avg(pow(p - m, 2)) AS m2, avg(pow(p - m, 3)) AS m3, avg(pow(p - m, 4)) AS m4 "
+    "FROM predictions pr JOIN mu ON pr.model = mu.model GROUP BY pr.model),\n"
+    "sk AS (SELECT model, m3 / pow(m2, 1.5) AS skewness, m4 / (m2 * m2) - 3 AS excess_kurtosis FROM mo)",
+    "SELECT model, round(skewness, 6) AS skewness, round(excess_kurtosis, 6) AS excess_kurtosis, "
+    "abs(skewness) <= 0.1 AND abs(excess_kurtosis) <= 0.1 AS normal FROM sk")
+ORACLE["Q12_resource_levels"] = (
+    "SELECT event_type, CASE WHEN value / 400.0 >= 0.95 THEN 'critical' WHEN value / 400.0 >= 0.90 THEN 'alert' "
+    "WHEN value / 400.0 >= 0.85 THEN 'warning' ELSE 'ok' END AS level, count(*) AS n FROM events GROUP BY 1, 2")
+ORACLE["Q13_api_performance"] = (
+    "WITH a AS (SELECT event_type, date_trunc('hour', ts) AS ws, count(*) AS requests, "
+    "avg(cast(value < 300 AS double)) AS availability, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY 1, 2)\n"
+    "SELECT event_type, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, requests, "
+    "round(requests / 3600.0, 6) AS throughput, round(availability, 6) AS availability, "
+    "round(1 - availability, 6) AS error_rate, round(p95, 6) AS p95_latency, "
+    "p95 > 300.0 OR availability < 0.999 AS sla_breach FROM a")
+ORACLE["Q14_log_keyword_counts"] = (
+    "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),\n"
+    "k AS (SELECT unnest(['token', 'license', 'mail', 'error']) AS keyword)\n"
+    "SELECT keyword, count(*) AS n_lines FROM l JOIN k ON contains(lower(line), keyword) GROUP BY keyword")
+ORACLE["Q15_uptime"] = (
+    "WITH m AS (SELECT event_type, count(DISTINCT date_trunc('minute', ts)) AS up, min(date_trunc('minute', ts)) AS f, "
+    "max(date_trunc('minute', ts)) AS l FROM events GROUP BY 1),\n"
+    "e AS (SELECT *, (epoch(l) - epoch(f)) / 60 + 1 AS expected FROM m)\n"
+    "SELECT event_type, up AS up_minutes, cast(expected AS bigint) AS expected_minutes, round(up / expected, 6) AS uptime, "
+    "up / expected >= 0.9995 AS sla_met FROM e")
+ORACLE["Q15_outages"] = (
+    "WITH m AS (SELECT DISTINCT event_type, date_trunc('minute', ts) AS minute FROM events),\n"
+    "g AS (SELECT *, lag(minute) OVER (PARTITION BY event_type ORDER BY minute) AS prev FROM m)\n"
+    "SELECT event_type, strftime(prev, '%Y-%m-%d %H:%M') AS last_up, strftime(minute, '%Y-%m-%d %H:%M') AS back_up, "
+    "cast((epoch(minute) - epoch(prev)) / 60 - 1 AS bigint) AS down_minutes FROM g "
+    "WHERE (epoch(minute) - epoch(prev)) / 60 >= 120")
+ORACLE["Q16_should_retrain"] = _with(("predictions",), _TR + ",\n"
+    "lt AS (SELECT model, min(ts) AS trained_at FROM predictions GROUP BY model)",
+    "SELECT tr.model, false AS triggered, slope > 0 AS decaying, "
+    "coalesce(date_diff('day', cast(trained_at AS date), date '2024-01-20') >= 30, true) AS scheduled, "
+    "false OR slope > 0 OR coalesce(date_diff('day', cast(trained_at AS date), date '2024-01-20') >= 30, true) "
+    "AS retrain FROM tr LEFT JOIN lt ON tr.model = lt.model")
+_DAILY = ("dm AS (SELECT model, strftime(ts, '%Y-%m-%d') AS day, count_if((p >= 0.5) = (y = 1)) / count(*) AS accuracy, "
+          "avg(pow(p - y, 2)) AS brier FROM predictions GROUP BY 1, 2)")
+ORACLE["Q17_poisoning_suspects"] = _with(("predictions",), _DAILY,
+    "SELECT model, day, round(accuracy, 6) AS accuracy FROM dm WHERE accuracy < 0.85")
+ORACLE["Q18_unregistered_versions"] = _with(("predictions",),
+    "v AS (SELECT model || '-w' || cast(weekofyear(ts) AS varchar) AS model_id, dayofmonth(ts) AS dom FROM predictions)",
+    "SELECT DISTINCT model_id FROM v WHERE model_id NOT IN (SELECT model_id FROM v WHERE dom <= 21)")
+ORACLE["Q19_latest_performance"] = _with(("predictions",), _DAILY,
+    "SELECT model, max(day) AS as_of, round(arg_max(accuracy, day), 6) AS accuracy, round(arg_max(brier, day), 6) AS brier, "
+    "concat_ws(',', CASE WHEN arg_max(accuracy, day) < 0.55 THEN 'accuracy' END, "
+    "CASE WHEN arg_max(brier, day) > 0.3 THEN 'brier' END) AS breaches FROM dm GROUP BY model")
+
+# ---------------------------------------------------------------- G
+_REG = ("reg AS (SELECT strftime(t.trained_at, '%Y%m%d') || '_' || substr(md5(auc.model), 1, 6) AS id, auc.model, "
+        "auc.auc AS performance FROM auc JOIN (SELECT model, max(ts) AS trained_at FROM predictions GROUP BY 1) t "
+        "ON auc.model = t.model)")
+ORACLE["G1_register_models"] = _with(("predictions",), ",\n".join([_SC, _AUC, _REG]),
+                                     "SELECT id, model, round(performance, 6) AS performance FROM reg")
+ORACLE["G2_best_model"] = _with(("predictions",), ",\n".join([_SC, _AUC, _REG]),
+    "SELECT id, model, round(performance, 6) AS performance FROM reg ORDER BY performance DESC, id LIMIT 1")
+ORACLE["G3_audit_models"] = _with(("predictions",), ",\n".join([_SC, _AUC, _REG]),
+    "SELECT id, model, round(performance, 6) AS performance FROM reg WHERE performance < 0.92")
