@@ -598,3 +598,113 @@ ORACLE["G2_best_model"] = _with(("predictions",), ",\n".join([_SC, _AUC, _REG]),
     "SELECT id, model, round(performance, 6) AS performance FROM reg ORDER BY performance DESC, id LIMIT 1")
 ORACLE["G3_audit_models"] = _with(("predictions",), ",\n".join([_SC, _AUC, _REG]),
     "SELECT id, model, round(performance, 6) AS performance FROM reg WHERE performance < 0.92")
+
+# ---------------------------------------------------------------- C
+ORACLE["C1_latest_vitals"] = _with(("vitals",),
+    "r AS (SELECT *, row_number() OVER (PARTITION BY patient_key, metric ORDER BY ts DESC, event_id DESC) AS rn "
+    "FROM vitals)",
+    "SELECT patient_key, metric, round(value, 6) AS latest_value, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS latest_ts "
+    "FROM r WHERE rn = 1")
+ORACLE["C1_vital_zscores"] = _with(("vitals",),
+    "w AS (SELECT patient_key, metric, event_id, value, avg(value) OVER t AS m, stddev_pop(value) OVER t AS s, "
+    "count(value) OVER t AS c FROM vitals WINDOW t AS (PARTITION BY patient_key, metric ORDER BY ts, event_id "
+    "ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),\n"
+    "z AS (SELECT *, CASE WHEN c > 0 AND s > 1e-12 THEN (value - m) / s END AS z FROM w)",
+    "SELECT patient_key, metric, event_id, round(z, 4) AS z, coalesce(abs(z) > 2.0, false) AS anomaly FROM z")
+_BAD = ("bad AS (SELECT v.* FROM vitals v JOIN (VALUES ('glucose', 70.0, 200.0), ('potassium', 3.5, 5.2), "
+        "('creatinine', 0.6, 1.3)) AS r(metric, low, high) ON v.metric = r.metric "
+        "WHERE NOT (v.value BETWEEN r.low AND r.high))")
+ORACLE["C2_lab_out_of_range_24h"] = _with(("vitals",), _BAD,
+    "SELECT patient_key, metric, strftime(date_trunc('hour', ts) - to_hours(k.range), '%Y-%m-%d %H:%M:%S') "
+    "AS window_start, count(*) AS n FROM bad, range(0, 24) k GROUP BY 1, 2, 3")
+ORACLE["C3_missed_dose_runs"] = _with(("meds",),
+    "d AS (SELECT DISTINCT patient_id, drug, cast(ts AS date) AS day FROM meds),\n"
+    "g AS (SELECT *, lag(day) OVER (PARTITION BY patient_id, drug ORDER BY day) AS prev FROM d)",
+    "SELECT patient_id, drug, strftime(prev, '%Y-%m-%d') AS last_taken, strftime(day, '%Y-%m-%d') AS next_taken, "
+    "cast(date_diff('day', prev, day) - 1 AS int) AS missed_days FROM g WHERE date_diff('day', prev, day) - 1 > 2")
+ORACLE["C3_overuse"] = _with(("meds",),
+    "d AS (SELECT patient_id, drug, cast(ts AS date) AS day, sum(qty) AS taken FROM meds GROUP BY 1, 2, 3)",
+    "SELECT patient_id, drug, strftime(day, '%Y-%m-%d') AS day, round(taken, 6) AS taken FROM d WHERE taken > 1.2 * 25.0")
+ORACLE["C4_progression"] = _with(("vitals",), "",
+    "SELECT patient_key, metric, round(regr_slope(value, epoch(ts) / 86400.0), 4) AS slope_per_day, "
+    "round(arg_max(value, ts) - arg_min(value, ts), 6) AS change, count(*) AS n FROM vitals GROUP BY 1, 2")
+ORACLE["C5_safety_events_daily"] = (
+    "SELECT cast(user_id % 10 AS int) AS unit, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, "
+    "count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2")
+ORACLE["C6_sepsis_screen"] = _with(("vitals",),
+    "r AS (SELECT *, row_number() OVER (PARTITION BY patient_key, metric ORDER BY ts DESC, event_id DESC) AS rn "
+    "FROM vitals WHERE metric IN ('heart_rate', 'resp_rate', 'temperature')),\n"
+    "w AS (SELECT patient_key, max(CASE WHEN metric = 'heart_rate' THEN value END) AS hr, "
+    "max(CASE WHEN metric = 'resp_rate' THEN value END) AS rr, max(CASE WHEN metric = 'temperature' THEN value END) AS t "
+    "FROM r WHERE rn = 1 GROUP BY patient_key),\n"
+    "s AS (SELECT *, cast(coalesce(hr > 90, false) AS int) + cast(coalesce(rr > 20, false) AS int) "
+    "+ cast(coalesce(t > 38 OR t < 36, false) AS int) AS sirs_score FROM w)",
+    "SELECT patient_key, round(hr, 6) AS heart_rate, round(rr, 6) AS resp_rate, round(t, 6) AS temperature, "
+    "sirs_score, sirs_score >= 2 AS alert FROM s")
+ORACLE["C7_assessment_gaps"] = _with(("vitals",),
+    "a AS (SELECT DISTINCT patient_key, ts FROM vitals WHERE metric = 'temperature'),\n"
+    "g AS (SELECT *, lag(ts) OVER (PARTITION BY patient_key ORDER BY ts) AS prev FROM a)",
+    "SELECT patient_key, strftime(prev, '%Y-%m-%d %H:%M:%S.%f') AS gap_start, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') "
+    "AS gap_end, false AS open FROM g WHERE (epoch(ts) - epoch(prev)) / 3600.0 > 96.0 UNION ALL "
+    "SELECT patient_key, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f'), '2024-01-31 00:00:00.000000', true FROM a "
+    "GROUP BY patient_key HAVING (epoch(timestamp '2024-01-31 00:00:00') - epoch(max(ts))) / 3600.0 > 96.0")
+ORACLE["C8_overdue_followup"] = _with(("vitals",), "",
+    "SELECT DISTINCT patient_key FROM vitals WHERE patient_key NOT IN (SELECT patient_key FROM vitals "
+    "WHERE metric = 'spo2' AND ts >= timestamp '2024-01-31 00:00:00' - INTERVAL 10 DAY "
+    "AND ts <= timestamp '2024-01-31 00:00:00')")
+ORACLE["C9_must_score"] = _with(("clinical",), "",
+    "SELECT patient_id, (CASE WHEN bmi > 20 THEN 0 WHEN bmi >= 18.5 THEN 1 ELSE 2 END) + (CASE WHEN weight_loss_pct > 10 "
+    "THEN 2 WHEN weight_loss_pct >= 5 THEN 1 ELSE 0 END) + (CASE WHEN acute_illness THEN 2 ELSE 0 END) AS must_score "
+    "FROM clinical")
+ORACLE["C10_infection_surveillance"] = (
+    "WITH e AS (SELECT CASE event_id % 3 WHEN 0 THEN 'mrsa' WHEN 1 THEN 'cdiff' ELSE 'vre' END AS pathogen, "
+    "cast(user_id % 5 AS int) AS ward, date_trunc('week', ts) AS week FROM events WHERE event_type = 'error'),\n"
+    "c AS (SELECT pathogen, ward, week, count(*) AS n FROM e GROUP BY 1, 2, 3),\n"
+    "a AS (SELECT *, avg(n) OVER w AS m, stddev_pop(n) OVER w AS s FROM c "
+    "WINDOW w AS (PARTITION BY pathogen, ward ORDER BY week ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING))\n"
+    "SELECT pathogen, ward, strftime(week, '%Y-%m-%d') AS week, n, round(m, 6) AS baseline_mean, "
+    "round(s, 6) AS baseline_std, coalesce(n > m + 1.0 * s, false) AS alarm FROM a")
+ORACLE["C11_census"] = (
+    "SELECT count(DISTINCT o_custkey) AS census FROM orders WHERE o_orderdate <= timestamp '1996-06-15 00:00:00' "
+    "AND (o_orderkey % 13 = 0 OR o_orderdate + to_days(cast(o_orderkey % 10 AS int)) > timestamp '1996-06-15 00:00:00')")
+ORACLE["C12_cohort_stats"] = _with(("medical",), "",
+    "SELECT CASE WHEN month(exam_date) <= 6 THEN 'h1' ELSE 'h2' END AS cohort, sex, count(weight_kg) AS n, "
+    "round(avg(weight_kg), 6) AS mean, round(stddev_samp(weight_kg), 6) AS std, "
+    "round(quantile_cont(weight_kg, 0.5), 6) AS median FROM medical WHERE exam_date >= date '2024-01-01' GROUP BY 1, 2")
+ORACLE["C13_drug_interactions"] = _with(("meds",),
+    "pr AS (SELECT DISTINCT a AS drug_a, b AS drug_b FROM (SELECT printf('D%02d', p_partkey % 50) AS a, "
+    "printf('D%02d', (p_partkey * 7) % 50) AS b FROM part WHERE p_size <= 3) WHERE a < b),\n"
+    "pd AS (SELECT DISTINCT patient_id, drug FROM meds)",
+    "SELECT x.patient_id, p.drug_a, p.drug_b FROM pd x JOIN pr p ON x.drug = p.drug_a "
+    "WHERE EXISTS (SELECT 1 FROM pd y WHERE y.patient_id = x.patient_id AND y.drug = p.drug_b)")
+ORACLE["C14_guideline_gaps"] = _with(("clinical", "vitals"),
+    "pb AS (SELECT patient_id, 'diabetes' AS problem FROM clinical WHERE diabetes UNION ALL "
+    "SELECT patient_id, 'hypertension' FROM clinical WHERE hypertension),\n"
+    "ru AS (SELECT * FROM (VALUES ('diabetes', 'glucose', 10), ('hypertension', 'heart_rate', 5)) "
+    "AS t(problem, lab, max_age_days)),\n"
+    "lb AS (SELECT printf('P%03d', patient_key) AS patient_id, metric AS lab, ts FROM vitals)",
+    "SELECT pb.patient_id, pb.problem, ru.lab FROM pb JOIN ru ON pb.problem = ru.problem WHERE NOT EXISTS "
+    "(SELECT 1 FROM lb WHERE lb.patient_id = pb.patient_id AND lb.lab = ru.lab AND lb.ts <= timestamp '2024-01-31 00:00:00' "
+    "AND lb.ts > timestamp '2024-01-31 00:00:00' - to_days(ru.max_age_days))")
+ORACLE["C15_new_alerts"] = _with(("vitals",), _BAD + ",\n"
+    "f AS (SELECT patient_key, metric, date_trunc('hour', ts) AS hour, min(ts) AS first_ts FROM bad "
+    "WHERE ts > timestamp '2024-01-25 00:00:00' GROUP BY 1, 2, 3)",
+    "SELECT patient_key, metric, strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, "
+    "strftime(first_ts, '%Y-%m-%d %H:%M:%S.%f') AS first_ts, (SELECT count(*) FROM f) AS total_new FROM f")
+ORACLE["C16_patient_timeline"] = _with(("vitals",), "",
+    "SELECT patient_key, event_id, row_number() OVER (PARTITION BY patient_key ORDER BY ts, event_id) AS seq FROM vitals")
+ORACLE["C16_treatment_options"] = _with(("clinical",),
+    "dx AS (SELECT patient_id, 'diabetes' AS diagnosis FROM clinical WHERE diabetes UNION ALL "
+    "SELECT patient_id, 'hypertension' FROM clinical WHERE hypertension UNION ALL "
+    "SELECT patient_id, 'ckd' FROM clinical WHERE egfr < 30),\n"
+    "tx AS (SELECT * FROM (VALUES ('diabetes', 'metformin'), ('diabetes', 'sglt2'), ('hypertension', 'ace_inhibitor'), "
+    "('hypertension', 'thiazide')) AS t(diagnosis, treatment)),\n"
+    "ci AS (SELECT * FROM (VALUES ('ckd', 'metformin'), ('diabetes', 'thiazide')) AS t(comorbidity, treatment))",
+    "SELECT dx.diagnosis, dx.patient_id, tx.treatment FROM dx JOIN tx ON dx.diagnosis = tx.diagnosis WHERE NOT EXISTS "
+    "(SELECT 1 FROM dx d2 JOIN ci ON d2.diagnosis = ci.comorbidity WHERE d2.patient_id = dx.patient_id "
+    "AND ci.treatment = tx.treatment)")
+ORACLE["C17_risk_stratification"] = _with(("clinical",),
+    "d AS (SELECT sex || '_' || CASE WHEN age >= 60 THEN '60+' ELSE '<60' END AS cohort, "
+    "CASE WHEN p >= 0.7 THEN 'high' WHEN p >= 0.4 THEN 'medium' ELSE 'low' END AS category FROM clinical)",
+    "SELECT cohort, count_if(category = 'low') AS low, count_if(category = 'medium') AS medium, "
+    "count_if(category = 'high') AS high FROM d GROUP BY cohort")

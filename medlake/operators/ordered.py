@@ -162,3 +162,39 @@ def bucketed_lag(df: DataFrame, order: Sequence[str | Column], value: str, parti
     first_in_bucket = F.row_number().over(w) == 1
     lagged = F.when(first_in_bucket, F.col("__prev_last")).otherwise(F.lag(value).over(w))
     return j.select(*[F.col(f"`{c}`") for c in df.columns], lagged.alias(out))
+
+
+def row_index(df: DataFrame, order: Sequence[str | Column], partition_cols: Sequence[str] = (),
+              out: str = "row_index", n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """1-based position of each row in ``order`` within its partition,
+    from the bucketed running count (no single-task window)."""
+    r = running_totals(df.withColumn("__one", F.lit(1)), order, ["__one"], partition_cols=partition_cols,
+                       n_buckets=n_buckets, with_totals=False)
+    return r.withColumnRenamed("cum___one", out).drop("__one")
+
+
+def trailing_window(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int,
+                    aggs: dict[str, Column], chunk_rows: int = 1_000_000, include_current: bool = False
+                    ) -> DataFrame:
+    """Aggregates over the previous ``n`` rows (``rowsBetween(-n, -1)``, or
+    ``(-n + 1, 0)`` with ``include_current``) per key, with bounded tasks.
+
+    Rows are numbered per key (bucketed running count) and cut into chunks
+    of ``chunk_rows``; the last ``n`` rows of every chunk are copied into
+    the next chunk as read-only context ("halo").  The window then runs per
+    (key, chunk) with Spark's own numerically stable aggregates, and the
+    halo copies are dropped -- exact, and no partition exceeds
+    ``chunk_rows + n`` rows even for a key holding most of the data.
+    """
+    k = list(keys)
+    idx = row_index(df, order, partition_cols=k, out="__idx")
+    chunk = F.floor((F.col("__idx") - 1) / F.lit(chunk_rows))
+    own = idx.withColumn("__chunk", chunk).withColumn("__halo", F.lit(False))
+    halo = idx.where(((F.col("__idx") - 1) % chunk_rows) >= chunk_rows - n).withColumn(
+        "__chunk", chunk + 1).withColumn("__halo", F.lit(True))
+    both = own.unionByName(halo)
+    lo, hi = (-n + 1, 0) if include_current else (-n, -1)
+    w = Window.partitionBy(*k, "__chunk").orderBy("__idx").rowsBetween(lo, hi)
+    out = both.select(*[F.col(f"`{c}`") for c in df.columns], "__idx", "__halo",
+                      *[agg.over(w).alias(name) for name, agg in aggs.items()])
+    return out.where(~F.col("__halo")).drop("__halo").withColumnRenamed("__idx", "row_index")

@@ -138,6 +138,8 @@ SPECS: dict[str, tuple[str, str | None, list[tuple[str, str]]]] = {
         ("cast((c_custkey * 7) % 4 as int)", "walk_points"),
         ("cast((c_custkey * 11) % 10 as double)", "inflammatory_score"),
         ("cast((c_custkey * 13) % 10 as double)", "metabolic_points"),
+        ("cast((c_custkey * 7) % 15 as double)", "weight_loss_pct"),
+        ("c_custkey % 11 = 0", "acute_illness"),
     ]),
 }
 
