@@ -1,12 +1,21 @@
 """Order-dependent aggregates that must not run in one task.
 
-A window ``ORDER BY`` with no ``PARTITION BY`` (or partitioned by a hot
-key) sends every row to a single task.  ``running_totals`` instead cuts
-the ordering key into range buckets (boundaries from one
-``percentile_approx`` pass), sums each bucket (a tiny table), turns those
-into bucket offsets, and finishes with a window partitioned by
-``(partition, bucket)``.  Exact results, bounded per-task work, and a hot
-partition key is spread over all of its buckets.
+A window ``ORDER BY`` with no ``PARTITION BY`` -- or partitioned by a key
+that holds a large share of the rows -- sends all of those rows to one
+task.  The helpers here split such work by *range buckets* of the
+ordering key:
+
+* boundaries come from one ``percentile_approx`` pass (a few numbers);
+* per (key, bucket) sums / last values form a small bookkeeping table
+  whose prefix over buckets gives each bucket's offset;
+* the final window runs per (key, bucket).
+
+Only keys that are actually heavy (more than ``heavy_rows`` rows) are
+split: light keys keep one window partition per key and need no
+bookkeeping, so a table with millions of small keys pays nothing extra.
+Heavy keys are found with one grouped count; their number is at most
+rows / heavy_rows, so the heavy-key and bookkeeping tables have a proven
+size bound and are broadcast.
 
 ``exact_quantiles`` builds on it: distinct values with their counts,
 running counts, then only the rows holding the wanted ranks survive --
@@ -22,9 +31,17 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medlake.operators.joins import bounded_broadcast
-
 DEFAULT_BUCKETS = 64
+DEFAULT_HEAVY_ROWS = 2_000_000
+MAX_HEAVY_KEYS = 500_000  # broadcast bound for the heavy-key table
+
+
+def _is_temporal(df: DataFrame, c: Column) -> bool:
+    try:
+        t = df.select(c).schema.fields[0].dataType.typeName()
+    except Exception:
+        return False
+    return t in ("timestamp", "timestamp_ntz", "date")
 
 
 def _bucket_splits(df: DataFrame, key: Column, n_buckets: int) -> list[float]:
@@ -36,65 +53,80 @@ def _bucket_splits(df: DataFrame, key: Column, n_buckets: int) -> list[float]:
     return sorted({float(v) for v in (vals or []) if v is not None})
 
 
+def _bucket_key(df: DataFrame, first: Column, descending: bool) -> Column:
+    key = F.unix_micros(first.cast("timestamp")).cast("double") if _is_temporal(df, first) else first.cast("double")
+    k = -key if descending else key
+    # NULLs sort first ascending, last descending (Spark's defaults)
+    return F.coalesce(k, F.lit(float("inf") if descending else float("-inf")))
+
+
+def _assign_buckets(df: DataFrame, order: Sequence[Column], parts: list[str], n_buckets: int, heavy_rows: int,
+                    descending: bool = False) -> tuple[DataFrame, str]:
+    """Adds ``__b`` (bucket) and returns the plan kind:
+    ``'none'`` (no key is heavy: ``__b`` = 0), ``'all'`` (no partition
+    columns: every row bucketed), ``'heavy'`` (heavy keys bucketed, light keys 0)."""
+    base = df.withColumn("__bkey", _bucket_key(df, order[0], descending))
+    if not parts:
+        splits = _bucket_splits(base, F.col("__bkey"), n_buckets)
+        b = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="__bkey", outputCol="__b",
+                       handleInvalid="keep").transform(base)
+        return b.drop("__bkey").withColumn("__b", F.col("__b").cast("int")), "all"
+    heavy = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy_rows).select(*parts)
+    n_heavy = heavy.limit(MAX_HEAVY_KEYS + 1).count()
+    if n_heavy == 0:
+        return base.drop("__bkey").withColumn("__b", F.lit(0)), "none"
+    hk = heavy.withColumn("__hv", F.lit(True))
+    hk = F.broadcast(hk) if n_heavy <= MAX_HEAVY_KEYS else hk
+    flagged = base.join(hk, parts, "left")
+    splits = _bucket_splits(flagged.where(F.col("__hv")), F.col("__bkey"), n_buckets)
+    b = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="__bkey", outputCol="__braw",
+                   handleInvalid="keep").transform(flagged)
+    # heavy keys use buckets 1..B+1, light keys bucket 0
+    b = b.withColumn("__b", F.when(F.col("__hv"), F.col("__braw").cast("int") + 1).otherwise(F.lit(0)))
+    return b.drop("__bkey", "__braw", "__hv"), "heavy"
+
+
 def running_totals(df: DataFrame, order: Sequence[str | Column], sum_cols: Sequence[str],
                    partition_cols: Sequence[str] = (), descending: bool = False,
                    n_buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_",
-                   with_totals: bool = True, bucket_key: Column | None = None) -> DataFrame:
+                   with_totals: bool = True, heavy_rows: int = DEFAULT_HEAVY_ROWS) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``order`` within ``partition_cols``.
 
     ``order`` must be a total order inside a partition (add a tie-breaker).
-    The first order column must be numeric or timestamp; it drives the
-    range buckets unless ``bucket_key`` (a numeric Column monotone in the
-    order) is given.  Adds ``{prefix}{c}`` and, if ``with_totals``,
+    The first order column must be numeric, date or timestamp; it drives
+    the range buckets.  Adds ``{prefix}{c}`` and, if ``with_totals``,
     ``total_{c}`` columns.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     parts = list(partition_cols)
-    first = order[0]
-    if bucket_key is None:
-        bucket_key = F.when(first.isNull(), None).otherwise(
-            F.unix_micros(first.cast("timestamp")).cast("double")
-            if _is_temporal(df, first) else first.cast("double"))
-    # Descending order is ascending order of the negated key.
-    k = -bucket_key if descending else bucket_key
-    null_fill = float("inf") if descending else float("-inf")
-    base = df.withColumn("__bkey", F.coalesce(k, F.lit(null_fill)))
-    splits = _bucket_splits(base.where(F.col("__bkey").isNotNull()), F.col("__bkey"), n_buckets)
-    bucketizer = Bucketizer(splits=[float("-inf")] + splits + [float("inf")],
-                            inputCol="__bkey", outputCol="__b", handleInvalid="keep")
-    b = bucketizer.transform(base).drop("__bkey")
-
-    tot = b.groupBy(*parts, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
+    b, kind = _assign_buckets(df, order, parts, n_buckets, heavy_rows, descending)
+    ordered = [o.desc() if descending else o.asc() for o in order]
+    w_in = Window.partitionBy(*parts, "__b").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    if kind == "none":
+        wkey = Window.partitionBy(*parts)
+        return b.select(*keep, *[F.sum(c).over(w_in).alias(f"{prefix}{c}") for c in sum_cols],
+                        *([F.sum(c).over(wkey).alias(f"total_{c}") for c in sum_cols] if with_totals else []))
+    src = b if kind == "all" else b.where(F.col("__b") > 0)
+    # bookkeeping: one row per (heavy key, bucket) -> at most MAX_HEAVY_KEYS x (n_buckets + 1) rows
+    tot = src.groupBy(*parts, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
     wprev = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     wall = Window.partitionBy(*parts)
-    offs = tot.select(
-        *parts, "__b",
-        *[F.coalesce(F.sum(f"__t_{c}").over(wprev), F.lit(0)).alias(f"__o_{c}") for c in sum_cols],
-        *([F.sum(f"__t_{c}").over(wall).alias(f"total_{c}") for c in sum_cols] if with_totals else []),
-    )
-    # offsets: one row per (partition, bucket); broadcast only if proved small
-    offs = bounded_broadcast(offs) if parts else F.broadcast(offs)
-    ordered = [o.desc() if descending else o.asc() for o in order]
-    w = Window.partitionBy(*parts, "__b").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, 0)
-    out = b.join(offs, [*parts, "__b"], "inner")
-    out = out.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        *[(F.sum(c).over(w) + F.col(f"__o_{c}")).alias(f"{prefix}{c}") for c in sum_cols],
-        *([F.col(f"total_{c}") for c in sum_cols] if with_totals else []),
-    )
-    return out
-
-
-def _is_temporal(df: DataFrame, c: Column) -> bool:
-    try:
-        t = df.select(c).schema.fields[0].dataType.typeName()
-    except Exception:
-        return False
-    return t in ("timestamp", "timestamp_ntz", "date")
+    offs = tot.select(*parts, "__b",
+                      *[F.coalesce(F.sum(f"__t_{c}").over(wprev), F.lit(0)).alias(f"__o_{c}") for c in sum_cols],
+                      *[F.sum(f"__t_{c}").over(wall).alias(f"__T_{c}") for c in sum_cols])
+    j = b.join(F.broadcast(offs), [*parts, "__b"], "left")
+    wb = Window.partitionBy(*parts, "__b")
+    return j.select(*keep,
+                    *[(F.sum(c).over(w_in) + F.coalesce(F.col(f"__o_{c}"), F.lit(0))).alias(f"{prefix}{c}")
+                      for c in sum_cols],
+                    *([F.coalesce(F.col(f"__T_{c}"), F.sum(c).over(wb)).alias(f"total_{c}") for c in sum_cols]
+                      if with_totals else []))
 
 
 def exact_quantiles_df(df: DataFrame, col: str, probs: Sequence[float],
-                       group_cols: Sequence[str] = (), n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                       group_cols: Sequence[str] = (), n_buckets: int = DEFAULT_BUCKETS,
+                       heavy_rows: int = DEFAULT_HEAVY_ROWS) -> DataFrame:
     """Exact linear-interpolation quantiles of ``col`` per group.
 
     Returns ``(*group_cols, p, q)``; NULLs are ignored; an all-NULL group
@@ -102,7 +134,7 @@ def exact_quantiles_df(df: DataFrame, col: str, probs: Sequence[float],
     """
     g = list(group_cols)
     counts = df.where(F.col(col).isNotNull()).groupBy(*g, col).agg(F.count(F.lit(1)).alias("n"))
-    c = running_totals(counts, [col], ["n"], partition_cols=g, n_buckets=n_buckets)
+    c = running_totals(counts, [col], ["n"], partition_cols=g, n_buckets=n_buckets, heavy_rows=heavy_rows)
     parr = F.array(*[F.lit(float(p)) for p in probs])
     start = F.col("cum_n") - F.col("n")
 
@@ -132,62 +164,56 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     return [got.get(round(float(p), 12)) for p in probs]
 
 
-def _bucketize(df: DataFrame, order: Sequence[Column], n_buckets: int, descending: bool = False) -> DataFrame:
-    first = order[0]
-    key = F.unix_micros(first.cast("timestamp")).cast("double") if _is_temporal(df, first) else first.cast("double")
-    k = -key if descending else key
-    base = df.withColumn("__bkey", F.coalesce(k, F.lit(float("inf") if descending else float("-inf"))))
-    splits = _bucket_splits(base, F.col("__bkey"), n_buckets)
-    return Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="__bkey", outputCol="__b",
-                      handleInvalid="keep").transform(base).drop("__bkey")
-
-
 def bucketed_lag(df: DataFrame, order: Sequence[str | Column], value: str, partition_cols: Sequence[str] = (),
-                 out: str | None = None, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 out: str | None = None, n_buckets: int = DEFAULT_BUCKETS,
+                 heavy_rows: int = DEFAULT_HEAVY_ROWS) -> DataFrame:
     """``lag(value)`` over ``order`` within ``partition_cols`` without a
-    single hot task: rows are range-bucketed on the first order column,
-    lag runs inside (partition, bucket), and a bucket's first row takes the
-    last value of the previous non-empty bucket from a small per-bucket
-    table (one row per partition and bucket)."""
+    single hot task: heavy keys (and the unpartitioned case) are
+    range-bucketed, lag runs inside (key, bucket), and a bucket's first row
+    takes the last value of the previous non-empty bucket from a small
+    bookkeeping table."""
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     parts = list(partition_cols)
     out = out or f"prev_{value}"
-    b = _bucketize(df, order, n_buckets)
-    last = b.groupBy(*parts, "__b").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    b, kind = _assign_buckets(df, order, parts, n_buckets, heavy_rows)
+    w = Window.partitionBy(*parts, "__b").orderBy(*order)
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    if kind == "none":
+        return b.select(*keep, F.lag(value).over(w).alias(out))
+    src = b if kind == "all" else b.where(F.col("__b") > 0)
+    last = src.groupBy(*parts, "__b").agg(F.max_by(value, F.struct(*order)).alias("__last"))
     wb = Window.partitionBy(*parts).orderBy("__b")
     prev = last.select(*parts, "__b", F.lag("__last").over(wb).alias("__prev_last"))
-    prev = bounded_broadcast(prev) if parts else F.broadcast(prev)
-    w = Window.partitionBy(*parts, "__b").orderBy(*order)
-    j = b.join(prev, [*parts, "__b"], "inner")
+    j = b.join(F.broadcast(prev), [*parts, "__b"], "left")
     first_in_bucket = F.row_number().over(w) == 1
     lagged = F.when(first_in_bucket, F.col("__prev_last")).otherwise(F.lag(value).over(w))
-    return j.select(*[F.col(f"`{c}`") for c in df.columns], lagged.alias(out))
+    return j.select(*keep, lagged.alias(out))
 
 
 def row_index(df: DataFrame, order: Sequence[str | Column], partition_cols: Sequence[str] = (),
-              out: str = "row_index", n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """1-based position of each row in ``order`` within its partition,
-    from the bucketed running count (no single-task window)."""
+              out: str = "row_index", n_buckets: int = DEFAULT_BUCKETS,
+              heavy_rows: int = DEFAULT_HEAVY_ROWS) -> DataFrame:
+    """1-based position of each row in ``order`` within its partition."""
     r = running_totals(df.withColumn("__one", F.lit(1)), order, ["__one"], partition_cols=partition_cols,
-                       n_buckets=n_buckets, with_totals=False)
+                       n_buckets=n_buckets, with_totals=False, heavy_rows=heavy_rows)
     return r.withColumnRenamed("cum___one", out).drop("__one")
 
 
 def trailing_window(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], n: int,
-                    aggs: dict[str, Column], chunk_rows: int = 1_000_000, include_current: bool = False
-                    ) -> DataFrame:
+                    aggs: dict[str, Column], chunk_rows: int = 1_000_000, include_current: bool = False,
+                    heavy_rows: int = DEFAULT_HEAVY_ROWS) -> DataFrame:
     """Aggregates over the previous ``n`` rows (``rowsBetween(-n, -1)``, or
     ``(-n + 1, 0)`` with ``include_current``) per key, with bounded tasks.
 
-    Rows are numbered per key (bucketed running count) and cut into chunks
-    of ``chunk_rows``; the last ``n`` rows of every chunk are copied into
-    the next chunk as read-only context ("halo").  The window then runs per
-    (key, chunk) with Spark's own numerically stable aggregates, and the
-    halo copies are dropped -- exact, and no partition exceeds
-    ``chunk_rows + n`` rows even for a key holding most of the data.
+    Rows are numbered per key and cut into chunks of ``chunk_rows``; the
+    last ``n`` rows of every chunk are copied into the next chunk as
+    read-only context ("halo").  The window then runs per (key, chunk) with
+    Spark's own numerically stable aggregates, and the halo copies are
+    dropped -- exact, and no partition exceeds ``chunk_rows + n`` rows even
+    for a key holding most of the data.
     """
     k = list(keys)
-    idx = row_index(df, order, partition_cols=k, out="__idx")
+    idx = row_index(df, order, partition_cols=k, out="__idx", heavy_rows=heavy_rows)
     chunk = F.floor((F.col("__idx") - 1) / F.lit(chunk_rows))
     own = idx.withColumn("__chunk", chunk).withColumn("__halo", F.lit(False))
     halo = idx.where(((F.col("__idx") - 1) % chunk_rows) >= chunk_rows - n).withColumn(
