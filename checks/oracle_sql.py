@@ -708,3 +708,108 @@ ORACLE["C17_risk_stratification"] = _with(("clinical",),
     "CASE WHEN p >= 0.7 THEN 'high' WHEN p >= 0.4 THEN 'medium' ELSE 'low' END AS category FROM clinical)",
     "SELECT cohort, count_if(category = 'low') AS low, count_if(category = 'medium') AS medium, "
     "count_if(category = 'high') AS high FROM d GROUP BY cohort")
+
+# ---------------------------------------------------------------- S
+ORACLE["S1_csv_roundtrip"] = _with(("medical",), "",
+    "SELECT patient_id, birth_year, sex, strftime(exam_date, '%Y-%m-%d') AS exam_date, weight_kg, zip_code, "
+    "blood_pressure, disease_risk, true AS well_formed FROM medical")
+ORACLE["S2_json_lines_roundtrip"] = _with(("lifestyle",), "", "SELECT * FROM lifestyle")
+ORACLE["S3_geojson_zones"] = _with(("zones",), "", "SELECT zip_code, pm2_5, min_x, max_x, min_y, max_y FROM zones")
+ORACLE["S4_clean_dataset_roundtrip"] = ORACLE["J1_medical_lifestyle_join"]
+
+
+def _rowhash_sql(cols):
+    return ("sha256(concat_ws(chr(1), " + ", ".join(f"coalesce(cast({c} AS VARCHAR), '\\N')" for c in sorted(cols))
+            + "))")
+
+
+_S5_NEW = ("nw AS (SELECT printf('P%03d', c_custkey) AS patient_id, cast(50 + (c_custkey * 13) % 60 + CASE WHEN "
+           "c_custkey % 20 = 0 THEN 1 ELSE 0 END AS double) AS weight_kg, cast(30 + (c_custkey * 5) % 50 AS double) "
+           "AS hdl_cholesterol FROM customer WHERE c_custkey % 50 <> 0 UNION ALL SELECT printf('N%03d', c_custkey), "
+           "cast(70 AS double), cast(40 AS double) FROM customer WHERE c_custkey % 97 = 0)")
+_S5C = ["patient_id", "weight_kg", "hdl_cholesterol"]
+ORACLE["S5_snapshot_delta"] = _with(("medical",), _S5_NEW + ",\n"
+    f"o AS (SELECT patient_id, {_rowhash_sql(_S5C)} AS h FROM medical),\n"
+    f"n AS (SELECT patient_id, {_rowhash_sql(_S5C)} AS h FROM nw),\n"
+    "j AS (SELECT coalesce(o.patient_id, n.patient_id) AS patient_id, CASE WHEN o.h IS NULL THEN 'inserted' "
+    "WHEN n.h IS NULL THEN 'deleted' WHEN o.h <> n.h THEN 'updated' END AS change FROM o FULL OUTER JOIN n "
+    "ON o.patient_id = n.patient_id)",
+    "SELECT patient_id, change FROM j WHERE change IS NOT NULL")
+_MED_COLS = [a for _, a in SPECS["medical"][2]]
+ORACLE["S5_snapshot_digest"] = _with(("medical",), "",
+    "SELECT count(*) AS n_rows, bit_xor(('0x' || substr(" + _rowhash_sql(_MED_COLS) + ", 1, 15))::BIGINT) AS digest "
+    "FROM medical")
+ORACLE["S6_report_points"] = _with(("predictions",),
+    "r AS (SELECT row_number() OVER w AS rn, sum(cast((p >= 0.5) = (y = 1) AS int)) OVER w AS ok, "
+    "sum(pow(p - y, 2)) OVER w AS se FROM predictions WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))",
+    "SELECT cast(rn AS bigint) AS row_index, round(ok / rn, 6) AS accuracy, round(se / rn, 6) AS brier FROM r "
+    "WHERE rn % 100 = 0")
+ORACLE["S9_standardize_records"] = ("SELECT event_id AS event_key, event_type AS kind, "
+    "try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k, value AS amount FROM events")
+ORACLE["S10_risk_resources"] = _with(("clinical",),
+    "c AS (SELECT patient_id, CASE WHEN p >= 0.7 THEN 'high' WHEN p >= 0.4 THEN 'medium' ELSE 'low' END AS category, "
+    "sex FROM clinical)",
+    "SELECT patient_id, json_object('resourceType', 'RiskAssessment', 'subject', patient_id, 'category', category, "
+    "'sex', sex)::VARCHAR AS json FROM c")
+
+# ---------------------------------------------------------------- A audits
+ORACLE["A6_tokenize_roundtrip"] = "SELECT c_custkey, 36 AS token_len, true AS roundtrip_ok FROM customer"
+ORACLE["A7_consent_revocation"] = _with(("medical",),
+    "rv AS (SELECT printf('P%03d', c_custkey) AS rid FROM customer WHERE c_custkey % 100 = 1)",
+    "SELECT patient_id FROM medical WHERE NOT EXISTS (SELECT 1 FROM rv WHERE starts_with(patient_id, rid))")
+_ACC = ("acc AS (SELECT CASE user_id % 3 WHEN 0 THEN 'doctor' WHEN 1 THEN 'nurse' ELSE 'admin' END AS role, "
+        "CASE event_type WHEN 'view' THEN 'patient_records' WHEN 'click' THEN 'prescriptions' WHEN 'purchase' "
+        "THEN 'vital_signs' WHEN 'signup' THEN 'medication_admin' ELSE 'billing' END AS resource FROM events)")
+ORACLE["A12_rbac_violations"] = ("WITH " + _ACC + "\nSELECT role, resource, count(*) AS n FROM acc WHERE (role, resource) "
+    "NOT IN (SELECT * FROM (VALUES ('doctor', 'patient_records'), ('doctor', 'prescriptions'), ('nurse', 'vital_signs'), "
+    "('nurse', 'medication_admin'))) GROUP BY 1, 2")
+ORACLE["A13_abac_audit"] = (
+    "SELECT coalesce(CASE user_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' END = 'high' AND "
+    "CASE user_id % 4 WHEN 0 THEN 'cardiology' WHEN 1 THEN 'oncology' ELSE 'icu' END = 'cardiology', false) AS allowed, "
+    "count(*) AS n FROM events GROUP BY 1")
+ORACLE["A14_out_of_hours_access"] = (
+    "SELECT event_type, count(*) AS n FROM events WHERE NOT (hour(ts) * 3600 + minute(ts) * 60 + second(ts) "
+    "BETWEEN 28800 AND 64800) GROUP BY 1")
+ORACLE["A15_intrusion_windows"] = (
+    "SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS n_hits FROM events "
+    "WHERE event_type IN ('error', 'signup') GROUP BY 1, 2")
+ORACLE["A16_block_list_audit"] = ("SELECT c_custkey FROM customer WHERE c_nationkey IN "
+                                  "(SELECT n_nationkey FROM nation WHERE n_regionkey = 0)")
+ORACLE["A16_allow_list_audit"] = ("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN "
+                                  "(SELECT c_nationkey FROM customer WHERE c_nationkey % 3 = 0)")
+ORACLE["A17_file_integrity"] = (
+    "WITH c AS (SELECT regexp_extract(filename, '[^/]+$') AS name, sha256(content) AS h "
+    "FROM read_blob('/root/testdata/sf0.01/*.parquet')),\n"
+    "b AS (SELECT regexp_extract(filename, '[^/]+$') AS name, sha256(content) AS h "
+    "FROM read_blob('/root/testdata/sf0.001/*.parquet'))\n"
+    "SELECT coalesce(c.name, b.name) AS name, CASE WHEN b.h IS NULL THEN 'new' WHEN c.h IS NULL THEN 'missing' "
+    "WHEN c.h <> b.h THEN 'changed' ELSE 'same' END AS status FROM c FULL OUTER JOIN b ON c.name = b.name")
+ORACLE["A18_audit_hash_chain"] = (
+    "WITH RECURSIVE d AS (SELECT cast(ts AS date) AS day, bit_xor(('0x' || substr(md5(concat_ws('|', event_id, "
+    "event_type, user_id)), 1, 15))::BIGINT) AS digest, count(*) AS n_lines FROM events GROUP BY 1),\n"
+    "r AS (SELECT *, row_number() OVER (ORDER BY day) AS i FROM d),\n"
+    "ch AS (SELECT i, day, digest, n_lines, sha256('|' || cast(day AS VARCHAR) || '|' || cast(digest AS VARCHAR) || "
+    "'|' || cast(n_lines AS VARCHAR)) AS chain FROM r WHERE i = 1 UNION ALL "
+    "SELECT r.i, r.day, r.digest, r.n_lines, sha256(ch.chain || '|' || cast(r.day AS VARCHAR) || '|' || "
+    "cast(r.digest AS VARCHAR) || '|' || cast(r.n_lines AS VARCHAR)) FROM r JOIN ch ON r.i = ch.i + 1)\n"
+    "SELECT strftime(day, '%Y-%m-%d') AS day, digest, n_lines, chain FROM ch")
+ORACLE["A19_missing_approvals"] = (
+    "WITH u AS (SELECT user_id, cast(ts AS date) AS day, list(DISTINCT event_type) AS ap FROM events GROUP BY 1, 2),\n"
+    "m AS (SELECT user_id, day, list_filter(['purchase', 'view'], lambda x: NOT list_contains(ap, x)) AS miss FROM u)\n"
+    "SELECT user_id, strftime(day, '%Y-%m-%d') AS day, array_to_string(list_sort(miss), ',') AS missing FROM m "
+    "WHERE len(miss) > 0")
+ORACLE["A20_config_audit"] = (
+    "SELECT s_suppkey, coalesce(s_suppkey % 3 <> 0, false) AND coalesce(s_suppkey % 4 <> 0, false) AND NOT "
+    "coalesce(CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey % 5 = 1 END, true) AS config_ok, "
+    "coalesce(s_suppkey % 2 = 0, false) AND coalesce(CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE true END, false) "
+    "AND NOT coalesce(s_suppkey % 6 = 0, true) AS device_ok FROM supplier")
+ORACLE["A21_risk_register"] = (
+    "SELECT s_suppkey, cast((s_suppkey % 5 + 1) * (s_nationkey % 5 + 1) AS int) AS risk, "
+    "s_acctbal / 1000.0 >= 8.5 AS vendor_high_risk, CASE s_nationkey % 4 WHEN 1 THEN 'Low severity: Log and monitor' "
+    "WHEN 2 THEN 'Medium: Isolate systems' WHEN 3 THEN 'High: Activate emergency protocol' "
+    "ELSE 'Unknown severity level' END AS plan FROM supplier")
+ORACLE["A23_expired_artifacts"] = ("SELECT o_orderkey FROM orders WHERE o_orderdate < "
+                                   "timestamp '2001-01-01 00:00:00' - to_days(1500)")
+ORACLE["A24_phi_access_counts"] = (
+    "SELECT user_id, cast(event_id % 50 AS int) AS patient, strftime(cast(ts AS date), '%Y-%m-%d') AS day, "
+    "count(*) AS n_access FROM events GROUP BY 1, 2, 3")
