@@ -813,3 +813,15 @@ ORACLE["A23_expired_artifacts"] = ("SELECT o_orderkey FROM orders WHERE o_orderd
 ORACLE["A24_phi_access_counts"] = (
     "SELECT user_id, cast(event_id % 50 AS int) AS patient, strftime(cast(ts AS date), '%Y-%m-%d') AS day, "
     "count(*) AS n_access FROM events GROUP BY 1, 2, 3")
+
+# ---------------------------------------------------------------- M
+ORACLE["M11_gradient_step"] = (
+    "WITH e AS (SELECT CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END AS y, unnest(embedding) AS x, "
+    "generate_subscripts(embedding, 1) AS i FROM embeddings)\n"
+    "SELECT cast(i - 1 AS int) AS i, round(-0.1 * avg((0.5 - y) * cast(x AS double)), 6) AS weight FROM e GROUP BY i "
+    "UNION ALL SELECT -1, round(-0.1 * avg(0.5 - CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END), 6) FROM embeddings")
+ORACLE["M12_uncertain_cases"] = _with(("predictions",), "",
+    "SELECT event_id, round(0.5 - abs(p - 0.5), 6) AS uncertainty FROM predictions WHERE abs(p - 0.5) < 0.3")
+ORACLE["M15_replay_buffer"] = _with(("predictions",),
+    "b AS (SELECT model, event_id, row_number() OVER (PARTITION BY model ORDER BY ts DESC, event_id DESC) AS slot "
+    "FROM predictions)", "SELECT model, event_id, cast(slot AS int) AS slot FROM b WHERE slot <= 1000")
