@@ -825,3 +825,22 @@ ORACLE["M12_uncertain_cases"] = _with(("predictions",), "",
 ORACLE["M15_replay_buffer"] = _with(("predictions",),
     "b AS (SELECT model, event_id, row_number() OVER (PARTITION BY model ORDER BY ts DESC, event_id DESC) AS slot "
     "FROM predictions)", "SELECT model, event_id, cast(slot AS int) AS slot FROM b WHERE slot <= 1000")
+
+ORACLE["Q7_ddm_first_drift"] = _with(("predictions",), """
+r AS (SELECT model, row_number() OVER w AS n, sum(cast((p >= 0.5) <> (y = 1) AS double)) OVER w AS e
+      FROM predictions WINDOW w AS (PARTITION BY model ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT *, e / n AS pp, sqrt((e / n) * (1 - e / n) / n) AS s FROM r),
+m AS (SELECT *, min(CASE WHEN n >= 30 THEN pp + s END) OVER w2 AS vmin,
+      arg_min(CASE WHEN n >= 30 THEN s END, CASE WHEN n >= 30 THEN pp + s END) OVER w2 AS smin
+      FROM q WINDOW w2 AS (PARTITION BY model ORDER BY n ROWS UNBOUNDED PRECEDING))""",
+    "SELECT model, min(CASE WHEN n >= 30 AND pp + s >= (vmin - smin) + 2.0 * smin THEN n END) AS first_warning, "
+    "min(CASE WHEN n >= 30 AND pp + s >= (vmin - smin) + 3.0 * smin THEN n END) AS first_drift, max(n) AS n "
+    "FROM m GROUP BY model")
+ORACLE["Q7_page_hinkley_first_alarm"] = _with(("predictions",), """
+a AS (SELECT model, ts, event_id, p, row_number() OVER w AS n, sum(p) OVER w AS sx FROM predictions
+      WINDOW w AS (PARTITION BY model ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, sum(p - sx / n - 0.005) OVER w AS m FROM a
+      WINDOW w AS (PARTITION BY model ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, min(m) OVER w AS mm FROM b WINDOW w AS (PARTITION BY model ORDER BY ts, event_id
+      ROWS UNBOUNDED PRECEDING))""",
+    "SELECT model, min(CASE WHEN m - mm > 5.0 THEN n END) AS first_alarm, max(n) AS n FROM c GROUP BY model")

@@ -152,3 +152,51 @@ def latest_performance(metrics: DataFrame, group: Sequence[str], ts: str, limits
     broken = F.filter(F.array(*[F.when(F.expr(f"`{c}` {op} {v}"), F.lit(c)) for c, (op, v) in limits.items()]),
                       lambda x: x.isNotNull())
     return latest.withColumn("breaches", broken)
+
+
+def ddm_first_drift(df: DataFrame, group: Sequence[str], ts: str, tiebreak: str, error: Column,
+                    min_samples: int = 30, warning_level: float = 2.0, drift_level: float = 3.0) -> DataFrame:
+    """Q7 DDM (batch, up to the first drift): p_i = errors_i / i,
+    s_i = sqrt(p_i (1 - p_i) / i); after ``min_samples`` rows track the
+    minimum of p + s (with its s); warning / drift when p_i + s_i reaches
+    p_min + 2 s_min / p_min + 3 s_min.  Returns the first warning and first
+    drift row index per group.  Running sums and the running arg-min use
+    the bucketed helpers (associative), so no group is a single task; the
+    reset after a drift needs state -- see ``medlake.streaming``."""
+    from medlake.operators.ordered import running_min
+    g = list(group)
+    s = df.select(*g, ts, tiebreak, error.cast("double").alias("__e")).withColumn("__one", F.lit(1))
+    r = running_totals(s, [ts, tiebreak], ["__e", "__one"], partition_cols=g, with_totals=False)
+    n = F.col("cum___one").cast("double")
+    p = F.col("cum___e") / n
+    sd = F.sqrt(p * (1 - p) / n)
+    r = r.withColumn("p", p).withColumn("s", sd).withColumn(
+        "ps", F.when(F.col("cum___one") >= min_samples, F.struct((F.col("p") + F.col("s")).alias("v"),
+                                                                   F.col("s").alias("s"))))
+    m = running_min(r, [ts, tiebreak], ["ps"], partition_cols=g)
+    lvl = F.col("p") + F.col("s")
+    pm, sm = F.col("min_ps.v") - F.col("min_ps.s"), F.col("min_ps.s")
+    ok = F.col("cum___one") >= min_samples
+    m = m.withColumn("warn", ok & (lvl >= pm + warning_level * sm)).withColumn("drift", ok & (lvl >= pm + drift_level * sm))
+    return m.groupBy(*g).agg(F.min(F.when(F.col("warn"), F.col("cum___one"))).alias("first_warning"),
+                             F.min(F.when(F.col("drift"), F.col("cum___one"))).alias("first_drift"),
+                             F.max("cum___one").alias("n"))
+
+
+def page_hinkley_first_drift(df: DataFrame, group: Sequence[str], ts: str, tiebreak: str, value: Column,
+                             delta: float = 0.005, threshold: float = 50.0) -> DataFrame:
+    """Q7 Page-Hinkley (batch, up to the first alarm): with the running mean
+    mu_i, m_t = sum_{i<=t} (x_i - mu_i - delta); alarm when
+    m_t - min_{i<=t} m_i > threshold.  Two bucketed running sums and one
+    bucketed running min."""
+    from medlake.operators.ordered import running_min
+    g = list(group)
+    s = df.select(*g, ts, tiebreak, value.cast("double").alias("__x")).withColumn("__one", F.lit(1))
+    r = running_totals(s, [ts, tiebreak], ["__x", "__one"], partition_cols=g, with_totals=False)
+    r = r.withColumn("__d", F.col("__x") - F.col("cum___x") / F.col("cum___one") - F.lit(delta))
+    r = running_totals(r.select(*g, ts, tiebreak, "cum___one", "__d"), [ts, tiebreak], ["__d"], partition_cols=g,
+                       with_totals=False)
+    r = running_min(r, [ts, tiebreak], ["cum___d"], partition_cols=g)
+    alarm = (F.col("cum___d") - F.col("min_cum___d")) > threshold
+    return r.groupBy(*g).agg(F.min(F.when(alarm, F.col("cum___one"))).alias("first_alarm"),
+                             F.max("cum___one").alias("n"))

@@ -224,3 +224,29 @@ def trailing_window(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
     out = both.select(*[F.col(f"`{c}`") for c in df.columns], "__idx", "__halo",
                       *[agg.over(w).alias(name) for name, agg in aggs.items()])
     return out.where(~F.col("__halo")).drop("__halo").withColumnRenamed("__idx", "row_index")
+
+
+def running_min(df: DataFrame, order: Sequence[str | Column], cols: Sequence[str], partition_cols: Sequence[str] = (),
+                prefix: str = "min_", n_buckets: int = DEFAULT_BUCKETS, heavy_rows: int = DEFAULT_HEAVY_ROWS
+                ) -> DataFrame:
+    """Inclusive running minimum of each column (any orderable type,
+    structs included, so an arg-min travels with its value) in ``order``
+    within ``partition_cols``; min is associative, so heavy keys use the
+    same bucket-offset scheme as ``running_totals``."""
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    parts = list(partition_cols)
+    b, kind = _assign_buckets(df, order, parts, n_buckets, heavy_rows)
+    w_in = Window.partitionBy(*parts, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    if kind == "none":
+        return b.select(*keep, *[F.min(c).over(w_in).alias(f"{prefix}{c}") for c in cols])
+    src = b if kind == "all" else b.where(F.col("__b") > 0)
+    tot = src.groupBy(*parts, "__b").agg(*[F.min(c).alias(f"__m_{c}") for c in cols])
+    wprev = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*parts, "__b", *[F.min(f"__m_{c}").over(wprev).alias(f"__o_{c}") for c in cols])
+    j = b.join(F.broadcast(offs), [*parts, "__b"], "left")
+
+    def lo(a, o):
+        return F.when(o.isNull(), a).when(a.isNull(), o).otherwise(F.least(a, o))
+
+    return j.select(*keep, *[lo(F.min(c).over(w_in), F.col(f"__o_{c}")).alias(f"{prefix}{c}") for c in cols])

@@ -284,3 +284,16 @@ def g3(spark, sf):
     reg = registry.register_models(spark, _model_perf(spark, sf), existing=None)
     a = registry.audit_models(reg, 0.92)
     return a.select("id", "model", r6("performance").alias("performance"))
+
+
+@register("Q7_ddm_first_drift")
+def q7(spark, sf):
+    p = _pred(spark, sf)
+    err = (F.col("p") >= 0.5) != (F.col("y") == 1)
+    return monitor.ddm_first_drift(p, G, "ts", "event_id", err, min_samples=30)
+
+
+@register("Q7_page_hinkley_first_alarm")
+def q7b(spark, sf):
+    p = _pred(spark, sf)
+    return monitor.page_hinkley_first_drift(p, G, "ts", "event_id", F.col("p"), delta=0.005, threshold=5.0)
