@@ -844,3 +844,18 @@ b AS (SELECT *, sum(p - sx / n - 0.005) OVER w AS m FROM a
 c AS (SELECT *, min(m) OVER w AS mm FROM b WINDOW w AS (PARTITION BY model ORDER BY ts, event_id
       ROWS UNBOUNDED PRECEDING))""",
     "SELECT model, min(CASE WHEN m - mm > 5.0 THEN n END) AS first_alarm, max(n) AS n FROM c GROUP BY model")
+
+# ---------------------------------------------------------------- streaming forms
+ORACLE["C2_lab_alerts_stream"] = ORACLE["C2_lab_out_of_range_24h"]
+ORACLE["C5_safety_events_stream"] = ORACLE["C5_safety_events_daily"]
+ORACLE["C15_dedup_alerts_stream"] = _with(("vitals",), _BAD,
+    "SELECT DISTINCT patient_key, metric, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour FROM bad "
+    "WHERE ts > timestamp '2024-01-25 00:00:00'")
+ORACLE["C7_assessment_sessions_stream"] = _with(("vitals",),
+    "a AS (SELECT patient_key, ts FROM vitals WHERE metric = 'temperature'),\n"
+    "g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY patient_key ORDER BY ts) IS NULL OR "
+    "ts >= lag(ts) OVER (PARTITION BY patient_key ORDER BY ts) + INTERVAL 96 HOUR THEN 1 ELSE 0 END AS brk FROM a),\n"
+    "s AS (SELECT *, sum(brk) OVER (PARTITION BY patient_key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)",
+    "SELECT patient_key, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, "
+    "strftime(max(ts) + INTERVAL 96 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS n FROM s "
+    "GROUP BY patient_key, sid")

@@ -28,7 +28,7 @@ register("X0_risk_category_counts")(risk.risk_category_counts)
 
 def _load_all() -> None:
     """Import the query modules so their ``@register`` calls run."""
-    from medlake.plans import q_audit, q_care, q_clinical, q_core, q_ml, q_monitor  # noqa: F401
+    from medlake.plans import q_audit, q_care, q_clinical, q_core, q_ml, q_monitor, q_stream  # noqa: F401
 
 
 _load_all()
