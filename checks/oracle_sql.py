@@ -859,3 +859,24 @@ ORACLE["C7_assessment_sessions_stream"] = _with(("vitals",),
     "SELECT patient_key, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, "
     "strftime(max(ts) + INTERVAL 96 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS n FROM s "
     "GROUP BY patient_key, sid")
+
+# ---------------------------------------------------------------- V11
+_REGB = ("rb AS (SELECT c_custkey + 100000 AS rid, CASE WHEN c_custkey % 7 = 0 THEN substr(c_name, 1, length(c_name) - 1) "
+         "|| 'X' ELSE c_name END AS c_name, CASE WHEN c_custkey % 11 = 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END "
+         "AS c_nationkey, c_mktsegment, cast(floor(c_acctbal) AS bigint) AS bal FROM customer)")
+ORACLE["V11_deterministic_matches"] = ("WITH " + _REGB + "\nSELECT a.c_custkey AS l_id, rb.rid AS r_id FROM customer a "
+    "JOIN rb ON lower(trim(a.c_name)) = lower(trim(rb.c_name)) AND lower(trim(cast(a.c_nationkey AS VARCHAR))) = "
+    "lower(trim(cast(rb.c_nationkey AS VARCHAR)))")
+ORACLE["V11_probabilistic_matches"] = ("WITH " + _REGB + ",\n"
+    "ra AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment, cast(floor(c_acctbal) AS bigint) AS bal FROM customer),\n"
+    "cand AS (SELECT ra.c_custkey AS l_id, rb.rid AS r_id FROM ra JOIN rb ON ra.c_name = rb.c_name UNION "
+    "SELECT ra.c_custkey, rb.rid FROM ra JOIN rb ON ra.c_nationkey = rb.c_nationkey AND ra.bal = rb.bal UNION "
+    "SELECT ra.c_custkey, rb.rid FROM ra JOIN rb ON ra.c_mktsegment = rb.c_mktsegment AND ra.bal = rb.bal),\n"
+    "sc AS (SELECT cand.l_id, cand.r_id, (CASE WHEN ra.c_name IS NOT DISTINCT FROM rb.c_name THEN 4.0 ELSE 0.0 END) "
+    "+ (CASE WHEN ra.c_nationkey IS NOT DISTINCT FROM rb.c_nationkey THEN 2.0 ELSE 0.0 END) "
+    "+ (CASE WHEN ra.bal IS NOT DISTINCT FROM rb.bal THEN 3.0 ELSE 0.0 END) "
+    "+ (CASE WHEN ra.c_mktsegment IS NOT DISTINCT FROM rb.c_mktsegment THEN 1.0 ELSE 0.0 END) "
+    "+ (CASE WHEN levenshtein(ra.c_name, rb.c_name) <= 2 THEN 2.0 ELSE 0.0 END) AS score "
+    "FROM cand JOIN ra ON cand.l_id = ra.c_custkey JOIN rb ON cand.r_id = rb.rid),\n"
+    "bt AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id ASC) AS rn FROM sc "
+    "WHERE score >= 5.0)\nSELECT l_id, r_id, score FROM bt WHERE rn = 1")

@@ -170,3 +170,50 @@ def unmapped_codes(codes: DataFrame, code_map: DataFrame, code: str = "code") ->
 def map_codes(codes: DataFrame, code_map: DataFrame, code: str = "code") -> DataFrame:
     """Attach standard codes (left join keeps unmapped rows with NULL)."""
     return codes.join(code_map, code, "left")
+
+
+def deterministic_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str
+                          ) -> DataFrame:
+    """V11 deterministic: pairs whose normalised keys are all equal
+    (trimmed, lower-cased strings); an equi-join, so only true matches
+    are produced."""
+    def norm(df, side):
+        return df.select(F.col(left_id if side == "l" else right_id).alias(f"{side}_id"),
+                         *[F.lower(F.trim(F.col(k).cast("string"))).alias(f"__k{i}") for i, k in enumerate(keys)])
+    a, b = norm(left, "l"), norm(right, "r")
+    return a.join(b, [f"__k{i}" for i in range(len(keys))]).select("l_id", "r_id")
+
+
+def probabilistic_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
+                          blocks: Sequence[Sequence[str]], weights: dict[str, float], name: str | None = None,
+                          max_edits: int = 2, name_weight: float = 2.0, threshold: float = 5.0) -> DataFrame:
+    """V11 probabilistic [ours]: candidate pairs come only from equi-joins on
+    several blocking keys (each a tuple of fields that must agree exactly),
+    unioned and de-duplicated -- no all-pairs product.  Each candidate is
+    scored by summed agreement weights (Fellegi-Sunter style) plus a name
+    similarity bonus (edit distance <= ``max_edits``); the best candidate
+    per left record above ``threshold`` wins (``max_by``, ties by id)."""
+    fields = sorted({f for blk in blocks for f in blk} | set(weights) | ({name} if name else set()))
+    a = left.select(F.col(left_id).alias("l_id"), *[F.col(f).alias(f"l_{f}") for f in fields])
+    b = right.select(F.col(right_id).alias("r_id"), *[F.col(f).alias(f"r_{f}") for f in fields])
+    cands = None
+    for blk in blocks:
+        cond = None
+        for f in blk:
+            c = a[f"l_{f}"] == b[f"r_{f}"]
+            cond = c if cond is None else cond & c
+        pairs = a.join(b, cond).select("l_id", "r_id")
+        cands = pairs if cands is None else cands.unionByName(pairs)
+    cands = cands.distinct()
+    full = cands.join(a, "l_id").join(b, "r_id")
+    score = F.lit(0.0)
+    for f, w in weights.items():
+        score = score + F.when(F.col(f"l_{f}").eqNullSafe(F.col(f"r_{f}")), F.lit(w)).otherwise(F.lit(0.0))
+    if name:
+        score = score + F.when(F.levenshtein(F.col(f"l_{name}"), F.col(f"r_{name}")) <= max_edits,
+                               F.lit(name_weight)).otherwise(F.lit(0.0))
+    scored = full.select("l_id", "r_id", score.alias("score")).where(F.col("score") >= threshold)
+    best = scored.groupBy("l_id").agg(F.max_by(F.struct("r_id", "score"), F.struct(F.col("score"),
+                                                                                  (-F.col("r_id")).alias("neg_id")))
+                                      .alias("b"))
+    return best.select("l_id", F.col("b.r_id").alias("r_id"), F.col("b.score").alias("score"))

@@ -401,3 +401,29 @@ def a22(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     needles = px.SUSPICIOUS_CODE + ['token = "']
     return d.where(px.contains_any("text", needles, lower=False)).select("doc_id")
+
+
+def _registry_b(spark, sf):
+    """A second patient registry derived from customer with planted errors."""
+    return table(spark, sf, "customer").selectExpr(
+        "c_custkey + 100000 AS rid",
+        "CASE WHEN c_custkey % 7 = 0 THEN concat(substr(c_name, 1, length(c_name) - 1), 'X') ELSE c_name END AS c_name",
+        "CASE WHEN c_custkey % 11 = 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END AS c_nationkey",
+        "c_mktsegment", "cast(floor(c_acctbal) AS bigint) AS bal")
+
+
+@register("V11_deterministic_matches")
+def v11a(spark, sf):
+    a = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return quality.deterministic_matches(a, _registry_b(spark, sf), ["c_name", "c_nationkey"], "c_custkey", "rid")
+
+
+@register("V11_probabilistic_matches")
+def v11b(spark, sf):
+    a = table(spark, sf, "customer").selectExpr("c_custkey", "c_name", "c_nationkey", "c_mktsegment",
+                                                "cast(floor(c_acctbal) AS bigint) AS bal")
+    m = quality.probabilistic_matches(a, _registry_b(spark, sf), "c_custkey", "rid",
+                                      blocks=[["c_name"], ["c_nationkey", "bal"], ["c_mktsegment", "bal"]],
+                                      weights={"c_name": 4.0, "c_nationkey": 2.0, "bal": 3.0, "c_mktsegment": 1.0},
+                                      name="c_name", threshold=5.0)
+    return m
