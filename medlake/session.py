@@ -39,6 +39,11 @@ def local_session(cores: int | str = 8, app: str = "medlake", shuffle_partitions
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
+        # No broadcast from *estimated* sizes: a static plan broadcasts only
+        # sides we proved small (row-count checks).  AQE may still turn a
+        # join into a broadcast once a shuffle has *measured* the side.
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
