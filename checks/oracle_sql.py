@@ -833,8 +833,8 @@ q AS (SELECT *, e / n AS pp, sqrt((e / n) * (1 - e / n) / n) AS s FROM r),
 m AS (SELECT *, min(CASE WHEN n >= 30 THEN pp + s END) OVER w2 AS vmin,
       arg_min(CASE WHEN n >= 30 THEN s END, CASE WHEN n >= 30 THEN pp + s END) OVER w2 AS smin
       FROM q WINDOW w2 AS (PARTITION BY model ORDER BY n ROWS UNBOUNDED PRECEDING))""",
-    "SELECT model, min(CASE WHEN n >= 30 AND pp + s >= (vmin - smin) + 2.0 * smin THEN n END) AS first_warning, "
-    "min(CASE WHEN n >= 30 AND pp + s >= (vmin - smin) + 3.0 * smin THEN n END) AS first_drift, max(n) AS n "
+    "SELECT model, min(CASE WHEN n >= 30 AND pp + s > (vmin - smin) + 2.0 * smin THEN n END) AS first_warning, "
+    "min(CASE WHEN n >= 30 AND pp + s > (vmin - smin) + 3.0 * smin THEN n END) AS first_drift, max(n) AS n "
     "FROM m GROUP BY model")
 ORACLE["Q7_page_hinkley_first_alarm"] = _with(("predictions",), """
 a AS (SELECT model, ts, event_id, p, row_number() OVER w AS n, sum(p) OVER w AS sx FROM predictions

@@ -159,7 +159,7 @@ def ddm_first_drift(df: DataFrame, group: Sequence[str], ts: str, tiebreak: str,
     """Q7 DDM (batch, up to the first drift): p_i = errors_i / i,
     s_i = sqrt(p_i (1 - p_i) / i); after ``min_samples`` rows track the
     minimum of p + s (with its s); warning / drift when p_i + s_i reaches
-    p_min + 2 s_min / p_min + 3 s_min.  Returns the first warning and first
+    p_min + 2 s_min / p_min + 3 s_min (strictly).  Returns the first warning and first
     drift row index per group.  Running sums and the running arg-min use
     the bucketed helpers (associative), so no group is a single task; the
     reset after a drift needs state -- see ``medlake.streaming``."""
@@ -177,7 +177,8 @@ def ddm_first_drift(df: DataFrame, group: Sequence[str], ts: str, tiebreak: str,
     lvl = F.col("p") + F.col("s")
     pm, sm = F.col("min_ps.v") - F.col("min_ps.s"), F.col("min_ps.s")
     ok = F.col("cum___one") >= min_samples
-    m = m.withColumn("warn", ok & (lvl >= pm + warning_level * sm)).withColumn("drift", ok & (lvl >= pm + drift_level * sm))
+    # strict: a zero-variance start (no errors yet) must not alarm
+    m = m.withColumn("warn", ok & (lvl > pm + warning_level * sm)).withColumn("drift", ok & (lvl > pm + drift_level * sm))
     return m.groupBy(*g).agg(F.min(F.when(F.col("warn"), F.col("cum___one"))).alias("first_warning"),
                              F.min(F.when(F.col("drift"), F.col("cum___one"))).alias("first_drift"),
                              F.max("cum___one").alias("n"))

@@ -142,10 +142,10 @@ def ddm_state_fn(min_samples: int = 30, warning_level: float = 2.0, drift_level:
                 continue
             if p + s < p_min + s_min:
                 p_min, s_min = p, s
-            if p + s >= p_min + drift_level * s_min:
+            if p + s > p_min + drift_level * s_min:
                 rows.append((key[0], int(r.event_id), r.ts, "drift", n))
                 n, errors, p_min, s_min = 0, 0.0, float("inf"), float("inf")
-            elif p + s >= p_min + warning_level * s_min:
+            elif p + s > p_min + warning_level * s_min:
                 rows.append((key[0], int(r.event_id), r.ts, "warning", n))
         state.update((n, errors, p_min, s_min))
         yield pd.DataFrame(rows, columns=["model", "event_id", "ts", "level", "n_since_reset"])
