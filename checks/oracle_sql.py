@@ -880,3 +880,7 @@ ORACLE["V11_probabilistic_matches"] = ("WITH " + _REGB + ",\n"
     "FROM cand JOIN ra ON cand.l_id = ra.c_custkey JOIN rb ON cand.r_id = rb.rid),\n"
     "bt AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id ASC) AS rn FROM sc "
     "WHERE score >= 5.0)\nSELECT l_id, r_id, score FROM bt WHERE rn = 1")
+
+ORACLE["S7_report_json_roundtrip"] = ORACLE["E10_evaluation_report"]
+ORACLE["S8_export_tables"] = ("SELECT 'predictions' AS \"table\", count(*) AS n_rows FROM events UNION ALL "
+                              "SELECT 'lineitem_flags', count(*) FROM lineitem")

@@ -52,6 +52,16 @@ RULES: list[tuple[str, str, str, str]] = [
     ("diabetes", "family_risk", "p + 0.15 * family_history_score < 0.5 AND family_history_score > 2",
      "strong family history not reflected"),
     ("diabetes", "sleep_apnea", "ahi >= 15 AND p < 0.3", "sleep apnea with low diabetes risk"),
+    # R17 diabetes, short form (superseded by R18, kept as its own set)
+    ("diabetes_basic", "hba1c", "hba1c >= 6.5 AND p < 0.3", "HbA1c >= 6.5 with low risk"),
+    # R19 diabetes guideline rules found inside the hypertension validator, plus its own rule
+    ("hypertension_r19", "systolic", "systolic > 130 AND p < 0.4", "systolic above 130 with low risk"),
+    ("diabetes_r19", "hba1c", "hba1c >= 6.5 AND p < 0.3", "HbA1c >= 6.5 with low risk"),
+    ("diabetes_r19", "fpg", "fpg >= 126 AND p < 0.25", "fasting glucose >= 126 with low risk"),
+    ("diabetes_r19", "metabolic", "metabolic_points >= 3 AND p < 0.35", "metabolic syndrome with low risk"),
+    ("diabetes_r19", "sleep_apnea", "ahi >= 15 AND p < 0.3", "sleep apnea with low risk"),
+    ("diabetes_r19", "fibrosis", "fibrosis_score >= 2.67 AND p < 0.4", "liver fibrosis with low risk"),
+    ("diabetes_r19", "inflammatory", "inflammatory_score >= 4 AND p < 0.3", "inflammatory burden with low risk"),
     # R20 hypertension, collect all
     ("hypertension", "stage_hypertension",
      "(systolic >= 140 OR diastolic >= 90) AND p < 0.4", "hypertensive BP class with low risk"),

@@ -427,3 +427,10 @@ def v11b(spark, sf):
                                       weights={"c_name": 4.0, "c_nationkey": 2.0, "bal": 3.0, "c_mktsegment": 1.0},
                                       name="c_name", threshold=5.0)
     return m
+
+
+@register("A3_gaussian_noise")
+def a3(spark, sf):
+    m = derived(spark, sf, "medical").select("patient_id", "weight_kg")
+    return m.select("patient_id", F.round(px.gaussian_noise("weight_kg", 2.0, "patient_id", seed=11), 6)
+                    .alias("weight_noisy"))

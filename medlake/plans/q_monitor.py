@@ -297,3 +297,30 @@ def q7(spark, sf):
 def q7b(spark, sf):
     p = _pred(spark, sf)
     return monitor.page_hinkley_first_drift(p, G, "ts", "event_id", F.col("p"), delta=0.005, threshold=5.0)
+
+
+@register("S7_report_json_roundtrip")
+def s7(spark, sf):
+    from medlake.session import scratch_path
+    from medlake.sources import files
+    r = metrics.evaluation_report(_pred(spark, sf), "p", "y", G).select("model", *[r6(c).alias(c) for c in _REPORT_COLS])
+    path = scratch_path(spark, "s7-report")
+    files.write_report(r, path)
+    return spark.read.schema(r.schema).json(path)
+
+
+@register("S8_export_tables")
+def s8(spark, sf):
+    import os
+    from medlake.session import scratch_path
+    from medlake.sources import files
+    root = scratch_path(spark, "s8-export")
+    tabs = {"predictions": _pred(spark, sf).select("event_id", "model", "p", "y"),
+            "lineitem_flags": table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")}
+    paths = files.export_tables(spark, tabs, ["predictions", "lineitem_flags"], "csv", root)
+    out = None
+    for name, pth in zip(["predictions", "lineitem_flags"], paths):
+        n = spark.read.option("header", True).csv(pth).groupBy().count().select(F.lit(name).alias("table"),
+                                                                                  F.col("count").alias("n_rows"))
+        out = n if out is None else out.unionByName(n)
+    return out
