@@ -304,10 +304,12 @@ from medlake.operators.rules import FIRST_FAILURE, PROFILE_THRESHOLDS, RULES  #
 from medlake.sources.reference_data import PRS_PANELS, SNP_TABLE  # noqa: E402
 
 
-def _rule_hits_sql() -> str:
+def _rule_hits_sql(only=None) -> str:
     parts = []
     seen: dict[str, list[str]] = {}
     for d, c, p, _ in RULES:
+        if only is not None and d not in only:
+            continue
         prev = seen.setdefault(d, [])
         cond = f"coalesce({p}, false)"
         if d in FIRST_FAILURE and prev:
@@ -884,3 +886,8 @@ ORACLE["V11_probabilistic_matches"] = ("WITH " + _REGB + ",\n"
 ORACLE["S7_report_json_roundtrip"] = ORACLE["E10_evaluation_report"]
 ORACLE["S8_export_tables"] = ("SELECT 'predictions' AS \"table\", count(*) AS n_rows FROM events UNION ALL "
                               "SELECT 'lineitem_flags', count(*) FROM lineitem")
+
+from medlake.plans.q_clinical import RULE_SETS  # noqa: E402
+
+for _k, _d in RULE_SETS.items():
+    ORACLE[f"{_k}_{_d[0]}_rule_hits"] = _with(("clinical",), "", _rule_hits_sql(set(_d)))

@@ -106,3 +106,27 @@ def l5(spark, sf):
 def l6(spark, sf):
     f = gx.allele_frequencies(derived(spark, sf, "genotypes"), snp_table(spark))
     return f.select("rsid", "population_freq", r6("observed_freq").alias("observed_freq"), "n_called")
+
+
+# one query per rule set of the inventory (R1-R23): the engine restricted to that set
+RULE_SETS = {
+    "R1": ["cardiovascular"], "R2": ["copd"], "R3": ["osteoporosis"], "R4": ["asthma"], "R5": ["ckd"],
+    "R6": ["nafld"], "R7": ["depression"], "R8": ["osteoarthritis"], "R9": ["sleep_apnea"], "R10": ["cancer"],
+    "R11": ["rheumatoid_arthritis"], "R12": ["thyroid"], "R13": ["ibd"], "R14": ["anemia"], "R15": ["migraine"],
+    "R16": ["alzheimers"], "R17": ["diabetes_basic"], "R18": ["diabetes"], "R19": ["diabetes_r19", "hypertension_r19"],
+    "R20": ["hypertension"], "R21": ["cardiovascular_guideline"], "R22": ["copd_guideline"],
+    "R23": ["asthma_guideline"],
+}
+
+
+def _rule_set_query(key, diseases):
+    subset = [r for r in rules.RULES if r[0] in diseases]
+
+    def q(spark, sf):
+        return rules.apply_rules(derived(spark, sf, "clinical"), rules=subset, with_message=False)
+    q.__name__ = f"{key}_rule_hits"
+    register(f"{key}_{diseases[0]}_rule_hits")(q)
+
+
+for _k, _d in RULE_SETS.items():
+    _rule_set_query(_k, _d)
