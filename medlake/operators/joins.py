@@ -28,14 +28,25 @@ class DuplicateKeyError(ValueError):
 
 
 def assert_unique(df: DataFrame, keys: list[str] | str, side: str = "input") -> None:
-    """V4: fail when a key value repeats.  One aggregation job; only one
-    offending key is brought back (``limit(1)``)."""
+    """V4: fail when a key value repeats.  One aggregation job (partial
+    counts map-side); only one offending key is brought back (``limit(1)``)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     dup = df.groupBy(*keys).count().where("count > 1").limit(1).collect()
     if dup:
         raise DuplicateKeyError(f"{side}: key {dup[0].asDict()} repeats")
 
 
+def assert_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> None:
+    """V4 for both sides of a join in ONE job: keys tagged by side, counted
+    per (side, key), first repeat returned."""
+    tag = (left.select(*keys, F.lit("left").alias("__side"))
+           .unionByName(right.select(*keys, F.lit("right").alias("__side"))))
+    dup = tag.groupBy("__side", *keys).count().where("count > 1").limit(1).collect()
+    if dup:
+        d = dup[0].asDict()
+        raise DuplicateKeyError(f"{d.pop('__side')}: key {d} repeats")
+
+
 def key_join(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner",
              null_safe: bool = False, suffixes: tuple[str, str] = ("_x", "_y"),
              validate: str | None = None, broadcast_right_rows: int | None = None) -> DataFrame:
@@ -49,8 +60,7 @@ def key_join(left: DataFrame, right: DataFrame, on: list[str] | str, how: str =
     """
     keys = [on] if isinstance(on, str) else list(on)
     if validate == "one_to_one":
-        assert_unique(left, keys, "left")
-        assert_unique(right, keys, "right")
+        assert_one_to_one(left, right, keys)
     elif validate == "many_to_one":
         assert_unique(right, keys, "right")
     clash = (set(left.columns) & set(right.columns)) - set(keys)

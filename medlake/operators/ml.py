@@ -80,7 +80,8 @@ def train(df: DataFrame, kind: str, label: str = "label", features: str = "featu
 
 
 def cross_validate(df: DataFrame, kinds: Sequence[str], key: str, label: str = "label", features: str = "features",
-                   k: int = CV_FOLDS, seed: int = 0, params: dict[str, dict] | None = None) -> DataFrame:
+                   k: int = CV_FOLDS, seed: int = 0, params: dict[str, dict] | None = None,
+                   parallelism: int = 4) -> DataFrame:
     """M4: stratified k-fold ROC AUC per model kind (held-out folds, exact
     AUC), plus the training-data AUC of a refit on all rows -- reported
     separately, since the latter is optimistic.  Folds come from I8."""
@@ -91,17 +92,27 @@ def cross_validate(df: DataFrame, kinds: Sequence[str], key: str, label: str = "
     if memo in _CV_CACHE:  # same data plan and settings: reuse the fitted results
         return spark.createDataFrame(_CV_CACHE[memo], _CV_SCHEMA)
     f = stratified_folds(df, label, key, k=k, seed=seed).persist()
-    rows = []
-    for kind in kinds:
-        aucs = []
-        for i in range(k):
-            tr, te = f.where(F.col("fold") != i), f.where(F.col("fold") == i)
-            m = train(tr, kind, label, features, **params.get(kind, {}))
-            s = positive_probability(m.transform(te))
-            aucs.append(metrics.roc_auc(s, "p", label).first()["auc"])
+
+    def fold_auc(kind: str, i: int) -> float:
+        tr, te = f.where(F.col("fold") != i), f.where(F.col("fold") == i)
+        m = train(tr, kind, label, features, **params.get(kind, {}))
+        return metrics.roc_auc(positive_probability(m.transform(te)), "p", label).first()["auc"]
+
+    def full_auc(kind: str) -> float:
         full = train(f, kind, label, features, **params.get(kind, {}))
-        train_auc = metrics.roc_auc(positive_probability(full.transform(f)), "p", label).first()["auc"]
-        rows.append((kind, float(sum(aucs) / len(aucs)), float(min(aucs)), float(max(aucs)), float(train_auc)))
+        return metrics.roc_auc(positive_probability(full.transform(f)), "p", label).first()["auc"]
+
+    # Folds are independent jobs: submit them concurrently (like
+    # CrossValidator(parallelism)) so small fits share the cluster.
+    from concurrent.futures import ThreadPoolExecutor
+    rows = []
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        jobs = {kind: ([pool.submit(fold_auc, kind, i) for i in range(k)], pool.submit(full_auc, kind))
+                for kind in kinds}
+        for kind in kinds:
+            aucs = [x.result() for x in jobs[kind][0]]
+            rows.append((kind, float(sum(aucs) / len(aucs)), float(min(aucs)), float(max(aucs)),
+                         float(jobs[kind][1].result())))
     f.unpersist()
     _CV_CACHE[memo] = rows
     return spark.createDataFrame(rows, _CV_SCHEMA)
@@ -292,7 +303,7 @@ def replay_sample(buffer: DataFrame, shard: str, batch: int, seed: int = 0) -> D
 # ---------------------------------------------------------------- I6 SMOTE
 
 def smote(df: DataFrame, vec: str, label: str, key: str, minority: int = 1, k: int = 5, seed: int = 42,
-          bucket_length: float = 2.0, num_tables: int = 4) -> DataFrame:
+          bucket_length: float | None = None, num_tables: int = 2) -> DataFrame:
     """Synthetic minority samples new = x + u * (neighbour - x) until the
     classes balance, u uniform from a hash of (key, draw, seed).
 
@@ -309,14 +320,23 @@ def smote(df: DataFrame, vec: str, label: str, key: str, minority: int = 1, k: i
     if need <= 0 or n_min < 2:
         return df.limit(0).withColumn("synthetic", F.lit(True))
     mino = with_features(df.where(F.col(label) == minority).select(key, vec), vec, "v")
+    if bucket_length is None:
+        # half the spread of a projection on a random unit direction (sqrt of the mean
+        # per-dimension variance): buckets then hold near points, not the whole class
+        e = df.where(F.col(label) == minority).select(F.posexplode(F.col(vec).cast("array<double>")).alias("i", "x"))
+        var = e.groupBy("i").agg(F.var_pop("x").alias("v")).agg(F.avg("v").alias("v")).first()["v"] or 1.0
+        bucket_length = max(0.5 * math.sqrt(var), 1e-6)
     lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
                                       numHashTables=num_tables, seed=seed).fit(mino)
     pairs = lsh.approxSimilarityJoin(mino, mino, float("inf"), distCol="d").select(
         F.col(f"datasetA.{key}").alias("a"), F.col(f"datasetB.{key}").alias("b"), "d").where(F.col("a") != F.col("b"))
     w = Window.partitionBy("a").orderBy("d", "b")
     nb = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    per = math.ceil(need / n_min)
     deg = nb.groupBy("a").agg(F.max("rank").alias("deg"))
+    n_src = deg.count()  # minority points that found neighbours
+    if n_src == 0:
+        return df.limit(0).withColumn("synthetic", F.lit(True))
+    per = math.ceil(need / n_src)
     draws = deg.select("a", "deg", F.explode(F.sequence(F.lit(1), F.lit(per))).alias("draw"))
     draws = draws.withColumn("rank", (F.pmod(F.xxhash64("a", "draw", F.lit(seed)), F.col("deg")) + 1).cast("int"))
     j = draws.join(nb, ["a", "rank"])
