@@ -58,9 +58,25 @@ def lab_out_of_range(readings: DataFrame, lab: str = "metric", value: str = "val
 
 def sliding_counts(events: DataFrame, keys: Sequence[str], ts: str, length: str = "24 hours",
                    slide: str = "1 hour") -> DataFrame:
-    """Events per key and sliding window."""
-    w = F.window(F.col(ts).cast("timestamp"), length, slide)
-    return events.groupBy(*keys, w.start.alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
+    """Events per key and sliding window (``window(ts, length, slide)``
+    semantics: windows aligned to the epoch, start <= ts < start + length).
+
+    Pre-aggregates to one count per (key, slide bucket) first and only then
+    fans each bucket out to the length/slide windows that contain it -- the
+    fan-out multiplies buckets, not raw events, and the shuffle carries
+    partial counts."""
+    from medlake.operators.monitor import _window_seconds
+    ln, sl = _window_seconds(length), _window_seconds(slide)
+    if ln % sl:
+        w = F.window(F.col(ts).cast("timestamp"), length, slide)
+        return events.groupBy(*keys, w.start.alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
+    secs = F.unix_seconds(F.col(ts).cast("timestamp"))
+    bucket = (secs - F.pmod(secs, F.lit(sl))).alias("__b")
+    per = events.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("__n"))
+    fan = per.select(*keys, "__n", F.explode(F.sequence(F.lit(0), F.lit(ln // sl - 1))).alias("__k"),
+                     F.col("__b"))
+    start = F.timestamp_seconds(F.col("__b") - F.col("__k") * F.lit(sl))
+    return fan.groupBy(*keys, start.alias("window_start")).agg(F.sum("__n").alias("n"))
 
 
 def missed_dose_runs(doses: DataFrame, keys: Sequence[str], ts: str, max_missed: int = 2) -> DataFrame:
