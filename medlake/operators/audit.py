@@ -34,18 +34,25 @@ def detokenize(df: DataFrame, col: str, vault: DataFrame) -> DataFrame:
     return df.join(v, col, "left").drop(col).withColumnRenamed("__value", col)
 
 
-def revoke_consent(vault: DataFrame, revoked: DataFrame, id_col: str = "patient_id", exact: bool = False,
-                   max_prefix: int = 64) -> DataFrame:
+def revoke_consent(vault: DataFrame, revoked: DataFrame, id_col: str = "patient_id", exact: bool = False
+                   ) -> DataFrame:
     """Drop vault rows whose value *starts with* a revoked id (the
     reference semantics: 'P1' also removes 'P10...'); ``exact=True`` matches
-    whole values.  The prefix test is an equi-join on the value's prefixes
-    (one row per prefix length, bounded by ``max_prefix``), never a
-    nested-loop join."""
-    ids = revoked.select(F.col(id_col).alias("__id")).distinct()
+    whole values.
+
+    The prefix test is an equi-join: each value contributes its prefixes of
+    exactly the lengths that revoked ids have (a handful of distinct
+    lengths, collected), so the join is on whole keys -- no nested loop and
+    no cap on value length."""
+    ids = revoked.select(F.col(id_col).alias("__id")).where(F.col("__id").isNotNull()).distinct()
     if exact:
         return vault.join(ids, vault["value"] == ids["__id"], "left_anti")
-    pref = vault.select("token", F.explode(F.expr(
-        f"transform(sequence(1, least(length(value), {max_prefix})), i -> substring(value, 1, i))")).alias("__id"))
+    lengths = sorted(r[0] for r in ids.select(F.length("__id")).distinct().collect())  # distinct id lengths
+    if not lengths:
+        return vault
+    lens = F.array(*[F.lit(n) for n in lengths])
+    pref = vault.select("token", F.explode(F.transform(F.filter(lens, lambda n: n <= F.length("value")),
+                                                       lambda n: F.substring("value", 1, n))).alias("__id"))
     hit = pref.join(ids, "__id", "left_semi").select("token").distinct()
     return vault.join(hit, "token", "left_anti")
 
