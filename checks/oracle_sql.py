@@ -891,3 +891,23 @@ from medlake.plans.q_clinical import RULE_SETS  # noqa: E402
 
 for _k, _d in RULE_SETS.items():
     ORACLE[f"{_k}_{_d[0]}_rule_hits"] = _with(("clinical",), "", _rule_hits_sql(set(_d)))
+
+ORACLE["I5_column_transformer"] = _with(("medical", "lifestyle"), _M_AGE_BMI + """,
+j AS (SELECT m.patient_id, m.fasting_glucose, m.triglycerides, m.bmi, l.smoking_status FROM m
+      JOIN lifestyle l ON m.patient_id = l.patient_id),
+fv AS (SELECT median(fasting_glucose) AS g, median(triglycerides) AS t,
+       (SELECT smoking_status FROM j WHERE smoking_status IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+       AS s FROM j),
+f AS (SELECT patient_id, coalesce(fasting_glucose, g) AS fasting_glucose, coalesce(triglycerides, t) AS triglycerides,
+      bmi, coalesce(smoking_status, s) AS smoking_status FROM j, fv),
+st AS (SELECT avg(fasting_glucose) AS mg, stddev_pop(fasting_glucose) AS sg, avg(triglycerides) AS mt,
+       stddev_pop(triglycerides) AS stg, quantile_cont(bmi, [0.2, 0.4, 0.6, 0.8]) AS q FROM f)""",
+    "SELECT patient_id, round((fasting_glucose - mg) / sg, 6) AS fasting_glucose, round((triglycerides - mt) / stg, 6) "
+    "AS triglycerides, coalesce(cast(smoking_status = 'current' AS int), 0) AS smoking_status_current, "
+    "coalesce(cast(smoking_status = 'former' AS int), 0) AS smoking_status_former, "
+    "coalesce(cast(smoking_status = 'never' AS int), 0) AS smoking_status_never, "
+    "cast(bmi >= q[1] AS int) + cast(bmi >= q[2] AS int) + cast(bmi >= q[3] AS int) + cast(bmi >= q[4] AS int) AS bmi_bin "
+    "FROM f, st")
+
+ORACLE["S6_prediction_log_stream"] = _with(("predictions",), "",
+    "SELECT model, strftime(cast(ts AS date), '%Y-%m-%d') AS day, count(*) AS n FROM predictions GROUP BY 1, 2")

@@ -174,4 +174,31 @@ def kbins_apply(col: str, edges: Sequence[float]):
     return digitize(col, inner)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("math",)]
+
+
+def column_transformer(df: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (),
+                       binned: Sequence[str] = (), n_bins: int = 5, passthrough: Sequence[str] = ()
+                       ) -> tuple[DataFrame, dict]:
+    """Routed preprocessing fitted on ``df``: numeric -> median impute
+    then standard scale; categorical -> mode impute then one-hot; binned ->
+    quantile bins (ordinal).  Columns in ``passthrough`` (keys, labels) are
+    kept as they are -- unlike the reference, nothing else is silently
+    dropped.  Returns the transformed frame and the fitted parameters."""
+    med = fit_median(df, list(numeric))
+    mode = fit_mode(df, list(categorical))
+    filled = df.select(*[F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)).alias(c)
+                         if (c in med and med[c] is not None) or (c in mode and mode[c] is not None)
+                         else F.col(f"`{c}`") for c in df.columns for v in [med.get(c, mode.get(c))]])
+    stats = fit_standard(filled, list(numeric))
+    cats = fit_categories(filled, list(categorical))
+    edges = {c: kbins_quantile_edges(filled, c, n_bins) for c in binned}
+    out_cols = [F.col(f"`{c}`") for c in passthrough]
+    for c in numeric:
+        m, s = stats[c]
+        out_cols.append(((F.col(c) - F.lit(m)) / F.lit(s if s else 1.0)).alias(c))
+    for c, values in cats.items():
+        for v in values:
+            out_cols.append(F.coalesce((F.col(c).cast("string") == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}"))
+    for c in binned:
+        out_cols.append(kbins_apply(c, edges[c]).alias(f"{c}_bin"))
+    return filled.select(*out_cols), {"median": med, "mode": mode, "scale": stats, "categories": cats, "edges": edges}

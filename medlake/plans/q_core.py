@@ -434,3 +434,14 @@ def a3(spark, sf):
     m = derived(spark, sf, "medical").select("patient_id", "weight_kg")
     return m.select("patient_id", F.round(px.gaussian_noise("weight_kg", 2.0, "patient_id", seed=11), 6)
                     .alias("weight_noisy"))
+
+
+@register("I5_column_transformer")
+def i5(spark, sf):
+    j = _medical_with_age_bmi(spark, sf).select("patient_id", "fasting_glucose", "triglycerides", "bmi").join(
+        derived(spark, sf, "lifestyle").select("patient_id", "smoking_status"), "patient_id")
+    out, _ = prep.column_transformer(j, numeric=["fasting_glucose", "triglycerides"], categorical=["smoking_status"],
+                                     binned=["bmi"], n_bins=5, passthrough=["patient_id"])
+    return out.select("patient_id", r6("fasting_glucose").alias("fasting_glucose"),
+                      r6("triglycerides").alias("triglycerides"), "smoking_status_current", "smoking_status_former",
+                      "smoking_status_never", "bmi_bin")

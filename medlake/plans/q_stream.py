@@ -71,3 +71,17 @@ def q8s(spark, sf):
     out = sm.run_available_now(sm.adwin_stream(p, "x", delta=0.002), "q8-stream")
     return out.select("model", "event_id", "window_width", F.round("mean_before", 6).alias("mean_before"),
                       F.round("mean_after", 6).alias("mean_after"))
+
+
+@register("S6_prediction_log_stream")
+def s6s(spark, sf):
+    from medlake.session import scratch_path
+    log_path, metrics_path = scratch_path(spark, "s6-log"), scratch_path(spark, "s6-metrics")
+    ckpt = scratch_path(spark, "s6-ckpt")
+    q = (_pred_stream(spark, sf).writeStream.foreachBatch(sm.log_predictions(None, log_path, metrics_path))
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    logged = spark.read.parquet(log_path)
+    per_day = logged.groupBy("model", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return per_day
