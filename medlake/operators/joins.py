@@ -106,14 +106,17 @@ def _pip_expr(px: str, py: str, ring: str) -> tuple[Column, Column]:
 
 def spatial_within_join(points: DataFrame, zones: DataFrame, x: str = "longitude", y: str = "latitude",
                         ring: str = "ring", cell: float = 10.0, how: str = "left",
-                        broadcast_max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                        broadcast_max_rows: int = DEFAULT_BROADCAST_ROWS,
+                        max_cells_per_zone: int = 4096) -> DataFrame:
     """``sjoin(points, zones, how, predicate='within')``.
 
     Points strictly inside a zone polygon match (boundary points do not);
     overlapping zones give one row per zone; with ``how='left'`` unmatched
     points are kept with NULL zone columns.
 
-    Plan: zones are exploded to the grid cells their bounding box covers,
+    Plan: zones are exploded to the grid cells their bounding box covers
+    (the cell size grows if one zone would need more than
+    ``max_cells_per_zone`` cells),
     points get their own cell, and the two meet on an equi-join of the
     cell key -- no cartesian product.  The exact polygon test then runs as
     a JVM expression on the candidate pairs.  The zone side is broadcast
@@ -122,6 +125,10 @@ def spatial_within_join(points: DataFrame, zones: DataFrame, x: str = "longitude
     """
     xs = F.expr(f"transform({ring}, p -> p.x)")
     ys = F.expr(f"transform({ring}, p -> p.y)")
+    # guard: coarsen the grid if the largest zone would cover too many cells
+    ext = zones.agg(F.max((F.array_max(xs) - F.array_min(xs)) * (F.array_max(ys) - F.array_min(ys)))).first()[0]
+    if ext and ext / (cell * cell) > max_cells_per_zone:
+        cell = (ext / max_cells_per_zone) ** 0.5
     zcols = [c for c in zones.columns]
     z = zones.withColumn("__cx", F.explode(F.sequence(F.floor(F.array_min(xs) / cell).cast("long"),
                                                       F.floor(F.array_max(xs) / cell).cast("long"))))
