@@ -39,9 +39,10 @@ def _holdout(spark, sf, kind, **params):
     m = ml.train(tr, kind, "label", **params)
     s = ml.positive_probability(m.transform(te))
     a = metrics.roc_auc(s, "p", "label").select(F.lit(kind).alias("model"), r6("auc").alias("test_auc"))
-    c = metrics.classification_metrics(s, "p", "label").select(r6("accuracy").alias("test_accuracy"),
+    c = metrics.classification_metrics(s, "p", "label").select(F.lit(kind).alias("model"),
+                                                               r6("accuracy").alias("test_accuracy"),
                                                                r6("f1").alias("test_f1"))
-    return a.join(c)  # 1 row x 1 row
+    return a.join(c, "model")
 
 
 @register("M1_logistic_holdout")
