@@ -911,3 +911,27 @@ st AS (SELECT avg(fasting_glucose) AS mg, stddev_pop(fasting_glucose) AS sg, avg
 
 ORACLE["S6_prediction_log_stream"] = _with(("predictions",), "",
     "SELECT model, strftime(cast(ts AS date), '%Y-%m-%d') AS day, count(*) AS n FROM predictions GROUP BY 1, 2")
+
+
+def _unit(cols: str, seed: int) -> str:
+    """hash_unit: first 48 bits of md5('seed|c1|c2...') / 2^48."""
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {cols})), 1, 12))::BIGINT / 281474976710656.0)"
+
+
+ORACLE["A3_gaussian_noise"] = _with(("medical",), "",
+    f"SELECT patient_id, round(weight_kg + 2.0 * sqrt(-2.0 * ln(1.0 - {_unit('patient_id', 11)})) * "
+    f"cos(2.0 * 3.141592653589793 * {_unit('patient_id', 12)}), 6) AS weight_noisy FROM medical")
+ORACLE["R25_rule_samples"] = _with(("clinical",),
+    "h AS (" + _rule_hits_sql() + "),\nmsg AS (SELECT * FROM (VALUES " + ", ".join(
+        "('{}', '{}', '{}')".format(d, c, m.replace("'", "''")) for d, c, _, m in RULES) +
+    ") AS t(disease, code, message)),\n"
+    f"r AS (SELECT h.*, msg.message, row_number() OVER (PARTITION BY h.disease, h.code ORDER BY "
+    f"{_unit('h.patient_id', 7)}, h.patient_id) AS rn FROM h JOIN msg ON h.disease = msg.disease AND h.code = msg.code)",
+    "SELECT patient_id, disease, code, message FROM r WHERE rn <= 3")
+ORACLE["M15_replay_sample"] = _with(("predictions",),
+    "b AS (SELECT model, event_id, row_number() OVER (PARTITION BY model ORDER BY ts DESC, event_id DESC) AS slot "
+    "FROM predictions),\nbuf AS (SELECT * FROM b WHERE slot <= 1000),\n"
+    "sz AS (SELECT model, max(slot) AS size FROM buf GROUP BY model),\n"
+    f"dr AS (SELECT model, cast(d.range AS int) AS draw, cast(floor({_unit('model, cast(d.range AS varchar)', 0)} * size) "
+    "+ 1 AS int) AS slot FROM sz, range(1, 65) d)",
+    "SELECT dr.model, dr.draw, dr.slot, buf.event_id FROM dr JOIN buf ON dr.model = buf.model AND dr.slot = buf.slot")

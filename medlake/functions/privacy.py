@@ -21,14 +21,22 @@ def pseudonymize(col, salt: str | None = None) -> Column:
     return F.sha2(v, 256)
 
 
+def hash_unit(*cols, seed: int = 0) -> Column:
+    """A deterministic uniform in [0, 1) from the row's key: the first 48
+    bits of md5('seed|k1|k2...').  Stable under retries and repartitioning
+    (unlike ``rand``), and reproducible outside Spark."""
+    parts = [F.lit(str(seed))] + [_c(c).cast("string") for c in cols]
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("long")
+    return h.cast("double") / float(1 << 48)
+
+
 def gaussian_noise(col, scale: float, key, seed: int = 0) -> Column:
-    """A3: col + N(0, scale) drawn from a hash of ``key`` (Box-Muller), so the
-    noise of a row does not change when a task is retried or partitions move."""
-    h1 = F.xxhash64(_c(key), F.lit(seed))
-    h2 = F.xxhash64(_c(key), F.lit(seed + 1))
-    u1 = (F.pmod(h1, F.lit(1 << 30)).cast("double") + 1.0) / float((1 << 30) + 1)
-    u2 = F.pmod(h2, F.lit(1 << 30)).cast("double") / float(1 << 30)
-    z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * 3.141592653589793 * u2)
+    """A3: col + N(0, scale) drawn from the row key (Box-Muller on two hash
+    uniforms), so the noise of a row does not change when a task is retried
+    or partitions move."""
+    u1 = F.lit(1.0) - hash_unit(key, seed=seed)  # (0, 1]
+    u2 = hash_unit(key, seed=seed + 1)
+    z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * 3.141592653589793) * u2)
     return _c(col) + F.lit(float(scale)) * z
 
 

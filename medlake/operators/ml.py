@@ -292,11 +292,12 @@ def replay_buffer(events: DataFrame, shard: str, ts: str, tiebreak: str, capacit
 
 def replay_sample(buffer: DataFrame, shard: str, batch: int, seed: int = 0) -> DataFrame:
     """M15 sample: ``batch`` draws WITH replacement per shard: draw j picks
-    slot 1 + hash(shard, j, seed) mod size, joined back on (shard, slot)."""
+    slot 1 + floor(u(shard, j) * size), u a seeded hash uniform, joined back
+    on (shard, slot)."""
+    from medlake.functions.privacy import hash_unit
     sizes = buffer.groupBy(shard).agg(F.max("slot").alias("size"))
     draws = sizes.select(shard, "size", F.explode(F.sequence(F.lit(1), F.lit(batch))).alias("draw"))
-    draws = draws.withColumn("slot", (F.pmod(F.xxhash64(F.col(shard), F.col("draw"), F.lit(seed)), F.col("size"))
-                                      + 1).cast("int"))
+    draws = draws.withColumn("slot", (F.floor(hash_unit(shard, "draw", seed=seed) * F.col("size")) + 1).cast("int"))
     return draws.join(buffer, [shard, "slot"]).drop("size")
 
 

@@ -117,7 +117,8 @@ def rule_summary(hits: DataFrame, population: DataFrame, key: str = "patient_id"
 def sample_per_code(hits: DataFrame, k: int = 3, key: str = "patient_id", seed: int = 7) -> DataFrame:
     """Up to ``k`` example cases per rule code in a seeded hash order
     (a top-k per group: the limit *is* the feature)."""
-    w = Window.partitionBy("disease", "code").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    from medlake.functions.privacy import hash_unit
+    w = Window.partitionBy("disease", "code").orderBy(hash_unit(key, seed=seed), key)
     return hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
 
 
