@@ -935,3 +935,30 @@ ORACLE["M15_replay_sample"] = _with(("predictions",),
     f"dr AS (SELECT model, cast(d.range AS int) AS draw, cast(floor({_unit('model, cast(d.range AS varchar)', 0)} * size) "
     "+ 1 AS int) AS slot FROM sz, range(1, 65) d)",
     "SELECT dr.model, dr.draw, dr.slot, buf.event_id FROM dr JOIN buf ON dr.model = buf.model AND dr.slot = buf.slot")
+
+# DDM with reset (the stateful stream form), replayed row by row with a recursive CTE
+ORACLE["Q7_ddm_stream"] = _with(("predictions",), """
+r AS (SELECT model, event_id, cast((p >= 0.5) <> (y = 1) AS double) AS err,
+      row_number() OVER (PARTITION BY model ORDER BY ts, event_id) AS i FROM predictions),
+st(model, i, event_id, n, errors, pmin, smin, level, n_out) AS (
+  SELECT model, 0, NULL::BIGINT, 0::BIGINT, 0.0::DOUBLE, 'Infinity'::DOUBLE, 'Infinity'::DOUBLE, NULL::VARCHAR,
+         NULL::BIGINT FROM (SELECT DISTINCT model FROM r)
+  UNION ALL
+  SELECT st.model, r.i, r.event_id,
+    CASE WHEN c.lvl = 'drift' THEN 0 ELSE c.n1 END,
+    CASE WHEN c.lvl = 'drift' THEN 0.0 ELSE c.e1 END,
+    CASE WHEN c.lvl = 'drift' THEN 'Infinity'::DOUBLE ELSE c.pm END,
+    CASE WHEN c.lvl = 'drift' THEN 'Infinity'::DOUBLE ELSE c.sm END,
+    c.lvl, CASE WHEN c.lvl IS NOT NULL THEN c.n1 END
+  FROM st JOIN r ON r.model = st.model AND r.i = st.i + 1,
+  LATERAL (SELECT b.n1, b.e1, b.pm, b.sm,
+             CASE WHEN b.n1 < 30 THEN NULL WHEN b.p + b.s > b.pm + 3.0 * b.sm THEN 'drift'
+                  WHEN b.p + b.s > b.pm + 2.0 * b.sm THEN 'warning' END AS lvl
+           FROM (SELECT a.n1, a.e1, a.p, a.s,
+                   CASE WHEN a.n1 >= 30 AND a.p + a.s < st.pmin + st.smin THEN a.p ELSE st.pmin END AS pm,
+                   CASE WHEN a.n1 >= 30 AND a.p + a.s < st.pmin + st.smin THEN a.s ELSE st.smin END AS sm
+                 FROM (SELECT st.n + 1 AS n1, st.errors + r.err AS e1, (st.errors + r.err) / (st.n + 1) AS p,
+                         sqrt(((st.errors + r.err) / (st.n + 1)) * (1 - (st.errors + r.err) / (st.n + 1)) / (st.n + 1)) AS s
+                      ) a) b) c)""",
+    "SELECT model, event_id, level, n_out AS n_since_reset FROM st WHERE level IS NOT NULL")
+ORACLE["Q7_ddm_stream"] = "WITH RECURSIVE " + ORACLE["Q7_ddm_stream"][len("WITH "):]
