@@ -962,3 +962,6 @@ st(model, i, event_id, n, errors, pmin, smin, level, n_out) AS (
                       ) a) b) c)""",
     "SELECT model, event_id, level, n_out AS n_since_reset FROM st WHERE level IS NOT NULL")
 ORACLE["Q7_ddm_stream"] = "WITH RECURSIVE " + ORACLE["Q7_ddm_stream"][len("WITH "):]
+
+# the reloaded package must score every row exactly like the saved model
+ORACLE["M8_save_load_roundtrip"] = "SELECT vec_id, true AS same FROM embeddings"
