@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 64
 DEFAULT_HEAVY_ROWS = 2_000_000
 MAX_HEAVY_KEYS = 500_000  # broadcast bound for the heavy-key table
+MAX_BOOKKEEPING_ROWS = 2_000_000  # heavy keys x buckets kept below this (broadcast bound)
 
 
 def _is_temporal(df: DataFrame, c: Column) -> bool:
@@ -78,12 +79,22 @@ def _assign_buckets(df: DataFrame, order: Sequence[Column], parts: list[str], n_
     hk = heavy.withColumn("__hv", F.lit(True))
     hk = F.broadcast(hk) if n_heavy <= MAX_HEAVY_KEYS else hk
     flagged = base.join(hk, parts, "left")
+    # fewer buckets when there are many heavy keys, so the per-(key, bucket)
+    # bookkeeping table stays under MAX_BOOKKEEPING_ROWS and can be broadcast
+    n_buckets = max(2, min(n_buckets, MAX_BOOKKEEPING_ROWS // max(1, n_heavy) - 1))
     splits = _bucket_splits(flagged.where(F.col("__hv")), F.col("__bkey"), n_buckets)
     b = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="__bkey", outputCol="__braw",
                    handleInvalid="keep").transform(flagged)
     # heavy keys use buckets 1..B+1, light keys bucket 0
     b = b.withColumn("__b", F.when(F.col("__hv"), F.col("__braw").cast("int") + 1).otherwise(F.lit(0)))
-    return b.drop("__bkey", "__braw", "__hv"), "heavy"
+    return b.drop("__bkey", "__braw", "__hv"), ("heavy" if n_heavy <= MAX_HEAVY_KEYS else "heavy_many")
+
+
+def _bounded(book: DataFrame, kind: str) -> DataFrame:
+    """Broadcast a bookkeeping table when its size is proven: (#heavy keys)
+    x (#buckets + 1) <= MAX_BOOKKEEPING_ROWS ('all': #buckets + 1 rows).
+    Beyond MAX_HEAVY_KEYS heavy keys it is joined by a shuffle instead."""
+    return book if kind == "heavy_many" else F.broadcast(book)
 
 
 def running_totals(df: DataFrame, order: Sequence[str | Column], sum_cols: Sequence[str],
@@ -115,7 +126,7 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], sum_cols: Seque
     offs = tot.select(*parts, "__b",
                       *[F.coalesce(F.sum(f"__t_{c}").over(wprev), F.lit(0)).alias(f"__o_{c}") for c in sum_cols],
                       *[F.sum(f"__t_{c}").over(wall).alias(f"__T_{c}") for c in sum_cols])
-    j = b.join(F.broadcast(offs), [*parts, "__b"], "left")
+    j = b.join(_bounded(offs, kind), [*parts, "__b"], "left")
     wb = Window.partitionBy(*parts, "__b")
     return j.select(*keep,
                     *[(F.sum(c).over(w_in) + F.coalesce(F.col(f"__o_{c}"), F.lit(0))).alias(f"{prefix}{c}")
@@ -184,7 +195,7 @@ def bucketed_lag(df: DataFrame, order: Sequence[str | Column], value: str, parti
     last = src.groupBy(*parts, "__b").agg(F.max_by(value, F.struct(*order)).alias("__last"))
     wb = Window.partitionBy(*parts).orderBy("__b")
     prev = last.select(*parts, "__b", F.lag("__last").over(wb).alias("__prev_last"))
-    j = b.join(F.broadcast(prev), [*parts, "__b"], "left")
+    j = b.join(_bounded(prev, kind), [*parts, "__b"], "left")
     first_in_bucket = F.row_number().over(w) == 1
     lagged = F.when(first_in_bucket, F.col("__prev_last")).otherwise(F.lag(value).over(w))
     return j.select(*keep, lagged.alias(out))
@@ -244,7 +255,7 @@ def running_min(df: DataFrame, order: Sequence[str | Column], cols: Sequence[str
     tot = src.groupBy(*parts, "__b").agg(*[F.min(c).alias(f"__m_{c}") for c in cols])
     wprev = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*parts, "__b", *[F.min(f"__m_{c}").over(wprev).alias(f"__o_{c}") for c in cols])
-    j = b.join(F.broadcast(offs), [*parts, "__b"], "left")
+    j = b.join(_bounded(offs, kind), [*parts, "__b"], "left")
 
     def lo(a, o):
         return F.when(o.isNull(), a).when(a.isNull(), o).otherwise(F.least(a, o))
