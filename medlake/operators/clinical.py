@@ -208,7 +208,7 @@ def guideline_gaps(problems: DataFrame, rules: DataFrame, labs: DataFrame, patie
                    ) -> DataFrame:
     """C14: (patient, problem, required lab) where the lab is absent or
     older than the rule's ``max_age_days`` at ``as_of``."""
-    need = problems.join(F.broadcast(rules), "problem")
+    need = problems.join(bounded_broadcast(rules), "problem")
     t = F.lit(as_of).cast("timestamp")
     recent = labs.select(patient, F.col("lab"), F.col(ts).cast("timestamp").alias("__ts"))
     cond = ((need[patient] == recent[patient]) & (need["lab"] == recent["lab"]) & (recent["__ts"] <= t) &
@@ -236,9 +236,9 @@ def treatment_options(diagnoses: DataFrame, treatments: DataFrame, contraindicat
                       patient: str = "patient_id") -> DataFrame:
     """Treatments for each patient's diagnoses minus those
     contraindicated by a comorbidity the patient has."""
-    opts = diagnoses.join(F.broadcast(treatments), "diagnosis")
+    opts = diagnoses.join(bounded_broadcast(treatments), "diagnosis")
     bad = diagnoses.select(patient, F.col("diagnosis").alias("comorbidity")).join(
-        F.broadcast(contraindications), "comorbidity").select(patient, "treatment")
+        bounded_broadcast(contraindications), "comorbidity").select(patient, "treatment")
     return opts.join(bad, [patient, "treatment"], "left_anti")
 
 

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medlake.operators.joins import bounded_broadcast
 from medlake.operators.ordered import running_totals
 
 
@@ -42,7 +43,7 @@ def polygenic_scores(genotypes: DataFrame, panels: DataFrame, snps: DataFrame, p
     if conditions is not None:
         ref = ref.where(F.col("condition").isin(list(conditions)))
     conds = [r["condition"] for r in ref.select("condition").distinct().collect()]  # a handful of names
-    g = genotypes.join(F.broadcast(ref), "rsid", "inner")
+    g = genotypes.join(bounded_broadcast(ref), "rsid", "inner")
     f = g.select(key, "condition", snp_factor(F.col("genotype"), F.col("allele"), F.col("risk")).alias("f"))
     prs = f.groupBy(key, "condition").agg((F.product("f") - F.lit(1.0)).alias("prs"))
     base = patients.select(key).distinct().select(key, F.explode(F.array(*[F.lit(c) for c in sorted(conds)]))
@@ -65,7 +66,7 @@ def prs_percentile(prs: DataFrame, key: str = "patient_id") -> DataFrame:
 def allele_frequencies(genotypes: DataFrame, snps: DataFrame) -> DataFrame:
     """Observed risk-allele frequency per SNP (called genotypes only)
     next to the stored population frequency."""
-    g = genotypes.where(F.col("genotype").isNotNull()).join(F.broadcast(snps.select("rsid", "allele",
+    g = genotypes.where(F.col("genotype").isNotNull()).join(bounded_broadcast(snps.select("rsid", "allele",
                                                                                     "population_freq")), "rsid")
     return g.groupBy("rsid", "population_freq").agg(
         (F.sum(allele_count(F.col("genotype"), F.col("allele"))) / (2.0 * F.count(F.lit(1)))).alias("observed_freq"),
