@@ -965,3 +965,15 @@ ORACLE["Q7_ddm_stream"] = "WITH RECURSIVE " + ORACLE["Q7_ddm_stream"][len("WITH
 
 # the reloaded package must score every row exactly like the saved model
 ORACLE["M8_save_load_roundtrip"] = "SELECT vec_id, true AS same FROM embeddings"
+
+ORACLE["C12_cohort_cube"] = _with(("medical",), "",
+    "SELECT CASE WHEN month(exam_date) <= 6 THEN 'h1' ELSE 'h2' END AS cohort, sex, count(*) AS n, "
+    "round(avg(weight_kg), 6) AS mean, cast(grouping_id(CASE WHEN month(exam_date) <= 6 THEN 'h1' ELSE 'h2' END, sex) "
+    "AS int) AS grouping_id FROM medical GROUP BY CUBE (CASE WHEN month(exam_date) <= 6 THEN 'h1' ELSE 'h2' END, sex)")
+
+ORACLE["Q12_resource_breaches"] = (
+    "WITH e AS (SELECT CASE event_id % 3 WHEN 0 THEN 'cpu' WHEN 1 THEN 'memory' ELSE 'gpu' END AS resource, "
+    "value / 400.0 AS util FROM events)\n"
+    "SELECT resource, util > CASE resource WHEN 'cpu' THEN 0.8 WHEN 'memory' THEN 0.75 ELSE 0.9 END AS breach, "
+    "CASE WHEN util >= 0.95 THEN 'critical' WHEN util >= 0.90 THEN 'alert' WHEN util >= 0.85 THEN 'warning' "
+    "ELSE 'ok' END AS level, count(*) AS n FROM e GROUP BY 1, 2, 3")

@@ -246,3 +246,10 @@ def stratification(df: DataFrame, cohort: str, category: str, categories: Sequen
     """C17: cohort x risk-category counts (categories fixed, so the pivot
     needs no extra distinct pass)."""
     return df.groupBy(cohort).pivot(category, list(categories)).count().fillna(0)
+
+
+def cohort_cube(df: DataFrame, dims: Sequence[str], value: str) -> DataFrame:
+    """C12 extra: counts and means for every combination of the cohort
+    dimensions (``cube``; NULL marks 'all'), with the grouping id."""
+    return df.cube(*dims).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"),
+                              F.grouping_id().alias("grouping_id"))

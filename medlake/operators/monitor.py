@@ -201,3 +201,14 @@ def page_hinkley_first_drift(df: DataFrame, group: Sequence[str], ts: str, tiebr
     alarm = (F.col("cum___d") - F.col("min_cum___d")) > threshold
     return r.groupBy(*g).agg(F.min(F.when(alarm, F.col("cum___one"))).alias("first_alarm"),
                              F.max("cum___one").alias("n"))
+
+
+# fixed values: per-resource utilisation limits
+RESOURCE_LIMITS = {"cpu": 0.8, "memory": 0.75, "gpu": 0.9}
+
+
+def resource_breach(metric: Column, value: Column, limits: dict[str, float] | None = None) -> Column:
+    """Q12: sample above its resource's limit (unknown resource -> NULL)."""
+    lim = limits or RESOURCE_LIMITS
+    m = F.create_map(*[x for k, v in lim.items() for x in (F.lit(k), F.lit(v))])
+    return value > m[metric]

@@ -188,3 +188,10 @@ def c17(spark, sf):
     d = c.select(F.concat(F.col("sex"), F.lit("_"), F.when(F.col("age") >= 60, "60+").otherwise("<60")).alias("cohort"),
                  cat.alias("category"))
     return cl.stratification(d, "cohort", "category", ["low", "medium", "high"])
+
+
+@register("C12_cohort_cube")
+def c12c(spark, sf):
+    m = derived(spark, sf, "medical").withColumn("cohort", F.when(F.month("exam_date") <= 6, "h1").otherwise("h2"))
+    c = cl.cohort_cube(m, ["cohort", "sex"], "weight_kg")
+    return c.select("cohort", "sex", "n", r6("mean").alias("mean"), F.col("grouping_id").cast("int").alias("grouping_id"))

@@ -324,3 +324,12 @@ def s8(spark, sf):
                                                                                   F.col("count").alias("n_rows"))
         out = n if out is None else out.unionByName(n)
     return out
+
+
+@register("Q12_resource_breaches")
+def q12b(spark, sf):
+    e = table(spark, sf, "events").selectExpr(
+        "CASE event_id % 3 WHEN 0 THEN 'cpu' WHEN 1 THEN 'memory' ELSE 'gpu' END AS resource", "value / 400.0 AS util")
+    b = monitor.resource_breach(F.col("resource"), F.col("util"))
+    return e.groupBy("resource", b.alias("breach"), monitor.resource_level(F.col("util")).alias("level")).agg(
+        F.count(F.lit(1)).alias("n"))
