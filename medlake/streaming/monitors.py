@@ -257,3 +257,15 @@ def adwin_stream(stream: DataFrame, value: str, delta: float = 0.002) -> DataFra
     s = stream.select("model", "event_id", "ts", F.col(value).cast("double").alias("x"))
     return s.groupBy("model").applyInPandasWithState(adwin_state_fn(delta), ADWIN_OUT, ADWIN_STATE, "append",
                                                      GroupStateTimeout.NoTimeout)
+
+
+def latency_percentiles_stream(log: DataFrame, endpoint: str, latency: str, watermark: str = "10 minutes",
+                               window: str = "1 hour", probs=(0.95, 0.99), accuracy: int = 10000) -> DataFrame:
+    """Q10 stream: per endpoint and tumbling window, approximate latency
+    percentiles (``percentile_approx`` keeps a bounded sketch per window in
+    the state store; the exact batch form is ``monitor.latency_percentiles``)."""
+    e = log.withWatermark("ts", watermark)
+    q = F.percentile_approx(F.col(latency), list(probs), accuracy)
+    g = e.groupBy(endpoint, F.window("ts", window).alias("w")).agg(q.alias("q"), F.count(F.lit(1)).alias("n"))
+    return g.select(endpoint, F.col("w.start").alias("window_start"), "n",
+                    *[F.col("q")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(probs)])

@@ -106,3 +106,30 @@ def test_logistic_penalty_scaling(spark):
     s = ml.positive_probability(m.transform(df))
     from medlake.operators import metrics
     assert metrics.roc_auc(s, "p", "label").first()["auc"] > 0.85
+
+
+def test_latency_percentiles_stream(spark):
+    rows = [("api", f"2024-01-01 00:{i % 60:02d}:00", float(i)) for i in range(100)]
+    d = os.path.join(tempfile.mkdtemp(prefix="medlake-lat-"), "log")
+    spark.createDataFrame(rows, "endpoint string, t string, latency double").selectExpr(
+        "endpoint", "cast(t AS timestamp) AS ts", "latency").write.parquet(d)
+    s = spark.readStream.schema("endpoint string, ts timestamp, latency double").parquet(d)
+    out = sm.run_available_now(sm.latency_percentiles_stream(s, "endpoint", "latency"), "t-lat", "update",
+                               keys=["endpoint", "window_start"]).first()
+    assert out["n"] == 100 and 93 <= out["p95"] <= 96 and 97 <= out["p99"] <= 99
+
+
+def test_random_search_small(spark):
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(60, 3))
+    y = (X[:, 0] > 0).astype(float)
+    df = ml.with_features(spark.createDataFrame([(i, x.tolist(), float(t)) for i, (x, t) in enumerate(zip(X, y))],
+                                                "id long, v array<double>, label double"), "v")
+    space = ml.sample_space(2, seed=1)
+    assert all(100 <= p["num_trees"] <= 1000 and 3 <= p["max_depth"] <= 10 for p in space)
+    small = {"num_trees": (2, 3, False), "max_depth": (2, 3, False), "learning_rate": (0.1, 0.5, True),
+             "subsample": (0.8, 1.0, False), "colsample": (0.6, 1.0, False)}
+    import medlake.operators.ml as mlmod
+    res = [mlmod.cross_validate(df, ["gbt"], "id", k=2, params={"gbt": p}).first()["cv_auc"]
+           for p in mlmod.sample_space(2, seed=3, space=small)]
+    assert all(0.5 <= a <= 1.0 for a in res)
