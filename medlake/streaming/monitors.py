@@ -269,3 +269,38 @@ def latency_percentiles_stream(log: DataFrame, endpoint: str, latency: str, wate
     g = e.groupBy(endpoint, F.window("ts", window).alias("w")).agg(q.alias("q"), F.count(F.lit(1)).alias("n"))
     return g.select(endpoint, F.col("w.start").alias("window_start"), "n",
                     *[F.col("q")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(probs)])
+
+
+def online_logistic_sink(weights_path: str, vec: str = "features_array", label: str = "label", lr: float = 0.1,
+                         dim: int | None = None):
+    """M11 stream: ``foreachBatch`` body doing one mini-batch logistic
+    gradient step per micro-batch.  The weights live in a small parquet
+    table (one row per epoch) in the shared folder, so a restarted stream
+    continues from the last committed step."""
+    from medlake.operators.ml import gradient_step
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        try:
+            last = spark.read.parquet(weights_path).orderBy(F.desc("epoch")).first()
+        except Exception:  # noqa: BLE001 -- no weights yet
+            last = None
+        if last is not None and last["epoch"] >= epoch:
+            return  # this epoch was already applied (replay after a restart)
+        n = dim or len(batch.select(vec).first()[0])
+        w, b = (list(last["weights"]), last["bias"]) if last is not None else ([0.0] * n, 0.0)
+        if batch.limit(1).count() == 0:
+            return
+        w, b = gradient_step(batch, w, b, vec, label, lr=lr)
+        spark.createDataFrame([(epoch, w, b)], "epoch long, weights array<double>, bias double") \
+            .write.mode("append").parquet(weights_path)
+    return sink
+
+
+def census_stream(stays: DataFrame, patient: str, watermark: str = "1 day", window: str = "1 day") -> DataFrame:
+    """C11 stream: approximate distinct admitted patients per window
+    (``approx_count_distinct``: a bounded HyperLogLog sketch in state)."""
+    s = stays.withWatermark("ts", watermark)
+    return s.groupBy(F.window("ts", window).alias("w")).agg(
+        F.approx_count_distinct(patient).alias("approx_patients")).select(
+        F.col("w.start").alias("window_start"), "approx_patients")

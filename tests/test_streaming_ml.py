@@ -133,3 +133,36 @@ def test_random_search_small(spark):
     res = [mlmod.cross_validate(df, ["gbt"], "id", k=2, params={"gbt": p}).first()["cv_auc"]
            for p in mlmod.sample_space(2, seed=3, space=small)]
     assert all(0.5 <= a <= 1.0 for a in res)
+
+
+def test_online_logistic_stream_steps(spark):
+    rng = np.random.default_rng(4)
+    base = tempfile.mkdtemp(prefix="medlake-online-")
+    data = os.path.join(base, "in")
+    for i in range(3):
+        X = rng.normal(size=(40, 3))
+        y = (X[:, 0] > 0).astype(float)
+        spark.createDataFrame([(x.tolist(), float(t)) for x, t in zip(X, y)], "features_array array<double>, label double") \
+            .coalesce(1).write.mode("append").parquet(os.path.join(data, f"b{i}"))
+        import time
+        time.sleep(1.1)
+    s = (spark.readStream.schema("features_array array<double>, label double").option("maxFilesPerTrigger", 1)
+         .option("recursiveFileLookup", "true").parquet(data))
+    wpath = os.path.join(base, "weights")
+    q = (s.writeStream.foreachBatch(sm.online_logistic_sink(wpath, lr=0.5)).option(
+        "checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    w = spark.read.parquet(wpath).orderBy("epoch").collect()
+    assert [r["epoch"] for r in w] == [0, 1, 2]
+    assert w[-1]["weights"][0] > 0  # learns the sign of the informative feature
+
+
+def test_census_stream(spark):
+    rows = [(p, f"2024-01-0{1 + (p % 2)} 10:00:00") for p in range(50)] + [(1, "2024-01-02 11:00:00")]
+    d = os.path.join(tempfile.mkdtemp(prefix="medlake-census-"), "s")
+    spark.createDataFrame(rows, "patient long, t string").selectExpr("patient", "cast(t AS timestamp) AS ts").write.parquet(d)
+    s = spark.readStream.schema("patient long, ts timestamp").parquet(d)
+    out = {str(r["window_start"])[:10]: r["approx_patients"] for r in
+           sm.run_available_now(sm.census_stream(s, "patient"), "t-census", "update", keys=["window_start"]).collect()}
+    assert set(out) == {"2024-01-01", "2024-01-02"}
+    assert all(abs(v - 25) <= 2 for v in out.values())  # HyperLogLog, ~5% relative error
