@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from medlake.operators import metrics
 from medlake.operators.ordered import row_index
-from medlake.operators.prep import fit_standard, standard_scale
 
 # fixed values: model defaults of the training loop
 LOGISTIC_C = 1.0
@@ -47,8 +46,8 @@ def estimator(kind: str, label: str = "label", features: str = "features", n_row
     """M1/M2/M3 estimators with the reference's defaults.
 
     Logistic regression: L2 with ``C`` multiplying the *sum* of losses,
-    i.e. ``regParam = 1 / (C * n)``, no internal standardisation (inputs are
-    scaled by ``fit_standard`` first)."""
+    i.e. ``regParam = 1 / (C * n)``, no internal standardisation -- ``train``
+    puts a centring scaler in front of it, as the source scales before fitting."""
     if kind == "logistic":
         c = params.get("C", LOGISTIC_C)
         n = n_rows or 1
@@ -72,11 +71,22 @@ def positive_probability(scored: DataFrame, out: str = "p") -> DataFrame:
     return scored.withColumn(out, vector_to_array(F.col("probability"))[1])
 
 
-def train(df: DataFrame, kind: str, label: str = "label", features: str = "features", **params) -> PipelineModel:
-    """M1-M3: fit one model (count first so the logistic penalty is exact)."""
-    n = df.count() if kind == "logistic" else None
-    est = estimator(kind, label, features, n_rows=n, **params)
-    return Pipeline(stages=[est]).fit(df)
+def train(df: DataFrame, kind: str, label: str = "label", features: str = "features", scale: bool = True,
+          **params) -> PipelineModel:
+    """M1-M3: fit one model.  Logistic regression gets a centring +
+    scaling stage first (Spark's ``StandardScaler``: unit *sample* std) and
+    the row count for its exact penalty; trees need no scaling."""
+    if kind != "logistic":
+        return Pipeline(stages=[estimator(kind, label, features, **params)]).fit(df)
+    n = df.count()
+    stages = []
+    feats = features
+    if scale:
+        from pyspark.ml.feature import StandardScaler
+        feats = f"{features}__scaled"
+        stages.append(StandardScaler(inputCol=features, outputCol=feats, withMean=True, withStd=True))
+    stages.append(estimator(kind, label, feats, n_rows=n, **params))
+    return Pipeline(stages=stages).fit(df)
 
 
 def cross_validate(df: DataFrame, kinds: Sequence[str], key: str, label: str = "label", features: str = "features",
@@ -226,6 +236,9 @@ def linear_shap(df: DataFrame, model: PipelineModel, feature_cols: Sequence[str]
     phi_j = w_j * (x_j - E[x_j]); one column per feature."""
     lr = model.stages[-1]
     w = lr.coefficients.toArray().tolist()
+    if len(model.stages) > 1 and hasattr(model.stages[0], "std"):  # fitted scaler in front
+        sd = model.stages[0].std.toArray().tolist()
+        w = [wi / s if s else 0.0 for wi, s in zip(w, sd)]
     return df.select(key, *[(F.lit(w[i]) * (F.col(f) - F.lit(means[f]))).alias(f"shap_{f}")
                             for i, f in enumerate(feature_cols)])
 

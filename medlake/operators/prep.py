@@ -7,7 +7,6 @@ projection).  Nothing row-sized ever reaches the driver.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame

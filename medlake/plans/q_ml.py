@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from medlake.operators import metrics, ml
-from medlake.operators.prep import fit_standard, standard_scale, train_test_split
+from medlake.operators.prep import fit_standard, train_test_split
 from medlake.plans.catalog import register
 from medlake.session import scratch_path
 from medlake.sources.derived import derived
@@ -142,8 +142,8 @@ def m14(spark, sf):
     rows = []
     for s in range(4):  # one distributed fit per site
         part = d.where(F.col("site") == s)
-        m = ml.train(part, "logistic", "label")
-        rows.append((s, m.stages[-1].coefficients.toArray().tolist()))
+        m = ml.train(part, "logistic", "label", scale=False)  # shared (unit-norm) feature scale across sites
+        rows.append((s, m.stages[-1].coefficients.toArray().tolist()))  # on each site's own scaling
     sm = spark.createDataFrame(rows, "site int, coefficients array<double>")
     return ml.federated_average(sm).withColumn("w", r6("w"))
 

@@ -166,3 +166,20 @@ def test_census_stream(spark):
            sm.run_available_now(sm.census_stream(s, "patient"), "t-census", "update", keys=["window_start"]).collect()}
     assert set(out) == {"2024-01-01", "2024-01-02"}
     assert all(abs(v - 25) <= 2 for v in out.values())  # HyperLogLog, ~5% relative error
+
+
+def test_linear_shap_additive(spark):
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(80, 3)) * [1.0, 5.0, 0.2] + [0.0, 3.0, -1.0]
+    y = (X[:, 0] + 0.1 * X[:, 1] > 0.3).astype(float)
+    df = spark.createDataFrame([(i, *map(float, x), float(t)) for i, (x, t) in enumerate(zip(X, y))],
+                               "id long, a double, b double, c double, label double")
+    cols = ["a", "b", "c"]
+    m = ml.train(ml.with_features(df, cols), "logistic", "label")
+    means = {c: float(np.mean(X[:, i])) for i, c in enumerate(cols)}
+    sh = {r["id"]: sum(r[f"shap_{c}"] for c in cols) for r in ml.linear_shap(df, m, cols, means, "id").collect()}
+    from pyspark.ml.functions import vector_to_array
+    margin = {r["id"]: r["m"] for r in m.transform(ml.with_features(df, cols)).select(
+        "id", vector_to_array("rawPrediction")[1].alias("m")).collect()}
+    b = m.stages[-1].intercept
+    assert all(abs(sh[i] - (margin[i] - b)) < 1e-6 for i in sh)
