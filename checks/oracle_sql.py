@@ -977,3 +977,11 @@ ORACLE["Q12_resource_breaches"] = (
     "SELECT resource, util > CASE resource WHEN 'cpu' THEN 0.8 WHEN 'memory' THEN 0.75 ELSE 0.9 END AS breach, "
     "CASE WHEN util >= 0.95 THEN 'critical' WHEN util >= 0.90 THEN 'alert' WHEN util >= 0.85 THEN 'warning' "
     "ELSE 'ok' END AS level, count(*) AS n FROM e GROUP BY 1, 2, 3")
+
+ORACLE["L3_prs_wide"] = _with(("genotypes", "medical"), _prs_sql("true"),
+    "SELECT patient_id, round(max(CASE WHEN condition = 'alzheimers' THEN prs END), 6) AS alzheimers, "
+    "round(max(CASE WHEN condition = 'diabetes' THEN prs END), 6) AS diabetes FROM allp GROUP BY patient_id")
+ORACLE["V2_failing_samples"] = _with(("medical",), _M_AGE_BMI + ",\nh AS (" + " UNION ALL ".join(
+    f"SELECT patient_id, '{c}: {n}' AS rule FROM m WHERE NOT coalesce({p}, false)" for c, n, p in _RULES) + "),\n"
+    f"r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY {_unit('patient_id', 5)}, patient_id) AS rank FROM h)",
+    "SELECT patient_id, rule, cast(rank AS int) AS rank FROM r WHERE rank <= 2")

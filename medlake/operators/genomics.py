@@ -71,3 +71,10 @@ def allele_frequencies(genotypes: DataFrame, snps: DataFrame) -> DataFrame:
     return g.groupBy("rsid", "population_freq").agg(
         (F.sum(allele_count(F.col("genotype"), F.col("allele"))) / (2.0 * F.count(F.lit(1)))).alias("observed_freq"),
         F.count(F.lit(1)).alias("n_called"))
+
+
+def prs_wide(prs: DataFrame, key: str = "patient_id", conditions: Sequence[str] | None = None) -> DataFrame:
+    """L3: one column per condition (a pivot over the known, small set of
+    conditions -- listing them avoids an extra distinct pass)."""
+    conds = list(conditions) if conditions else sorted(r[0] for r in prs.select("condition").distinct().collect())
+    return prs.groupBy(key).pivot("condition", conds).agg(F.first("prs"))

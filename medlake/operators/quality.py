@@ -217,3 +217,16 @@ def probabilistic_matches(left: DataFrame, right: DataFrame, left_id: str, right
                                                                                   (-F.col("r_id")).alias("neg_id")))
                                       .alias("b"))
     return best.select("l_id", F.col("b.r_id").alias("r_id"), F.col("b.score").alias("score"))
+
+
+def failing_samples(df: DataFrame, key: str, rules: Sequence[tuple[str, str, str]] = MEDICAL_RULES, k: int = 2,
+                    seed: int = 0) -> DataFrame:
+    """V2: up to ``k`` failing rows per rule, in a seeded hash order of the
+    key (a top-k per group: Spark limits each group before the shuffle)."""
+    from pyspark.sql import Window
+    from medlake.functions.privacy import hash_unit
+    hits = F.filter(F.array(*[F.when(~F.coalesce(F.expr(p), F.lit(False)), F.lit(f"{c}: {n}"))
+                              for c, n, p in rules]), lambda x: x.isNotNull())
+    e = df.select(key, F.explode(hits).alias("rule"))
+    w = Window.partitionBy("rule").orderBy(hash_unit(key, seed=seed), key)
+    return e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

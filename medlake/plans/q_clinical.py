@@ -130,3 +130,9 @@ def _rule_set_query(key, diseases):
 
 for _k, _d in RULE_SETS.items():
     _rule_set_query(_k, _d)
+
+
+@register("L3_prs_wide")
+def l3w(spark, sf):
+    w = gx.prs_wide(_prs(spark, sf), conditions=["alzheimers", "diabetes"])
+    return w.select("patient_id", r6("alzheimers").alias("alzheimers"), r6("diabetes").alias("diabetes"))

@@ -445,3 +445,8 @@ def i5(spark, sf):
     return out.select("patient_id", r6("fasting_glucose").alias("fasting_glucose"),
                       r6("triglycerides").alias("triglycerides"), "smoking_status_current", "smoking_status_former",
                       "smoking_status_never", "bmi_bin")
+
+
+@register("V2_failing_samples")
+def v2s(spark, sf):
+    return quality.failing_samples(_medical_with_age_bmi(spark, sf), "patient_id", k=2, seed=5)
