@@ -985,3 +985,21 @@ ORACLE["V2_failing_samples"] = _with(("medical",), _M_AGE_BMI + ",\nh AS (" + "
     f"SELECT patient_id, '{c}: {n}' AS rule FROM m WHERE NOT coalesce({p}, false)" for c, n, p in _RULES) + "),\n"
     f"r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY {_unit('patient_id', 5)}, patient_id) AS rank FROM h)",
     "SELECT patient_id, rule, cast(rank AS int) AS rank FROM r WHERE rank <= 2")
+
+# drift table: KS rows as in Q1; chi-square p-values from the regularised
+# lower incomplete gamma series, summed in log space (2000 terms)
+ORACLE["Q2_drift_table"] = ("WITH " + _KS + ",\n"
+    "lg2 AS (" + _long_sql(_CATF, "varchar") + "),\n"
+    "cc AS (SELECT feature, value, count_if(is_ref) AS o_ref, count_if(NOT is_ref) AS o_cur FROM lg2 GROUP BY 1, 2),\n"
+    "ct AS (SELECT *, sum(o_ref) OVER (PARTITION BY feature) AS n_ref, sum(o_cur) OVER (PARTITION BY feature) AS n_cur "
+    "FROM cc),\nce AS (SELECT *, (o_ref + o_cur) * n_ref / (n_ref + n_cur) AS e_ref, "
+    "(o_ref + o_cur) * n_cur / (n_ref + n_cur) AS e_cur FROM ct),\n"
+    "cs AS (SELECT feature, sum(pow(o_ref - e_ref, 2) / e_ref + pow(o_cur - e_cur, 2) / e_cur) AS x, "
+    "(count(*) - 1) / 2.0 AS a FROM ce GROUP BY feature),\n"
+    "cp AS (SELECT feature, x, 1.0 - (SELECT sum(exp((a + t.n) * ln(x / 2.0) - x / 2.0 - lgamma(a + t.n + 1))) "
+    "FROM range(0, 2000) t(n)) AS p FROM cs),\n"
+    "rows_ AS (SELECT feature, 'ks' AS test, d AS statistic, p_value, p_value < 0.05 / 6 AS drift FROM kp UNION ALL "
+    "SELECT feature, 'chi2', x, greatest(p, 0.0), greatest(p, 0.0) < 0.05 / 6 FROM cp)\n"
+    "SELECT feature, test, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, drift, "
+    "round(avg(cast(drift AS double)) OVER (), 6) AS drifted_share, "
+    "avg(cast(drift AS double)) OVER () >= 0.5 AS dataset_drift FROM rows_")

@@ -121,7 +121,9 @@ def q1b(spark, sf):
 @register("Q2_drift_table")
 def q2(spark, sf):
     ref, cur = _ref_cur(spark, sf)
-    return drift.drift_table(ref, cur, _NUM, _CAT)
+    t = drift.drift_table(ref, cur, _NUM, _CAT)
+    return t.select("feature", "test", r6("statistic").alias("statistic"), r6("p_value").alias("p_value"), "drift",
+                    r6("drifted_share").alias("drifted_share"), "dataset_drift")
 
 
 @register("Q3_dataset_summary")
