@@ -68,3 +68,17 @@ def test_trailing_window_chunks_match(spark):
     assert res.keys() == want.keys()
     for k in want:
         assert (want[k] is None and res[k] is None) or abs(want[k] - res[k]) < 1e-9
+
+
+def test_many_heavy_keys_fall_back_to_shuffle_join(spark, monkeypatch):
+    import medlake.operators.ordered as od
+    monkeypatch.setattr(od, "MAX_HEAVY_KEYS", 2)       # more heavy keys than the broadcast bound
+    monkeypatch.setattr(od, "MAX_BOOKKEEPING_ROWS", 12)  # forces fewer buckets per key
+    rows = [(f"k{i % 5}", i, float(i % 13)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, ts long, v double")
+    got = od.running_totals(df, ["ts"], ["v"], partition_cols=["k"], n_buckets=16, heavy_rows=10)
+    w = Window.partitionBy("k").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    want = {r["ts"]: r["c"] for r in df.select("ts", F.sum("v").over(w).alias("c")).collect()}
+    assert {r["ts"]: r["cum_v"] for r in got.collect()} == want
+    _, kind = od._assign_buckets(df, [F.col("ts")], ["k"], 16, 10)
+    assert kind == "heavy_many"
