@@ -124,7 +124,7 @@ ORACLE["V6_type_check"] = _with(("medical",), "", " UNION ALL ".join(
 
 _V7 = [("weight_kg", 50.0, 100.0), ("height_m", 1.5, 1.9), ("fasting_glucose", 70.0, 170.0)]
 ORACLE["V7_range_check"] = _with(("medical",), "", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", {lo} AS lo, {hi} AS hi, "
+    f"SELECT '{c}' AS \"column\", cast({lo} AS double) AS lo, cast({hi} AS double) AS hi, "
     f"{_bi(f'count_if({c} IS NOT NULL AND NOT ({c} BETWEEN {lo} AND {hi}))')} AS n_out FROM medical"
     for c, lo, hi in _V7))
 
@@ -330,8 +330,8 @@ s AS (SELECT patient_id,
   CASE WHEN egfr >= 90 THEN 'G1' WHEN egfr >= 60 THEN 'G2' WHEN egfr >= 45 THEN 'G3a' WHEN egfr >= 30 THEN 'G3b'
        WHEN egfr >= 15 THEN 'G4' ELSE 'G5' END AS gfr_stage,
   CASE WHEN acr < 30 THEN 'A1' WHEN acr < 300 THEN 'A2' ELSE 'A3' END AS acr_stage FROM clinical)""",
-    "SELECT *, CASE WHEN gfr_stage = 'G1' AND acr_stage = 'A1' THEN 0.1 WHEN gfr_stage = 'G1' AND acr_stage = 'A2' "
-    "THEN 0.2 WHEN gfr_stage = 'G1' AND acr_stage = 'A3' THEN 0.3 ELSE 0.5 END AS ckd_risk FROM s")
+    "SELECT *, cast(CASE WHEN gfr_stage = 'G1' AND acr_stage = 'A1' THEN 0.1 WHEN gfr_stage = 'G1' AND acr_stage = 'A2' "
+    "THEN 0.2 WHEN gfr_stage = 'G1' AND acr_stage = 'A3' THEN 0.3 ELSE 0.5 END AS double) AS ckd_risk FROM s")
 ORACLE["R26_profile_threshold_counts"] = _with(("clinical",), "h AS (" + " UNION ALL ".join(
     f"SELECT patient_id, '{prof}' AS profile, '{m}' AS marker FROM clinical WHERE {m} {op} {v}"
     + (f" AND sex = '{sx}'" if sx else "") for prof, m, op, v, sx in PROFILE_THRESHOLDS) + ")",
@@ -362,16 +362,19 @@ _K = {
                      " / 10.0, 0.0), 1.0)",
 }
 for _k, _e in _K.items():
-    ORACLE[_k] = _with(("clinical",), "", f"SELECT patient_id, round({_e}, 6) AS score FROM clinical")
+    _t = "int" if _k == "K3_chads_vasc" else "double"
+    ORACLE[_k] = _with(("clinical",), "", f"SELECT patient_id, round(cast({_e} AS {_t}), 6) AS score FROM clinical")
 _ADA_PTS = ("cast(age >= 45 AS int) + cast(bmi >= 25 AS int) + cast(family_history_score >= 3 AS int) "
             "+ cast(hypertension AS int) + cast(physically_inactive AS int)")
 ORACLE["K5_ada_risk"] = _with(("clinical",), f"a AS (SELECT patient_id, {_ADA_PTS} AS points FROM clinical)",
-    "SELECT patient_id, points, round(CASE points WHEN 0 THEN 3.0 WHEN 1 THEN 6.0 WHEN 2 THEN 12.0 WHEN 3 THEN 20.0 "
-    "WHEN 4 THEN 25.0 WHEN 5 THEN 33.0 ELSE 50.0 END, 6) AS score FROM a")
+    "SELECT patient_id, points, round(cast(CASE points WHEN 0 THEN 3.0 WHEN 1 THEN 6.0 WHEN 2 THEN 12.0 WHEN 3 THEN 20.0 "
+    "WHEN 4 THEN 25.0 WHEN 5 THEN 33.0 ELSE 50.0 END AS double), 6) AS score FROM a")
 
 # ---------------------------------------------------------------- L
 _SNP_VALUES = ", ".join(f"('{r}', '{g}', {k}, '{a}', '{c}', {f})" for r, g, k, a, c, f in SNP_TABLE)
-_SNP = f"snp AS (SELECT * FROM (VALUES {_SNP_VALUES}) AS t(rsid, gene, risk, allele, condition, population_freq))"
+_SNP = (f"snp AS (SELECT rsid, gene, cast(risk AS double) AS risk, allele, condition, "
+        f"cast(population_freq AS double) AS population_freq FROM (VALUES {_SNP_VALUES}) "
+        "AS t(rsid, gene, risk, allele, condition, population_freq))")
 _PANEL = "panels AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{r}')" for c, r in PRS_PANELS) + \
          ") AS t(condition, rsid))"
 _CNT = ("(length(coalesce(genotype, 'NN')) - length(replace(coalesce(genotype, 'NN'), allele, '')))")
@@ -708,8 +711,8 @@ ORACLE["C16_treatment_options"] = _with(("clinical",),
 ORACLE["C17_risk_stratification"] = _with(("clinical",),
     "d AS (SELECT sex || '_' || CASE WHEN age >= 60 THEN '60+' ELSE '<60' END AS cohort, "
     "CASE WHEN p >= 0.7 THEN 'high' WHEN p >= 0.4 THEN 'medium' ELSE 'low' END AS category FROM clinical)",
-    "SELECT cohort, count_if(category = 'low') AS low, count_if(category = 'medium') AS medium, "
-    "count_if(category = 'high') AS high FROM d GROUP BY cohort")
+    "SELECT cohort, cast(count_if(category = 'low') AS bigint) AS low, cast(count_if(category = 'medium') AS bigint) "
+    "AS medium, cast(count_if(category = 'high') AS bigint) AS high FROM d GROUP BY cohort")
 
 # ---------------------------------------------------------------- S
 ORACLE["S1_csv_roundtrip"] = _with(("medical",), "",
@@ -878,10 +881,10 @@ ORACLE["V11_probabilistic_matches"] = ("WITH " + _REGB + ",\n"
     "+ (CASE WHEN ra.c_nationkey IS NOT DISTINCT FROM rb.c_nationkey THEN 2.0 ELSE 0.0 END) "
     "+ (CASE WHEN ra.bal IS NOT DISTINCT FROM rb.bal THEN 3.0 ELSE 0.0 END) "
     "+ (CASE WHEN ra.c_mktsegment IS NOT DISTINCT FROM rb.c_mktsegment THEN 1.0 ELSE 0.0 END) "
-    "+ (CASE WHEN levenshtein(ra.c_name, rb.c_name) <= 2 THEN 2.0 ELSE 0.0 END) AS score "
+    "+ (CASE WHEN levenshtein(ra.c_name, rb.c_name) <= 2 THEN 2.0 ELSE 0.0 END) AS score_d "
     "FROM cand JOIN ra ON cand.l_id = ra.c_custkey JOIN rb ON cand.r_id = rb.rid),\n"
-    "bt AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id ASC) AS rn FROM sc "
-    "WHERE score >= 5.0)\nSELECT l_id, r_id, score FROM bt WHERE rn = 1")
+    "bt AS (SELECT *, cast(score_d AS double) AS score, row_number() OVER (PARTITION BY l_id ORDER BY score_d DESC, "
+    "r_id ASC) AS rn FROM sc WHERE score_d >= 5.0)\nSELECT l_id, r_id, score FROM bt WHERE rn = 1")
 
 ORACLE["S7_report_json_roundtrip"] = ORACLE["E10_evaluation_report"]
 ORACLE["S8_export_tables"] = ("SELECT 'predictions' AS \"table\", count(*) AS n_rows FROM events UNION ALL "
