@@ -432,9 +432,11 @@ _PR = ("pr AS (SELECT model, p AS threshold, pos, neg, "
        "sum(pos) OVER (PARTITION BY model ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp, "
        "sum(neg) OVER (PARTITION BY model ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS fp, "
        "sum(pos) OVER (PARTITION BY model) AS n_pos, sum(neg) OVER (PARTITION BY model) AS n_neg FROM sc)")
-ORACLE["E3_precision_recall_curve"] = _with(("predictions",), _SC + ",\n" + _PR,
-    f"SELECT model, threshold, round({_d0('tp', 'tp + fp')}, 6) AS precision, round({_d0('tp', 'n_pos')}, 6) AS recall "
-    "FROM pr")
+ORACLE["E3_precision_recall_curve"] = _with(("predictions",), _SC + ",\n" + _PR + ",\n"
+    "tf AS (SELECT model, max(CASE WHEN tp = n_pos THEN threshold END) AS t_full FROM pr GROUP BY model)",
+    f"SELECT pr.model, threshold, round({_d0('tp', 'tp + fp')}, 6) AS precision, round({_d0('tp', 'n_pos')}, 6) AS recall "
+    "FROM pr JOIN tf ON pr.model = tf.model WHERE threshold >= t_full UNION ALL "
+    "SELECT model, NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE FROM tf")
 ORACLE["E4_confusion_matrix"] = _with(("predictions",), _CM,
     "SELECT model, 1 AS actual, 1 AS predicted, tp AS n FROM cm UNION ALL SELECT model, 0, 1, fp FROM cm "
     "UNION ALL SELECT model, 1, 0, fn FROM cm UNION ALL SELECT model, 0, 0, tn FROM cm")

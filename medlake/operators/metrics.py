@@ -164,3 +164,27 @@ def leaderboard(metrics: DataFrame, by: str = "f1", name: str = "model") -> Data
 def metrics_text(metrics: DataFrame, cols: Sequence[str], name: str = "model") -> DataFrame:
     """Three-decimal text of each metric."""
     return metrics.select(name, *[F.format_number(F.col(c), 3).alias(c) for c in cols])
+
+
+def precision_recall_curve(df: DataFrame, score: str, label: str, group: Sequence[str] = ()) -> DataFrame:
+    """One point per distinct score, from the highest threshold down to
+    the first one reaching full recall, plus the closing point
+    (precision 1, recall 0, no threshold) -- the usual library form."""
+    g = list(group)
+    p = pr_points(df, score, label, g)
+    full = p.groupBy(*g).agg(F.max(F.when(F.col("tp") == F.col("n_pos"), F.col("threshold"))).alias("__t_full"))
+    pts = _join_small(p, full, g)
+    pts = pts.where(F.col("threshold") >= F.col("__t_full")).select(*g, "threshold", "precision", "recall")
+    end = full.select(*g, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
+                      F.lit(0.0).alias("recall"))
+    return pts.unionByName(end)
+
+
+def _join_small(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach a one-row-per-group table (groups are few) by an equi-join on
+    the group keys, or on a constant key when there are no groups."""
+    if keys:
+        from medlake.operators.joins import bounded_broadcast
+        return big.join(bounded_broadcast(small), keys, "inner")
+    return big.withColumn("__one", F.lit(1)).join(F.broadcast(small.withColumn("__one", F.lit(1))), "__one").drop(
+        "__one")

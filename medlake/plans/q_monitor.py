@@ -36,7 +36,7 @@ def e2(spark, sf):
 
 @register("E3_precision_recall_curve")
 def e3(spark, sf):
-    p = metrics.pr_points(_pred(spark, sf), "p", "y", G)
+    p = metrics.precision_recall_curve(_pred(spark, sf), "p", "y", G)
     return p.select("model", "threshold", r6("precision").alias("precision"), r6("recall").alias("recall"))
 
 
