@@ -107,11 +107,12 @@ def _pip_expr(px: str, py: str, ring: str) -> tuple[Column, Column]:
 def spatial_within_join(points: DataFrame, zones: DataFrame, x: str = "longitude", y: str = "latitude",
                         ring: str = "ring", cell: float = 10.0, how: str = "left",
                         broadcast_max_rows: int = DEFAULT_BROADCAST_ROWS,
-                        max_cells_per_zone: int = 4096) -> DataFrame:
+                        max_cells_per_zone: int = 4096, one_zone_by: tuple[str, str] | None = None) -> DataFrame:
     """``sjoin(points, zones, how, predicate='within')``.
 
     Points strictly inside a zone polygon match (boundary points do not);
-    overlapping zones give one row per zone; with ``how='left'`` unmatched
+    overlapping zones give one row per zone (or the first zone by
+    ``one_zone_by=(point key, zone column)``); with ``how='left'`` unmatched
     points are kept with NULL zone columns.
 
     Plan: zones are exploded to the grid cells their bounding box covers
@@ -145,8 +146,15 @@ def spatial_within_join(points: DataFrame, zones: DataFrame, x: str = "longitude
     # NULL row for a point that matches none: the left sjoin semantics.
     cond = (p["__cx"] == z["__zcx"]) & (p["__cy"] == z["__zcy"]) & inside & ~on_edge
     joined = p.join(z, cond, "inner" if how == "inner" else "left")
-    return joined.select(*[F.col(f"`{c}`") for c in points.columns],
-                         *[F.col(f"__z_{c}").alias(c) for c in zcols])
+    out = joined.select(*[F.col(f"`{c}`") for c in points.columns], *[F.col(f"__z_{c}").alias(c) for c in zcols])
+    if one_zone_by:
+        # keep one zone per point where zones overlap: (point key, zone column
+        # ordering them) -- a top-1 per point, limited before the shuffle
+        pk, zc = one_zone_by
+        from pyspark.sql import Window
+        w = Window.partitionBy(pk).orderBy(F.col(zc).asc_nulls_last())
+        out = out.withColumn("__rk", F.row_number().over(w)).where("__rk = 1").drop("__rk")
+    return out
 
 
 # ---------------------------------------------------------------------------

@@ -106,3 +106,10 @@ def test_chi2_pvalue(spark):
 def test_psi_same_is_zero(spark):
     df = spark.createDataFrame([(float(i),) for i in range(100)], "x double")
     assert drift.psi(df, df, "x").first()["psi"] == pytest.approx(0.0)
+
+
+def test_spatial_one_zone_option(spark):
+    pts = spark.createDataFrame([(2, 7.0, 5.0), (4, 50.0, 50.0)], "id int, longitude double, latitude double")
+    got = sorted((r["id"], r["zip_code"]) for r in joins.spatial_within_join(
+        pts, _zones(spark), cell=4.0, one_zone_by=("id", "zip_code")).collect())
+    assert got == [(2, "A"), (4, None)]
