@@ -113,3 +113,15 @@ def test_spatial_one_zone_option(spark):
     got = sorted((r["id"], r["zip_code"]) for r in joins.spatial_within_join(
         pts, _zones(spark), cell=4.0, one_zone_by=("id", "zip_code")).collect())
     assert got == [(2, "A"), (4, None)]
+
+
+def test_pr_curve_library_form(spark):
+    df, p, y = _scores(spark, n=120, seed=5)
+    pts = metrics.precision_recall_curve(df, "p", "y").collect()
+    th = sorted({r["threshold"] for r in pts if r["threshold"] is not None}, reverse=True)
+    P = (y == 1).sum()
+    # thresholds run from the top score down to the first reaching full recall
+    full = max(t for t in np.unique(p) if ((p >= t) & (y == 1)).sum() == P)
+    assert th[0] == pytest.approx(p.max()) and th[-1] == pytest.approx(full)
+    end = [r for r in pts if r["threshold"] is None]
+    assert len(end) == 1 and end[0]["precision"] == 1.0 and end[0]["recall"] == 0.0
