@@ -141,39 +141,70 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 # --- connected components -------------------------------------------------
 
-def components(edges: DataFrame, name: str, most_rounds: int = 40) -> DataFrame:
+def sized(df: DataFrame, rows: int, per: int = 200_000) -> DataFrame:
+    """``df`` in about ``rows / per`` partitions (no shuffle) where that is
+    fewer than the session's; small tables then cost few tasks."""
+    spark = df.sparkSession
+    want = max(-(-rows // per), spark.sparkContext.defaultParallelism)
+    return df.coalesce(want) if want < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """Label every node of ``edges(u, v)`` with the smallest node it reaches.
 
     Alternating large-star and small-star steps; each step is a grouped
     minimum (partial aggregation, so a hub is pre-aggregated) and a join whose
-    hot side AQE can split.  Every step is written to the shared folder.
+    hot side AQE can split.  Every step is written to the shared folder.  The
+    steps keep connectivity, so the work is done once the edges are stars: no
+    node is both child and root, and no child has two roots.
     Returns (node, root); isolated nodes are absent.
     """
-    spark = edges.sparkSession
     e = landed(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b"))
                .filter("a <> b").distinct(), f"{name}-e")
-
-    def digest(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        return r["n"], r["x"]
-
-    last = digest(e)
-    if not last[0]:
-        return spark.createDataFrame([], "node long, root long")
     for _ in range(most_rounds):
+        n = e.count()
+        ends = e.select(F.col("a").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("top")).union(
+            e.select(F.col("b").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("top")))
+        mixed = (sized(ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("top").alias("top")), n)
+                 .agg(F.max(((F.col("child") > 1) | ((F.col("child") > 0) & (F.col("top") > 0))).cast("int")).alias("m")).first()["m"])
+        if not mixed:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+                e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = landed(both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-                       .filter("a <> b").distinct(), f"{name}-l")
+        large = landed(sized(both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+                             .filter("a <> b"), n), f"{name}-l")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = landed(large.join(low, "a").select(F.explode(F.array(
+        star = sized(large.join(low, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
-            F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-            .filter("a <> b").distinct(), f"{name}-s")
-        now = digest(e)
-        if now == last:
-            roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
-        last = now
+            F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").filter("a <> b"), n)
+        e = landed(sized(star.distinct(), n), f"{name}-s")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def cross_blocks(members: DataFrame, data: DataFrame, compare, block: int) -> DataFrame:
+    """Edges between members of one bucket that are in different components.
+
+    ``members`` has (_band, _cls, _root), ``data`` the payload by ``_cls``.
+    Queries are the members outside their bucket's largest component; they
+    meet all members in blocks of about ``block``, so no task holds a whole
+    bucket and ``compare`` decides which pairs become rows.  Work is the number
+    of queries times the size of their bucket; buckets whose members are all in
+    one component cost nothing."""
+    per = members.groupBy("_band", "_root").agg(F.count("*").alias("n"))
+    top = per.groupBy("_band").agg(F.max(F.struct("n", "_root")).alias("t"), F.sum("n").alias("all"),
+                                   F.count("*").alias("roots")).filter("roots > 1")
+    top = top.select("_band", F.col("t._root").alias("_main"), F.ceil(F.col("all") / block).cast("int").alias("_rows"),
+                     F.ceil((F.col("all") - F.col("t.n")) / block).cast("int").alias("_cols"))
+    full = landed(members.join(top, "_band"), "cross").join(data, "_cls")
+    spot = F.xxhash64("_cls")
+    keep = ["_band", "_cls", "_root", *[c for c in data.columns if c != "_cls"]]
+    member = full.select(*keep, F.pmod(spot, F.col("_rows")).cast("int").alias("_i"),
+                         F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("_j"), F.lit(False).alias("_query"))
+    query = full.filter(F.col("_root") != F.col("_main")).select(
+        *keep, F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_i"),
+        F.pmod(spot, F.col("_cols")).cast("int").alias("_j"), F.lit(True).alias("_query"))
+    query = query.select(*member.columns)
+    got = member.union(query).groupBy("_band", "_i", "_j").applyInArrow(compare, "u long, v long")
+    return got.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
