@@ -5,14 +5,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medlake.llm import near_dedup
+from medlake.llm import byte_bpe, chat, decontaminate, embed_dedup, near_dedup, pii, toxicity, warc
 from medlake.llm.common import read_table
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(read_table(spark, sf_dir, "conversations"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_report(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(read_table(spark, sf_dir, "pages"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.token_report(read_table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op2_toxicity": op2_toxicity,
+    "op3_decontamination": op3_decontamination,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op7_warc": op7_warc,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_pii": op10_pii,
 }
