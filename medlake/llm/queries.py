@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medlake.llm import byte_bpe, chat, decontaminate, embed_dedup, near_dedup, pii, toxicity, warc
+from medlake.llm import byte_bpe, chat, decontaminate, embed_dedup, licenses, near_dedup, pii, secret_scan, toxicity, warc
 from medlake.llm.common import read_table
 
 
@@ -29,10 +29,18 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embedding_report(read_table(spark, sf_dir, "embeddings"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_report(read_table(spark, sf_dir, "pages"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_report(read_table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,9 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_warc": op7_warc,
+    "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_pii": op10_pii,
 }
