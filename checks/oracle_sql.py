@@ -300,27 +300,13 @@ ORACLE["A22_suspicious_code_scan"] = ("SELECT doc_id FROM documents WHERE contai
                                       "contains(text, 'token = \"')")
 
 # ---------------------------------------------------------------- R
-from medlake.operators.rules import FIRST_FAILURE, PROFILE_THRESHOLDS, RULES  # noqa: E402
+from checks.rule_oracle import SETS, bands_sql, evaluability_sql, hits_sql  # noqa: E402
 from medlake.sources.reference_data import PRS_PANELS, SNP_TABLE  # noqa: E402
 
 
-def _rule_hits_sql(only=None) -> str:
-    parts = []
-    seen: dict[str, list[str]] = {}
-    for d, c, p, _ in RULES:
-        if only is not None and d not in only:
-            continue
-        prev = seen.setdefault(d, [])
-        cond = f"coalesce({p}, false)"
-        if d in FIRST_FAILURE and prev:
-            cond += " AND NOT (" + " OR ".join(f"coalesce({q}, false)" for q in prev) + ")"
-        prev.append(p)
-        parts.append(f"SELECT patient_id, '{d}' AS disease, '{c}' AS code FROM clinical WHERE {cond}")
-    return " UNION ALL ".join(parts)
-
-
-ORACLE["R0_rule_hits"] = _with(("clinical",), "", _rule_hits_sql())
-ORACLE["R25_rule_summary"] = _with(("clinical",), "h AS (" + _rule_hits_sql() + ")",
+ORACLE["R0_rule_hits"] = _with(("clinical",), "", hits_sql())
+ORACLE["R0_rule_evaluability"] = _with(("clinical",), "", evaluability_sql())
+ORACLE["R25_rule_summary"] = _with(("clinical",), "h AS (" + hits_sql() + ")",
     "SELECT disease, code, count(*) AS n_flagged, round(count(*) / (SELECT count(*) FROM clinical), 6) AS rate "
     "FROM h GROUP BY 1, 2")
 ORACLE["R24_bp_ckd_staging"] = _with(("clinical",), """
@@ -332,9 +318,7 @@ s AS (SELECT patient_id,
   CASE WHEN acr < 30 THEN 'A1' WHEN acr < 300 THEN 'A2' ELSE 'A3' END AS acr_stage FROM clinical)""",
     "SELECT *, cast(CASE WHEN gfr_stage = 'G1' AND acr_stage = 'A1' THEN 0.1 WHEN gfr_stage = 'G1' AND acr_stage = 'A2' "
     "THEN 0.2 WHEN gfr_stage = 'G1' AND acr_stage = 'A3' THEN 0.3 ELSE 0.5 END AS double) AS ckd_risk FROM s")
-ORACLE["R26_profile_threshold_counts"] = _with(("clinical",), "h AS (" + " UNION ALL ".join(
-    f"SELECT patient_id, '{prof}' AS profile, '{m}' AS marker FROM clinical WHERE {m} {op} {v}"
-    + (f" AND sex = '{sx}'" if sx else "") for prof, m, op, v, sx in PROFILE_THRESHOLDS) + ")",
+ORACLE["R26_profile_threshold_counts"] = _with(("clinical",), "h AS (" + bands_sql() + ")",
     "SELECT profile, marker, count(*) AS n FROM h GROUP BY 1, 2")
 
 # ---------------------------------------------------------------- K
@@ -477,8 +461,7 @@ ORACLE["E12_metrics_text"] = _with(("predictions",), _CM + ",\n" + _CLS,
 # ---------------------------------------------------------------- Q drift
 _NUMF = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _CATF = ["l_returnflag", "l_linestatus"]
-_RC = ("rc AS (SELECT *, year(l_shipdate) <= 1996 AS is_ref FROM lineitem "
-       "WHERE year(l_shipdate) <= 1996 OR year(l_shipdate) >= 2000)")
+_RC = "rc AS (SELECT *, l_shipdate < date '1998-01-01' AS is_ref FROM lineitem WHERE l_shipdate IS NOT NULL)"
 
 
 def _long_sql(cols, cast):
@@ -505,9 +488,10 @@ ORACLE["Q1_chi2_statistics"] = ("WITH " + _RC + ",\nlg AS (" + _long_sql(_CATF,
     "(o_ref + o_cur) * n_cur / (n_ref + n_cur) AS e_cur FROM ct)\n"
     "SELECT feature, round(sum(pow(o_ref - e_ref, 2) / e_ref + pow(o_cur - e_cur, 2) / e_cur), 6) AS statistic, "
     "cast(count(*) - 1 AS bigint) AS dof FROM ce GROUP BY feature")
-_Q3C = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"]
+_Q3C = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate"]
 ORACLE["Q3_dataset_summary"] = (
-    "SELECT count(*) AS n_rows, 4 AS n_columns, cast(sum(" + " + ".join(f"cast({c} IS NULL AS bigint)" for c in _Q3C)
+    f"SELECT count(*) AS n_rows, {len(_Q3C)} AS n_columns, cast(sum(" + " + ".join(f"cast({c} IS NULL AS bigint)" for c in _Q3C)
     + ") AS bigint) AS n_missing_cells, cast(count(*) - (SELECT count(*) FROM (SELECT DISTINCT " + ", ".join(_Q3C)
     + " FROM lineitem)) AS bigint) AS n_duplicated_rows, "
     + " + ".join(f"cast(coalesce(min({c}) = max({c}), true) AS int)" for c in _Q3C)
@@ -748,9 +732,10 @@ ORACLE["S5_snapshot_digest"] = _with(("medical",), "",
     "FROM medical")
 ORACLE["S6_report_points"] = _with(("predictions",),
     "r AS (SELECT row_number() OVER w AS rn, sum(cast((p >= 0.5) = (y = 1) AS int)) OVER w AS ok, "
-    "sum(pow(p - y, 2)) OVER w AS se FROM predictions WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))",
-    "SELECT cast(rn AS bigint) AS row_index, round(ok / rn, 6) AS accuracy, round(se / rn, 6) AS brier FROM r "
-    "WHERE rn % 100 = 0")
+    "sum(cast(pow(round(p * 1000) - y * 1000, 2) AS bigint)) OVER w AS se FROM predictions "
+    "WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))",
+    "SELECT cast(rn AS bigint) AS row_index, cast(ok AS double) / cast(rn AS double) AS accuracy, "
+    "cast(se AS double) / cast(rn * 1000000 AS double) AS brier FROM r WHERE rn % 100 = 0")
 ORACLE["S9_standardize_records"] = ("SELECT event_id AS event_key, event_type AS kind, "
     "try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k, value AS amount FROM events")
 ORACLE["S10_risk_resources"] = _with(("clinical",),
@@ -785,10 +770,9 @@ ORACLE["A16_block_list_audit"] = ("SELECT c_custkey FROM customer WHERE c_nation
 ORACLE["A16_allow_list_audit"] = ("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN "
                                   "(SELECT c_nationkey FROM customer WHERE c_nationkey % 3 = 0)")
 ORACLE["A17_file_integrity"] = (
-    "WITH c AS (SELECT regexp_extract(filename, '[^/]+$') AS name, sha256(content) AS h "
-    "FROM read_blob('/root/testdata/sf0.01/*.parquet')),\n"
-    "b AS (SELECT regexp_extract(filename, '[^/]+$') AS name, sha256(content) AS h "
-    "FROM read_blob('/root/testdata/sf0.001/*.parquet'))\n"
+    "WITH c AS (SELECT page_id, 'page-' || page_id AS name, sha256(html) AS h FROM pages),\n"
+    "b AS (SELECT CASE WHEN page_id % 10 = 5 THEN 'old-' || page_id ELSE name END AS name, "
+    "CASE WHEN page_id % 10 = 4 THEN sha256(h || 'x') ELSE h END AS h FROM c WHERE page_id % 10 <> 3)\n"
     "SELECT coalesce(c.name, b.name) AS name, CASE WHEN b.h IS NULL THEN 'new' WHEN c.h IS NULL THEN 'missing' "
     "WHEN c.h <> b.h THEN 'changed' ELSE 'same' END AS status FROM c FULL OUTER JOIN b ON c.name = b.name")
 ORACLE["A18_audit_hash_chain"] = (
@@ -892,10 +876,8 @@ ORACLE["S7_report_json_roundtrip"] = ORACLE["E10_evaluation_report"]
 ORACLE["S8_export_tables"] = ("SELECT 'predictions' AS \"table\", count(*) AS n_rows FROM events UNION ALL "
                               "SELECT 'lineitem_flags', count(*) FROM lineitem")
 
-from medlake.plans.q_clinical import RULE_SETS  # noqa: E402
-
-for _k, _d in RULE_SETS.items():
-    ORACLE[f"{_k}_{_d[0]}_rule_hits"] = _with(("clinical",), "", _rule_hits_sql(set(_d)))
+for _k, _d in SETS.items():
+    ORACLE[f"{_k}_{_d[0]}_rule_hits"] = _with(("clinical",), "", hits_sql(_d))
 
 ORACLE["I5_column_transformer"] = _with(("medical", "lifestyle"), _M_AGE_BMI + """,
 j AS (SELECT m.patient_id, m.fasting_glucose, m.triglycerides, m.bmi, l.smoking_status FROM m
@@ -927,12 +909,10 @@ ORACLE["A3_gaussian_noise"] = _with(("medical",), "",
     f"SELECT patient_id, round(weight_kg + 2.0 * sqrt(-2.0 * ln(1.0 - {_unit('patient_id', 11)})) * "
     f"cos(2.0 * 3.141592653589793 * {_unit('patient_id', 12)}), 6) AS weight_noisy FROM medical")
 ORACLE["R25_rule_samples"] = _with(("clinical",),
-    "h AS (" + _rule_hits_sql() + "),\nmsg AS (SELECT * FROM (VALUES " + ", ".join(
-        "('{}', '{}', '{}')".format(d, c, m.replace("'", "''")) for d, c, _, m in RULES) +
-    ") AS t(disease, code, message)),\n"
-    f"r AS (SELECT h.*, msg.message, row_number() OVER (PARTITION BY h.disease, h.code ORDER BY "
-    f"{_unit('h.patient_id', 7)}, h.patient_id) AS rn FROM h JOIN msg ON h.disease = msg.disease AND h.code = msg.code)",
-    "SELECT patient_id, disease, code, message FROM r WHERE rn <= 3")
+    "h AS (" + hits_sql() + "),\n"
+    f"r AS (SELECT h.*, row_number() OVER (PARTITION BY h.disease, h.code ORDER BY "
+    f"{_unit('h.patient_id', 7)}, h.patient_id) AS rn FROM h)",
+    "SELECT patient_id, disease, code FROM r WHERE rn <= 3")
 ORACLE["M15_replay_sample"] = _with(("predictions",),
     "b AS (SELECT model, event_id, row_number() OVER (PARTITION BY model ORDER BY ts DESC, event_id DESC) AS slot "
     "FROM predictions),\nbuf AS (SELECT * FROM b WHERE slot <= 1000),\n"

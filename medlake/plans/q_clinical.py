@@ -23,6 +23,11 @@ def r0(spark, sf):
     return rules.apply_rules(derived(spark, sf, "clinical"), with_message=False)
 
 
+@register("R0_rule_evaluability")
+def r0e(spark, sf):
+    return rules.rule_evaluability(derived(spark, sf, "clinical"))
+
+
 @register("R25_rule_summary")
 def r25(spark, sf):
     c = derived(spark, sf, "clinical")
@@ -33,7 +38,7 @@ def r25(spark, sf):
 @register("R25_rule_samples")
 def r25b(spark, sf):
     c = derived(spark, sf, "clinical")
-    return rules.sample_per_code(rules.apply_rules(c), k=3)
+    return rules.sample_per_code(rules.apply_rules(c, with_message=False), k=3)
 
 
 @register("R24_bp_ckd_staging")

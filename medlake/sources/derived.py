@@ -77,7 +77,7 @@ SPECS: dict[str, tuple[str, str | None, list[tuple[str, str]]]] = {
     # recipe, same style as above).  NULLs are planted on purpose.
     "clinical": ("customer", None, [
         (_PID, "patient_id"),
-        ("cast(18 + (c_custkey * 7) % 70 as int)", "age"),
+        ("cast(12 + (c_custkey * 7) % 76 as int)", "age"),
         ("case when c_custkey % 2 = 0 then 'F' else 'M' end", "sex"),
         ("cast((c_custkey * 7919) % 1000 as double) / 1000", "p"),
         ("cast(70 + (c_custkey * 13) % 160 as double)", "ldl"),
@@ -140,6 +140,51 @@ SPECS: dict[str, tuple[str, str | None, list[tuple[str, str]]]] = {
         ("cast((c_custkey * 13) % 10 as double)", "metabolic_points"),
         ("cast((c_custkey * 7) % 15 as double)", "weight_loss_pct"),
         ("c_custkey % 11 = 0", "acute_illness"),
+        # inputs of the long guideline sets, NULL where a key would be absent
+        ("case when c_custkey % 5 = 0 then null else cast(120 + (c_custkey * 23) % 140 as double) end", "ppg"),
+        ("case when c_custkey % 7 < 2 then null else cast(60 + (c_custkey % 3) * 30 as int) end", "ppg_minutes"),
+        ("case when c_custkey % 6 = 1 then null else cast(50 + (c_custkey * 11) % 50 as double) end", "bmi_percentile"),
+        ("case when c_custkey % 2 = 0 then c_custkey % 10 = 4 end", "gestational_diabetes"),
+        ("c_custkey % 8 = 2", "pcos"),
+        ("case when c_custkey % 3 = 0 then null else cast(c_custkey % 9 as int) end", "pcos_years"),
+        ("case when c_custkey % 4 = 3 then null else cast((c_custkey * 7) % 40 as double) / 10 end", "c_peptide"),
+        ("case when c_custkey % 3 = 1 then c_custkey % 9 = 1 end", "gad65"),
+        ("c_custkey % 17 = 5", "ia2"),
+        ("case when c_custkey % 5 = 3 then null else c_custkey % 19 = 6 end", "zn8"),
+        ("case when c_custkey % 10 = 7 then null else cast((c_custkey * 13) % 60 as double) / 10 end", "homa_ir"),
+        ("split(case c_custkey % 5 when 0 then 'thiazides,metformin' when 1 then 'steroids' when 2 then 'metformin' "
+         "when 3 then 'antipsychotics,statins' end, ',')", "medications"),
+        ("case when c_custkey % 6 = 5 then null else cast((c_custkey * 17) % 90 as double) / 10 end", "crp"),
+        ("case when c_custkey % 7 = 4 then null else cast(5 + (c_custkey * 3) % 50 as double) end", "vitamin_d"),
+        ("case when c_custkey % 9 = 2 then null else cast(10 + (c_custkey * 19) % 120 as double) end", "alt"),
+        ("case c_custkey % 6 when 0 then 'none' when 1 then 'mild' when 2 then 'moderate' when 3 then 'severe' end", "retinopathy"),
+        ("case when c_custkey % 4 = 0 then null else c_custkey % 7 = 1 end", "neuropathy_symptoms"),
+        ("c_custkey % 9 = 1", "neuropathy_confirmed"),
+        ("c_custkey % 13 = 2", "foot_ulcers"),
+        ("case c_custkey % 4 when 0 then 'normal' when 1 then 'abnormal' end", "monofilament"),
+        ("case c_custkey % 5 when 0 then 'mild' when 1 then 'moderate' when 2 then 'severe' end", "covid_severity"),
+        ("c_custkey % 10 = 1", "post_covid_hyperglycemia"),
+        ("case when c_custkey % 3 = 2 then null else cast(c_custkey % 12 as int) end", "prediabetes_years"),
+        ("c_custkey % 6 = 4", "prediabetes"),
+        ("case when c_custkey % 8 = 7 then null else 1 + cast((c_custkey * 7) % 9 as double) / 10 end", "ethnicity_factor"),
+        ("case when c_custkey % 7 = 0 then 'regimen-' || cast(c_custkey % 3 as varchar(9)) end", "hiv_art_regimen"),
+        ("cast((c_custkey * 5) % 7 as int)", "pediatric_risk_score"),
+        ("c_custkey % 11 < 3", "edc_exposure"),
+        ("case when c_custkey % 5 = 1 then null else cast((c_custkey * 29) % 101 as double) end", "prs_pct"),
+        ("case when c_custkey % 9 = 8 then null else cast((c_custkey * 31) % 100 as double) / 100 end", "social_vulnerability"),
+        ("case when c_custkey % 4 = 2 then null else cast(105 + (c_custkey * 13) % 50 as int) end", "abpm_day_systolic"),
+        ("case when c_custkey % 6 = 3 then null else cast(c_custkey % 5 as int) end", "antihypertensive_trials"),
+        ("c_custkey % 2 = 0 and c_custkey % 14 = 2", "pregnant"),
+        ("case when c_custkey % 3 = 1 then null else c_custkey % 28 = 2 end", "proteinuria"),
+        ("c_custkey % 7 = 5", "typical_angina"),
+        ("case when c_custkey % 5 = 4 then null else cast(c_custkey % 6 as int) end", "exacerbations"),
+        ("cast((c_custkey * 37) % 600 as double)", "calcium_score"),
+        ("case when c_custkey % 4 = 1 then null else cast((c_custkey * 13) % 101 as double) end", "stenosis_pct"),
+        ("cast(150 + (c_custkey * 23) % 400 as double)", "csf_tau"),
+        ("cast((c_custkey * 7) % 80 as double) / 10", "das28"),
+        ("cast((c_custkey * 11) % 90 as double) / 10", "cdai"),
+        ("case when c_custkey % 3 = 0 then cast((c_custkey * 7) % 120 as double) end", "viral_load"),
+        ("cast(100 + (c_custkey * 41) % 900 as double)", "cd4"),
     ]),
 }
 

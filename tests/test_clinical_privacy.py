@@ -91,3 +91,39 @@ def test_out_of_hours_inclusive(spark):
     df = spark.createDataFrame([("2024-01-01 08:00:00",), ("2024-01-01 18:00:00",), ("2024-01-01 18:00:01",)],
                                "t string").select(F.col("t").cast("timestamp").alias("t"))
     assert [r[0] for r in df.select(audit.out_of_hours(F.col("t"))).collect()] == [False, False, True]
+
+
+def test_guideline_sets_are_complete():
+    """Sizes of the long sets; the third diabetes rule has two outcomes."""
+    from collections import Counter
+    n = Counter(r[0] for r in rules.RULES)
+    assert (n["diabetes"], n["diabetes_r19"], n["hypertension"], n["cardiovascular_guideline"], n["copd_guideline"]) == (23, 20, 4, 3, 3)
+    assert len({(r[0], r[1]) for r in rules.RULES}) == len(rules.RULES)
+
+
+def test_hand_computed_guideline_cases(spark):
+    row = ("A", 0.31, 210.0, None, 16, 97.0, "steroids,statins", 4.0, "severe", 2, True, 150, None)
+    other = ("B", 0.31, 210.0, 60, 40, None, None, None, None, None, None, 150, True)
+    df = spark.createDataFrame([row, other], "patient_id string, p double, ppg double, ppg_minutes int, age int, bmi_percentile double, "
+                               "meds string, crp double, covid_severity string, exacerbations int, pregnant boolean, systolic int, "
+                               "proteinuria boolean").withColumn("medications", F.split("meds", ","))
+    codes = {"ppg_untimed", "ppg", "pediatric_bmi", "medications", "inflammation", "post_covid", "exacerbations", "pregnancy"}
+    subset = [r for r in rules.RULES if r[1] in codes and r[0] in ("diabetes", "hypertension", "copd_guideline")]
+    got = {(r["patient_id"], r["code"]) for r in rules.apply_rules(df, rules=subset).collect()}
+    assert got == {("A", c) for c in ("ppg_untimed", "pediatric_bmi", "medications", "inflammation", "post_covid", "exacerbations",
+                                      "pregnancy")} | {("B", "ppg")}
+    seen = {r["code"]: (r["n_evaluable"], r["n_fired"]) for r in rules.rule_evaluability(df, subset).collect()}
+    assert seen["inflammation"] == (1, 1) and seen["ppg"] == (2, 1) and seen["pediatric_bmi"] == (2, 1)
+
+
+def test_staging_of_missing_inputs(spark):
+    df = spark.createDataFrame([(None, None, None, None), (150, None, 10.0, 400.0), (120, 70, 95.0, 10.0), (120, None, 95.0, 10.0)],
+                               "systolic int, diastolic int, egfr double, acr double")
+    got = [tuple(r) for r in df.select(rules.bp_class(), rules.gfr_stage(), rules.acr_stage()).collect()]
+    assert got == [(None, None, None), ("Hypertension", "G5", "A3"), ("Normal", "G1", "A1"), (None, "G1", "A1")]
+
+
+def test_hmac_of_a_long_key(spark):
+    key = "k" * 100
+    got = spark.createDataFrame([("value",)], "v string").select(px.hmac_sha256("v", key)).first()[0]
+    assert got == hmac.new(key.encode(), b"value", hashlib.sha256).hexdigest()
