@@ -3,6 +3,7 @@ encryption, signatures and keyword scans, all as built-in expressions."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -65,11 +66,12 @@ def decrypt(col, key_hex: str) -> Column:
 
 
 def hmac_sha256(col, key: str) -> Column:
-    """HMAC-SHA256 hex digest of the UTF-8 value (RFC 2104), keys up to
-    64 bytes: H((K ^ opad) || H((K ^ ipad) || m))."""
+    """HMAC-SHA256 hex digest of the UTF-8 value (RFC 2104):
+    H((K ^ opad) || H((K ^ ipad) || m)); a key longer than the 64-byte block
+    is hashed first."""
     kb = key.encode("utf-8")
     if len(kb) > 64:
-        raise ValueError("key longer than the block size")
+        kb = hashlib.sha256(kb).digest()
     kb = kb.ljust(64, b"\0")
     ipad = bytes(b ^ 0x36 for b in kb).hex()
     opad = bytes(b ^ 0x5C for b in kb).hex()

@@ -74,9 +74,11 @@ def gail(age="age", factor="gail_factor") -> Column:
 
 
 def pcpt(psa="psa", age="age", size="prostate_volume") -> Column:
-    """K7: 0.249 ln(psa) + 0.094 age - 0.068 size; psa <= 0 -> NULL."""
+    """K7: 0.249 ln(psa) + 0.094 age - 0.068 size; 0.5 where an input is
+    missing, NULL where psa <= 0 has no logarithm."""
     lnp = F.when(_c(psa) > 0, F.log(_c(psa)))
-    return F.lit(0.249) * lnp + F.lit(0.094) * _c(age) - F.lit(0.068) * _c(size)
+    missing = _c(psa).isNull() | _c(age).isNull() | _c(size).isNull()
+    return F.when(missing, F.lit(0.5)).otherwise(F.lit(0.249) * lnp + F.lit(0.094) * _c(age) - F.lit(0.068) * _c(size))
 
 
 def bode(fev1_points="fev1_points", dyspnea="dyspnea_points", walk="walk_points", bmi="bmi") -> Column:

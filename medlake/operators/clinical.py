@@ -153,10 +153,11 @@ def overdue_followup(patients: DataFrame, assessments: DataFrame, patient: str,
 
 
 def must_score(bmi: Column, weight_loss_pct: Column, acute: Column) -> Column:
-    """Malnutrition Universal Screening Tool (BMI, weight loss, acute effect)."""
-    b = F.when(bmi > 20, 0).when(bmi >= 18.5, 1).otherwise(2)
-    w = F.when(weight_loss_pct > 10, 2).when(weight_loss_pct >= 5, 1).otherwise(0)
-    return b + w + F.when(acute, 2).otherwise(0)
+    """Malnutrition Universal Screening Tool (BMI, weight
+    loss, acute effect); a missing input gives NULL, not points."""
+    b = F.when(bmi > 20, 0).when(bmi >= 18.5, 1).when(bmi < 18.5, 2)
+    w = F.when(weight_loss_pct > 10, 2).when(weight_loss_pct >= 5, 1).when(weight_loss_pct < 5, 0)
+    return b + w + F.when(acute, 2).when(~acute, 0)
 
 
 def surveillance_alarm(counts: DataFrame, keys: Sequence[str], period: str, n: str = "n", history: int = 4,

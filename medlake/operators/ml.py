@@ -98,9 +98,6 @@ def cross_validate(df: DataFrame, kinds: Sequence[str], key: str, label: str = "
     from medlake.operators.prep import stratified_folds
     spark = df.sparkSession
     params = params or {}
-    memo = (df.semanticHash(), tuple(kinds), key, label, features, k, seed, repr(sorted(params.items())))
-    if memo in _CV_CACHE:  # same data plan and settings: reuse the fitted results
-        return spark.createDataFrame(_CV_CACHE[memo], _CV_SCHEMA)
     f = stratified_folds(df, label, key, k=k, seed=seed).persist()
 
     def fold_auc(kind: str, i: int) -> float:
@@ -116,20 +113,20 @@ def cross_validate(df: DataFrame, kinds: Sequence[str], key: str, label: str = "
     # CrossValidator(parallelism)) so small fits share the cluster.
     from concurrent.futures import ThreadPoolExecutor
     rows = []
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        jobs = {kind: ([pool.submit(fold_auc, kind, i) for i in range(k)], pool.submit(full_auc, kind))
-                for kind in kinds}
-        for kind in kinds:
-            aucs = [x.result() for x in jobs[kind][0]]
-            rows.append((kind, float(sum(aucs) / len(aucs)), float(min(aucs)), float(max(aucs)),
-                         float(jobs[kind][1].result())))
-    f.unpersist()
-    _CV_CACHE[memo] = rows
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            jobs = {kind: ([pool.submit(fold_auc, kind, i) for i in range(k)], pool.submit(full_auc, kind))
+                    for kind in kinds}
+            for kind in kinds:
+                aucs = [x.result() for x in jobs[kind][0]]
+                rows.append((kind, float(sum(aucs) / len(aucs)), float(min(aucs)), float(max(aucs)),
+                             float(jobs[kind][1].result())))
+    finally:
+        f.unpersist()
     return spark.createDataFrame(rows, _CV_SCHEMA)
 
 
 _CV_SCHEMA = "model string, cv_auc double, cv_auc_min double, cv_auc_max double, train_auc double"
-_CV_CACHE: dict[tuple, list] = {}
 
 
 def select_best(results: DataFrame, score: str = "cv_auc", name: str = "model") -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from medlake.operators import audit, registry
 from medlake.plans.catalog import register
-from medlake.session import scratch_path
+from medlake.session import materialize, scratch_path
 from medlake.sources import files
 from medlake.sources.derived import derived, zone_rings
 from medlake.sources.tables import table
@@ -101,11 +99,12 @@ def s6(spark, sf):
     from medlake.operators.ordered import running_totals
     p = derived(spark, sf, "predictions").select(
         "ts", "event_id", ((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int").alias("ok"),
-        F.pow(F.col("p") - F.col("y"), 2).alias("se"), F.lit(1).alias("one"))
+        # p has three decimals, so the squared error is a whole number of millionths
+        F.pow(F.round(F.col("p") * 1000) - F.col("y") * 1000, 2).cast("long").alias("se"), F.lit(1).alias("one"))
     r = running_totals(p, ["ts", "event_id"], ["ok", "se", "one"], with_totals=False)
     pts = r.where(F.col("cum_one") % 100 == 0)
-    return pts.select(F.col("cum_one").alias("row_index"), r6(F.col("cum_ok") / F.col("cum_one")).alias("accuracy"),
-                      r6(F.col("cum_se") / F.col("cum_one")).alias("brier"))
+    return pts.select(F.col("cum_one").alias("row_index"), (F.col("cum_ok") / F.col("cum_one")).alias("accuracy"),
+                      (F.col("cum_se") / (F.col("cum_one") * 1000000)).alias("brier"))
 
 
 # fixed values: external record mapping used by the S9 query (target, source expression, type)
@@ -201,10 +200,14 @@ def a16b(spark, sf):
 
 @register("A17_file_integrity")
 def a17(spark, sf):
-    cur = audit.file_hashes(spark, os.path.join(sf, "*.parquet"))
-    base_dir = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.001")
-    base = audit.file_hashes(spark, os.path.join(base_dir, "*.parquet"))
-    return audit.integrity_diff(cur, base)
+    # stored page files against a landed baseline that lacks some, has others
+    # with another hash and some that are gone
+    n = F.col("page_id")
+    pages = table(spark, sf, "pages").select(n, F.concat(F.lit("page-"), n).alias("name"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+    changed = F.when(n % 10 == 4, F.sha2(F.concat(F.col("sha256"), F.lit("x")).cast("binary"), 256)).otherwise(F.col("sha256"))
+    base = pages.where(n % 10 != 3).select(F.when(n % 10 == 5, F.concat(F.lit("old-"), n)).otherwise(F.col("name")).alias("name"),
+                                           changed.alias("sha256"))
+    return audit.integrity_diff(pages.drop("page_id"), materialize(base, "file-baseline"))
 
 
 @register("A18_audit_hash_chain")

@@ -86,7 +86,9 @@ def m7(spark, sf):
 def m8(spark, sf):
     m, d = _lr_model(spark, sf)
     path = scratch_path(spark, "m8-package")
-    ml.save_package(m, path, {"n_features": (64.0, None)}, {"model": "logistic", "label": "label >= 5"})
+    dims = [f"e{i}" for i in range(64)]
+    train = d.where(~F.col("is_test")).select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(dims)])
+    ml.save_package(m, path, fit_standard(train, dims), {"model": "logistic", "label": "label >= 5"})
     loaded, stats, meta = ml.load_package(spark, path)
     a = ml.positive_probability(m.transform(d)).select("vec_id", F.col("p").alias("p1"))
     b = ml.positive_probability(loaded.transform(d)).select("vec_id", F.col("p").alias("p2"))
