@@ -9,7 +9,7 @@ register with a probability close to (never below) their similarity.
 1. Sketch every text in numpy; documents with equal sets form one *class*.
 2. Band the registers (``BANDS`` x ``ROWS``).  At similarity 0.85 a pair shares
    no band with probability below 3e-7.
-3. Buckets of at most ``SMALL`` classes give all their pairs; larger ones give
+3. Buckets of at most ``FEW`` classes give all their pairs; larger ones give
    one edge per member, to the member with the heaviest buckets (a star, so
    the count stays linear in a hot group).
 4. Candidate pairs must pass the size bound and the joint likelihood of the
@@ -20,9 +20,8 @@ register with a probability close to (never below) their similarity.
    larger ones are checked edge by edge, first the star edges, then only the
    edges that still connect different components.
 6. Members of a large bucket that are still in different components are
-   compared by register likelihood in blocks (no pair rows are made for them
-   unless likely) and the likely ones are verified, so no link is lost to the
-   star shortcut.
+   compared on their full sets in blocks; only links become rows, so none is
+   lost to the star shortcut and no bucket is expanded into its pairs.
 
 Results for odd input: null or blank text has an empty set and links with
 nothing; a null id takes part like any other and shows its component's
@@ -41,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.common import (components, landed, lower_bytes, mix64, row_key, shingle_hashes,
-                                text_slices, word_bounds, word_hashes)
+from medlake.llm.common import (components, cross_blocks, landed, lower_bytes, mix64, row_key,
+                                shingle_hashes, text_slices, word_bounds, word_hashes)
 
 K = 5
 NUM, DEN = 85, 100
@@ -50,7 +49,8 @@ ROWS, BANDS = 6, 32
 M = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 SMALL = 64
-BLOCK = 512
+FEW = 16
+BLOCK = 256
 LLR = 14.0
 
 _MULT = mix64(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -229,20 +229,32 @@ def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _likely_block(table: pa.Table) -> pa.Table:
-    """Likely pairs of one block pair: queries against members of other roots."""
+def _link_block(table: pa.Table) -> pa.Table:
+    """Links of one block pair between different components, on full sets; of
+    those to one component a query needs only one.
+
+    The block's elements are numbered; a query marks its own and counts the
+    marks in every member at once."""
     query = np.asarray(table.column("_query").to_pylist(), dtype=bool)
-    cls = table.column("_cls").to_numpy()
-    root = table.column("_root").to_numpy()
-    regs, n = _reg_rows(table.column("_regs")), table.column("_n").to_numpy()
+    cls, root = table.column("_cls").to_numpy(), table.column("_root").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("_set").to_pylist()]
     q, m = np.flatnonzero(query), np.flatnonzero(~query)
     us, vs = [], []
-    for i in q:
-        other = m[(root[m] != root[i])]
-        keep = other[likely(np.repeat(regs[i:i + 1], len(other), axis=0), regs[other],
-                            np.full(len(other), n[i]), n[other])]
-        us += [cls[i]] * len(keep)
-        vs += cls[keep].tolist()
+    if len(q) and len(m):
+        size = np.array([len(sets[i]) for i in m])
+        known, code = np.unique(np.concatenate([sets[i] for i in m]), return_inverse=True)
+        at = np.cumsum(size) - size
+        mark = np.zeros(len(known), np.int64)
+        for i in q:
+            spot = np.searchsorted(known, sets[i])
+            spot = spot[(spot < len(known)) & (known[np.minimum(spot, len(known) - 1)] == sets[i])]
+            mark[spot] = 1
+            both = np.add.reduceat(mark[code], at)
+            mark[spot] = 0
+            hit = m[(both * DEN >= (len(sets[i]) + size - both) * NUM) & (root[m] != root[i])]
+            _, first = np.unique(root[hit], return_index=True)
+            us += [cls[i]] * len(first)
+            vs += cls[hit[first]].tolist()
     return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
 
@@ -303,11 +315,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count = landed(count, "buckets")
     two = count.filter("c = 2").select("u", "v")
     more = landed(bands.join(count.filter("c > 2").select("_band", "c"), "_band"), "members")
-    some = (more.filter(F.col("c") <= SMALL).groupBy("_band").agg(F.sort_array(F.collect_list("_cls")).alias("m"))
+    some = (more.filter(F.col("c") <= FEW).groupBy("_band").agg(F.sort_array(F.collect_list("_cls")).alias("m"))
             .select(F.explode(F.expr(
                 "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as u, y as v))))")).alias("p"))
             .select("p.u", "p.v"))
-    large = more.filter(F.col("c") > SMALL)
+    large = more.filter(F.col("c") > FEW)
     weight = large.groupBy("_cls").agg(F.sum("c").alias("w"))
     hub = large.join(weight, "_cls").groupBy("_band").agg(F.max(F.struct("w", "_cls")).alias("h")).select("_band", F.col("h._cls").alias("u"))
     star = (large.join(hub, "_band").select(F.least("u", "_cls").alias("u"), F.greatest("u", "_cls").alias("v"))
@@ -344,13 +356,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = components(edges, "first")
         member = (large.select("_band", "_cls").join(found.withColumnRenamed("node", "_cls"), "_cls", "left")
                   .withColumn("_root", F.coalesce("root", "_cls")).drop("root"))
-        per = member.groupBy("_band", "_root").agg(F.count("*").alias("n"))
-        top = per.groupBy("_band").agg(F.max(F.struct("n", "_root")).alias("t"), F.sum("n").alias("all"),
-                                       F.count("*").alias("roots")).filter("roots > 1")
-        open_ = landed(member.join(top.select("_band", F.col("t._root").alias("_main"), "all",
-                                              (F.col("all") - F.col("t.n")).alias("rest")), "_band"), "open")
-        rest = landed(_residual(open_, regs), "cand-rest")
-        edges = edges.union(landed(_exact(rest, all_sets), "links-open"))
+        edges = edges.union(landed(cross_blocks(member.select("_band", "_cls", "_root"), all_sets, _link_block, BLOCK), "links-open"))
 
     root = landed(components(edges, "final"), "final")
     lab = (cls.select("_cls", "_first").join(root.withColumnRenamed("node", "_cls"), "_cls", "left")
@@ -372,26 +378,6 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
             .filter(F.coalesce("_a", "u") != F.coalesce("_b", "v")).select("u", "v"))
 
 
-def _residual(open_: DataFrame, regs: DataFrame) -> DataFrame:
-    """Likely pairs between members of a large bucket in different components.
-
-    Queries are the members outside the bucket's largest component; they meet
-    all members in blocks of ``BLOCK``, so that no task holds a whole bucket
-    and only likely pairs become rows."""
-    full = open_.join(regs, "_cls")
-    side = (F.col("_root") != F.col("_main"))
-    rows = F.ceil(F.col("all") / BLOCK).cast("int")
-    cols = F.ceil(F.col("rest") / BLOCK).cast("int")
-    spot = F.xxhash64("_cls")
-    data = ["_band", "_cls", "_root", "_n", "_regs"]
-    member = full.select(*data, F.pmod(spot, rows).cast("int").alias("_i"),
-                         F.explode(F.sequence(F.lit(0), cols - 1)).alias("_j"), F.lit(False).alias("_query"))
-    query = full.filter(side).select(*data, F.explode(F.sequence(F.lit(0), rows - 1)).alias("_i"),
-                                     F.pmod(spot, cols).cast("int").alias("_j"), F.lit(True).alias("_query"))
-    got = (member.union(query).groupBy("_band", "_i", "_j").applyInArrow(_likely_block, "u long, v long"))
-    return got.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
 def near_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept (id is its component's)."""
     out = near_duplicates(docs, id_col, text_col)
