@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medlake.llm.common import (components, cross_blocks, landed, lower_bytes, mix64, row_key,
-                                shingle_hashes, text_slices, word_bounds, word_hashes)
+                                shingle_hashes, spare, text_slices, word_bounds, word_hashes)
 
 K = 5
 NUM, DEN = 85, 100
@@ -388,6 +388,7 @@ def near_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def near_dedup_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row for each component, all columns kept."""
     res = near_duplicates(docs, id_col, text_col)
-    keep = res.filter("_rk = kept_rk").select(F.col("_rk").alias("_llm_rk")).distinct()
-    keyed = docs.withColumn("_llm_rk", row_key(id_col, text_col))
-    return (keyed.join(keep, "_llm_rk", "left_semi").dropDuplicates(["_llm_rk"]).drop("_llm_rk"))
+    rk = spare(docs, "_llm_rk")
+    keep = res.filter("_rk = kept_rk").select(F.col("_rk").alias(rk)).distinct()
+    keyed = docs.withColumn(rk, row_key(id_col, text_col))
+    return keyed.join(keep, rk, "left_semi").dropDuplicates([rk]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.common import landed, row_key
+from medlake.llm.common import landed, row_key, spare
 
 #: Secret of the surrogates; production passes its own.
 KEY = "medlake-surrogates"
@@ -172,11 +172,11 @@ def _entities(matches: Column) -> Column:
     return F.transform(matches, one)
 
 
-def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``_ents``, the entities in order (null types are false alarms);
-    null where the text cannot hold one."""
-    text = F.col(text_col).cast("string")
-    return docs.withColumn("_ents", F.when(text.rlike(GATE), _entities(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))))
+def detect(docs: DataFrame, text_col: str = "text", out: str = "entities") -> DataFrame:
+    """Adds ``out``, the entities in order (null types are false alarms); null
+    where the text cannot hold one."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.withColumn(out, F.when(text.rlike(GATE), _entities(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))))
 
 
 def collisions(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -210,35 +210,35 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY, types_c
     place of a column of that name)."""
     docs = docs.drop(types_col)
     names = docs.columns
-    text = F.col(text_col).cast("string")
-    found = detect(docs, text_col)
-    each = (detect(docs.select(text.alias("_t")), "_t").select(F.explode("_ents").alias("e"))
+    ents, rk, tried = (spare(docs, n) for n in ("_llm_entities", "_llm_rk", "_llm_tries"))
+    text = F.col(f"`{text_col}`").cast("string")
+    found = detect(docs, text_col, ents)
+    each = (detect(docs.select(text.alias("t")), "t").select(F.explode("entities").alias("e"))
             .filter("e.type is not null").select("e.type", "e.canon"))
     moved = landed(collisions(each, key), "exceptions")
+    some = F.size(F.coalesce(F.col(ents), F.array())) > 0
 
     def assembled(df: DataFrame, attempt) -> DataFrame:
         pieces = F.split(text, ANY, -1)
-        subs = F.transform("_ents", lambda e: F.when(e["type"].isNull(), e["match"]).otherwise(
+        subs = F.transform(ents, lambda e: F.when(e["type"].isNull(), e["match"]).otherwise(
             written(e["type"], e["match"], surrogate(e["type"], e["canon"], attempt(e), key))))
-        woven = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size("_ents")), subs, lambda p, s: F.concat(p, s)), ""),
+        woven = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size(ents)), subs, lambda p, s: F.concat(p, s)), ""),
                          F.element_at(pieces, -1))
-        kinds = F.filter(F.transform("_ents", lambda e: e["type"]), lambda t: t.isNotNull())
+        kinds = F.filter(F.transform(ents, lambda e: e["type"]), lambda t: t.isNotNull())
         # F.when keeps texts without entities out of the expensive branch
-        some = F.size(F.coalesce("_ents", F.array())) > 0
         return df.select(*[F.when(some, woven).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
                          F.coalesce(F.when(some, kinds), F.array().cast("array<string>")).alias(types_col))
 
     if moved.isEmpty():
         return assembled(found, lambda e: F.lit(0))
     # only rows that hold an exception take its attempts along
-    keyed = found.withColumn("_rk", row_key(names[0], text_col))
-    holders = (keyed.filter(F.size(F.coalesce("_ents", F.array())) > 0).select("_rk", F.explode("_ents").alias("e"))
-               .select("_rk", "e.type", "e.canon").distinct().join(moved, ["type", "canon"])
-               .groupBy("_rk").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("type", F.lit("|"), "canon"), "attempt"))).alias("_tries")))
-    tries = lambda e: F.coalesce(F.element_at("_tries", F.concat(e["type"], F.lit("|"), e["canon"])), F.lit(0))
-    with_some = F.size(F.coalesce("_ents", F.array())) > 0
-    plain = assembled(keyed.filter(~with_some), lambda e: F.lit(0))
-    rich = assembled(keyed.filter(with_some).join(holders, "_rk", "left"), tries)
+    keyed = found.withColumn(rk, row_key(names[0], text_col))
+    tag = lambda e: F.concat(e["type"], F.lit("|"), e["canon"])
+    holders = (keyed.filter(some).select(rk, F.explode(ents).alias("e")).select(rk, "e.type", "e.canon").distinct()
+               .join(moved, ["type", "canon"])
+               .groupBy(rk).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("type", F.lit("|"), "canon"), "attempt"))).alias(tried)))
+    plain = assembled(keyed.filter(~some), lambda e: F.lit(0))
+    rich = assembled(keyed.filter(some).join(holders, rk, "left"), lambda e: F.coalesce(F.element_at(tried, tag(e)), F.lit(0)))
     return plain.union(rich)
 
 
@@ -251,4 +251,5 @@ def pii_report(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def drop_pii(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """The documents with surrogates in their texts, columns unchanged."""
-    return replace_pii(docs, text_col, key, "_llm_types").drop("_llm_types")
+    types = spare(docs, "_llm_types")
+    return replace_pii(docs, text_col, key, types).drop(types)
