@@ -198,28 +198,24 @@ def permutation_importance(model: PipelineModel, df: DataFrame, feature_cols: Se
                            top_n: int | None = None) -> DataFrame:
     """M9: mean drop of ROC AUC when one feature column is permuted.
 
-    All (feature, repeat) permutations are evaluated in ONE distributed
-    pass: rows are replicated per (feature, repeat) (a fixed factor), each
-    copy gets a seeded random rank and its original rank (bucketed row
-    indices), the permuted value is fetched by an equi-join on the rank, and
-    the exact AUC is computed per (feature, repeat)."""
+    A repeat has one permutation that all features share: rows are ranked by
+    key and by a seeded hash, and one equi-join on the rank brings each row its
+    donor, so ranking and join handle ``repeats`` copies whatever the number of
+    features.  A projection then swaps one feature at a time, and the exact AUC
+    is computed per (feature, repeat)."""
     feats = list(feature_cols)
     base_scored = positive_probability(model.transform(with_features(df, feats)))
     base_auc = metrics.roc_auc(base_scored, "p", label).first()["auc"]
-    combos = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                       for f in feats for r in range(repeats)])
-    rep = df.select("*", F.explode(combos).alias("c")).select("*", "c.feature", "c.rep").drop("c")
-    orig = row_index(rep, [key], partition_cols=["feature", "rep"], out="pos")
-    rnd = orig.withColumn("__h", F.xxhash64(F.col(key), F.col("feature"), F.col("rep"), F.lit(seed)))
-    shuffled = row_index(rnd, ["__h", key], partition_cols=["feature", "rep"], out="src_pos")
-    donor = shuffled.select("feature", "rep", F.col("src_pos").alias("pos"),
-                            F.map_from_arrays(F.array(*[F.lit(f) for f in feats]),
-                                              F.array(*[F.col(f).cast("double") for f in feats])).alias("donor"))
-    j = orig.join(donor, ["feature", "rep", "pos"])
-    cols = [F.when(F.col("feature") == f, F.col("donor")[f]).otherwise(F.col(f).cast("double")).alias(f)
-            for f in feats]
-    perm = j.select(key, label, "feature", "rep", *cols)
-    s = positive_probability(model.transform(with_features(perm, feats)))
+    own = df.select(key, label, F.array(*[F.col(f).cast("double") for f in feats]).alias("__own"))
+    orig = row_index(own, [key], out="pos").withColumn("rep", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
+    rnd = orig.withColumn("__h", F.xxhash64(F.col(key), F.col("rep"), F.lit(seed)))
+    donor = (row_index(rnd, ["__h", key], partition_cols=["rep"], out="src_pos")
+             .select("rep", F.col("src_pos").alias("pos"), F.col("__own").alias("__donor")))
+    perm = (orig.join(donor, ["rep", "pos"])
+            .select(key, label, "rep", "__own", "__donor", F.posexplode(F.array(*[F.lit(f) for f in feats])).alias("__i", "feature"))
+            .select(key, label, "rep", "feature", F.transform("__own", lambda v, k: F.when(
+                k == F.col("__i"), F.get("__donor", k)).otherwise(v)).alias("__vals")))
+    s = positive_probability(model.transform(with_features(perm, "__vals")))
     auc = metrics.roc_auc(s, "p", label, ["feature", "rep"])
     imp = auc.groupBy("feature").agg((F.lit(base_auc) - F.avg("auc")).alias("importance_mean"),
                                      F.stddev_pop(F.lit(base_auc) - F.col("auc")).alias("importance_std"))
@@ -313,40 +309,52 @@ def replay_sample(buffer: DataFrame, shard: str, batch: int, seed: int = 0) -> D
 
 # ---------------------------------------------------------------- I6 SMOTE
 
+def _sorted_neighbours(points: DataFrame, dim: int, width: int, tables: int, seed: int) -> DataFrame:
+    """Candidate pairs (a, b): on each of ``tables`` random directions, the
+    ``width`` points before and after in the order of the projections.
+
+    Every point gets at least ``min(width, n - 1)`` candidates and at most
+    ``2 * width * tables``, whatever the number of points; the order comes from
+    distributed row indices."""
+    rng = random.Random(seed)
+    out = None
+    for _ in range(tables):
+        line = F.array(*[F.lit(rng.gauss(0.0, 1.0)) for _ in range(dim)])
+        at = F.aggregate(F.zip_with("x", line, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+        p = row_index(points.select("a", at.alias("__at")), ["__at", "a"], out="pos").select("a", "pos")
+        after = p.select(F.col("a").alias("b"), F.explode(F.array(*[F.col("pos") - j for j in range(1, width + 1)])).alias("pos"))
+        pairs = p.join(after, "pos").select("a", "b")
+        out = pairs if out is None else out.union(pairs)
+    return out.union(out.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+
+
 def smote(df: DataFrame, vec: str, label: str, key: str, minority: int = 1, k: int = 5, seed: int = 42,
-          bucket_length: float | None = None, num_tables: int = 2) -> DataFrame:
+          num_tables: int = 4) -> DataFrame:
     """Synthetic minority samples new = x + u * (neighbour - x) until the
     classes balance, u uniform from a hash of (key, draw, seed).
 
-    Neighbours are the k nearest minority points among the candidates of a
-    random-projection LSH self-join (Spark's ``approxSimilarityJoin``) -- no
-    all-pairs product; the neighbour search is therefore approximate, the
-    interpolation exact.  Returns the synthetic rows only (same columns as
-    the input's key/label/vector plus ``synthetic``)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    Neighbours are the k nearest minority points among the ``2k`` points on
+    either side along ``num_tables`` random directions: the neighbour search is
+    approximate with a bounded number of candidates per point, every minority
+    point is a possible seed, and the interpolation is exact.  Returns the
+    synthetic rows only (same columns as the input's key/label/vector plus
+    ``synthetic``)."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_min = counts.get(minority, 0)
     n_maj = max(v for c, v in counts.items() if c != minority) if len(counts) > 1 else 0
     need = n_maj - n_min
     if need <= 0 or n_min < 2:
         return df.limit(0).withColumn("synthetic", F.lit(True))
-    mino = with_features(df.where(F.col(label) == minority).select(key, vec), vec, "v")
-    if bucket_length is None:
-        # half the spread of a projection on a random unit direction (sqrt of the mean
-        # per-dimension variance): buckets then hold near points, not the whole class
-        e = df.where(F.col(label) == minority).select(F.posexplode(F.col(vec).cast("array<double>")).alias("i", "x"))
-        var = e.groupBy("i").agg(F.var_pop("x").alias("v")).agg(F.avg("v").alias("v")).first()["v"] or 1.0
-        bucket_length = max(0.5 * math.sqrt(var), 1e-6)
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(mino)
-    pairs = lsh.approxSimilarityJoin(mino, mino, float("inf"), distCol="d").select(
-        F.col(f"datasetA.{key}").alias("a"), F.col(f"datasetB.{key}").alias("b"), "d").where(F.col("a") != F.col("b"))
+    mino = df.where(F.col(label) == minority).select(F.col(key).alias("a"), F.col(vec).cast("array<double>").alias("x"))
+    dim = mino.agg(F.max(F.size("x")).alias("d")).first()["d"]
+    cand = _sorted_neighbours(mino, dim, 2 * k, num_tables, seed)
+    gap = F.aggregate(F.zip_with("x", "y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    pairs = (cand.join(mino, "a").join(mino.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+             .select("a", "b", gap.alias("d")))
     w = Window.partitionBy("a").orderBy("d", "b")
     nb = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     deg = nb.groupBy("a").agg(F.max("rank").alias("deg"))
-    n_src = deg.count()  # minority points that found neighbours
-    if n_src == 0:
-        return df.limit(0).withColumn("synthetic", F.lit(True))
+    n_src = deg.count()  # all minority points
     per = math.ceil(need / n_src)
     draws = deg.select("a", "deg", F.explode(F.sequence(F.lit(1), F.lit(per))).alias("draw"))
     draws = draws.withColumn("rank", (F.pmod(F.xxhash64("a", "draw", F.lit(seed)), F.col("deg")) + 1).cast("int"))

@@ -25,6 +25,7 @@ task (``percentile`` keeps every distinct value of a group in memory).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -38,10 +39,7 @@ MAX_BOOKKEEPING_ROWS = 2_000_000  # heavy keys x buckets kept below this (broadc
 
 
 def _is_temporal(df: DataFrame, c: Column) -> bool:
-    try:
-        t = df.select(c).schema.fields[0].dataType.typeName()
-    except Exception:
-        return False
+    t = df.select(c).schema.fields[0].dataType.typeName()
     return t in ("timestamp", "timestamp_ntz", "date")
 
 
@@ -51,13 +49,14 @@ def _bucket_splits(df: DataFrame, key: Column, n_buckets: int) -> list[float]:
     qs = [i / n_buckets for i in range(1, n_buckets)]
     row = df.agg(F.percentile_approx(key, qs, 10000).alias("q")).first()
     vals = row["q"] if row is not None else None
-    return sorted({float(v) for v in (vals or []) if v is not None})
+    return sorted({float(v) for v in (vals or []) if v is not None and math.isfinite(v)})
 
 
 def _bucket_key(df: DataFrame, first: Column, descending: bool) -> Column:
     key = F.unix_micros(first.cast("timestamp")).cast("double") if _is_temporal(df, first) else first.cast("double")
     k = -key if descending else key
-    # NULLs sort first ascending, last descending (Spark's defaults)
+    # as Spark sorts: NaN above every number, NULL below every one
+    k = F.when(F.isnan(key), F.lit(float("-inf") if descending else float("inf"))).otherwise(k)
     return F.coalesce(k, F.lit(float("inf") if descending else float("-inf")))
 
 
@@ -221,9 +220,11 @@ def trailing_window(df: DataFrame, keys: Sequence[str], order: Sequence[str | Co
     read-only context ("halo").  The window then runs per (key, chunk) with
     Spark's own numerically stable aggregates, and the halo copies are
     dropped -- exact, and no partition exceeds ``chunk_rows + n`` rows even
-    for a key holding most of the data.
+    for a key holding most of the data.  A chunk holds at least ``n`` rows, so
+    the halo never has to reach beyond the chunk before.
     """
     k = list(keys)
+    chunk_rows = max(chunk_rows, n)
     idx = row_index(df, order, partition_cols=k, out="__idx", heavy_rows=heavy_rows)
     chunk = F.floor((F.col("__idx") - 1) / F.lit(chunk_rows))
     own = idx.withColumn("__chunk", chunk).withColumn("__halo", F.lit(False))

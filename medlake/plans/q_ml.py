@@ -1,8 +1,8 @@
 """Registered queries for model training, scoring and model analytics (M, I6).
 
 Training data: ``embeddings`` (64-d vectors) with the binary target
-``label >= 5``; the permutation / SHAP queries use the first 8 dimensions
-as named columns.  These are checked by row count (no SQL oracle) except
+``label >= 5``; the permutation / SHAP queries use all dimensions as named
+columns.  These are checked by row count (no SQL oracle) except
 where the result is SQL-expressible (M11, M12, M15).
 """
 
@@ -17,7 +17,7 @@ from medlake.session import scratch_path
 from medlake.sources.derived import derived
 from medlake.sources.tables import table
 
-DIMS = [f"e{i}" for i in range(8)]
+DIMS = [f"e{i}" for i in range(64)]
 
 
 def r6(c):
@@ -86,9 +86,8 @@ def m7(spark, sf):
 def m8(spark, sf):
     m, d = _lr_model(spark, sf)
     path = scratch_path(spark, "m8-package")
-    dims = [f"e{i}" for i in range(64)]
-    train = d.where(~F.col("is_test")).select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(dims)])
-    ml.save_package(m, path, fit_standard(train, dims), {"model": "logistic", "label": "label >= 5"})
+    train = d.where(~F.col("is_test")).select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(DIMS)])
+    ml.save_package(m, path, fit_standard(train, DIMS), {"model": "logistic", "label": "label >= 5"})
     loaded, stats, meta = ml.load_package(spark, path)
     a = ml.positive_probability(m.transform(d)).select("vec_id", F.col("p").alias("p1"))
     b = ml.positive_probability(loaded.transform(d)).select("vec_id", F.col("p").alias("p2"))

@@ -16,6 +16,7 @@ import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -64,7 +65,8 @@ def run_available_now(df: DataFrame, name: str, output_mode: str = "append", key
         return spark.read.schema(df.schema).parquet(out)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        # one folder per epoch: a replayed epoch replaces its first attempt
+        batch.write.mode("overwrite").parquet(f"{out}/_epoch={epoch}")
 
     q = (df.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).outputMode(output_mode)
          .trigger(availableNow=True).start())
@@ -109,14 +111,15 @@ def assessment_sessions(assessments: DataFrame, patient: str, gap: str = "4 hour
 
 
 def log_predictions(stream: DataFrame, log_path: str, metrics_path: str, ts: str = "ts") -> None:
-    """S6 stream sink body for ``foreachBatch``: append the batch to the
-    day-partitioned log and one metrics row per model to a metrics table."""
+    """S6 stream sink body for ``foreachBatch``: write the batch to the log
+    (partitioned by epoch and day) and one metrics row per model to a metrics
+    table (by epoch); a replayed epoch replaces its folder."""
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(log_path)
+        batch.withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy("day").parquet(f"{log_path}/epoch={epoch}")
         batch.groupBy("model").agg(F.count(F.lit(1)).alias("n"),
                                    F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy"),
                                    F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier")) \
-            .withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(metrics_path)
+            .write.mode("overwrite").parquet(f"{metrics_path}/epoch={epoch}")
     return sink
 
 
@@ -283,14 +286,16 @@ def online_logistic_sink(weights_path: str, vec: str = "features_array", label:
         spark = batch.sparkSession
         try:
             last = spark.read.parquet(weights_path).orderBy(F.desc("epoch")).first()
-        except Exception:  # noqa: BLE001 -- no weights yet
-            last = None
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            last = None  # no weights yet
         if last is not None and last["epoch"] >= epoch:
             return  # this epoch was already applied (replay after a restart)
+        if batch.isEmpty():
+            return
         n = dim or len(batch.select(vec).first()[0])
         w, b = (list(last["weights"]), last["bias"]) if last is not None else ([0.0] * n, 0.0)
-        if batch.limit(1).count() == 0:
-            return
         w, b = gradient_step(batch, w, b, vec, label, lr=lr)
         spark.createDataFrame([(epoch, w, b)], "epoch long, weights array<double>, bias double") \
             .write.mode("append").parquet(weights_path)

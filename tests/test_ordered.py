@@ -1,6 +1,7 @@
 """Bucketed ordered helpers agree with plain windows, on both the light-key
 path and the heavy-key (split) path."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -82,3 +83,23 @@ def test_many_heavy_keys_fall_back_to_shuffle_join(spark, monkeypatch):
     assert {r["ts"]: r["cum_v"] for r in got.collect()} == want
     _, kind = od._assign_buckets(df, [F.col("ts")], ["k"], 16, 10)
     assert kind == "heavy_many"
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("every", [1000, 4])
+def test_running_totals_with_nan_and_null_order(spark, descending, every):
+    """Both paths sort NaN and NULL as Spark does."""
+    rows = [(i % 2, None if i % 97 == 5 else float("nan") if i % every == 0 else float((i * 37) % 500), i, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, x double, id int, v long").repartition(4)
+    order = [F.col("x"), F.col("id")]
+    w = Window.partitionBy("k").orderBy(*[o.desc() if descending else o.asc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+    want = {r["id"]: r["s"] for r in df.select("id", F.sum("v").over(w).alias("s")).collect()}
+    for heavy in (10, 10 ** 6):
+        got = running_totals(df, order, ["v"], partition_cols=["k"], descending=descending, n_buckets=8, heavy_rows=heavy)
+        assert {r["id"]: r["cum_v"] for r in got.collect()} == want
+
+
+def test_trailing_window_longer_than_a_chunk(spark):
+    df = spark.range(20).select(F.lit(1).alias("k"), F.col("id").alias("ts"), F.lit(1.0).alias("v"))
+    got = trailing_window(df, ["k"], ["ts"], 10, {"n": F.count("v")}, chunk_rows=4, heavy_rows=5)
+    assert [r["n"] for r in got.orderBy("ts").collect()] == [min(i, 10) for i in range(20)]

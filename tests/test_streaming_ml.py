@@ -71,7 +71,7 @@ def test_gradient_step_matches_numpy(spark):
 def test_smote_interpolates_between_minority_points(spark):
     pts = [(i, [float(i % 5), float(i // 5)], 1 if i < 8 else 0) for i in range(30)]
     df = spark.createDataFrame(pts, "id long, v array<double>, y int")
-    s = ml.smote(df, "v", "y", "id", minority=1, k=3, bucket_length=10.0)
+    s = ml.smote(df, "v", "y", "id", minority=1, k=3)
     rows = s.collect()
     assert len(rows) == 22 - 8
     mino = np.array([p[1] for p in pts if p[2] == 1])
