@@ -35,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medlake.llm.common import SLICE_BYTES, filled, text_slices
+from medlake.llm.common import SLICE_BYTES, bounded_batches, filled, text_slices
 
 LEAF = 8
-CACHE = 500_000
-PAIRS = 200_000
+#: Entries a Python worker keeps: matches, leaves, token pairs (about 100 MB).
+CACHE = 250_000
+LEAVES = 100_000
+PAIRS = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -93,8 +95,8 @@ class ByteBpe(dict):
             if i:
                 pair[i - 1] = rank(parts[i - 1] + parts[i], none)
         ids = [self.ranks[p] for p in parts]
-        if len(raw) <= 2 * LEAF:
-            if len(self.merged) >= CACHE:
+        if len(raw) <= LEAF:
+            if len(self.merged) >= LEAVES:
                 self.merged.clear()
             self.merged[raw] = ids
         return ids
@@ -139,6 +141,7 @@ class ByteBpe(dict):
 
 def _vocabulary(df: DataFrame, path: str | None, pattern: str | None) -> Any:
     """Broadcast (ranks, pattern): the fixed vocabulary file, read once."""
+    bounded_batches(df.sparkSession)
     if path is None or pattern is None:
         import public_tokenizers
         path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -19,16 +19,29 @@ from pyspark.sql import functions as F
 from medlake.session import ensure_checkpoint_dir, materialize
 
 SLICE_BYTES = 1 << 20
+#: Rows that Spark hands to a Python worker at once; its default of 10,000 texts
+#: would be held by the JVM and the worker at the same time.
+BATCH_ROWS = 1024
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows."""
+    now = int(spark.conf.get(BATCH_CONF, "0"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A landed table, read by Spark so that any Hadoop file system works."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back (cuts lineage)."""
     ensure_checkpoint_dir(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return materialize(df, f"llm-{name}")
 
 
