@@ -6,7 +6,8 @@ table to the next one.
 
 1. ``toxicity``: trained on the labelled documents among its input, drops what
    reaches its language's threshold.
-2. ``near_dedup``: one document of every group of near duplicates stays.
+2. ``near_dedup``: one document of every group of near duplicates (similarity of
+   the sets of five-word shingles at least ``NEAR``) stays.
 3. ``decontaminate``: documents in which a benchmark window occurs go.
 4. ``pii``: entities in the texts are replaced by surrogates.
 5. ``tokens``: adds ``n_tokens``, ``ids`` (packed 32-bit little-endian) and
@@ -23,6 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from medlake.llm import byte_bpe, decontaminate, near_dedup, pii, toxicity
 from medlake.llm.common import landed, read_table
 
+#: Threshold of the near_dedup stage; that of the op4 query is its own.
+NEAR = (80, 100)
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
@@ -30,7 +34,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup_keep(docs)
+    return near_dedup.near_dedup_keep(docs, limit=NEAR)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

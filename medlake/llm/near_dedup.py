@@ -7,8 +7,9 @@ truncated to 16 bits.  Registers merge by maximum and two sets agree in a
 register with a probability close to (never below) their similarity.
 
 1. Sketch every text in numpy; documents with equal sets form one *class*.
-2. Band the registers (``BANDS`` x ``ROWS``).  At similarity 0.85 a pair shares
-   no band with probability below 3e-7.
+2. Band the registers: ``shape`` takes the most rows a band may have so that a
+   pair at the threshold shares no band with probability below ``MISS`` (32 bands
+   of 6 rows at 0.85, 38 of 5 at 0.8).
 3. Buckets of at most ``FEW`` classes give all their pairs; larger ones give
    one edge per member, to the member with the heaviest buckets (a star, so
    the count stays linear in a hot group).
@@ -23,6 +24,8 @@ register with a probability close to (never below) their similarity.
    compared on their full sets in blocks; only links become rows, so none is
    lost to the star shortcut and no bucket is expanded into its pairs.
 
+The threshold is a parameter, a similarity as (numerator, denominator).
+
 Results for odd input: null or blank text has an empty set and links with
 nothing; a null id takes part like any other and shows its component's
 smallest id (null if it has none); rows repeating id and text share a result.
@@ -44,9 +47,9 @@ from medlake.llm.common import (components, cross_blocks, landed, lower_bytes, m
                                 shingle_hashes, spare, text_slices, word_bounds, word_hashes)
 
 K = 5
-NUM, DEN = 85, 100
-ROWS, BANDS = 6, 32
-M = ROWS * BANDS
+LIMIT = (85, 100)
+M = 192
+MISS = 3e-7
 BASE, RATE, TOP = 1.001, 20.0, 65534
 SMALL = 64
 FEW = 16
@@ -55,7 +58,7 @@ LLR = 14.0
 
 _MULT = mix64(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = mix64(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_BAND = mix64(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+_BAND_MULT = mix64(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
 def text_sets(arr: pa.Array, k: int = K) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -97,11 +100,20 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band of ``ROWS`` registers."""
-    v = mix64((regs.astype(np.uint64) + np.uint64(1)) * _BAND)
-    return mix64(v.reshape(len(regs), BANDS, ROWS).sum(axis=2, dtype=np.uint64)
-                 + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def shape(limit: tuple[int, int] = LIMIT) -> tuple[int, int]:
+    """(bands, rows): the longest bands that miss a pair at the threshold with
+    probability below ``MISS``; one row each where none does."""
+    j = limit[0] / limit[1]
+    rows = max((r for r in range(1, M + 1) if (1 - j ** r) ** (M // r) < MISS), default=1)
+    return M // rows, rows
+
+
+def band_keys(regs: np.ndarray, limit: tuple[int, int] = LIMIT) -> np.ndarray:
+    """One 64-bit key per band."""
+    bands, rows = shape(limit)
+    v = mix64((regs.astype(np.uint64) + np.uint64(1)) * _BAND_MULT)[:, :bands * rows]
+    return mix64(v.reshape(len(regs), bands, rows).sum(axis=2, dtype=np.uint64)
+                 + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def _log_rates(j: float, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +123,7 @@ def _log_rates(j: float, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.n
     return np.log(more), np.log(less), np.log(np.maximum(1 - more - less, 1e-9))
 
 
-def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, limit: tuple[int, int] = LIMIT) -> np.ndarray:
     """Pairs whose registers do not rule out the threshold similarity: the
     joint log-likelihood at the threshold, or somewhere above it, is within
     ``LLR`` of the best one."""
@@ -122,23 +134,25 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.n
     u, v = na / (na + nb), nb / (na + nb)
     best = np.full(len(a), -np.inf)
     above = np.full(len(a), -np.inf)
-    limit = NUM / DEN
-    for j in np.concatenate([np.linspace(0.0, limit - 0.01, 35), np.linspace(limit, 1.0, 16)]):
+    num, den = limit
+    least = num / den
+    for j in np.concatenate([np.linspace(0.0, max(least - 0.01, 0.0), 35), np.linspace(least, 1.0, 16)]):
         lp, lm, ls = _log_rates(j, u, v)
         ll = plus * lp + minus * lm + same * ls
         best = np.maximum(best, ll)
-        if j >= limit:
+        if j >= least:
             above = np.maximum(above, ll)
-    sized = np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM
+    sized = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
     return sized & (above >= best - LLR)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, limit: tuple[int, int] = LIMIT) -> bool:
     """Exact test on two sorted distinct arrays."""
-    if min(len(a), len(b)) * DEN < max(len(a), len(b)) * NUM:
+    num, den = limit
+    if min(len(a), len(b)) * den < max(len(a), len(b)) * num:
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * DEN >= (len(a) + len(b) - both) * NUM
+    return both * den >= (len(a) + len(b) - both) * num
 
 
 def _reg_rows(col: pa.Array) -> np.ndarray:
@@ -165,22 +179,26 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([r.tobytes() for r in regs], pa.binary())], names=["_rk", "_id", "_n", "_h1", "_h2", "_regs"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 4096):
-            part = batch.slice(lo, 4096)
-            keys = band_keys(_reg_rows(part.column("_regs")))
-            cls = np.repeat(part.column("_cls").to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cls)], names=["_band", "_cls"])
+def _bands(limit: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                keys = band_keys(_reg_rows(part.column("_regs")), limit)
+                cls = np.repeat(part.column("_cls").to_numpy(zero_copy_only=False), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cls)], names=["_band", "_cls"])
+    return run
 
 
-def _likely_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 4096):
-            p = batch.slice(lo, 4096)
-            keep = likely(_reg_rows(p.column("_ru")), _reg_rows(p.column("_rv")),
-                          p.column("_nu").to_numpy(), p.column("_nv").to_numpy())
-            yield p.select(["u", "v"]).filter(pa.array(keep))
+def _likely_pairs(limit: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                p = batch.slice(lo, 4096)
+                keep = likely(_reg_rows(p.column("_ru")), _reg_rows(p.column("_rv")),
+                              p.column("_nu").to_numpy(), p.column("_nv").to_numpy(), limit)
+                yield p.select(["u", "v"]).filter(pa.array(keep))
+    return run
 
 
 def _sets(wanted: np.ndarray):
@@ -199,63 +217,71 @@ def _sets(wanted: np.ndarray):
     return run
 
 
-def _verify_group(table: pa.Table) -> pa.Table:
+def _verify_group(limit: tuple[int, int]):
     """One small candidate component: its classes and their final roots."""
-    cls = table.column("_cls").to_pylist()
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("_set").to_pylist()]
-    order = np.argsort(cls)
-    root = list(range(len(cls)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for x in range(len(order)):
-        for y in range(x):
-            i, j = find(order[x]), find(order[y])
-            if i != j and linked(sets[order[x]], sets[order[y]]):
-                lo, hi = sorted((i, j), key=lambda q: cls[q])
-                root[hi] = lo
-    return pa.table({"u": pa.array(cls, pa.int64()), "v": pa.array([cls[find(i)] for i in range(len(cls))], pa.int64())})
-
-
-def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column("_su"), batch.column("_sv")
-        keep = [linked(np.frombuffer(a[i].as_py(), np.uint64), np.frombuffer(b[i].as_py(), np.uint64))
-                for i in range(batch.num_rows)]
-        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    def run(table: pa.Table) -> pa.Table:
+        cls = table.column("_cls").to_pylist()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("_set").to_pylist()]
+        order = np.argsort(cls)
+        root = list(range(len(cls)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for x in range(len(order)):
+            for y in range(x):
+                i, j = find(order[x]), find(order[y])
+                if i != j and linked(sets[order[x]], sets[order[y]], limit):
+                    lo, hi = sorted((i, j), key=lambda q: cls[q])
+                    root[hi] = lo
+        return pa.table({"u": pa.array(cls, pa.int64()), "v": pa.array([cls[find(i)] for i in range(len(cls))], pa.int64())})
+    return run
 
 
-def _link_block(table: pa.Table) -> pa.Table:
+def _verify_pairs(limit: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("_su"), batch.column("_sv")
+            keep = [linked(np.frombuffer(a[i].as_py(), np.uint64), np.frombuffer(b[i].as_py(), np.uint64), limit)
+                    for i in range(batch.num_rows)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+def _link_block(limit: tuple[int, int]):
     """Links of one block pair between different components, on full sets; of
     those to one component a query needs only one.
 
     The block's elements are numbered; a query marks its own and counts the
     marks in every member at once."""
-    query = np.asarray(table.column("_query").to_pylist(), dtype=bool)
-    cls, root = table.column("_cls").to_numpy(), table.column("_root").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("_set").to_pylist()]
-    q, m = np.flatnonzero(query), np.flatnonzero(~query)
-    us, vs = [], []
-    if len(q) and len(m):
-        size = np.array([len(sets[i]) for i in m])
-        known, code = np.unique(np.concatenate([sets[i] for i in m]), return_inverse=True)
-        at = np.cumsum(size) - size
-        mark = np.zeros(len(known), np.int64)
-        for i in q:
-            spot = np.searchsorted(known, sets[i])
-            spot = spot[(spot < len(known)) & (known[np.minimum(spot, len(known) - 1)] == sets[i])]
-            mark[spot] = 1
-            both = np.add.reduceat(mark[code], at)
-            mark[spot] = 0
-            hit = m[(both * DEN >= (len(sets[i]) + size - both) * NUM) & (root[m] != root[i])]
-            _, first = np.unique(root[hit], return_index=True)
-            us += [cls[i]] * len(first)
-            vs += cls[hit[first]].tolist()
-    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+    num, den = limit
+
+    def run(table: pa.Table) -> pa.Table:
+        query = np.asarray(table.column("_query").to_pylist(), dtype=bool)
+        cls, root = table.column("_cls").to_numpy(), table.column("_root").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("_set").to_pylist()]
+        q, m = np.flatnonzero(query), np.flatnonzero(~query)
+        us, vs = [], []
+        if len(q) and len(m):
+            size = np.array([len(sets[i]) for i in m])
+            known, code = np.unique(np.concatenate([sets[i] for i in m]), return_inverse=True)
+            at = np.cumsum(size) - size
+            mark = np.zeros(len(known), np.int64)
+            for i in q:
+                spot = np.searchsorted(known, sets[i])
+                spot = spot[(spot < len(known)) & (known[np.minimum(spot, len(known) - 1)] == sets[i])]
+                mark[spot] = 1
+                both = np.add.reduceat(mark[code], at)
+                mark[spot] = 0
+                hit = m[(both * den >= (len(sets[i]) + size - both) * num) & (root[m] != root[i])]
+                _, first = np.unique(root[hit], return_index=True)
+                us += [cls[i]] * len(first)
+                vs += cls[hit[first]].tolist()
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+    return run
 
 
 # --- the operator ---------------------------------------------------------
@@ -289,14 +315,15 @@ def _bitmap(keys: DataFrame, bits: int = 1 << 23):
     return sc.broadcast(out)
 
 
-def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _exact(pairs: DataFrame, sets: DataFrame, limit: tuple[int, int]) -> DataFrame:
     """The pairs whose full sets are linked."""
     su = sets.select(F.col("_cls").alias("u"), F.col("_set").alias("_su"))
     sv = sets.select(F.col("_cls").alias("v"), F.col("_set").alias("_sv"))
-    return pairs.join(su, "u").join(sv, "v").select("u", "v", "_su", "_sv").mapInArrow(_verify_pairs, "u long, v long")
+    return pairs.join(su, "u").join(sv, "v").select("u", "v", "_su", "_sv").mapInArrow(_verify_pairs(limit), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    limit: tuple[int, int] = LIMIT) -> DataFrame:
     """Return per row: ``_rk`` (row key), ``_id``, ``n_shingles``,
     ``component_id`` (smallest id reachable) and ``kept_rk``, the key of the
     one row that represents the component (smallest id, then smallest key)."""
@@ -310,7 +337,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     regs = cls.select("_cls", "_n", "_regs")
 
     # buckets
-    bands = landed(regs.mapInArrow(_bands, "_band long, _cls long"), "bands")
+    bands = landed(regs.mapInArrow(_bands(limit), "_band long, _cls long"), "bands")
     count = bands.groupBy("_band").agg(F.count("*").alias("c"), F.min("_cls").alias("u"), F.max("_cls").alias("v")).filter("c > 1")
     count = landed(count, "buckets")
     two = count.filter("c = 2").select("u", "v")
@@ -330,7 +357,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = regs.select(F.col("_cls").alias("u"), F.col("_n").alias("_nu"), F.col("_regs").alias("_ru"))
     right = regs.select(F.col("_cls").alias("v"), F.col("_n").alias("_nv"), F.col("_regs").alias("_rv"))
     cand = landed(pairs.join(left, "u").join(right, "v").select("u", "v", "_nu", "_nv", "_ru", "_rv")
-                  .mapInArrow(_likely_pairs, "u long, v long"), "cand")
+                  .mapInArrow(_likely_pairs(limit), "u long, v long"), "cand")
 
     # exact check
     comp = landed(components(cand, "cand"), "cand-comp")
@@ -342,21 +369,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         node.select("_cls").union(large.select("_cls")).distinct(), "_cls", "left_semi")
         .dropDuplicates(["_cls"]), "sets")
     small = (all_sets.join(node.filter(F.col("members") <= SMALL), "_cls").select("root", "_cls", "_set")
-             .groupBy("root").applyInArrow(_verify_group, "u long, v long").filter("u <> v"))
+             .groupBy("root").applyInArrow(_verify_group(limit), "u long, v long").filter("u <> v"))
     in_large = node.filter(F.col("members") > SMALL).select(F.col("_cls").alias("u"), "members")
     edges = landed(small, "links-small")
     wide = landed(cand.join(in_large, "u").select("u", "v"), "cand-large")
     if not wide.isEmpty():
-        first = landed(_exact(wide.join(star.distinct(), ["u", "v"], "left_semi"), all_sets), "links-star")
+        first = landed(_exact(wide.join(star.distinct(), ["u", "v"], "left_semi"), all_sets, limit), "links-star")
         edges = edges.union(first)
         at = components(first, "star")
-        edges = edges.union(landed(_exact(_across(wide, at), all_sets), "links-rest"))
+        edges = edges.union(landed(_exact(_across(wide, at), all_sets, limit), "links-rest"))
     # members of large buckets that the star edges left apart
     if not large.isEmpty():
         found = components(edges, "first")
         member = (large.select("_band", "_cls").join(found.withColumnRenamed("node", "_cls"), "_cls", "left")
                   .withColumn("_root", F.coalesce("root", "_cls")).drop("root"))
-        edges = edges.union(landed(cross_blocks(member.select("_band", "_cls", "_root"), all_sets, _link_block, BLOCK), "links-open"))
+        edges = edges.union(landed(cross_blocks(member.select("_band", "_cls", "_root"), all_sets, _link_block(limit), BLOCK), "links-open"))
 
     root = landed(components(edges, "final"), "final")
     lab = (cls.select("_cls", "_first").join(root.withColumnRenamed("node", "_cls"), "_cls", "left")
@@ -378,16 +405,18 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
             .filter(F.coalesce("_a", "u") != F.coalesce("_b", "v")).select("u", "v"))
 
 
-def near_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      limit: tuple[int, int] = LIMIT) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept (id is its component's)."""
-    out = near_duplicates(docs, id_col, text_col)
+    out = near_duplicates(docs, id_col, text_col, limit)
     return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id",
                       F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def near_dedup_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    limit: tuple[int, int] = LIMIT) -> DataFrame:
     """The documents with one row for each component, all columns kept."""
-    res = near_duplicates(docs, id_col, text_col)
+    res = near_duplicates(docs, id_col, text_col, limit)
     rk = spare(docs, "_llm_rk")
     keep = res.filter("_rk = kept_rk").select(F.col("_rk").alias(rk)).distinct()
     keyed = docs.withColumn(rk, row_key(id_col, text_col))

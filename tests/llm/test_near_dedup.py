@@ -98,3 +98,57 @@ def test_text_sets_by_slices():
     texts = ["a b c d e f", None, "a b", "A  b\tC d e f"]
     got = [s for _, sets in nd.text_sets(pa.array(texts)) for s in sets]
     assert [len(s) for s in got] == [2, 0, 1, 2] and (got[0] == got[3]).all()
+
+
+def brute_ids(rows, num):
+    """component_id per row at a threshold of ``num`` hundredths."""
+    sets = [shingles(r[1]) for r in rows]
+    comp = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= num * len(sets[i] | sets[j]):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    return [min(r[0] for r, c in zip(rows, comp, strict=True) if c == comp[i]) for i in range(len(rows))]
+
+
+def between_rows():
+    """Pairs whose similarity lies on both sides of 0.80 and 0.85."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for p, changed in enumerate([16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 30] * 3):
+        a = [word() for _ in range(204)]
+        b = a[:204 - changed] + [word() for _ in range(changed)]
+        rows += [(2 * p, " ".join(a), "en", "s", 1), (2 * p + 1, " ".join(b), "en", "s", 1)]
+    return rows
+
+
+def test_threshold_is_a_parameter(spark):
+    rows = between_rows()
+    kept = {}
+    for num in (80, 85):
+        want = brute_ids(rows, num)
+        limit = (num, 100)
+        got = {r["doc_id"]: r["component_id"] for r in nd.near_dedup_report(docs(spark, rows), limit=limit).collect()}
+        assert got == {r[0]: w for r, w in zip(rows, want, strict=True)}
+        kept[num] = {r["doc_id"] for r in nd.near_dedup_keep(docs(spark, rows), limit=limit).collect()}
+        assert kept[num] == set(want)
+    assert kept[80] < kept[85]
+
+
+def test_queries_have_their_own_thresholds(spark, sf):
+    """The pipeline's stage links from 0.80, the op4 report from 0.85."""
+    import corpus_pipeline as cp
+    rows = between_rows()
+    stage = {r["doc_id"] for r in cp.near_dedup_stage(spark, docs(spark, rows, clash=False), sf).collect()}
+    assert stage == set(brute_ids(rows, 80))
+    report = {r["doc_id"] for r in nd.near_dedup_report(docs(spark, rows)).filter("kept").collect()}
+    assert report == set(brute_ids(rows, 85))
+
+
+def test_bands_miss_few_pairs_at_the_threshold():
+    assert nd.shape((85, 100)) == (32, 6) and nd.shape((80, 100)) == (38, 5)
+    for limit in ((50, 100), (80, 100), (85, 100), (95, 100)):
+        bands, rows = nd.shape(limit)
+        assert bands * rows <= nd.M and (1 - (limit[0] / limit[1]) ** rows) ** bands < nd.MISS
