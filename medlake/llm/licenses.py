@@ -4,11 +4,14 @@ A text is reduced to its words (ASCII letters lower-cased, digits, non-ASCII
 characters), joined by single spaces; a rule is a regex over that string, so
 its detections are intervals of words.  Every license family contributes its
 names and its own wordings, every name goes through the sentence frames in
-``FRAMES``: some hundreds of rules in all, compiled on first use.
+``FRAMES``: some hundreds of rules in all, compiled on first use.  SPDX short
+identifiers ("MIT", "Apache-2.0") say nothing outside an SPDX line, so they have
+rules of their own there, for each operand of an expression.
 
 * Keyword prefilter: a cheap test of the raw text for the few stems without
-  which no rule can match, then a rule runs only if all of its keywords are
-  among the text's words.
+  which no rule can match, then a rule runs only if all of its keywords (the
+  words that all strings its pattern can match have in common) are among the
+  text's words.
 * Order: rules have priorities (exact grants and identifiers over names).  A
   detection whose interval lies inside one of higher priority, or of equal
   priority and greater length, is suppressed, so that "gnu lesser general
@@ -101,9 +104,72 @@ FAMILIES: dict[str, tuple[str, ...]] = {
     "public-domain": ("(released|dedicated|placed) (in|to|into) the public domain", "this work is in the public domain"),
     "proprietary": ("all rights reserved", "proprietary and confidential", "unauthorized copying of this file"),
 }
+#: SPDX short identifiers by label, as words; families without one have a LicenseRef.
+SPDX: dict[str, tuple[str, ...]] = {
+    "mit": ("mit",),
+    "apache-1": ("apache 1 [01]",),
+    "apache-2": ("apache 2 0",),
+    "bsd-2": ("bsd 2 clause",),
+    "bsd-3": ("bsd 3 clause",),
+    "bsd-4": ("bsd 4 clause",),
+    "0bsd": ("0bsd",),
+    "isc": ("isc",),
+    "zlib": ("zlib",),
+    "gpl-2": ("gpl 2 0( only| or later)?",),
+    "gpl-3": ("gpl 3 0( only| or later)?",),
+    "lgpl-2": ("lgpl 2 [01]( only| or later)?",),
+    "lgpl-3": ("lgpl 3 0( only| or later)?",),
+    "agpl-3": ("agpl 3 0( only| or later)?",),
+    "gfdl": ("gfdl 1 [1-3]( no)?( invariants)?( only| or later)?",),
+    "mpl-1": ("mpl 1 [01]",),
+    "mpl-2": ("mpl 2 0",),
+    "epl-1": ("epl 1 0",),
+    "epl-2": ("epl 2 0",),
+    "cddl-1": ("cddl 1 [01]",),
+    "eupl": ("eupl 1 [0-2]",),
+    "artistic-1": ("artistic 1 0",),
+    "artistic-2": ("artistic 2 0",),
+    "bsl-1": ("bsl 1 0",),
+    "wtfpl": ("wtfpl",),
+    "unlicense": ("unlicense",),
+    "cc0": ("cc0 1 0",),
+    "cc-by": ("cc by [1-4] [05]",),
+    "cc-by-sa": ("cc by sa [1-4] [05]",),
+    "cc-by-nd": ("cc by nd [1-4] [05]",),
+    "cc-by-nc": ("cc by nc [1-4] [05]",),
+    "cc-by-nc-sa": ("cc by nc sa [1-4] [05]",),
+    "cc-by-nc-nd": ("cc by nc nd [1-4] [05]",),
+    "odbl": ("odbl 1 0",),
+    "odc-by": ("odc by 1 0",),
+    "pddl": ("pddl 1 0",),
+    "ofl": ("ofl 1 [01]( no)?( rfn)?",),
+    "python-2": ("python 2 0( 1)?", "psf 2 0"),
+    "php-3": ("php 3 (0|01)",),
+    "ruby": ("ruby",),
+    "w3c": ("w3c( 19980720| 20150513)?",),
+    "postgresql": ("postgresql",),
+    "openssl": ("openssl( standalone)?",),
+    "curl": ("curl",),
+    "ncsa": ("ncsa",),
+    "ms-pl": ("ms pl",),
+    "ms-rl": ("ms rl",),
+    "upl": ("upl 1 0",),
+    "afl-3": ("afl 3 0",),
+    "osl-3": ("osl 3 0",),
+    "cecill": ("cecill (1|2) [01]", "cecill [bc]"),
+    "sspl": ("sspl 1 0",),
+    "busl": ("busl 1 1",),
+    "elastic-2": ("elastic 2 0",),
+    "commons-clause": ("licenseref commons clause",),
+    "rail": ("licenseref (open)?rail( m)?",),
+    "llama": ("licenseref llama [23]( [0-9])?",),
+    "public-domain": ("licenseref public domain",),
+    "proprietary": ("licenseref (proprietary|all rights reserved)",),
+}
+SPDX_LINE = "spdx licen[cs]e identifier "
 #: (priority, weight, sentence around a name).
 FRAMES = (
-    (60, 0.98, "spdx licen[cs]e identifier {}"),
+    (60, 0.98, SPDX_LINE + "{}"),
     (50, 0.95, "licen[cs]ed under (the )?(terms of )?(the )?{}"),
     (50, 0.95, "(released|distributed|published|available|provided) under (the )?(terms of )?(the )?{}"),
     (40, 0.9, "under the (terms|conditions) (and conditions )?of (the )?{}"),
@@ -138,17 +204,49 @@ class Rule:
     keywords: tuple[str, ...]
 
 
+def choices(pattern: str) -> list[str]:
+    """The strings a pattern of literals, groups, classes and ``?`` matches; a
+    free stretch (``.{1,80}?``) stands as two strings without a common word."""
+    at = 0
+
+    def branch() -> list[str]:
+        nonlocal at
+        done, now = [], [""]
+        while at < len(pattern) and pattern[at] != ")":
+            c = pattern[at]
+            if c == "|":
+                at += 1
+                done, now = done + now, [""]
+                continue
+            if c == "(":
+                at += 1
+                part = branch()
+                at += 1
+            elif c == "[":
+                stop = pattern.index("]", at)
+                inside = pattern[at + 1:stop]
+                part = [chr(i) for i in range(ord(inside[0]), ord(inside[2]) + 1)] if inside[1] == "-" else list(inside)
+                at = stop + 1
+            elif pattern.startswith(".{1,80}?", at):
+                part = ["x", "y z"]
+                at += 8
+            else:
+                part = [c]
+                at += 1
+            if pattern.startswith("?", at):
+                part = [*part, ""]
+                at += 1
+            now = [x + y for x in now for y in part]
+        return done + now
+
+    return branch()
+
+
+@cache
 def _keywords(pattern: str) -> tuple[str, ...]:
-    """Plain words every match must hold: those outside groups (optional or
-    alternative) and not beside an optional space."""
-    bare = pattern
-    while True:
-        less = re.sub(r"\([^()]*\)\??", " ", bare)
-        if less == bare:
-            break
-        bare = less
-    bare = re.sub(r"\S+ \?\S*", " ", bare)
-    return tuple(w for w in bare.split() if re.fullmatch(r"[a-z0-9]{2,}", w))
+    """Plain words every match must hold: those common to all its choices."""
+    common = set.intersection(*[set(c.split()) for c in choices(pattern)])
+    return tuple(sorted(w for w in common if len(w) > 1))
 
 
 @cache
@@ -159,8 +257,17 @@ def rules() -> tuple[Rule, ...]:
         for name in names:
             for priority, weight, frame in FRAMES:
                 pattern = frame.format(f"(?:{name})") if frame != "{}" else name
+                # every frame ends its own words before the name
+                out.append(Rule(label, priority, weight, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"),
+                                _keywords(frame.replace("{}", "")) + _keywords(name)))
+    some = "|".join(name for names in SPDX.values() for name in names)
+    before = rf"(?:(?:{some})(?: with( [^ ]+){{1,5}}?)? (?:and|or) )+"
+    priority, weight, _ = FRAMES[0]
+    for label, names in SPDX.items():
+        for name in names:
+            for pattern in (f"{SPDX_LINE}(?:{name})", f"{SPDX_LINE}{before}(?P<id>{name})"):
                 out.append(Rule(label, priority, weight, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"),
-                                _keywords(frame.replace("{}", " ") + " " + name)))
+                                _keywords(SPDX_LINE) + _keywords(name)))
     for label, priority, weight, pattern in GRANTS:
         out.append(Rule(label, priority, weight, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), _keywords(pattern)))
     return tuple(sorted(out, key=lambda r: (-r.priority, r.label, r.regex.pattern)))
@@ -193,10 +300,11 @@ def detect(text: str) -> Found:
 
     def spans(regex: re.Pattern) -> Iterator[tuple[int, int]]:
         at = at_word = 0
+        part = "id" if "id" in regex.groupindex else 0
         for m in regex.finditer(line):
-            at_word += line.count(" ", at, m.start())
-            at = m.start()
-            yield at_word, at_word + m[0].count(" ") + 1
+            at_word += line.count(" ", at, m.start(part))
+            at = m.start(part)
+            yield at_word, at_word + m[part].count(" ") + 1
 
     base = []
     for phrase, label in BASE:

@@ -63,3 +63,46 @@ def test_containment():
 
 def test_empty_table(spark):
     assert lic.license_report(docs(spark, [])).count() == 0
+
+
+def labels(text):
+    """Labels with the cheap gates in front, as the scan has them."""
+    return {k[2] for k in lic.detect(text).kept} if any(s in text.lower() for s in lic.STEMS) else set()
+
+
+def test_gates_pass_what_every_rule_can_match():
+    """Generated matches: all choices of a name, and all choices of a frame."""
+    assert labels("OpenRAIL-M License") == {"rail"}
+    for label, names in lic.FAMILIES.items():
+        for name in names:
+            some = lic.choices(name)
+            lines = some + [f + some[k] for _, _, frame in lic.FRAMES for f in lic.choices(frame.replace("{}", "")) for k in (0, -1)]
+            for line in lines:
+                words = set(line.split())
+                hit = [r for r in lic.rules() if r.label == label and r.regex.fullmatch(line)]
+                assert hit and any(s in line for s in lic.STEMS), line
+                assert all(k in words for r in hit for k in r.keywords), line
+    for label, _, _, pattern in lic.GRANTS:
+        for line in lic.choices(pattern):
+            assert label in labels(line), line
+
+
+def test_spdx_short_identifiers():
+    assert set(lic.SPDX) == set(lic.FAMILIES)
+    for label, names in lic.SPDX.items():
+        for name in names:
+            for words in lic.choices(name):
+                assert labels("SPDX-License-Identifier: " + words.replace(" ", "-")) == {label}, words
+    line = "// SPDX-License-Identifier: "
+    for text, want in (("MIT", {"mit"}), ("Apache-2.0", {"apache-2"}), ("ISC", {"isc"}), ("Zlib", {"zlib"}), ("BSL-1.0", {"bsl-1"}),
+                       ("OFL-1.1", {"ofl"}), ("GPL-2.0+", {"gpl-2"}), ("MIT OR Apache-2.0", {"mit", "apache-2"}),
+                       ("(GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause OR MIT", {"gpl-2", "bsd-3", "mit"}),
+                       ("LGPL-2.1-or-later AND (MIT OR CC-BY-NC-SA-4.0)", {"lgpl-2", "mit", "cc-by-nc-sa"})):
+        assert labels(line + text) == want, text
+    assert labels("they submit to the isc and the zlib of apache 2 0 under no license") == set()
+
+
+def test_spdx_line_in_a_report(spark):
+    rows = [(1, "SPDX-License-Identifier: MIT", "en", "s", 1), (2, "SPDX-License-Identifier: Apache-2.0 OR ISC", "en", "s", 1)]
+    got = {r["doc_id"]: r for r in lic.license_report(docs(spark, rows)).collect()}
+    assert got[1]["labels"] == "mit" and got[2]["labels"] == "apache-2,isc" and min(got[1]["score"], got[2]["score"]) > 0.9
