@@ -12,6 +12,9 @@ import math
 import random
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from medlake.operators import metrics
 from medlake.operators.ordered import row_index
+from medlake.session import ensure_checkpoint_dir, materialize
 
 # fixed values: model defaults of the training loop
 LOGISTIC_C = 1.0
@@ -309,35 +313,92 @@ def replay_sample(buffer: DataFrame, shard: str, batch: int, seed: int = 0) -> D
 
 # ---------------------------------------------------------------- I6 SMOTE
 
-def _sorted_neighbours(points: DataFrame, dim: int, width: int, tables: int, seed: int) -> DataFrame:
-    """Candidate pairs (a, b): on each of ``tables`` random directions, the
-    ``width`` points before and after in the order of the projections.
-
-    Every point gets at least ``min(width, n - 1)`` candidates and at most
-    ``2 * width * tables``, whatever the number of points; the order comes from
-    distributed row indices."""
-    rng = random.Random(seed)
-    out = None
-    for _ in range(tables):
-        line = F.array(*[F.lit(rng.gauss(0.0, 1.0)) for _ in range(dim)])
-        at = F.aggregate(F.zip_with("x", line, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
-        p = row_index(points.select("a", at.alias("__at")), ["__at", "a"], out="pos").select("a", "pos")
-        after = p.select(F.col("a").alias("b"), F.explode(F.array(*[F.col("pos") - j for j in range(1, width + 1)])).alias("pos"))
-        pairs = p.join(after, "pos").select("a", "b")
-        out = pairs if out is None else out.union(pairs)
-    return out.union(out.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-
-
-def smote(df: DataFrame, vec: str, label: str, key: str, minority: int = 1, k: int = 5, seed: int = 42,
-          num_tables: int = 4) -> DataFrame:
+#: Bytes of vectors in a block of the neighbour search.
+NEAR_BYTES = 8 << 20
+
+
+def _nearest_block(k: int):
+    """The ``k`` nearest members of each query of one block pair: (a, b, d).
+
+    Products choose the members that can be among the nearest, with a slack
+    for their rounding; the distances themselves are sums of squared
+    differences.  Of members with equal vectors only the ``k + 1`` smallest
+    keys can be wanted (one may be the query itself)."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table.column("a")))  # positions order as keys do
+        key = table.column("a").combine_chunks()
+        query = table.column("query").to_numpy()
+        dim = table.column("dim")[0].as_py()
+        x = np.concatenate([c.flatten().to_numpy() for c in table.column("x").chunks]).reshape(-1, dim)
+        q, m = np.flatnonzero(query), np.flatnonzero(~query)
+        out_q, out_m, out_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(q) and len(m):
+            code = pc.rank(key, sort_keys="ascending", tiebreaker="dense").to_numpy()
+            one, inv = np.unique(x[m], axis=0, return_inverse=True)
+            inv = inv.ravel()
+            by = np.argsort(inv, kind="stable")
+            many = np.bincount(inv)
+            copy = np.arange(len(m)) - np.repeat(np.cumsum(many) - many, many)
+            kept = m[by[copy <= k]]
+            many = np.minimum(many, k + 1)
+            first = np.cumsum(many) - many
+            size = (one * one).sum(axis=1)
+            most = min(k + 1, len(one))
+            for lo in range(0, len(q), 256):
+                part = q[lo:lo + 256]
+                own = (x[part] * x[part]).sum(axis=1)
+                near = own[:, None] + size[None, :] - 2 * (x[part] @ one.T)
+                slack = 8 * (dim + 4) * np.finfo(np.float64).eps * (own + size.max())
+                at, col = np.nonzero(near <= (np.partition(near, most - 1, axis=1)[:, most - 1] + slack)[:, None])
+                d = np.concatenate([((x[part[at[i:i + 8192]]] - one[col[i:i + 8192]]) ** 2).sum(axis=1)
+                                    for i in range(0, len(at), 8192)])
+                n = many[col]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                i, j, d = part[np.repeat(at, n)], kept[np.repeat(first[col], n) + step], np.repeat(d, n)
+                other = code[i] != code[j]
+                i, j, d = i[other], j[other], d[other]
+                best = np.lexsort((j, d, i))
+                i, j, d = i[best], j[best], d[best]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                out_q.append(i[rank < k])
+                out_m.append(j[rank < k])
+                out_d.append(d[rank < k])
+        return pa.table({"a": key.take(pa.array(np.concatenate(out_q))), "b": key.take(pa.array(np.concatenate(out_m))),
+                         "d": pa.array(np.concatenate(out_d), pa.float64())})
+    return run
+
+
+def nearest_neighbours(points: DataFrame, k: int, n: int, block: int | None = None) -> DataFrame:
+    """(a, b, d, rank): the exact ``k`` nearest other points of each of the
+    ``n`` points (a, x), by squared distance and then key.
+
+    Every pair of blocks meets in a task, so the work is quadratic in ``n``,
+    and a point is shipped twice for each block; blocks have ``block`` points
+    (as many as ``NEAR_BYTES`` hold if None).  Points compare within their
+    dimension; null, empty and not finite vectors have no neighbours."""
+    length = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    points = points.where(F.col("a").isNotNull() & (F.size("x") > 0) & (length < 1e300))
+    if block is None:
+        dim = points.agg(F.max(F.size("x"))).first()[0] or 1
+        block = max(1, min(NEAR_BYTES // (8 * dim), max(512, -(-n // 8))))
+    blocks = max(1, -(-n // block))
+    spot, each = F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    p = points.select("a", "x", F.size("x").alias("dim"))
+    both = p.select("*", spot.alias("i"), each.alias("j"), F.lit(True).alias("query")).union(
+        p.select("*", each.alias("i"), spot.alias("j"), F.lit(False).alias("query")).select("a", "x", "dim", "i", "j", "query"))
+    kind = points.schema["a"].dataType.simpleString()
+    got = both.groupBy("dim", "i", "j").applyInArrow(_nearest_block(k), f"a {kind}, b {kind}, d double")
+    w = Window.partitionBy("a").orderBy("d", "b")
+    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def smote(df: DataFrame, vec: str, label: str, key: str, minority: int = 1, k: int = 5, seed: int = 42) -> DataFrame:
     """Synthetic minority samples new = x + u * (neighbour - x) until the
     classes balance, u uniform from a hash of (key, draw, seed).
 
-    Neighbours are the k nearest minority points among the ``2k`` points on
-    either side along ``num_tables`` random directions: the neighbour search is
-    approximate with a bounded number of candidates per point, every minority
-    point is a possible seed, and the interpolation is exact.  Returns the
-    synthetic rows only (same columns as the input's key/label/vector plus
+    Neighbours are the exact k nearest minority points; every minority point
+    that has one is a possible seed, and the interpolation is exact.  Returns
+    the synthetic rows only (same columns as the input's key/label/vector plus
     ``synthetic``)."""
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_min = counts.get(minority, 0)
@@ -346,15 +407,12 @@ def smote(df: DataFrame, vec: str, label: str, key: str, minority: int = 1, k: i
     if need <= 0 or n_min < 2:
         return df.limit(0).withColumn("synthetic", F.lit(True))
     mino = df.where(F.col(label) == minority).select(F.col(key).alias("a"), F.col(vec).cast("array<double>").alias("x"))
-    dim = mino.agg(F.max(F.size("x")).alias("d")).first()["d"]
-    cand = _sorted_neighbours(mino, dim, 2 * k, num_tables, seed)
-    gap = F.aggregate(F.zip_with("x", "y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    pairs = (cand.join(mino, "a").join(mino.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
-             .select("a", "b", gap.alias("d")))
-    w = Window.partitionBy("a").orderBy("d", "b")
-    nb = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ensure_checkpoint_dir(df.sparkSession)
+    nb = materialize(nearest_neighbours(mino, k, n_min), "smote-neighbours")
     deg = nb.groupBy("a").agg(F.max("rank").alias("deg"))
-    n_src = deg.count()  # all minority points
+    n_src = deg.count()  # all minority points with a neighbour
+    if not n_src:
+        return df.limit(0).withColumn("synthetic", F.lit(True))
     per = math.ceil(need / n_src)
     draws = deg.select("a", "deg", F.explode(F.sequence(F.lit(1), F.lit(per))).alias("draw"))
     draws = draws.withColumn("rank", (F.pmod(F.xxhash64("a", "draw", F.lit(seed)), F.col("deg")) + 1).cast("int"))

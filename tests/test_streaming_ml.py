@@ -80,6 +80,51 @@ def test_smote_interpolates_between_minority_points(spark):
         assert np.all(np.array(r["v"]) >= lo - 1e-9) and np.all(np.array(r["v"]) <= hi + 1e-9)
 
 
+def _true_nearest(pts, k):
+    """{key: [(squared distance, key) of the k nearest others]}."""
+    keys, x = [p[0] for p in pts], np.array([p[1] for p in pts])
+    out = {}
+    for i, a in enumerate(keys):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        out[a] = sorted((float(d[j]), b) for j, b in enumerate(keys) if b != a)[:k]
+    return out
+
+
+@pytest.mark.parametrize("block", [None, 100, 7])
+def test_nearest_neighbours_are_exact(spark, block):
+    """Random points in 64 dimensions, 40 copies of one, a near copy far from
+    the origin, points on a grid (ties), and vectors that cannot compare."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(300, 64)), np.repeat(rng.normal(size=(1, 64)), 40, axis=0),
+                        1e6 + 1e-3 * rng.normal(size=(20, 64)), rng.integers(0, 2, (60, 64)) * (np.arange(64) < 5)])
+    pts = [(i * 7 % 1000, v.tolist()) for i, v in enumerate(x)]
+    odd = [(2000, None), (2001, []), (2002, [float("nan")] * 64), (2003, [None] * 64), (2004, [float("inf")] * 64), (2005, [1.0, 2.0])]
+    df = spark.createDataFrame(pts + odd, "a long, x array<double>").repartition(3)
+    got = {}
+    for r in ml.nearest_neighbours(df, 5, len(pts), block).orderBy("a", "rank").collect():
+        got.setdefault(r["a"], []).append((r["d"], r["b"]))
+    want = _true_nearest(pts, 5)
+    assert set(got) == set(want)
+    for a in want:
+        assert [b for _, b in got[a]] == [b for _, b in want[a]], a
+        assert [d for d, _ in got[a]] == pytest.approx([d for d, _ in want[a]], rel=1e-9)
+
+
+def test_smote_samples_lie_towards_true_neighbours(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 64))
+    pts = [(str(i), v.tolist(), 1 if i < 400 else 0) for i, v in enumerate(np.concatenate([x, rng.normal(size=(900, 64))]))]
+    df = spark.createDataFrame(pts, "id string, v array<double>, y int")
+    rows = ml.smote(df, "v", "y", "id", minority=1, k=5).collect()
+    assert len(rows) == 500
+    want = _true_nearest([(i, v) for i, v, y in pts if y], 5)
+    for r in rows:
+        src = r["id"].split("_")[1]
+        step = np.array(r["v"]) - x[int(src)]
+        ways = [x[int(b)] - x[int(src)] for _, b in want[src]]
+        assert max(float(step @ w) / np.sqrt((step @ step) * (w @ w)) for w in ways) > 1 - 1e-9
+
+
 def test_federated_average_unweighted(spark):
     sm_ = spark.createDataFrame([(0, [1.0, 2.0], 10), (1, [3.0, 6.0], 30)], "site int, coefficients array<double>, n int")
     got = {r["pos"]: r["w"] for r in ml.federated_average(sm_).collect()}
