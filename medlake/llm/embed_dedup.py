@@ -3,9 +3,10 @@
 1. Equal vectors form one class with a multiplicity.
 2. A hash is the signed axis closest to a pseudo-random rotation of the vector
    (three rounds of random signs and a fast Hadamard transform); ``hashes``
-   of them make a key, ``TABLES`` keys a signature.  The number of hashes per
-   key follows the logarithm of the number of classes, so that unrelated
-   vectors rarely meet at any size.
+   of them make a key, ``tables(hashes)`` keys a signature.  The number of hashes
+   per key follows the logarithm of the number of classes, so that unrelated
+   vectors rarely meet at any size; the number of tables grows with it, so that
+   pairs at the threshold still meet (``RECALL`` of them in 64 dimensions).
 3. Multiprobe: besides its own bucket a vector visits those with the
    second-closest axis in any of the hashes; a pair is a candidate where at
    least one of the two is at home.
@@ -26,6 +27,7 @@ with each other); a null id takes part and shows its component's smallest id
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import product
@@ -38,6 +40,8 @@ from pyspark.sql import functions as F
 from medlake.llm.common import components, cross_blocks, landed, mix64
 
 TABLES = 12
+GROWTH = 1.6
+RECALL = 0.99
 PROBES = 2
 SMALL = 32
 BLOCK = 1024
@@ -73,6 +77,12 @@ def axes(x: np.ndarray, seed: int) -> np.ndarray:
     return 2 * near + (np.take_along_axis(y, near, axis=1) < 0)
 
 
+def tables(hashes: int) -> int:
+    """Number of keys per vector: ``TABLES`` up to three hashes, then
+    ``GROWTH`` times as many for each hash, as a pair meets in fewer of them."""
+    return math.ceil(TABLES * GROWTH ** max(0, hashes - 3))
+
+
 def bucket_keys(x: np.ndarray, table: int, hashes: int) -> np.ndarray:
     """Bucket keys in one table, the home bucket first, one column each."""
     sides = [axes(x, table * 64 + h).astype(np.uint64) for h in range(hashes)]
@@ -123,7 +133,7 @@ def _visits(hashes: int):
                 for d in np.unique(dims):
                     at = np.flatnonzero(dims == d)
                     x = np.stack([vec[i] for i in at])
-                    for t in range(TABLES):
+                    for t in range(tables(hashes)):
                         keys = bucket_keys(x, t, hashes)
                         home = np.zeros(keys.shape, bool)
                         home[:, 0] = True

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from medlake.llm import embed_dedup as ed
@@ -94,3 +96,28 @@ def test_rotation_keeps_lengths_and_probes_are_closest():
     y = ed.rotate(x, 3)
     assert np.allclose((x * x).sum(1), (y * y).sum(1))
     assert (ed.axes(x, 3)[:, 0] // 2 == np.abs(y).argmax(1)).all()
+
+
+@pytest.mark.parametrize("hashes", [2, 3, 4, 5])
+def test_recall_does_not_fall_with_the_number_of_hashes(hashes):
+    """Pairs of 64 dimensions exactly at cosine 0.9; one of the two is at home."""
+    rng = np.random.default_rng(hashes)
+    n = 1000
+    x, y = rng.normal(size=(2, n, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    y -= x * (x * y).sum(axis=1, keepdims=True)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.sqrt((y * y).sum(axis=1, keepdims=True))
+    met = np.zeros(n, bool)
+    for t in range(ed.tables(hashes)):
+        a, b = ed.bucket_keys(x, t, hashes), ed.bucket_keys(y, t, hashes)
+        met |= (a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)
+    assert met.mean() >= ed.RECALL
+
+
+def test_visits_cover_all_tables():
+    x = np.random.default_rng(3).normal(size=(4, 64))
+    frame = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array([v.tobytes() for v in x])], names=["_cls", "_vec"])
+    for hashes in (2, 3, 4, 5):
+        out = list(ed._visits(hashes)(iter([frame])))
+        assert len(out) == ed.tables(hashes) and out[0].num_rows == 4 * 2 ** hashes
+    assert ed.tables(2) == ed.tables(3) == ed.TABLES < ed.tables(4) < ed.tables(5)
