@@ -109,10 +109,10 @@ def _letters(h: Column) -> Column:
     return F.translate(h, "0123456789abcdef", "abcdefghijklmnop")
 
 
-def _name_word(word: Column, h: Column, gender: Column, shift: int, last: Column) -> Column:
-    """A word from syllables of the script of ``word``."""
+def _name_word(word: Column, h: Column, gender: Column, shift: int, last: Column, count: Column) -> Column:
+    """A word from ``count`` syllables of the script of ``word``."""
     script = F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    hexes = F.split(F.substring(h, shift, 5), "")
+    hexes = F.split(F.substring(h, F.lit(shift), count), "")
     build = lambda s: F.concat(F.array_join(F.transform(hexes, lambda x: F.element_at(
         F.array(*[F.lit(v) for v in SYLLABLES[s]]), F.conv(x, 16, 10).cast("int") + 1)), ""),
         F.when(last, F.lit("")).when(gender == "f", ENDINGS[s][1]).when(gender == "m", ENDINGS[s][0]).otherwise(""))
@@ -145,8 +145,10 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     first = F.element_at(words, 1)
     second = F.get(words, F.lit(1))
     # with two words the first is the given name and carries the gender
-    name = F.concat(gender, F.lit(":"), _name_word(first, h, gender, 1, F.lit(False)),
-                    F.when(second.isNotNull(), F.concat(F.lit(" "), _name_word(second, h, gender, 9, F.lit(True)))).otherwise(""))
+    # five syllables have 16^5 values: later attempts grow
+    count = F.lit(5) + F.greatest(attempt - 1, F.lit(0))
+    name = F.concat(gender, F.lit(":"), _name_word(first, h, gender, 1, F.lit(False), count), F.when(second.isNotNull(), F.concat(
+        F.lit(" "), _name_word(second, h, gender, 9, F.lit(True), count))).otherwise(""))
     return (F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", name)
             .when(kind == "phone", phone).otherwise(F.substring(num, F.lit(1), n)))
 

@@ -96,3 +96,14 @@ def test_no_python_in_the_plan(spark):
     out = pii.drop_pii(texts(spark, clash=False))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_more_names_than_surrogates_of_five_syllables(spark, monkeypatch):
+    """With two syllables there are 2^5 names of five; the rounds still settle."""
+    monkeypatch.setattr(pii, "SYLLABLES", {s: ["ba"] * 8 + ["be"] * 8 for s in pii.SYLLABLES})
+    names = [f"n:name{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in range(60)]
+    ents = spark.createDataFrame([("name", n) for n in names], "type string, canon string")
+    moved = {r["canon"]: r["attempt"] for r in pii.collisions(ents).collect()}
+    used = spark.createDataFrame([(n, moved.get(n, 0)) for n in names], "canon string, attempt int")
+    got = [r["s"] for r in used.select(pii.surrogate(F.lit("name"), F.col("canon"), F.col("attempt")).alias("s")).collect()]
+    assert len(set(got)) == len(names) and not set(got) & set(names)
