@@ -415,9 +415,12 @@ def near_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def near_dedup_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     limit: tuple[int, int] = LIMIT) -> DataFrame:
-    """The documents with one row for each component, all columns kept."""
+    """The documents with one row for each component, all columns kept; every
+    row without words stays."""
     res = near_duplicates(docs, id_col, text_col, limit)
     rk = spare(docs, "_llm_rk")
-    keep = res.filter("_rk = kept_rk").select(F.col("_rk").alias(rk)).distinct()
+    keep = res.filter("_rk = kept_rk and n_shingles > 0").select(F.col("_rk").alias(rk)).distinct()
     keyed = docs.withColumn(rk, row_key(id_col, text_col))
-    return keyed.join(keep, rk, "left_semi").dropDuplicates([rk]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    worded = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    one = keyed.filter(worded).join(keep, rk, "left_semi").dropDuplicates([rk])
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter(~worded))

@@ -152,3 +152,11 @@ def test_bands_miss_few_pairs_at_the_threshold():
     for limit in ((50, 100), (80, 100), (85, 100), (95, 100)):
         bands, rows = nd.shape(limit)
         assert bands * rows <= nd.M and (1 - (limit[0] / limit[1]) ** rows) ** bands < nd.MISS
+
+
+def test_repeated_rows_without_words_stay(spark):
+    rows = [(1, None), (1, None), (None, None), (None, None), (None, None), (2, ""), (2, ""), (3, " \t\x0b"), (3, " \t\x0b"),
+            (4, "one two"), (4, "one two"), (5, "\u00a0"), (5, "\u00a0"), (None, "three"), (None, "three")]
+    kept = nd.near_dedup_keep(docs(spark, [(i, t, "en", "s", 1) for i, t in rows])).collect()
+    want = [*rows[:9], (4, "one two"), (5, "\u00a0"), (None, "three")]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(repr, want))
