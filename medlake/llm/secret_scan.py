@@ -6,7 +6,9 @@ dropped but still consume their text.
 
 The battery adds spans of kind ``random``.  Candidates are runs of at least
 ``LEAST`` token characters that hold a digit and a letter and touch no base
-span.  The narrowest encoding that holds all characters is inferred (hex,
+span; a run that no encoding holds, since it mixes "+" or "/" with "-" or "_"
+(a key after a path), is split at either kind and its parts are candidates, of
+overlapping ones the first that looks random.  The narrowest encoding that holds all characters is inferred (hex,
 base32, base36, base62, base64); under it the characters of a key are uniform
 and independent, which three tests can refute: chi-squared uniformity of the
 alphabet, a runs test about the alphabet's middle, and lag-1 serial
@@ -47,6 +49,8 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}" % LEAST)
+#: Parts of a run between the symbols of one base64 alphabet.
+PARTS = (re.compile(r"[^+/]+"), re.compile(r"[^_-]+"))
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Alphabets in the order of their symbols' values.
@@ -107,20 +111,33 @@ def battery(token: str) -> tuple[str, float, float] | None:
     return name, n * math.log2(k), min(1.0, 3 * min(p))
 
 
+def _candidate(piece: re.Match, base: list[tuple[int, int, int]], at: int = 0) -> dict | None:
+    t = piece[0].strip("-_/")
+    lo = at + piece.start() + (piece[0].find(t) if t else 0)
+    hi = lo + len(t)
+    if len(t) < LEAST or not any(c.isdigit() for c in t) or not any(c.isalpha() for c in t):
+        return None
+    if any(a < hi and lo < b for a, _, b in base):
+        return None
+    got = battery(t)
+    if got and got[1] >= BITS:
+        return {"start": lo, "stop": hi, "encoding": got[0], "p": got[2], "cls": sum(len(t) >= n for n in LENGTHS) - 1}
+    return None
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     out = []
     for m in TOKEN.finditer(text):
-        t = m[0].strip("-_/")
-        lo = m.start() + m[0].find(t) if t else m.start()
-        hi = lo + len(t)
-        if len(t) < LEAST or not any(c.isdigit() for c in t) or not any(c.isalpha() for c in t):
-            continue
-        if any(a < hi and lo < b for a, _, b in base):
-            continue
-        got = battery(t)
-        if got and got[1] >= BITS:
-            out.append({"start": lo, "stop": hi, "encoding": got[0], "p": got[2],
-                        "cls": sum(len(t) >= n for n in LENGTHS) - 1})
+        run = m[0].strip("-_/")
+        if ("+" in run or "/" in run) and ("-" in run or "_" in run):
+            pieces = [_candidate(q, base, m.start()) for p in PARTS for q in p.finditer(m[0])]
+        else:
+            pieces = [_candidate(m, base)]
+        taken: list[dict] = []
+        for c in sorted(filter(None, pieces), key=lambda c: c["p"] < LEVEL):
+            if not any(c["start"] < k["stop"] and k["start"] < c["stop"] for k in taken):
+                taken.append(c)
+        out += sorted(taken, key=lambda c: c["start"])
     return out
 
 

@@ -59,3 +59,23 @@ def test_limits_follow_the_step_up_rule():
 
 def test_empty_table(spark):
     assert ss.secret_report(docs(spark, [])).count() == 0
+
+
+def test_keys_after_paths_are_candidates():
+    """A run that mixes the symbols of both base64 alphabets is split."""
+    r = random.Random(3)
+    key = lambda extra: "".join(r.choice(string.ascii_letters + string.digits + extra) for _ in range(40))
+    plain = hits = 0
+    for _ in range(200):
+        k = key("")
+        for text in (f"see https://host.example/v1/my-service/{k} now", f"/a_b/{k}/c-d", f"é x-y/{k}"):
+            got = ss.candidates(text, [])
+            spans = [text[c["start"]:c["stop"]] for c in got if k in text[c["start"]:c["stop"]]]
+            assert len(spans) == 1, text
+            hits += spans[0] == k
+            plain += 1
+    assert hits > 0.85 * plain
+    safe, std = "A1b" + key("-_")[3:-1] + "z", "A1b" + key("+/")[3:-1] + "z"
+    assert [c["stop"] - c["start"] for c in ss.candidates(f"/hooks/my-app/{safe}", [])] == [40]
+    assert any(c["stop"] - c["start"] >= ss.LEAST for c in ss.candidates(f"my_app-{std}", []))
+    assert ss.candidates(f"/v1/my-service/{k}", [(5, 0, 60)]) == []
