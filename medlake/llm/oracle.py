@@ -1,8 +1,8 @@
 """DuckDB statements for the queries of this subpackage that SQL can express.
 
 They compute each result from the tables directly, by the contract and not by
-the operators' methods.  The classifier (op2), the byte-pair encoder (op9) and
-the surrogates (op10) are tested against brute force in ``tests/llm``.
+the operators' methods.  The classifier (op2), the byte-pair encoder (op9), the
+surrogates (op10) and the main text of pages (op12) are tested in ``tests/llm``.
 """
 
 from __future__ import annotations
@@ -93,10 +93,80 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_B32} AS payload
 FROM l
 """
 
+def _crc_table() -> list[int]:
+    """The 256 remainders of the reflected polynomial 0xEDB88320."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+_OP11 = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+df AS (SELECT unnest(w) AS f FROM d),
+tf AS (SELECT unnest({_ALNUM}) AS f FROM benchmark),
+v AS (SELECT DISTINCT f, hex(encode(f)) AS x, {_crc_table()}::BIGINT[] AS t FROM (SELECT f FROM df UNION ALL SELECT f FROM tf)),
+b AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(generate_series(1, length(x), 2),
+         lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1]))) % 10000 AS bucket
+  FROM v),
+sn AS (SELECT bucket, count(*) AS s FROM df JOIN b USING (f) GROUP BY bucket),
+tn AS (SELECT bucket, count(*) AS t FROM tf JOIN b USING (f) GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM df) + 10000)
+         / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM tf) + 10000)))) AS BIGINT) AS gain
+  FROM sn FULL JOIN tn USING (bucket)),
+m AS (
+  SELECT doc_id, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight
+  FROM (SELECT doc_id, unnest(w) AS f FROM d) JOIN b USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+r AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+         / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN m ON m.doc_id = d.doc_id),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 10 * count(*) OVER () // 100 AS wanted FROM r WHERE n_features >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN place <= wanted THEN place END AS rank
+FROM r LEFT JOIN o ON o.doc_id = r.doc_id
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+least_ AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS g, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS t
+         FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+c AS (
+  SELECT part, (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 5 * length(d.text) THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN d.doc_id > first THEN 'E' ELSE '' END) AS fails,
+         count(*) AS n, sum(coalesce(g, 0)) AS good, sum(coalesce(t, 0)) AS toxic
+  FROM d JOIN least_ ON least_.text = d.text LEFT JOIN said ON said.doc_id = d.doc_id GROUP BY 1, 2),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS x, '[' || substr(filter_order, 1, step - 1) || ' ]' AS before
+      FROM o, (SELECT CAST(unnest(generate_series(1, 5)) AS INTEGER) AS step)),
+k AS (SELECT part, filter_order, step, x, n, good, toxic, fails, contains(fails, x) AS bad, regexp_matches(fails, before) AS gone FROM c, s),
+q AS (
+  SELECT part, filter_order, step, x, sum(CASE WHEN NOT bad AND NOT gone THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN bad AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN bad AND gone THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = x THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN bad AND NOT gone THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN bad AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM k GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM q
+"""
+
 ORACLE: dict[str, str] = {
     "op1_chat_formatting": _OP1,
     "op3_decontamination": _OP3,
     "op4_minhash_near_dedup": _OP4,
     "op5_embedding_near_dedup": _OP5,
     "op7_warc": _OP7,
+    "op11_importance_resampling": _OP11,
+    "op13_filter_audit": _OP13,
 }

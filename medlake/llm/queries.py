@@ -5,7 +5,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medlake.llm import byte_bpe, chat, decontaminate, embed_dedup, licenses, near_dedup, pii, secret_scan, toxicity, warc
+from medlake.llm import (
+    byte_bpe,
+    chat,
+    decontaminate,
+    embed_dedup,
+    filter_audit,
+    licenses,
+    near_dedup,
+    pii,
+    resample,
+    secret_scan,
+    toxicity,
+    warc,
+)
 from medlake.llm.common import read_table
 
 
@@ -49,6 +62,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(read_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_toxicity": op2_toxicity,
@@ -60,4 +81,6 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_pii": op10_pii,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op13_filter_audit": op13_filter_audit,
 }
