@@ -12,6 +12,7 @@ from medlake.llm import (
     embed_dedup,
     filter_audit,
     licenses,
+    main_text,
     near_dedup,
     pii,
     resample,
@@ -66,6 +67,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -82,5 +87,6 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_pii": op10_pii,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_html_extraction": op12_html_extraction,
     "op13_filter_audit": op13_filter_audit,
 }
