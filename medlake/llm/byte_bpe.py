@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from struct import pack
 from typing import Any
 
@@ -38,82 +39,149 @@ from pyspark.sql import types as T
 from medlake.llm.common import SLICE_BYTES, bounded_batches, filled, text_slices
 
 LEAF = 8
-#: Entries a Python worker keeps: matches, leaves, token pairs (about 100 MB).
-CACHE = 250_000
+#: Merges of so many bytes are remembered, longer ones use a heap.
+SHORT, LONG = 16, 64
+#: Leaves of matches longer than ``LONG``.
+LONG_LEAF = 1024
+#: Entries a Python worker keeps: matches, short merges, token pairs (about 130 MB).
+CACHE = 400_000
 LEAVES = 100_000
 PAIRS = 100_000
 
 
+class Recent(dict):
+    """Remembers at least the ``size / 2`` keys used last and at most ``size``:
+    the older half goes when the younger one is full."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.half = max(1, size // 2)
+        self.old: dict = {}
+
+    def find(self, key: Any) -> Any:
+        got = self.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.put(key, got)
+        return got
+
+    def put(self, key: Any, value: Any) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ranks of a ``.tiktoken`` file."""
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class ByteBpe(dict):
+class ByteBpe(Recent):
     """Maps a match of the pattern to its packed ids (little-endian 32 bit).
 
-    The mapping is a cache of at most ``CACHE`` matches; a miss encodes."""
+    The mapping remembers up to ``CACHE`` matches; a miss encodes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__()
+        super().__init__(CACHE)
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
-        self.find = regex.compile(pattern).findall
-        self.stable_pairs: dict[tuple[int, int], bool] = {}
-        self.merged: dict[bytes, list[int]] = {}
+        self.find_all = regex.compile(pattern).findall
+        self.stable_pairs = Recent(PAIRS)
+        self.merged = Recent(LEAVES)
         self.top = max(ranks.values(), default=0) + 1
+        self.bytes_of = np.empty(self.top, dtype=object)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
 
     def __missing__(self, piece: str) -> bytes:
+        packed = self.old.get(piece)
+        if packed is not None:
+            self.put(piece, packed)
+            return packed
         raw = piece.encode("utf-8")
         whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else self.encode_bytes(raw)
+        if whole is not None:
+            ids = [whole]
+        else:
+            ids = self.encode_bytes(raw)
         packed = pack(f"<{len(ids)}I", *ids)
         if len(raw) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = packed
+            self.put(piece, packed)
         return packed
 
     def merge(self, raw: bytes) -> list[int]:
         """Direct merging by rank, lowest first, leftmost on ties."""
-        got = self.merged.get(raw)
-        if got is not None:
-            return got
-        rank, none = self.ranks.get, self.top
-        parts = [raw[i:i + 1] for i in range(len(raw))]
+        if len(raw) > LONG:
+            return self._merge_long(raw)
+        short = len(raw) <= SHORT
+        if short:
+            got = self.merged.get(raw) or self.merged.find(raw)
+            if got is not None:
+                return got
+        ranks, none = self.ranks, self.top
+        rank = ranks.get
+        cuts = list(range(len(raw) + 1))
         pair = [rank(raw[i:i + 2], none) for i in range(len(raw) - 1)]
         while pair:
             best = min(pair)
             if best == none:
                 break
             i = pair.index(best)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del pair[i]
+            del cuts[i + 1], pair[i]
             if i < len(pair):
-                pair[i] = rank(parts[i] + parts[i + 1], none)
+                pair[i] = rank(raw[cuts[i]:cuts[i + 2]], none)
             if i:
-                pair[i - 1] = rank(parts[i - 1] + parts[i], none)
-        ids = [self.ranks[p] for p in parts]
-        if len(raw) <= LEAF:
-            if len(self.merged) >= LEAVES:
-                self.merged.clear()
-            self.merged[raw] = ids
+                pair[i - 1] = rank(raw[cuts[i - 1]:cuts[i + 1]], none)
+        ids = [ranks[raw[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+        if short:
+            self.merged.put(raw, ids)
         return ids
 
+    def _merge_long(self, raw: bytes) -> list[int]:
+        """The same by a heap of pairs over linked parts: n log n steps."""
+        n, rank = len(raw), self.ranks.get
+        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(raw[i:i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, stop = heappop(heap)
+            j = after[i] if end[i] else n
+            if j >= n or end[j] != stop:
+                continue        # one of the two parts has changed since
+            end[i], end[j] = stop, 0
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank(raw[i:end[k]])) is not None:
+                    heappush(heap, (r, i, end[k]))
+            h = before[i]
+            if h >= 0 and (r := rank(raw[h:stop])) is not None:
+                heappush(heap, (r, h, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[raw[i:end[i]]])
+            i = after[i]
+        return out
+
     def encode_bytes(self, raw: bytes) -> list[int]:
-        if len(raw) <= LEAF:
+        n = len(raw)
+        if n <= LEAF or LONG < n <= LONG_LEAF:
             return self.merge(raw)
-        half = len(raw) // 2
+        # long ones are cut at a power of two: runs of one character then meet on token boundaries
+        half = n // 2 if n <= LONG else 1 << ((n - 1).bit_length() - 1)
         return self.join(self.encode_bytes(raw[:half]), self.encode_bytes(raw[half:]))
 
     def stable(self, a: int, b: int) -> bool:
         """Whether the two tokens encode to themselves side by side."""
         got = self.stable_pairs.get((a, b))
         if got is None:
-            if len(self.stable_pairs) >= PAIRS:
-                self.stable_pairs.clear()
-            got = self.stable_pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            got = self.stable_pairs.find((a, b))
+        if got is None:
+            got = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            self.stable_pairs.put((a, b), got)
         return got
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -130,13 +198,11 @@ class ByteBpe(dict):
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text."""
-        return b"".join(map(self.__getitem__, self.find(text)))
+        return b"".join(map(self.__getitem__, self.find_all(text)))
 
-    def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= 4096:
-            return b"".join(map(self.tokens.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of the tokens, leaves of the tree joined from the left."""
+        return b"".join(b"".join(self.bytes_of[ids[i:i + 4096]].tolist()) for i in range(0, len(ids), 4096))
 
 
 def _vocabulary(df: DataFrame, path: str | None, pattern: str | None) -> Any:
@@ -190,7 +256,7 @@ def _decoder(vocabulary: Any, at: int, names: list[str]):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                raw = [bpe.decode(np.frombuffer(x or b"", dtype="<u4").tolist()) for x in part.column(at).to_pylist()]
+                raw = [bpe.decode(np.frombuffer(x or b"", dtype="<u4")) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=names)
     return run
 
@@ -203,9 +269,26 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     return encoded.mapInArrow(run, schema)
 
 
+def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
+                pattern: str | None = None) -> DataFrame:
+    """``decode(encode(docs))`` in one pass over the texts: the id column, ``ids``
+    and ``decoded``."""
+    vocabulary = _vocabulary(docs, path, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _shared(vocabulary)
+        for batch in batches:
+            for lo, hi, ids in _encoded(batch.column(1), bpe):
+                raw = [bpe.decode(np.frombuffer(x, dtype="<u4")) for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary()),
+                                                  pa.array(raw, pa.binary())], names=[id_col, "ids", "decoded"])
+    src = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text"))
+    return src.mapInArrow(run, f"`{id_col}` long, ids binary, decoded binary")
+
+
 def token_report(docs: DataFrame) -> DataFrame:
     """Per document: number and digest of the ids, digest of what they decode to."""
-    return decode(encode(docs)).select(
+    return round_trips(docs).select(
         "doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -224,7 +307,7 @@ def with_tokens(docs: DataFrame, text_col: str = "text", path: str | None = None
         for batch in batches:
             texts = filled(batch.column(at).cast(pa.string()))
             for lo, hi, ids in _encoded(texts, bpe):
-                same = [bpe.decode(np.frombuffer(x, dtype="<u4").tolist()) == t.encode("utf-8")
+                same = [bpe.decode(np.frombuffer(x, dtype="<u4")) == t.encode("utf-8")
                         for x, t in zip(ids, texts.slice(lo, hi - lo).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(lo, hi - lo).columns, pa.array(ids, pa.binary()), pa.array(same, pa.bool_())], names=names)

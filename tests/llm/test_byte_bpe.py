@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -47,7 +48,7 @@ def test_any_text_round_trips(tree, plain, text):
     text = text.encode("utf-8", "ignore").decode()
     packed = tree.encode(text)
     assert ids(packed) == plain.encode_ordinary(text)
-    assert tree.decode(ids(packed)) == text.encode()
+    assert tree.decode(np.array(ids(packed), dtype=np.int64)) == text.encode()
 
 
 @settings(max_examples=300, deadline=None)
@@ -61,7 +62,48 @@ def test_tree_equals_direct_merging(tree, tokens):
 @pytest.mark.parametrize("raw", [b"a" * 333, b"ab" * 200, b" " * 99, b"\xff\xfe" * 50, b"aaab" * 77, b"0" * 1000])
 def test_repetitive_bytes(tree, raw):
     assert tree.encode_bytes(raw) == tree.merge(raw)
-    assert tree.decode(tree.encode_bytes(raw)) == raw
+    assert tree.decode(np.array(tree.encode_bytes(raw))) == raw
+
+
+@pytest.mark.parametrize("piece", ["=", ".", "=-", "#!", "—", " ", "0", "ab", "\u4e2d\u6587"])
+def test_long_runs(tree, plain, piece):
+    text = piece * 3001
+    assert ids(tree.encode(text)) == plain.encode_ordinary(text)
+
+
+def test_a_run_of_a_million_takes_seconds(tree):
+    start = time.time()
+    assert tree.decode(np.array(ids(tree.encode("=" * 1_000_000)))) == b"=" * 1_000_000
+    assert time.time() - start < 60
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="=-#.ab ", min_size=65, max_size=400))
+def test_heap_equals_direct_merging(tree, text):
+    raw = text.encode()
+    parts = [raw[i:i + 1] for i in range(len(raw))]
+    while True:         # lowest rank first, leftmost on ties, from the definition
+        ranked = [(tree.ranks.get(a + b, tree.top), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
+        rank, i = min(ranked, default=(tree.top, 0))
+        if rank == tree.top:
+            break
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+    assert tree.merge(raw) == tree.encode_bytes(raw) == [tree.ranks[p] for p in parts]
+
+
+def test_recent_keeps_what_was_used_last():
+    kept = bb.Recent(10)
+    for i in range(100):
+        kept.put(i, str(i))
+        assert kept.find(0) == "0" or i == 0
+        assert len(kept) + len(kept.old) <= 10 and kept.find(i) == str(i)
+    assert kept.find(1) is None
+
+
+def test_encode_then_decode_equals_one_pass(spark):
+    both = bb.decode(bb.encode(docs(spark))).select("doc_id", "ids", "decoded")
+    one = bb.round_trips(docs(spark))
+    assert sorted(map(str, both.collect())) == sorted(map(str, one.collect()))
 
 
 def test_empty_table_and_columns(spark):
