@@ -948,6 +948,65 @@ st(model, i, event_id, n, errors, pmin, smin, level, n_out) AS (
     "SELECT model, event_id, level, n_out AS n_since_reset FROM st WHERE level IS NOT NULL")
 ORACLE["Q7_ddm_stream"] = "WITH RECURSIVE " + ORACLE["Q7_ddm_stream"][len("WITH "):]
 
+ORACLE["Q7_ddm_alarms"] = ORACLE["Q7_ddm_stream"]
+
+# one row after the other: n rows and k errors since the reset, place of the last
+# error, sum of squared distances, largest level
+ORACLE["Q7_eddm_alarms"] = _with(("predictions",), """
+r AS (SELECT model, event_id, (p >= 0.5) <> (y = 1) AS err,
+      row_number() OVER (PARTITION BY model ORDER BY ts, event_id) AS i FROM predictions),
+st(model, i, event_id, n, k, last, dd, top, level, n_out) AS (
+  SELECT model, 0, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, NULL::VARCHAR, NULL::BIGINT
+  FROM (SELECT DISTINCT model FROM r)
+  UNION ALL
+  SELECT st.model, r.i, r.event_id, CASE WHEN c.lvl = 'drift' THEN 0 ELSE st.n + 1 END,
+    CASE WHEN c.lvl = 'drift' THEN 0 ELSE c.k1 END, CASE WHEN c.lvl = 'drift' THEN 0 WHEN r.err THEN st.n + 1 ELSE st.last END,
+    CASE WHEN c.lvl = 'drift' THEN 0 ELSE c.dd1 END, CASE WHEN c.lvl = 'drift' THEN 0.0 ELSE c.top1 END,
+    c.lvl, CASE WHEN c.lvl IS NOT NULL THEN st.n + 1 END
+  FROM st JOIN r ON r.model = st.model AND r.i = st.i + 1,
+  LATERAL (SELECT b.k1, b.dd1, b.top1, CASE WHEN r.err AND b.k1 >= 30 THEN
+             CASE WHEN b.v / b.top1 < 0.90 THEN 'drift' WHEN b.v / b.top1 < 0.95 THEN 'warning' END END AS lvl
+           FROM (SELECT a.k1, a.dd1, a.v, CASE WHEN r.err AND a.k1 >= 30 THEN greatest(st.top, a.v) ELSE st.top END AS top1
+                 FROM (SELECT z.k1, z.dd1, (st.n + 1) / z.k1 + 2.0::DOUBLE * sqrt(greatest(z.dd1 / z.k1
+                         - ((st.n + 1) / z.k1) * ((st.n + 1) / z.k1), 0.0)) AS v
+                       FROM (SELECT st.k + CASE WHEN r.err THEN 1 ELSE 0 END AS k1,
+                               st.dd + CASE WHEN r.err THEN (st.n + 1 - st.last) * (st.n + 1 - st.last) ELSE 0 END AS dd1) z) a) b) c)""",
+    "SELECT model, event_id, level, n_out AS n_since_reset FROM st WHERE level IS NOT NULL")
+ORACLE["Q7_eddm_alarms"] = "WITH RECURSIVE " + ORACLE["Q7_eddm_alarms"][len("WITH "):]
+
+# one hour after the other; o holds the running sums, its row 0 is empty
+ORACLE["Q8_adwin_changes"] = _with(("predictions",), """
+x AS (SELECT model, cast(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS bucket,
+      cast(round((p + CASE WHEN day(ts) >= 20 THEN 0.2::DOUBLE WHEN day(ts) >= 10 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END) / 1e-6::DOUBLE)
+      AS HUGEINT) AS x FROM predictions),
+b AS (SELECT model, bucket, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM x GROUP BY 1, 2),
+o AS MATERIALIZED (SELECT model, row_number() OVER w AS t, bucket, cast(sum(n) OVER w AS BIGINT) AS n, sum(s) OVER w AS s, sum(q) OVER w AS q
+      FROM b WINDOW w AS (PARTITION BY model ORDER BY bucket)
+      UNION ALL SELECT DISTINCT model, 0, NULL, 0, 0, 0 FROM b),
+k AS (SELECT h.model, h.t, m.t AS c, lo.t AS start, h.n - lo.n AS n, m.n - lo.n AS n0, h.n - m.n AS n1, h.s - lo.s AS s, h.q - lo.q AS q,
+             m.s - lo.s AS s0, h.s - m.s AS s1
+      FROM o h JOIN o m ON m.model = h.model AND m.t < h.t AND bit_count(h.t - m.t) = 1
+      JOIN o lo ON lo.model = h.model AND lo.t < m.t),
+d AS MATERIALIZED (SELECT model, t, start, max(c) AS c FROM (
+        SELECT *, 1.0::DOUBLE / n0 + 1.0::DOUBLE / n1 AS inv, ln(2.0::DOUBLE * ln(cast(n AS DOUBLE)) / 0.002::DOUBLE) AS lg,
+               (cast(q AS DOUBLE) - cast(s AS DOUBLE) * cast(s AS DOUBLE) / n) / n * (1e-6::DOUBLE * 1e-6::DOUBLE) AS v FROM k
+        WHERE n0 >= 5 AND n1 >= 5)
+      WHERE abs(cast(s0 AS DOUBLE) / n0 - cast(s1 AS DOUBLE) / n1) * 1e-6::DOUBLE
+            > sqrt(2.0::DOUBLE * inv * greatest(v, 0.0) * lg) + 2.0::DOUBLE / 3.0::DOUBLE * inv * lg
+      GROUP BY 1, 2, 3),
+st(model, t, before, start) AS (
+  SELECT DISTINCT model, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM b
+  UNION ALL
+  SELECT st.model, st.t + 1, st.start, coalesce(d.c, st.start)
+  FROM st JOIN o ON o.model = st.model AND o.t = st.t + 1 LEFT JOIN d ON d.model = st.model AND d.t = st.t + 1 AND d.start = st.start)""",
+    "SELECT st.model, h.bucket, nx.bucket AS cut, m.n - lo.n AS n_before, h.n - m.n AS n_after, "
+    "round(cast(m.s - lo.s AS DOUBLE) / (m.n - lo.n) * 1e-6::DOUBLE, 6) AS mean_before, "
+    "round(cast(h.s - m.s AS DOUBLE) / (h.n - m.n) * 1e-6::DOUBLE, 6) AS mean_after "
+    "FROM st JOIN o h ON h.model = st.model AND h.t = st.t JOIN o m ON m.model = st.model AND m.t = st.start "
+    "JOIN o lo ON lo.model = st.model AND lo.t = st.before JOIN o nx ON nx.model = st.model AND nx.t = st.start + 1 "
+    "WHERE st.start <> st.before")
+ORACLE["Q8_adwin_changes"] = "WITH RECURSIVE " + ORACLE["Q8_adwin_changes"][len("WITH "):]
+
 # the reloaded package must score every row exactly like the saved model
 ORACLE["M8_save_load_roundtrip"] = "SELECT vec_id, true AS same FROM embeddings"
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medlake.operators import drift, metrics, monitor, registry
+from medlake.operators import detectors, drift, metrics, monitor, registry
 from medlake.plans.catalog import register
 from medlake.sources.derived import derived
 from medlake.sources.tables import table
@@ -296,6 +296,29 @@ def q7(spark, sf):
     return monitor.ddm_first_drift(p, G, "ts", "event_id", err, min_samples=30)
 
 
+def _wrong():
+    return (F.col("p") >= 0.5) != (F.col("y") == 1)
+
+
+@register("Q7_ddm_alarms")
+def q7_ddm(spark, sf):
+    return detectors.ddm_alarms(_pred(spark, sf), G, "ts", "event_id", _wrong())
+
+
+@register("Q7_eddm_alarms")
+def q7_eddm(spark, sf):
+    return detectors.eddm_alarms(_pred(spark, sf), G, "ts", "event_id", _wrong())
+
+
+@register("Q8_adwin_changes")
+def q8(spark, sf):
+    # level shifts on the 10th and the 20th make the change points checkable
+    shift = F.when(F.dayofmonth("ts") >= 20, 0.2).when(F.dayofmonth("ts") >= 10, 0.3).otherwise(0.0)
+    out = detectors.adwin_changes(_pred(spark, sf), G, "ts", F.col("p") + shift, seconds=3600)
+    return out.select("model", "bucket", "cut", "n_before", "n_after", r6("mean_before").alias("mean_before"),
+                      r6("mean_after").alias("mean_after"))
+
+
 @register("Q7_page_hinkley_first_alarm")
 def q7b(spark, sf):
     p = _pred(spark, sf)
