@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medlake.operators import metrics, ml
+from medlake.operators import metrics, ml, search
 from medlake.operators.prep import fit_standard, train_test_split
 from medlake.plans.catalog import register
 from medlake.session import scratch_path
@@ -71,6 +71,13 @@ def m5(spark, sf):
     return ml.select_best(m4(spark, sf))
 
 
+@register("M6_hyperparameter_search")
+def m6(spark, sf, n_trials: int = 4):
+    d = ml.with_features(_emb(spark, sf), "embedding").select("vec_id", "label", "features")
+    out = search.halving_search(d, "vec_id", scratch_path(spark, "m6-search"), n_trials=n_trials, least_trees=1)
+    return out.select("rung", "trial", "trees", r6("cv_auc").alias("cv_auc"), "promoted")
+
+
 def _lr_model(spark, sf):
     d = _split(spark, sf)
     return ml.train(d.where(~F.col("is_test")), "logistic", "label"), d
