@@ -1007,6 +1007,11 @@ st(model, t, before, start) AS (
     "WHERE st.start <> st.before")
 ORACLE["Q8_adwin_changes"] = "WITH RECURSIVE " + ORACLE["Q8_adwin_changes"][len("WITH "):]
 
+# as many samples as the classes differ by, all inside the bounds of the minority
+ORACLE["I6_smote_balance"] = (
+    "WITH n AS (SELECT count_if(label >= 7) AS few, count_if(label < 7) AS many, min(len(embedding)) AS dim FROM embeddings)\n"
+    "SELECT cast(many - few AS BIGINT) AS n_samples, cast(many - few AS BIGINT) AS n_ids, cast(dim AS int) AS dim, 0::BIGINT AS n_outside FROM n")
+
 # the reloaded package must score every row exactly like the saved model
 ORACLE["M8_save_load_roundtrip"] = "SELECT vec_id, true AS same FROM embeddings"
 

@@ -368,26 +368,110 @@ def _nearest_block(k: int):
     return run
 
 
-def nearest_neighbours(points: DataFrame, k: int, n: int, block: int | None = None) -> DataFrame:
+#: Most pivots, and most points they are picked from; these reach the driver.
+MAX_PIVOTS, MAX_PICK = 1024, 4096
+
+
+def _spread(x: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` of the points, each the farthest from those taken before."""
+    taken, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(taken) < most and far.max() > 0:
+        taken.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[taken[-1]]) ** 2).sum(axis=1))
+    return x[taken]
+
+
+def _cells(points: DataFrame, k: int, n: int, pivots: int | None) -> tuple[DataFrame, DataFrame]:
+    """Points by their nearest pivot, and which cells must meet.
+
+    Returns (a, x, dim, cell, r) with the distance r to the pivot, and (dim, cell, to,
+    least): a member of ``cell`` can be among the ``k`` nearest of a point of cell
+    ``to`` only if its r is ``least`` or more.  By the triangle inequality: every point
+    of ``to`` has its k nearest within t = R + u, where R is the cell's radius and u
+    the (k + 1)-th smallest of (distance of pivots + r) over all cells, and a member is
+    at least (distance of pivots) - R - r away."""
+    spark = points.sparkSession
+    want = pivots or max(1, min(MAX_PIVOTS, math.isqrt(max(n, 1))))
+    p = points.select("a", F.col("x").cast("array<double>").alias("x"), F.size("x").alias("dim"))
+    want = min(want, MAX_PIVOTS)
+    pick = p.orderBy(F.xxhash64("a"), "a").limit(min(4 * want, MAX_PICK)).collect()
+    by_dim = {d: _spread(np.array([r["x"] for r in pick if r["dim"] == d]), want) for d in {r["dim"] for r in pick}}
+    kind = points.schema["a"].dataType.simpleString()
+
+    def place(batches):
+        for batch in batches:
+            dims, xs = batch.column("dim").to_numpy(), batch.column("x")
+            cell, r = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for d in np.unique(dims).tolist():
+                at, centre = np.flatnonzero(dims == d), by_dim.get(d)
+                if centre is None:
+                    continue            # a dimension without a pivot is one cell
+                for lo in range(0, len(at), 256):
+                    rows = at[lo:lo + 256]
+                    x = xs.take(pa.array(rows)).flatten().to_numpy().reshape(-1, d)
+                    near = (x * x).sum(axis=1)[:, None] + (centre * centre).sum(axis=1)[None, :] - 2 * (x @ centre.T)
+                    cell[rows] = near.argmin(axis=1)
+                    r[rows] = np.sqrt(((x - centre[cell[rows]]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(r)], names=["a", "x", "dim", "cell", "r"])
+
+    ensure_checkpoint_dir(spark)
+    placed = materialize(p.mapInArrow(place, f"a {kind}, x array<double>, dim int, cell int, r double"), "nearest-cells")
+    w = Window.partitionBy("dim", "cell").orderBy("r")
+    few = placed.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= k + 1).groupBy("dim", "cell").agg(
+        F.sort_array(F.collect_list("r")).alias("low"))
+    stats = placed.groupBy("dim", "cell").agg(F.max("r").alias("radius")).join(few, ["dim", "cell"]).collect()   # one row a cell
+    rows = []
+    for d in {s["dim"] for s in stats}:
+        own = [s for s in stats if s["dim"] == d]
+        ids, radius = [s["cell"] for s in own], np.array([s["radius"] for s in own])
+        centre = by_dim[d][ids] if d in by_dim else np.zeros((1, 1))
+        apart = np.stack([np.sqrt(((centre - c) ** 2).sum(axis=1)) for c in centre])
+        for i in range(len(ids)):
+            reach = np.sort(np.concatenate([apart[i, j] + np.array(s["low"]) for j, s in enumerate(own)]))
+            u = reach[k] if len(reach) > k else np.inf
+            least = apart[i] - 2 * radius[i] - u
+            least -= 1e-9 * (apart[i] + radius[i] + (u if np.isfinite(u) else 0.0))
+            rows += [(d, ids[j], ids[i], float(least[j])) for j in range(len(ids)) if least[j] <= radius[j]]
+    return placed, spark.createDataFrame(rows, "dim int, cell int, to int, least double")
+
+
+def nearest_neighbours(points: DataFrame, k: int, n: int, block: int | None = None, pivots: int | None = None) -> DataFrame:
     """(a, b, d, rank): the exact ``k`` nearest other points of each of the
     ``n`` points (a, x), by squared distance and then key.
 
-    Every pair of blocks meets in a task, so the work is quadratic in ``n``,
-    and a point is shipped twice for each block; blocks have ``block`` points
-    (as many as ``NEAR_BYTES`` hold if None).  Points compare within their
-    dimension; null, empty and not finite vectors have no neighbours."""
+    Points are dealt to cells by their nearest of ``pivots`` points (about the root of
+    ``n`` if None, at most ``MAX_PIVOTS``), and a cell meets only the points that the
+    triangle inequality leaves as possible neighbours (see ``_cells``): far parts of
+    the table never meet.  Without structure in the data every pair is possible and
+    the work is quadratic.  A cell's points and its possible neighbours meet in blocks
+    of ``block`` points (as many as ``NEAR_BYTES`` hold if None), so no task holds a
+    cell.  Points compare within their dimension; null, empty and not finite vectors
+    have no neighbours."""
     length = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
     points = points.where(F.col("a").isNotNull() & (F.size("x") > 0) & (length < 1e300))
     if block is None:
         dim = points.agg(F.max(F.size("x"))).first()[0] or 1
         block = max(1, min(NEAR_BYTES // (8 * dim), max(512, -(-n // 8))))
-    blocks = max(1, -(-n // block))
-    spot, each = F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    p = points.select("a", "x", F.size("x").alias("dim"))
-    both = p.select("*", spot.alias("i"), each.alias("j"), F.lit(True).alias("query")).union(
-        p.select("*", each.alias("i"), spot.alias("j"), F.lit(False).alias("query")).select("a", "x", "dim", "i", "j", "query"))
+    placed, meets = _cells(points, k, n, pivots)
+    member = placed.join(F.broadcast(meets), ["dim", "cell"]).where(F.col("r") >= F.col("least")).select("a", "x", "dim", F.col("to").alias("cell"))
+    shape = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("rows")).join(
+        member.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("cols")), ["dim", "cell"])
+    # one row a cell
+    shape = F.broadcast(materialize(shape, "nearest-shape"))
+
+    def spot(parts: str) -> Column:
+        return F.pmod(F.xxhash64("a"), F.col(parts)).cast("int")
+
+    def each(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    names = ["a", "x", "dim", "cell", "i", "j", "query"]
+    both = placed.join(shape, ["dim", "cell"]).select("a", "x", "dim", "cell", spot("rows").alias("i"), each("cols").alias("j"),
+                                                      F.lit(True).alias("query")).select(*names).union(
+        member.join(shape, ["dim", "cell"]).select("a", "x", "dim", "cell", each("rows").alias("i"), spot("cols").alias("j"),
+                                                   F.lit(False).alias("query")).select(*names))
     kind = points.schema["a"].dataType.simpleString()
-    got = both.groupBy("dim", "i", "j").applyInArrow(_nearest_block(k), f"a {kind}, b {kind}, d double")
+    got = both.groupBy("dim", "cell", "i", "j").applyInArrow(_nearest_block(k), f"a {kind}, b {kind}, d double")
     w = Window.partitionBy("a").orderBy("d", "b")
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

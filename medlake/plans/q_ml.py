@@ -173,3 +173,16 @@ def i6(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") >= 7).cast("int").alias("y"))
     s = ml.smote(e, "embedding", "y", "vec_id", minority=1, k=5)
     return s.select("vec_id", "y", F.size("embedding").alias("dim"))
+
+
+@register("I6_smote_balance")
+def i6b(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") >= 7).cast("int").alias("y"))
+    s = ml.smote(e, "embedding", "y", "vec_id", minority=1, k=5)
+    # a sample lies between its seed and another minority point, so inside their bounds
+    box = e.where("y = 1").select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(
+        F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
+    out = s.select("vec_id", F.posexplode("embedding").alias("i", "v")).join(box, "i").agg(
+        F.count_if((F.col("v") < F.col("lo") - 1e-9) | (F.col("v") > F.col("hi") + 1e-9)).alias("n_outside"))
+    return s.agg(F.count("*").alias("n_samples"), F.countDistinct("vec_id").alias("n_ids"),
+                 F.min(F.size("embedding")).alias("dim")).join(F.broadcast(out))

@@ -110,6 +110,25 @@ def test_nearest_neighbours_are_exact(spark, block):
         assert [d for d, _ in got[a]] == pytest.approx([d for d, _ in want[a]], rel=1e-9)
 
 
+@pytest.mark.parametrize("pivots", [1, 8, 60])
+def test_far_cells_never_meet_and_neighbours_stay_exact(spark, pivots):
+    """Clusters far apart: the pairs that meet are a small part of all pairs."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(30, 16)) * 50
+    x = np.concatenate([c + rng.normal(size=(20 if i else 200, 16)) for i, c in enumerate(centre)])
+    pts = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(pts, "a long, x array<double>").repartition(3)
+    got = {}
+    for r in ml.nearest_neighbours(df, 4, len(pts), 64, pivots).orderBy("a", "rank").collect():
+        got.setdefault(r["a"], []).append((r["d"], r["b"]))
+    want = _true_nearest(pts, 4)
+    assert {a: [b for _, b in v] for a, v in got.items()} == {a: [b for _, b in v] for a, v in want.items()}
+    placed, meets = ml._cells(df, 4, len(pts), pivots)
+    member = placed.join(meets, ["dim", "cell"]).where("r >= least").groupBy(F.col("to").alias("cell")).agg(F.count("*").alias("m"))
+    pairs = placed.groupBy("cell").agg(F.count("*").alias("n")).join(member, "cell").agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    assert pairs == len(pts) ** 2 if pivots == 1 else pairs < len(pts) ** 2 / (4 if pivots == 60 else 1)
+
+
 def test_smote_samples_lie_towards_true_neighbours(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(400, 64))
