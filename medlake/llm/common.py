@@ -8,9 +8,10 @@ single text larger than a slice is held whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -160,6 +161,50 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
+# --- bitmaps of keys --------------------------------------------------------
+
+def key_bitmap(keys: DataFrame, bits: int = 1 << 23):
+    """A broadcast bitmap of fixed size (1 MB) over the keys' hashes, built by
+    OR-ing one bitmap per partition pairwise in a tree."""
+    sc = keys.sparkSession.sparkContext
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(bits // 8, dtype=np.uint8)
+        for batch in batches:
+            at = (mix64(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+            np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        seg = out.reshape(-1, 4096)
+        used = np.flatnonzero(seg.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([seg[i].tobytes() for i in used], pa.binary())],
+                                         names=["seg", "bits"])
+
+    rows = keys.mapInArrow(mark, "seg long, bits binary").groupBy("seg").agg(F.bitmap_or_agg("bits").alias("bits")).collect()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        out[r["seg"] * 4096:(r["seg"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return sc.broadcast(out)
+
+
+#: Least and most bits of a key filter (128 kB to 32 MB), and bits for each key between.
+FILTER_BITS = (1 << 20, 1 << 28)
+BITS_A_KEY = 16
+
+
+def key_filter(keys: DataFrame, count: int) -> Callable[[Column], Column]:
+    """A test of 64-bit keys: true for each of the ``count`` given ones and for few
+    others.  Rows that fail it need no join with ``keys``.  The bitmap has a bound
+    whatever ``count``; beyond it more rows pass, and are joined."""
+    low, high = FILTER_BITS
+    bitmap = key_bitmap(keys, min(high, max(low, 1 << (count * BITS_A_KEY).bit_length())))
+
+    @F.pandas_udf("boolean")
+    def hit(k: pd.Series) -> pd.Series:
+        bits = bitmap.value
+        at = (mix64(k.to_numpy().view(np.uint64)) % np.uint64(len(bits) * 8)).astype(np.int64)
+        return pd.Series((bits[at >> 3] >> (at & 7)) & 1 == 1)
+    return hit
+
+
 # --- connected components -------------------------------------------------
 
 def sized(df: DataFrame, rows: int, per: int = 200_000) -> DataFrame:

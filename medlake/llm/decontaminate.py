@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.common import (landed, lower_bytes, mix64, row_key, shingle_hashes, spare, text_slices, word_bounds,
-                                word_hashes)
+from medlake.llm.common import (key_filter, landed, lower_bytes, mix64, row_key, shingle_hashes, spare, text_slices,
+                                word_bounds, word_hashes)
 
 WINDOW = 10
 SHINGLE = 5
@@ -215,8 +215,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in which no benchmark window occurs, all columns kept."""
+    """The documents in which no benchmark window occurs, all columns kept.  Only
+    rows that may go are shuffled."""
     rk = spare(docs, "_llm_rk")
-    bad = occurrences(docs, benchmark, id_col, text_col)[1].select(F.col("_rk").alias(rk)).distinct()
-    return (docs.withColumn(rk, row_key(id_col, text_col)).join(bad, rk, "left_anti")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    bad = landed(occurrences(docs, benchmark, id_col, text_col)[1].select(F.col("_rk").alias(rk)).distinct(), "contaminated")
+    keyed = docs.withColumn(rk, row_key(id_col, text_col))
+    unsure = key_filter(bad, bad.count())(F.col(rk))
+    clean = keyed.filter(unsure).join(bad, rk, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.filter(~unsure).drop(rk).union(clean)

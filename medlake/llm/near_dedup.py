@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.common import (components, cross_blocks, landed, lower_bytes, mix64, row_key,
+from medlake.llm.common import (components, cross_blocks, key_bitmap, key_filter, landed, lower_bytes, mix64, row_key,
                                 shingle_hashes, spare, text_slices, word_bounds, word_hashes)
 
 K = 5
@@ -293,28 +293,6 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return src.mapInArrow(_sketch, _SKETCH)
 
 
-def _bitmap(keys: DataFrame, bits: int = 1 << 23):
-    """A broadcast bitmap of fixed size (1 MB) over the keys' hashes, built by
-    OR-ing one bitmap per partition pairwise in a tree."""
-    sc = keys.sparkSession.sparkContext
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(bits // 8, dtype=np.uint8)
-        for batch in batches:
-            at = (mix64(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(bits)).astype(np.int64)
-            np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        seg = out.reshape(-1, 4096)
-        used = np.flatnonzero(seg.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([seg[i].tobytes() for i in used], pa.binary())],
-                                         names=["seg", "bits"])
-
-    rows = keys.mapInArrow(mark, "seg long, bits binary").groupBy("seg").agg(F.bitmap_or_agg("bits").alias("bits")).collect()
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in rows:
-        out[r["seg"] * 4096:(r["seg"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return sc.broadcast(out)
-
-
 def _exact(pairs: DataFrame, sets: DataFrame, limit: tuple[int, int]) -> DataFrame:
     """The pairs whose full sets are linked."""
     su = sets.select(F.col("_cls").alias("u"), F.col("_set").alias("_su"))
@@ -361,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # exact check
     comp = landed(components(cand, "cand"), "cand-comp")
-    wanted = _bitmap(comp.select("node").union(large.select("_cls").distinct()))
+    wanted = key_bitmap(comp.select("node").union(large.select("_cls").distinct()))
     src = docs.select(row_key(id_col, text_col).alias("_rk"), F.col(text_col).cast("string").alias("_text"))
     sizes = comp.groupBy("root").agg(F.count("*").alias("members"))
     node = comp.join(sizes, "root").select(F.col("node").alias("_cls"), "root", "members")
@@ -416,11 +394,14 @@ def near_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def near_dedup_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     limit: tuple[int, int] = LIMIT) -> DataFrame:
     """The documents with one row for each component, all columns kept; every
-    row without words stays."""
-    res = near_duplicates(docs, id_col, text_col, limit)
+    row without words stays.  Only rows that may go are shuffled."""
+    res = landed(near_duplicates(docs, id_col, text_col, limit).filter("n_shingles > 0").groupBy("_rk").agg(
+        F.count("*").alias("n"), F.max(F.col("_rk") == F.col("kept_rk")).alias("keep")), "decisions")
+    open_keys = res.filter("n > 1 or not keep")
     rk = spare(docs, "_llm_rk")
-    keep = res.filter("_rk = kept_rk and n_shingles > 0").select(F.col("_rk").alias(rk)).distinct()
     keyed = docs.withColumn(rk, row_key(id_col, text_col))
     worded = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = keyed.filter(worded).join(keep, rk, "left_semi").dropDuplicates([rk])
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter(~worded))
+    unsure = key_filter(open_keys.select("_rk"), open_keys.count())(F.col(rk)) & worded
+    keep = res.filter("keep").select(F.col("_rk").alias(rk))
+    one = keyed.filter(unsure).dropDuplicates([rk]).join(keep, rk, "left_semi")
+    return keyed.filter(~unsure).drop(rk).union(one.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -3,7 +3,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from medlake.llm import common
 from medlake.llm import near_dedup as nd
 from tests.llm.odd import base_rows, docs
 
@@ -160,3 +162,22 @@ def test_repeated_rows_without_words_stay(spark):
     kept = nd.near_dedup_keep(docs(spark, [(i, t, "en", "s", 1) for i, t in rows])).collect()
     want = [*rows[:9], (4, "one two"), (5, "\u00a0"), (None, "three")]
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(repr, want))
+
+
+def test_key_filter_passes_every_key_and_few_others(spark):
+    keys = spark.range(0, 5000, 2).select(F.xxhash64("id").alias("k"))
+    hit = common.key_filter(keys, 2500)
+    rows = spark.range(20000).select("id", F.xxhash64("id").alias("k")).filter(hit(F.col("k"))).collect()
+    found = {r["id"] for r in rows}
+    assert set(range(0, 5000, 2)) <= found and len(found) < 2500 + 200
+    assert spark.range(9).filter(common.key_filter(keys.limit(0), 0)(F.col("id"))).count() == 0
+
+
+def test_kept_rows_do_not_depend_on_the_filter(spark, monkeypatch):
+    """Where every row passes the filter (a full bitmap) the same rows stay."""
+    body = " ".join(f"alpha{i} beta{i}" for i in range(40))
+    rows = base_rows() + [(50, body, "en", "s", 1)] * 9 + [(51, body + " end", "en", "s", 1)] * 2 + [(12, "", "en", "s", 1)] * 3
+    some = sorted(str(r) for r in nd.near_dedup_keep(docs(spark, rows)).select("doc_id", "text").collect())
+    monkeypatch.setattr(nd, "key_filter", lambda keys, count: lambda k: F.lit(True))
+    every = sorted(str(r) for r in nd.near_dedup_keep(docs(spark, rows)).select("doc_id", "text").collect())
+    assert some == every and len(some) < len(rows)
