@@ -585,6 +585,8 @@ _REG = ("reg AS (SELECT strftime(t.trained_at, '%Y%m%d') || '_' || substr(md5(au
         "ON auc.model = t.model)")
 ORACLE["G1_register_models"] = _with(("predictions",), ",\n".join([_SC, _AUC, _REG]),
                                      "SELECT id, model, round(performance, 6) AS performance FROM reg")
+ORACLE["G1_second_registration"] = _with(("predictions",), ",\n".join([_SC, _AUC, _REG]),
+                                         "SELECT id, model, model < 'purchase' AS rejected FROM reg")
 ORACLE["G2_best_model"] = _with(("predictions",), ",\n".join([_SC, _AUC, _REG]),
     "SELECT id, model, round(performance, 6) AS performance FROM reg ORDER BY performance DESC, id LIMIT 1")
 ORACLE["G3_audit_models"] = _with(("predictions",), ",\n".join([_SC, _AUC, _REG]),

@@ -8,9 +8,12 @@ duplicate id is rejected before the append (``left_anti``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from medlake.session import materialize
+
 REGISTRY_SCHEMA = ("id string, model string, path string, performance double, timestamp timestamp, "
                    "features string, metrics string")
 
@@ -34,6 +37,42 @@ def register_models(spark: SparkSession, perf: DataFrame, existing: DataFrame |
     return existing.unionByName(fresh)
 
 
+def current_registry(spark: SparkSession, store: str) -> tuple[int, DataFrame]:
+    """(version, rows) of the registry in the shared folder ``store``: the snapshot that
+    the latest pointer names; version 0 has no rows."""
+    try:
+        version = spark.read.parquet(f"{store}/pointers").agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        version = None
+    if not version:
+        return 0, spark.createDataFrame([], REGISTRY_SCHEMA)
+    return version, spark.read.schema(REGISTRY_SCHEMA).parquet(f"{store}/version={version}")
+
+
+def register_in(spark: SparkSession, store: str, perf: DataFrame, **columns: str) -> DataFrame:
+    """G1 over a stored registry: rows of ``perf`` whose id is new go into the next
+    snapshot, the others are rejected.  Returns (id, model, rejected), a row for each
+    row of ``perf``.
+
+    A snapshot is written before the pointer to it, so a reader sees a whole version
+    or the one before; a call that stopped half-way is repeated without harm, and one
+    that adds nothing leaves the version as it is.  Of rows of one call with one id the
+    best is taken (ties: smaller metrics text) and the others are rejected."""
+    version, old = current_registry(spark, store)
+    rows = register_models(spark, perf, **columns)
+    order = Window.partitionBy("id").orderBy(F.col("performance").desc_nulls_last(), "metrics")
+    known = old.select("id", F.lit(True).alias("known"))
+    judged = materialize(rows.withColumn("place", F.row_number().over(order)).join(known, "id", "left").withColumn(
+        "rejected", F.col("known").isNotNull() | (F.col("place") > 1)), "registry-judged")
+    fresh = judged.where(~F.col("rejected")).select(*old.columns)
+    if not fresh.isEmpty():
+        old.unionByName(fresh).write.mode("overwrite").parquet(f"{store}/version={version + 1}")
+        spark.createDataFrame([(version + 1,)], "version int").write.mode("append").parquet(f"{store}/pointers")
+    return judged.select("id", "model", "rejected")
+
+
 def best_model(reg: DataFrame) -> DataFrame:
     """Highest performance, ties by id (a top-1 report)."""
     return reg.orderBy(F.col("performance").desc(), F.col("id")).limit(1)

@@ -275,6 +275,14 @@ def g1(spark, sf):
     return reg.select("id", "model", r6("performance").alias("performance"))
 
 
+@register("G1_second_registration")
+def g1b(spark, sf):
+    from medlake.session import materialize, scratch_path
+    perf, store = materialize(_model_perf(spark, sf), "g1-perf"), scratch_path(spark, "g1-registry")
+    registry.register_in(spark, store, perf.where("model < 'purchase'"))
+    return registry.register_in(spark, store, perf)
+
+
 @register("G2_best_model")
 def g2(spark, sf):
     reg = registry.register_models(spark, _model_perf(spark, sf), existing=None)
