@@ -708,6 +708,19 @@ ORACLE["S1_csv_roundtrip"] = _with(("medical",), "",
     "blood_pressure, disease_risk, true AS well_formed FROM medical")
 ORACLE["S2_json_lines_roundtrip"] = _with(("lifestyle",), "", "SELECT * FROM lifestyle")
 ORACLE["S3_geojson_zones"] = _with(("zones",), "", "SELECT zip_code, pm2_5, min_x, max_x, min_y, max_y FROM zones")
+_SHAPES = """
+sh AS (SELECT zip_code, pm2_5, min_x, max_x, min_y, max_y, cast(substr(zip_code, 2) AS int) % 3 AS kind FROM zones
+       UNION ALL SELECT 'ALL', max(pm2_5), -50000, 50000, -50000, 50000, 2 FROM zones)"""
+ORACLE["S3_geojson_collections"] = _with(("zones",), _SHAPES,
+    "SELECT zip_code, pm2_5, cast(CASE WHEN kind = 2 THEN 1 ELSE 2 END AS bigint) AS n_rings, "
+    "cast(CASE WHEN kind = 2 THEN 5 ELSE 10 END AS bigint) AS n_points, min_x, max_x, min_y, max_y FROM sh")
+ORACLE["J5_holes_and_parts"] = _with(("medical", "zones"), _SHAPES,
+    "SELECT m.patient_id, z.zip_code AS zone FROM medical m LEFT JOIN sh z ON m.latitude > z.min_y AND "
+    "m.latitude < z.max_y AND CASE z.kind "
+    "WHEN 0 THEN m.longitude > z.min_x AND m.longitude < z.max_x AND NOT (m.longitude BETWEEN z.min_x + 4 AND "
+    "z.max_x - 4 AND m.latitude BETWEEN z.min_y + 3 AND z.max_y - 3) "
+    "WHEN 1 THEN (m.longitude > z.min_x AND m.longitude < z.min_x + 7) OR (m.longitude > z.max_x - 7 AND "
+    "m.longitude < z.max_x) ELSE m.longitude > z.min_x AND m.longitude < z.max_x END")
 ORACLE["S4_clean_dataset_roundtrip"] = ORACLE["J1_medical_lifestyle_join"]
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medlake.operators import audit, registry
+from medlake.operators import audit, joins, registry
 from medlake.plans.catalog import register
 from medlake.session import materialize, scratch_path
 from medlake.sources import files
-from medlake.sources.derived import derived, zone_rings
+from medlake.sources.derived import derived, zone_rings, zone_shapes
 from medlake.sources.tables import table
 
 
@@ -62,6 +62,39 @@ def s3(spark, sf):
                     F.array_min(ys).alias("min_y"), F.array_max(ys).alias("max_y"))
 
 
+def _collections(spark, sf):
+    """The shaped zones, and one huge zone with a hole, landed as
+    FeatureCollection files (one a column of zones) and read back."""
+    z = derived(spark, sf, "zones").select("zip_code", "min_x", "max_x", "min_y", "max_y", "pm2_5")
+    huge = z.agg(F.lit("Z02").alias("zip_code"), F.lit(-50000.0).alias("min_x"), F.lit(50000.0).alias("max_x"),
+                 F.lit(-50000.0).alias("min_y"), F.lit(50000.0).alias("max_y"), F.max("pm2_5").alias("pm2_5"))
+    shaped = zone_shapes(z.union(huge)).withColumn("part", F.col("min_x").cast("long"))
+    shaped = shaped.withColumn("zip_code", F.when(F.col("min_x") < -1000, "ALL").otherwise(F.col("zip_code")))
+    path = scratch_path(spark, "s3-collections")
+    files.feature_collections(shaped.select("zip_code", "pm2_5", "kind", "polygons", "part"), "kind", "polygons",
+                              ["part"]).write.mode("overwrite").partitionBy("part").text(path)
+    g = files.read_geojson(spark, path)
+    return g.select(F.col("properties")["zip_code"].alias("zip_code"),
+                    F.col("properties")["pm2_5"].cast("double").alias("pm2_5"), "rings")
+
+
+@register("S3_geojson_collections")
+def s3_collections(spark, sf):
+    pts = F.flatten("rings")
+    xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
+    return _collections(spark, sf).select(
+        "zip_code", "pm2_5", F.size("rings").cast("long").alias("n_rings"), F.size(pts).cast("long").alias("n_points"),
+        F.array_min(xs).alias("min_x"), F.array_max(xs).alias("max_x"),
+        F.array_min(ys).alias("min_y"), F.array_max(ys).alias("max_y"))
+
+
+@register("J5_holes_and_parts")
+def j5_holes(spark, sf):
+    m = derived(spark, sf, "medical").select("patient_id", "longitude", "latitude")
+    z = joins.spatial_within_join(m, _collections(spark, sf).select("zip_code", "rings"), ring="rings", how="left")
+    return z.select("patient_id", F.col("zip_code").alias("zone"))
+
+
 @register("S4_clean_dataset_roundtrip")
 def s4(spark, sf):
     j = derived(spark, sf, "medical").select("patient_id", "sex", "zip_code").join(derived(spark, sf, "lifestyle"),

@@ -259,3 +259,21 @@ def zone_rings(zones: DataFrame) -> DataFrame:
     return zones.withColumn(
         "ring", F.array(pt("min_x", "min_y"), pt("max_x", "min_y"), pt("max_x", "max_y"),
                         pt("min_x", "max_y"), pt("min_x", "min_y")))
+
+
+def zone_shapes(zones: DataFrame) -> DataFrame:
+    """Zones with real geometry, from their boxes: by number modulo 3 a Polygon
+    with a hole, a MultiPolygon of two strips, or a plain Polygon.  Adds ``kind``
+    and ``polygons`` (polygons of rings of points)."""
+    def box(x0, y0, x1, y1):
+        x0, y0, x1, y1 = (F.expr(v) for v in (x0, y0, x1, y1))
+        return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in
+                         ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+    number = F.substring("zip_code", 2, 9).cast("int") % 3
+    whole = box("min_x", "min_y", "max_x", "max_y")
+    hole = box("min_x + 4", "min_y + 3", "max_x - 4", "max_y - 3")
+    strips = F.array(F.array(box("min_x", "min_y", "min_x + 7", "max_y")),
+                     F.array(box("max_x - 7", "min_y", "max_x", "max_y")))
+    return (zones.withColumn("kind", F.when(number == 1, "MultiPolygon").otherwise("Polygon"))
+            .withColumn("polygons", F.when(number == 0, F.array(F.array(whole, hole))).when(number == 1, strips)
+                        .otherwise(F.array(F.array(whole)))))

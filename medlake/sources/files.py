@@ -44,29 +44,54 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str | None =
     return r.json(path)
 
 
-_GEOJSON_SCHEMA = ("type string, features array<struct<type:string, properties:map<string,string>, "
-                   "geometry:struct<type:string, coordinates:array<array<array<double>>>>>>")
-_FEATURE_SCHEMA = ("type string, properties map<string,string>, "
-                   "geometry struct<type:string, coordinates:array<array<array<double>>>>")
+# coordinates stay text until the geometry's type is known: their depth depends on it
+_FEATURE = "type string, properties map<string,string>, geometry struct<type:string, coordinates:string>"
+_GEOJSON_SCHEMA = f"type string, features array<struct<{_FEATURE}>>"
 
 
-def _ring(coords: Column) -> Column:
-    # outer ring of a Polygon as ARRAY<STRUCT<x,y>>
-    return F.transform(F.element_at(coords, 1), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+def _rings(geometry: Column) -> Column:
+    """All rings of a Polygon or MultiPolygon, ARRAY<ARRAY<STRUCT<x,y>>>; NULL
+    for any other type."""
+    text, kind = geometry["coordinates"], geometry["type"]
+    polygon = F.from_json(text, "array<array<array<double>>>")
+    parts = F.flatten(F.from_json(text, "array<array<array<array<double>>>>"))
+    coords = F.when(kind == "Polygon", polygon).when(kind == "MultiPolygon", parts)
+    return F.transform(coords, lambda r: F.transform(r, lambda p: F.struct(
+        F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
 
 
 def read_geojson(spark: SparkSession, path: str, seq: bool = False) -> DataFrame:
     """S3: GeoJSON polygons -> one row per feature with its properties
-    (strings) and ``ring ARRAY<STRUCT<x,y>>``.  Coordinates are read as
-    double even when written as integers.  ``seq=True`` reads GeoJSONSeq /
+    (strings), ``ring ARRAY<STRUCT<x,y>>`` (the first ring) and ``rings``, all
+    rings of the Polygon or MultiPolygon: outer ones and holes alike, told
+    apart by even-odd (``joins.spatial_within_join``).  Coordinates are read as
+    double even when written as integers; heights are ignored; other
+    geometries and null ones have NULL rings.  ``seq=True`` reads GeoJSONSeq /
     one feature per line (splittable -- the scalable layout); a
     FeatureCollection document is one JSON value and parses in one task."""
     if seq:
-        f = spark.read.schema(_FEATURE_SCHEMA).json(path).select(F.struct("*").alias("f"))
+        f = spark.read.schema(_FEATURE).json(path).select(F.struct("*").alias("f"))
     else:
         doc = spark.read.schema(_GEOJSON_SCHEMA).option("multiLine", True).json(path)
         f = doc.select(F.explode("features").alias("f"))
-    return f.select(F.col("f.properties").alias("properties"), _ring(F.col("f.geometry.coordinates")).alias("ring"))
+    rings = f.select(F.col("f.properties").alias("properties"), _rings(F.col("f.geometry")).alias("rings"))
+    return rings.select("properties", F.get("rings", F.lit(0)).alias("ring"), "rings")
+
+
+def feature_collections(zones: DataFrame, geometry: str, rings: str, parts: Sequence[str]) -> DataFrame:
+    """One FeatureCollection document (column ``value``) for each value of
+    ``parts``: ``geometry`` names the column with the type, ``rings`` the one with
+    ``ARRAY<ARRAY<ARRAY<STRUCT<x,y>>>>`` (polygons of rings); the others become
+    properties.  A document is one value, so ``parts`` must keep it small."""
+    props = [c for c in zones.columns if c not in (geometry, rings, *parts)]
+    xy = F.transform(rings, lambda poly: F.transform(poly, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+    # a Polygon has one level less than a MultiPolygon
+    coords = F.when(F.col(geometry) == "Polygon", F.to_json(F.get(xy, F.lit(0)))).otherwise(F.to_json(xy))
+    properties = F.to_json(F.struct(*[F.col(f"`{c}`") for c in props]))
+    feature = F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":{"type":"'),
+                       F.col(geometry), F.lit('","coordinates":'), coords, F.lit("}}"))
+    return zones.groupBy(*parts).agg(F.concat(
+        F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list(feature)), F.lit("]}")).alias("value"))
 
 
 # ---------------------------------------------------------------- writers
