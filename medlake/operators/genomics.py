@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from medlake.operators.joins import bounded_broadcast
 from medlake.operators.ordered import running_totals
+from medlake.session import materialize
 
 
 def allele_count(genotype: Column, allele: Column) -> Column:
@@ -60,7 +61,9 @@ def prs_percentile(prs: DataFrame, key: str = "patient_id") -> DataFrame:
     r = running_totals(counts, ["prs"], ["n"], partition_cols=["condition"])
     pr = F.when(F.col("total_n") > 1, (F.col("cum_n") - F.col("n")) / (F.col("total_n") - 1)).otherwise(F.lit(0.0))
     ranks = r.select("condition", "prs", (pr * 100).alias("percentile"))
-    return prs.join(ranks, ["condition", "prs"], "inner")
+    # a score that most rows share means few distinct ones: with the ranks
+    # broadcast no row moves; beyond the bound AQE splits hot scores
+    return prs.join(bounded_broadcast(materialize(ranks, "prs-ranks")), ["condition", "prs"], "inner")
 
 
 def allele_frequencies(genotypes: DataFrame, snps: DataFrame) -> DataFrame:
