@@ -1,5 +1,7 @@
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from medlake.llm import pii
@@ -107,3 +109,68 @@ def test_more_names_than_surrogates_of_five_syllables(spark, monkeypatch):
     used = spark.createDataFrame([(n, moved.get(n, 0)) for n in names], "canon string, attempt int")
     got = [r["s"] for r in used.select(pii.surrogate(F.lit("name"), F.col("canon"), F.col("attempt")).alias("s")).collect()]
     assert len(set(got)) == len(names) and not set(got) & set(names)
+
+
+def people(spark, rows):
+    table = docs(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(rows)])
+    return [r["text"] for r in sorted(pii.pii_report(table).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_one_person_whatever_the_title(spark):
+    out = people(spark, ["Mr John Smith came. Dr John Smith spoke. Later John Smith and JOHN SMITH left; Then John Smith's dog.",
+                         "Prof. John Smith", "John Smith without a title in this document", "Mrs Ann Lee, Mr Ann Lee, Dr Ann Lee"])
+    m = re.fullmatch(r"Mr (\w+ \w+) came\. Dr (\w+ \w+) spoke\. Later (\w+ \w+) and (\w+ \w+) left; Then (\w+ \w+)'s dog\.", out[0])
+    assert m and len({g.lower() for g in m.groups()}) == 1 and m[1].lower() != "john smith" and m[4].isupper()
+    assert out[1] == f"Prof. {m[1]}" and out[2].startswith("John Smith without")
+    # a man and a woman of one name: three people, as no one can tell
+    assert len(set(re.findall(r"(?:Mrs|Mr|Dr) (\w+ \w+)", out[3]))) == 3
+
+
+def test_names_of_several_parts(spark):
+    out = people(spark, ["Mr. José-María López ran", "Mrs. O'Brien and Señora García met", "Mr Smith-Jones, then Smith-Jones and Smith"])
+    assert re.fullmatch(r"Mr\. [A-Z]\w+-[A-Z]\w+ [A-Z]\w+ ran", out[0]) and not re.search("José|María|López", out[0])
+    assert not re.search("Brien|Garc", out[1])
+    m = re.fullmatch(r"Mr (\w+-\w+), then (\w+-\w+) and Smith", out[2])
+    assert m and m[1] == m[2] != "Smith-Jones"
+
+
+def test_phones_keep_country_codes(spark):
+    out = people(spark, ["+44 20 7946 0958 and +442079460958, +351 21 123 4567", "555-123-4567 or (555) 123-4567", "part 555-123-45678, 1-555-123-4567-9"])
+    m = re.fullmatch(r"(\+44 \d\d \d{4} \d{4}) and (\+44\d{10}), (\+351 \d\d \d{3} \d{4})", out[0])
+    assert m and re.sub(" ", "", m[1]) == m[2] != "+442079460958"
+    a, b = out[1].split(" or ")
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "5551234567" and re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", b)
+    assert out[2] == "part 555-123-45678, 1-555-123-4567-9"
+
+
+def test_random_corpora_keep_people_apart(spark):
+    """Against a plain reading of each text: equal people stay equal, others differ."""
+    rng = random.Random(7)
+    given, last = ["John", "Anna", "Ivan", "Zoë", "Li"], ["Smith", "Schmidt", "García", "Novak"]
+    rows, who = [], []
+    for _ in range(60):
+        said = [(rng.choice(["Mr", "Dr", "Prof"]), f"{rng.choice(given)} {rng.choice(last)}") for _ in range(rng.randint(1, 4))]
+        parts = [f"{t} {n}" for t, n in said] + [n for _, n in said if rng.random() < 0.5]
+        rows.append(" met ".join(parts) + ".")
+        who.append([n for _, n in said] + [p for p in parts[len(said):]])
+    men = {n for r in rows for n in re.findall(r"Mr (\w+ \w+)", r)}
+    seen = {}
+    for text, names in zip(people(spark, rows), who, strict=True):
+        got = [re.sub(r"^(?:Mr|Dr|Prof) ", "", p) for p in text[:-1].split(" met ")]
+        assert len(got) == len(names)
+        for a, b in zip(names, got, strict=True):
+            seen.setdefault(a, set()).add(b)
+    assert all(len(v) == 1 for v in seen.values()) and len({next(iter(v)) for v in seen.values()}) == len(seen)
+    assert not set(seen) & {next(iter(v)) for v in seen.values()}
+    assert all(next(iter(v)).split()[0].endswith("n") for n, v in seen.items() if n in men)
+
+
+def test_a_full_space_raises_and_a_tight_one_settles(spark, monkeypatch):
+    """Ten values for addresses, of which four are free of real ones."""
+    ten = lambda kind, canon, attempt, key=pii.KEY: F.concat(F.lit("v"), F.pmod(F.xxhash64(canon, attempt), F.lit(10)).cast("string"))
+    monkeypatch.setattr(pii, "surrogate", ten)
+    monkeypatch.setattr(pii, "STALLED", 12)
+    make = lambda names: spark.createDataFrame([("ip", n) for n in names], "type string, canon string")
+    pii.collisions(make(["a", "b", "c", "v1", "v2"]))
+    with pytest.raises(RuntimeError):
+        pii.collisions(make(["a", "b", "c"] + [f"v{i}" for i in range(10)]))
