@@ -785,11 +785,11 @@ ORACLE["A16_block_list_audit"] = ("SELECT c_custkey FROM customer WHERE c_nation
 ORACLE["A16_allow_list_audit"] = ("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN "
                                   "(SELECT c_nationkey FROM customer WHERE c_nationkey % 3 = 0)")
 ORACLE["A17_file_integrity"] = (
-    "WITH c AS (SELECT page_id, 'page-' || page_id AS name, sha256(html) AS h FROM pages),\n"
-    "b AS (SELECT CASE WHEN page_id % 10 = 5 THEN 'old-' || page_id ELSE name END AS name, "
-    "CASE WHEN page_id % 10 = 4 THEN sha256(h || 'x') ELSE h END AS h FROM c WHERE page_id % 10 <> 3)\n"
-    "SELECT coalesce(c.name, b.name) AS name, CASE WHEN b.h IS NULL THEN 'new' WHEN c.h IS NULL THEN 'missing' "
-    "WHEN c.h <> b.h THEN 'changed' ELSE 'same' END AS status FROM c FULL OUTER JOIN b ON c.name = b.name")
+    "WITH f AS (SELECT page_id // 25 AS part, string_agg(coalesce(html, ''), chr(10) ORDER BY page_id) AS before, "
+    "string_agg(coalesce(html, '') || CASE WHEN page_id // 25 % 10 = 4 AND page_id % 25 = 7 THEN 'x' ELSE '' END, chr(10) "
+    "ORDER BY page_id) AS after FROM pages GROUP BY 1)\n"
+    "SELECT cast(part AS VARCHAR) AS name, CASE part % 10 WHEN 3 THEN 'new' WHEN 5 THEN 'missing' ELSE "
+    "CASE WHEN before = after THEN 'same' ELSE 'changed' END END AS status FROM f")
 ORACLE["A18_audit_hash_chain"] = (
     "WITH RECURSIVE d AS (SELECT cast(ts AS date) AS day, bit_xor(('0x' || substr(md5(concat_ws('|', event_id, "
     "event_type, user_id)), 1, 15))::BIGINT) AS digest, count(*) AS n_lines FROM events GROUP BY 1),\n"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from medlake.operators.joins import bounded_broadcast
 from medlake.session import materialize
+from medlake.sources.chunks import CHUNK_BYTES, file_chunks
 
 
 # ---------------------------------------------------------------- A6 / A7 vault
@@ -105,10 +106,32 @@ def list_audit(items: DataFrame, listing: DataFrame, col: str, mode: str = "bloc
     return items.join(lst, col, "left_semi" if mode == "block" else "left_anti")
 
 
-def file_hashes(spark, path_glob: str) -> DataFrame:
-    """sha256 of every file's bytes (``binaryFile`` source, one row per file)."""
-    return spark.read.format("binaryFile").load(path_glob).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+TREE_FAN = 1024
+
+
+def file_hashes(spark, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(name, n_bytes, sha256) of every file below a shared folder.
+
+    Files are hashed by byte ranges in parallel; the digests of ``TREE_FAN``
+    consecutive ranges are hashed into one until a file has a single digest, so no
+    task sees a whole large file or all of its digests.  A file of one range keeps
+    its plain SHA-256; of more, ``sha256`` covers the root, the range size and the
+    length.  Duplicate names cannot occur; an empty folder gives no rows."""
+    nodes = materialize(file_chunks(spark, path, chunk_bytes), "file-chunks").withColumnRenamed("chunk", "i")
+    last = nodes.agg(F.max("i").alias("i")).first()["i"] or 0
+    nodes = nodes.withColumn("many", F.lit(False))
+    while last > 0:
+        nodes = nodes.groupBy("name", F.floor(F.col("i") / TREE_FAN).alias("g")).agg(
+            F.sum("n_bytes").alias("n_bytes"), F.bool_or("many").alias("many"), F.max("i").alias("top"),
+            F.array_sort(F.collect_list(F.struct("i", "digest"))).alias("kids"))      # at most TREE_FAN digests
+        joined = F.unhex(F.sha2(F.unhex(F.array_join(F.transform("kids", lambda k: F.hex(k["digest"])), "")), 256))
+        alone = F.size("kids") == 1
+        nodes = nodes.select("name", F.col("g").alias("i"), "n_bytes", F.when(alone, F.col("kids")[0]["digest"]).otherwise(joined).alias("digest"),
+                             (F.col("many") | (F.col("top") > 0)).alias("many"))
+        last //= TREE_FAN
+    root = F.lower(F.hex("digest"))
+    whole = F.sha2(F.concat_ws(":", F.lit("tree"), F.lit(chunk_bytes), F.col("n_bytes"), root), 256)
+    return nodes.select("name", "n_bytes", F.when(F.col("many"), whole).otherwise(root).alias("sha256"))
 
 
 def integrity_diff(current: DataFrame, baseline: DataFrame, name: str = "name") -> DataFrame:
