@@ -887,6 +887,38 @@ ORACLE["V11_probabilistic_matches"] = ("WITH " + _REGB + ",\n"
     "bt AS (SELECT *, cast(score_d AS double) AS score, row_number() OVER (PARTITION BY l_id ORDER BY score_d DESC, "
     "r_id ASC) AS rn FROM sc WHERE score_d >= 5.0)\nSELECT l_id, r_id, score FROM bt WHERE rn = 1")
 
+# sorted neighbourhoods and the weights' fit (twenty steps) replayed by a recursive query
+_F4 = ("c_name", "c_nationkey", "bal", "c_mktsegment")
+
+
+def _near(order):
+    by = ", ".join(f"{c} NULLS FIRST" for c in order)
+    return (f"SELECT a.id AS l_id, b.id AS r_id FROM (SELECT *, row_number() OVER (ORDER BY {by}, side, id) AS i FROM both_) a "
+            f"JOIN (SELECT *, row_number() OVER (ORDER BY {by}, side, id) AS i FROM both_) b "
+            "ON a.side = 0 AND b.side = 1 AND b.i BETWEEN a.i - 3 AND a.i + 3")
+
+
+_LIKE = {q: " * ".join(f"(CASE s{k} WHEN 1 THEN {q}{k} WHEN 0 THEN 1 - {q}{k} ELSE 1 END)" for k in range(4)) for q in "mu"}
+_STEP = ", ".join(f"least(greatest(sum(n * {w} * cast(s{k} = 1 AS int)) / greatest(sum(n * {w} * cast(s{k} >= 0 AS int)), 1e-6), 1e-6), 1 - 1e-6)"
+                  for w in ("g", "(1 - g)") for k in range(4))
+_SCORE = " + ".join(f"(CASE s{k} WHEN 1 THEN log2(m{k} / u{k}) WHEN 0 THEN log2((1 - m{k}) / (1 - u{k})) ELSE 0 END)" for k in range(4))
+ORACLE["V11_learned_matches"] = ("WITH RECURSIVE " + _REGB + ",\n"
+    "ra AS (SELECT c_custkey, c_name, c_nationkey, c_mktsegment, cast(floor(c_acctbal) AS bigint) AS bal FROM customer),\n"
+    "both_ AS (SELECT c_custkey AS id, 0 AS side, c_name, bal, c_mktsegment FROM ra UNION ALL "
+    "SELECT rid, 1, c_name, bal, c_mktsegment FROM rb),\n"
+    "cand AS (" + _near(["c_name"]) + " UNION " + _near(["bal", "c_mktsegment"]) + "),\n"
+    "ag AS (SELECT l_id, r_id, " + ", ".join(f"coalesce(cast(ra.{f} = rb.{f} AS int), -1) AS s{k}" for k, f in enumerate(_F4)) +
+    " FROM cand JOIN ra ON l_id = ra.c_custkey JOIN rb ON r_id = rb.rid),\n"
+    "pat AS (SELECT s0, s1, s2, s3, count(*) AS n FROM ag GROUP BY ALL),\n"
+    "em AS (SELECT 0 AS it, 0.1::DOUBLE AS share, " + ", ".join(f"0.9::DOUBLE AS m{k}" for k in range(4)) + ", " +
+    ", ".join(f"0.1::DOUBLE AS u{k}" for k in range(4)) + " UNION ALL\n"
+    "SELECT it + 1, least(greatest(sum(n * g) / sum(n), 1e-6), 1 - 1e-6), " + _STEP + " FROM (SELECT it, n, s0, s1, s2, s3, "
+    "share * a / (share * a + (1 - share) * b) AS g FROM (SELECT em.it, em.share, pat.*, " + _LIKE["m"] + " AS a, " + _LIKE["u"] +
+    " AS b FROM em, pat WHERE em.it < 20) x) y GROUP BY it),\n"
+    "sc AS (SELECT l_id, r_id, share, " + _SCORE + " AS score FROM ag, em WHERE em.it = 20)\n"
+    "SELECT l_id, r_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS rn "
+    "FROM sc WHERE score >= log2(9) - log2(share / (1 - share))) z WHERE rn = 1")
+
 ORACLE["S7_report_json_roundtrip"] = ORACLE["E10_evaluation_report"]
 ORACLE["S8_export_tables"] = ("SELECT 'predictions' AS \"table\", count(*) AS n_rows FROM events UNION ALL "
                               "SELECT 'lineitem_flags', count(*) FROM lineitem")

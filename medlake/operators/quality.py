@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medlake.session import materialize
+
 # fixed values: the medical schema constraints
 MEDICAL_RULES: list[tuple[str, str, str]] = [
     # (column, check name, SQL predicate that must hold)
@@ -219,11 +222,99 @@ def probabilistic_matches(left: DataFrame, right: DataFrame, left_id: str, right
     return best.select("l_id", F.col("b.r_id").alias("r_id"), F.col("b.score").alias("score"))
 
 
+def sorted_positions(df: DataFrame, order: Sequence[str], out: str = "pos") -> DataFrame:
+    """1-based position of each row in the order of any sortable columns, NULLs first.
+
+    Rows are dealt by ranges of all of ``order`` (which must be unique, so that no value
+    is a hot range) and written once, since the ranges come from a sample; positions
+    are those inside a range plus the rows of the ranges before it."""
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = materialize(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n")).select(     # a row for each range
+        "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.join(F.broadcast(sizes), "__range").withColumn(out, inside + F.col("__before")).drop("__range", "__before")
+
+
+def neighbour_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, order: Sequence[str],
+                    reach: int = 5) -> DataFrame:
+    """V11 candidates by sorted neighbourhood: (l_id, r_id) of a left and a right record
+    at most ``reach`` places apart in the common order of both tables.
+
+    Places are cut into stretches of ``reach``; a right record is also put in the
+    stretches beside its own, so a key meets at most ``reach`` left and ``3 * reach``
+    right records however many share one value.  Equal values are ordered by side and
+    id, which must be unique in its table."""
+    both = left.select(F.col(left_id).alias("id"), F.lit(0).alias("side"), *order).unionByName(
+        right.select(F.col(right_id).alias("id"), F.lit(1).alias("side"), *order))
+    p = sorted_positions(both, [*order, "side", "id"]).select("id", "side", "pos", F.floor(F.col("pos") / reach).alias("stretch"))
+    a = p.where("side = 0").select(F.col("id").alias("l_id"), F.col("pos").alias("i"), "stretch")
+    b = p.where("side = 1").select(F.col("id").alias("r_id"), F.col("pos").alias("j"),
+                                   F.explode(F.array(*[F.col("stretch") + k for k in (-1, 0, 1)])).alias("stretch"))
+    return a.join(b, "stretch").where(F.abs(F.col("i") - F.col("j")) <= reach).select("l_id", "r_id")
+
+
+def agreement(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, fields: Sequence[str]) -> DataFrame:
+    """Distinct pairs with ``pattern``, for each field 1 where both sides agree, 0
+    where they differ and -1 (no evidence) where one is NULL."""
+    a = left.select(F.col(left_id).alias("l_id"), *[F.col(f).alias(f"l_{f}") for f in fields])
+    b = right.select(F.col(right_id).alias("r_id"), *[F.col(f).alias(f"r_{f}") for f in fields])
+    state = [F.coalesce((F.col(f"l_{f}") == F.col(f"r_{f}")).cast("int"), F.lit(-1)) for f in fields]
+    return pairs.distinct().join(a, "l_id").join(b, "r_id").select("l_id", "r_id", F.array(*state).alias("pattern"))
+
+
+def fit_agreement(patterns: Sequence[tuple[Sequence[int], int]], n_fields: int, rounds: int = 50,
+                  start: tuple[float, float, float] = (0.1, 0.9, 0.1), floor: float = 1e-6) -> tuple[float, np.ndarray, np.ndarray]:
+    """Share of matches and each field's probability to agree among matches and
+    among others, by ``rounds`` steps of expectation maximisation over counted
+    patterns (at most 3 ** n_fields).  Probabilities stay ``floor`` away from 0 and 1;
+    fields are taken as independent.  Without patterns the start is returned."""
+    share, m, u = start[0], np.full(n_fields, start[1]), np.full(n_fields, start[2])
+    if not patterns:
+        return share, m, u
+    x = np.array([p for p, _ in patterns], dtype=float).reshape(len(patterns), n_fields)
+    n = np.array([c for _, c in patterns], dtype=float)
+    known, agree = x >= 0, x == 1
+    for _ in range(rounds):
+        like = [np.where(known, np.where(agree, q, 1 - q), 1.0).prod(axis=1) for q in (m, u)]
+        g = share * like[0] / (share * like[0] + (1 - share) * like[1])
+        share = float(np.clip((n * g).sum() / n.sum(), floor, 1 - floor))
+        m, u = (np.clip((w[:, None] * agree).sum(axis=0) / np.maximum((w[:, None] * known).sum(axis=0), floor), floor, 1 - floor)
+                for w in (n * g, n * (1 - g)))
+    return share, m, u
+
+
+def learned_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, orders: Sequence[Sequence[str]],
+                    fields: Sequence[str], reach: int = 5, least: float = 0.9, rounds: int = 50) -> DataFrame:
+    """V11 with weights learned from the tables: the best right record (ties: smallest
+    id) of each left one whose probability of being a match is ``least`` or more, with
+    ``score``, the sum of log2 agreement weights.
+
+    Candidates come from one sorted neighbourhood for each of ``orders``; weights are
+    fitted to the counts of agreement patterns, the only thing that reaches the driver."""
+    cands = None
+    for order in orders:
+        near = neighbour_pairs(left, right, left_id, right_id, order, reach)
+        cands = near if cands is None else cands.unionByName(near)
+    pairs = materialize(agreement(cands, left, right, left_id, right_id, fields), "agreement")
+    counted = [(r["pattern"], r["n"]) for r in pairs.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()]
+    share, m, u = fit_agreement(counted, len(fields), rounds)
+    score = F.lit(0.0)
+    for k in range(len(fields)):
+        s = F.col("pattern")[k]
+        score = score + F.when(s == 1, float(np.log2(m[k] / u[k]))).when(s == 0, float(np.log2((1 - m[k]) / (1 - u[k])))).otherwise(0.0)
+    cut = float(np.log2(least / (1 - least)) - np.log2(share / (1 - share)))
+    best = pairs.select("l_id", "r_id", score.alias("score")).where(F.col("score") >= cut).groupBy("l_id").agg(
+        F.min_by(F.struct("r_id", "score"), F.struct(-F.col("score"), F.col("r_id"))).alias("b"))
+    return best.select("l_id", "b.r_id", "b.score")
+
+
 def failing_samples(df: DataFrame, key: str, rules: Sequence[tuple[str, str, str]] = MEDICAL_RULES, k: int = 2,
                     seed: int = 0) -> DataFrame:
     """V2: up to ``k`` failing rows per rule, in a seeded hash order of the
     key (a top-k per group: Spark limits each group before the shuffle)."""
-    from pyspark.sql import Window
     from medlake.functions.privacy import hash_unit
     hits = F.filter(F.array(*[F.when(~F.coalesce(F.expr(p), F.lit(False)), F.lit(f"{c}: {n}"))
                               for c, n, p in rules]), lambda x: x.isNotNull())

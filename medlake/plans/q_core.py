@@ -429,6 +429,16 @@ def v11b(spark, sf):
     return m
 
 
+@register("V11_learned_matches")
+def v11c(spark, sf):
+    a = table(spark, sf, "customer").selectExpr("c_custkey", "c_name", "c_nationkey", "c_mktsegment",
+                                                "cast(floor(c_acctbal) AS bigint) AS bal")
+    m = quality.learned_matches(a, _registry_b(spark, sf), "c_custkey", "rid",
+                                orders=[["c_name"], ["bal", "c_mktsegment"]],
+                                fields=["c_name", "c_nationkey", "bal", "c_mktsegment"], reach=3, rounds=20)
+    return m.select("l_id", "r_id", F.round("score", 4).alias("score"))
+
+
 @register("A3_gaussian_noise")
 def a3(spark, sf):
     m = derived(spark, sf, "medical").select("patient_id", "weight_kg")
