@@ -524,6 +524,15 @@ ORACLE["Q9_rolling_accuracy_alerts"] = _with(("predictions",),
     "avg(ok) OVER (PARTITION BY model) AS base FROM ok WINDOW w AS (PARTITION BY model ORDER BY ts, event_id))",
     "SELECT model, event_id, cast(row_index AS bigint) AS row_index, "
     "round(s / least(row_index, 1000), 6) AS rolling_accuracy, s / least(row_index, 1000) <= base - 0.15 AS alert FROM rl")
+ORACLE["Q9_rolling_precision_recall"] = _with(("predictions",),
+    "b AS (SELECT model, event_id, ts, cast(p >= 0.5 AS int) AS yes, y AS tru, cast(p >= 0.5 AND y = 1 AS int) AS hit FROM predictions),\n"
+    "rl AS (SELECT model, event_id, row_number() OVER w AS row_index, sum(hit) OVER l AS h, sum(yes) OVER l AS ye, sum(tru) OVER l AS tr, "
+    "sum(hit) OVER a / nullif(sum(yes) OVER a, 0) AS bp, sum(hit) OVER a / nullif(sum(tru) OVER a, 0) AS br FROM b "
+    "WINDOW w AS (PARTITION BY model ORDER BY ts, event_id), a AS (PARTITION BY model), "
+    "l AS (PARTITION BY model ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))",
+    "SELECT model, event_id, cast(row_index AS bigint) AS row_index, round(h / nullif(ye, 0), 6) AS rolling_precision, "
+    "coalesce(h / nullif(ye, 0) <= bp - 0.15, false) AS precision_alert, round(h / nullif(tr, 0), 6) AS rolling_recall, "
+    "coalesce(h / nullif(tr, 0) <= br - 0.15, false) AS recall_alert FROM rl")
 ORACLE["Q10_latency_percentiles"] = (
     "SELECT event_type, strftime(cast(ts AS date), '%Y-%m-%d') AS day, round(quantile_cont(value, 0.95), 6) AS p95, "
     "round(quantile_cont(value, 0.99), 6) AS p99, quantile_cont(value, 0.95) > 300 OR quantile_cont(value, 0.99) > 400 "
@@ -919,6 +928,12 @@ ORACLE["V11_learned_matches"] = ("WITH RECURSIVE " + _REGB + ",\n"
     "SELECT l_id, r_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS rn "
     "FROM sc WHERE score >= log2(9) - log2(share / (1 - share))) z WHERE rn = 1")
 
+ORACLE["I3_one_hot_sparse"] = (
+    "WITH " + ", ".join(f"{c} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM "
+                        f"(SELECT DISTINCT cast({col} AS VARCHAR) AS v FROM orders))"
+                        for c, col in (("c1", "o_custkey"), ("c2", "o_orderstatus"), ("c3", "o_orderpriority"))) +
+    "\nSELECT o_orderkey, concat_ws(',', c1.i, c1.n + c2.i, c1.n + c2.n + c3.i) AS places FROM orders "
+    "JOIN c1 ON cast(o_custkey AS VARCHAR) = c1.v JOIN c2 ON o_orderstatus = c2.v JOIN c3 ON o_orderpriority = c3.v")
 ORACLE["S7_report_json_roundtrip"] = ORACLE["E10_evaluation_report"]
 ORACLE["S8_export_tables"] = ("SELECT 'predictions' AS \"table\", count(*) AS n_rows FROM events UNION ALL "
                               "SELECT 'lineitem_flags', count(*) FROM lineitem")

@@ -39,6 +39,37 @@ def rolling_metric_alert(df: DataFrame, group: Sequence[str], ts: str, tiebreak:
                     (rolling <= base - F.lit(sensitivity)).alias("alert"))
 
 
+def rolling_quality_alert(df: DataFrame, group: Sequence[str], ts: str, tiebreak: str, predicted: Column, actual: Column,
+                          window_rows: int = 1000, sensitivity: float = 0.15) -> DataFrame:
+    """Q9: precision and recall over the last ``window_rows`` predictions per group, the
+    group's overall values and an alert for each that falls ``sensitivity`` or more below.
+
+    A window without predicted (actual) positives has a NULL precision (recall) and no
+    alert.  Counts come from running totals and one equi-join, as in
+    ``rolling_metric_alert``: no window holds a whole group."""
+    g = list(group)
+    yes, true = F.coalesce(predicted, F.lit(False)), F.coalesce(actual, F.lit(False))
+    sums = {"__hit": yes & true, "__yes": yes, "__true": true, "__one": F.lit(True)}
+    s = df.select(*g, ts, tiebreak, *[c.cast("int").alias(k) for k, c in sums.items()])
+    r = running_totals(s, [ts, tiebreak], list(sums), partition_cols=g)
+    back = r.select(*g, (F.col("cum___one") + window_rows).alias("cum___one"),
+                    *[F.col(f"cum_{k}").alias(f"__before{k}") for k in list(sums)[:3]])
+    j = r.join(back, [*g, "cum___one"], "left")
+
+    def share(part: str, whole: str) -> tuple[Column, Column]:
+        def now(k: str) -> Column:
+            return F.col(f"cum_{k}") - F.coalesce(F.col(f"__before{k}"), F.lit(0))
+        return (F.when(now(whole) > 0, now(part) / now(whole)),
+                F.when(F.col(f"total_{whole}") > 0, F.col(f"total_{part}") / F.col(f"total_{whole}")))
+
+    out = [*g, ts, tiebreak, F.col("cum___one").alias("row_index")]
+    for name, whole in (("precision", "__yes"), ("recall", "__true")):
+        rolling, base = share("__hit", whole)
+        out += [rolling.alias(f"rolling_{name}"), base.alias(f"baseline_{name}"),
+                F.coalesce(rolling <= base - F.lit(sensitivity), F.lit(False)).alias(f"{name}_alert")]
+    return j.select(*out)
+
+
 def latency_percentiles(df: DataFrame, group: Sequence[str], latency: str, probs=(0.95, 0.99),
                         limits=(200.0, 500.0)) -> DataFrame:
     """Q10: exact latency percentiles per group and whether they break the limits."""

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medlake.operators.ordered import exact_quantiles_df, running_totals
+from medlake.session import materialize
 
 MAX_CATEGORIES = 10_000
 
@@ -79,8 +80,9 @@ def impute(df: DataFrame, num_cols: Sequence[str] = (), cat_cols: Sequence[str]
 
 
 def fit_categories(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list]:
-    """I3 fit: sorted distinct non-NULL categories per column (one job,
-    refused above ``max_categories`` per column so the driver stays bounded)."""
+    """I3 fit for one column per category: sorted distinct non-NULL categories per
+    column (one job).  A frame as wide as its categories is refused above
+    ``max_categories``; ``fit_category_index`` and ``one_hot_sparse`` take any number."""
     if not cols:
         return {}
     long = _unpivot(df, cols, "string").where("value IS NOT NULL").distinct()
@@ -95,6 +97,46 @@ def fit_categories(df: DataFrame, cols: Sequence[str], max_categories: int = MAX
     return {c: sorted(v) for c, v in cats.items()}
 
 
+def fit_category_index(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """I3 fit for columns of any number of categories: landed table (column, value,
+    index, size) that numbers each column's distinct non-NULL values from 0 in their
+    order.  Values are placed by ranges, so no column is sorted in one task."""
+    from medlake.operators.quality import sorted_positions
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string, index long, size long")
+    values = _unpivot(df, cols, "string").where("value IS NOT NULL").distinct()
+    placed = materialize(sorted_positions(values, ["column", "value"]), "categories")
+    firsts = placed.groupBy("column").agg(F.min("pos").alias("first"), F.count("*").alias("size"))     # a row for each column
+    return placed.join(F.broadcast(firsts), "column").select("column", "value", (F.col("pos") - F.col("first")).alias("index"), "size")
+
+
+def one_hot_sparse(df: DataFrame, index: DataFrame, cols: Sequence[str], out: str = "one_hot") -> DataFrame:
+    """I3 transform for columns of any number of categories: ``out`` holds the sorted
+    places of the ones, counted from 0 over the columns' categories one after the other
+    (``sparse_offsets`` gives each one's first place).  Unknown and NULL values add no place.
+
+    Each column is one equi-join on its value; a value that many rows share is split by
+    the adaptive skew join, and the index has one row for a value."""
+    offset, res = sparse_offsets(index, cols), df
+    places = []
+    for k, c in enumerate(cols):
+        one = index.where(F.col("column") == c).select(F.col("value").alias(f"__v{k}"), (F.col("index") + offset[c]).alias(f"__i{k}"))
+        res = res.join(one, F.col(f"`{c}`").cast("string") == F.col(f"__v{k}"), "left").drop(f"__v{k}")
+        places.append(F.col(f"__i{k}"))
+    ones = F.array_sort(F.filter(F.array(*places), lambda x: x.isNotNull())) if places else F.array().cast("array<bigint>")
+    return res.select(*[F.col(f"`{c}`") for c in df.columns if c != out], ones.alias(out))
+
+
+def sparse_offsets(index: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """First place of each column in ``one_hot_sparse`` (one number for each column)."""
+    size = {r["column"]: r["size"] for r in index.select("column", "size").distinct().collect()}
+    at, offsets = 0, {}
+    for c in cols:
+        offsets[c] = at
+        at += size.get(c, 0)
+    return offsets
+
+
 def one_hot(df: DataFrame, categories: dict[str, list], drop_source: bool = True,
             sep: str = "_") -> DataFrame:
     """I3 transform: one 0/1 int column per known category, named

@@ -429,6 +429,14 @@ def v11b(spark, sf):
     return m
 
 
+@register("I3_one_hot_sparse")
+def i3b(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    cols = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+    ones = prep.one_hot_sparse(o, prep.fit_category_index(o, cols), cols)
+    return ones.select("o_orderkey", F.array_join("one_hot", ",").alias("places"))
+
+
 @register("V11_learned_matches")
 def v11c(spark, sf):
     a = table(spark, sf, "customer").selectExpr("c_custkey", "c_name", "c_nationkey", "c_mktsegment",

@@ -170,6 +170,14 @@ def q9(spark, sf):
     return r.select("model", "event_id", "row_index", r6("rolling_accuracy").alias("rolling_accuracy"), "alert")
 
 
+@register("Q9_rolling_precision_recall")
+def q9b(spark, sf):
+    r = monitor.rolling_quality_alert(_pred(spark, sf), G, "ts", "event_id", F.col("p") >= 0.5, F.col("y") == 1,
+                                      window_rows=200, sensitivity=0.15)
+    return r.select("model", "event_id", "row_index", r6("rolling_precision").alias("rolling_precision"), "precision_alert",
+                    r6("rolling_recall").alias("rolling_recall"), "recall_alert")
+
+
 @register("Q10_latency_percentiles")
 def q10(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), "value")
