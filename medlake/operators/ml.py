@@ -34,6 +34,9 @@ BOOSTED_TREES = 100
 CV_FOLDS = 5
 PERMUTATION_REPEATS = 10
 
+#: Rows of a task, at least, in the many small jobs of cross-validation.
+CV_TASK_ROWS = 1000
+
 
 # ---------------------------------------------------------------- features
 
@@ -102,7 +105,9 @@ def cross_validate(df: DataFrame, kinds: Sequence[str], key: str, label: str = "
     from medlake.operators.prep import stratified_folds
     spark = df.sparkSession
     params = params or {}
-    f = stratified_folds(df, label, key, k=k, seed=seed).persist()
+    cached = stratified_folds(df, label, key, k=k, seed=seed).persist()
+    # boosting runs hundreds of jobs over the folds: few rows are not worth many tasks each
+    f = cached.coalesce(max(1, math.ceil(cached.count() / CV_TASK_ROWS)))
 
     def fold_auc(kind: str, i: int) -> float:
         tr, te = f.where(F.col("fold") != i), f.where(F.col("fold") == i)
@@ -126,7 +131,7 @@ def cross_validate(df: DataFrame, kinds: Sequence[str], key: str, label: str = "
                 rows.append((kind, float(sum(aucs) / len(aucs)), float(min(aucs)), float(max(aucs)),
                              float(jobs[kind][1].result())))
     finally:
-        f.unpersist()
+        cached.unpersist()
     return spark.createDataFrame(rows, _CV_SCHEMA)
 
 

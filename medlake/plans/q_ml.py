@@ -63,7 +63,7 @@ def m3(spark, sf):
 @register("M4_cross_validation")
 def m4(spark, sf):
     d = ml.with_features(_emb(spark, sf), "embedding")
-    return ml.cross_validate(d, ["logistic", "random_forest"], "vec_id", "label", k=ml.CV_FOLDS)
+    return ml.cross_validate(d, ["logistic", "random_forest", "gbt"], "vec_id", "label", k=ml.CV_FOLDS)
 
 
 @register("M5_best_model")
