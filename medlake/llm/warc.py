@@ -30,6 +30,7 @@ as null; null urls have no target URI; a folder without files has no records.
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 import time
@@ -108,19 +109,66 @@ def _exactly(stream: Any, n: int) -> bytes:
     return got
 
 
+def _skip(stream: Any, n: int) -> None:
+    """Pass over ``n`` bytes, without reading them where the stream can seek."""
+    if n > 0 and stream.seekable():
+        stream.seek(stream.tell() + n - 1)
+        n = 1
+    while n > 0:
+        n -= len(_exactly(stream, min(n, HEAD_BYTES)))
+
+
 def _inflate(stream: Any, first: bytes) -> Iterator[bytes]:
-    """Pieces of one member that has no length field; the bytes after it are
-    the generator's return value."""
+    """Pieces of at most HEAD_BYTES of one member that has no length field; the bytes
+    after it are the generator's return value."""
     z, data = zlib.decompressobj(31), first
     while True:
-        out = z.decompress(data)
+        out = z.decompress(data, HEAD_BYTES)
         if out:
             yield out
         if z.eof:
             return z.unused_data
-        data = stream.read(1 << 16)
-        if not data:
-            raise ValueError("a gzip member is cut off")
+        data = z.unconsumed_tail
+        if not data and len(out) < HEAD_BYTES:
+            data = stream.read(1 << 16)
+            if not data:
+                raise ValueError("a gzip member is cut off")
+
+
+def _foreign(stream: Any, head: bytes, wanted: Any, payload: bool) -> tuple[dict[str, str] | None, bytes, bytes]:
+    """Headers (None where unwanted), block and the bytes behind a member without a
+    length field.  Headers are parsed as soon as their end is inflated; what follows
+    in an unwanted member is inflated to find its end, and dropped piece by piece."""
+    pieces, top, block = _inflate(stream, head), bytearray(), bytearray()
+    headers: dict[str, str] | None = None
+    keep = known = False
+    size = 0
+
+    def decide(raw: bytes) -> None:
+        nonlocal headers, keep, known, size
+        got = parse_headers(raw)
+        known, size = True, int(got.get("Content-Length", 0))
+        headers = got if wanted(got) else None
+        keep = payload and headers is not None
+
+    while True:
+        try:
+            piece = next(pieces)
+        except StopIteration as end:
+            if not known:
+                decide(bytes(top))
+            return headers, bytes(block[:size]), end.value
+        if not known:
+            seen = max(0, len(top) - 3)
+            top += piece
+            cut = top.find(b"\r\n\r\n", seen)
+            if cut < 0:
+                continue
+            decide(bytes(top[:cut]))
+            piece = bytes(top[cut + 4:])
+            top = bytearray()
+        if keep and len(block) < size:
+            block += piece
 
 
 def records(stream: Any, zipped: bool, wanted: Any, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
@@ -135,32 +183,41 @@ def records(stream: Any, zipped: bool, wanted: Any, payload: bool) -> Iterator[t
                 head += stream.read(24 - len(head))
             if len(head) >= 24 and head[:3] == b"\x1f\x8b\x08" and head[3] == 4 and head[12:14] == b"sl":
                 size = struct.unpack_from("<I", head, 16)[0]
-                member = head[:size] if len(head) >= size else head + _exactly(stream, size - len(head))
-                rest = head[size:]
+                first = min(size, HEAD_BYTES)
+                if len(head) < first:
+                    head += _exactly(stream, first - len(head))
+                member, rest = head[:size], head[size:]
                 z = zlib.decompressobj(-15)
-                raw = z.decompress(member[24:-8], HEAD_BYTES)
-                while b"\r\n\r\n" not in raw and z.unconsumed_tail:
-                    raw += z.decompress(z.unconsumed_tail, HEAD_BYTES)
-                top, _, block = raw.partition(b"\r\n\r\n")
-                headers = parse_headers(top)
-                if not wanted(headers):
-                    continue
-                if payload and z.unconsumed_tail:
-                    block += z.decompress(z.unconsumed_tail)
-                block = block[:int(headers.get("Content-Length", 0))]
-            else:
-                raw, pieces = b"", _inflate(stream, head)
-                while True:
-                    try:
-                        raw += next(pieces)
-                    except StopIteration as end:
-                        rest = end.value
+                raw = z.decompress(member[24:], HEAD_BYTES)
+                while b"\r\n\r\n" not in raw and not z.eof:
+                    more = z.unconsumed_tail
+                    if not more and len(member) < size:
+                        more = _exactly(stream, min(size - len(member), HEAD_BYTES))
+                        member += more
+                    now = z.decompress(more, HEAD_BYTES)
+                    if not now and not more:
                         break
+                    raw += now
                 top, _, block = raw.partition(b"\r\n\r\n")
                 headers = parse_headers(top)
-                if not wanted(headers):
+                if not wanted(headers) or not payload:
+                    _skip(stream, size - len(member))
+                    if not wanted(headers):
+                        continue
+                    block = b""
+                else:
+                    more = z.unconsumed_tail
+                    if len(member) < size:
+                        more += _exactly(stream, size - len(member))
+                    block += z.decompress(more)
+                    if not z.eof:
+                        raise ValueError("a gzip member is cut off")
+                    block = block[:int(headers.get("Content-Length", 0))]
+            else:
+                got, block, rest = _foreign(stream, head, wanted, payload)
+                if got is None:
                     continue
-                block = block[:int(headers.get("Content-Length", 0))]
+                headers = got
         else:
             while b"\r\n\r\n" not in head:
                 more = stream.read(HEAD_BYTES)
@@ -238,8 +295,8 @@ class WarcReader(DataSourceReader):
         size = 0
         for path in partition.files if isinstance(partition, _Files) else []:
             zipped = path.endswith(".gz")
-            opened = system.open_input_stream(path, compression=None, buffer_size=1 << 20) if zipped else system.open_input_file(path)
-            with opened as stream:
+            opened = system.open_input_file(path)
+            with io.BufferedReader(opened, 1 << 20) if zipped else opened as stream:
                 for h, block in records(stream, zipped, wanted, self.payload):
                     body = _payload(h, block)
                     rows.append((*(h.get(PUSHED[c]) for c in _FIELDS.names[:6]), list(h.items()), body))

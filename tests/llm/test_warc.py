@@ -83,3 +83,53 @@ def test_commit_leaves_no_work_folder(archive):
     from pyarrow import fs
     found = fs.LocalFileSystem().get_file_info(fs.FileSelector(archive, recursive=True))
     assert found and all("/." not in f.path[len(archive):] for f in found)
+
+
+class Counting(io.BytesIO):
+    """Counts the bytes that are really read."""
+    n = 0
+
+    def read(self, size=-1):
+        got = super().read(size)
+        self.n += len(got)
+        return got
+
+
+def test_unwanted_payloads_of_foreign_members_are_not_kept():
+    import tracemalloc
+    big = warc.record_bytes({"WARC-Type": "request", "WARC-Record-ID": "big"}, b"ab" * (40 << 20))
+    small = warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": "small"}, b"kept")
+    raw = gzip.compress(big, 1) + gzip.compress(small)
+    del big
+    tracemalloc.start()
+    got = list(warc.records(io.BytesIO(raw), True, lambda h: h.get("WARC-Type") == "response", True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(h["WARC-Record-ID"], x) for h, x in got] == [("small", b"kept")]
+    assert peak < 4 << 20
+    heads = list(warc.records(io.BytesIO(raw), True, lambda h: True, False))
+    assert [(h["WARC-Record-ID"], x) for h, x in heads] == [("big", None), ("small", None)]
+
+
+def test_unwanted_own_members_are_passed_over_unread():
+    import random
+    noise = random.Random(1).randbytes(5 << 20)
+    raw = b"".join(warc.gzip_member(warc.record_bytes({"WARC-Type": t, "WARC-Record-ID": t + "1"}, noise)) for t in ("request", "response"))
+    stream = Counting(raw)
+    got = list(warc.records(stream, True, lambda h: h["WARC-Type"] == "response", True))
+    assert [x for _, x in got] == [noise] and stream.n < len(raw) - (4 << 20)
+    assert [x for _, x in warc.records(io.BytesIO(raw), True, lambda h: True, True)] == [noise, noise]
+    stream = Counting(raw)
+    assert len(list(warc.records(stream, True, lambda h: True, False))) == 2 and stream.n < 1 << 20
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(raw[:-9]), True, lambda h: h["WARC-Type"] == "request", True))
+
+
+def test_long_headers_and_odd_members():
+    long = {"WARC-Type": "response", "WARC-Record-ID": "x" * 300_000}
+    block = bytes(range(256)) * 2000
+    for pack in (gzip.compress, warc.gzip_member):
+        raw = pack(warc.record_bytes(long, block)) + pack(warc.record_bytes({"WARC-Type": "a"}, b""))
+        assert [(len(h["WARC-Record-ID"]), x) for h, x in warc.records(io.BytesIO(raw), True, lambda h: "WARC-Record-ID" in h, True)] == [(300_000, block)]
+    # a member that holds no whole head counts as one without headers
+    assert list(warc.records(io.BytesIO(gzip.compress(b"")), True, lambda h: True, True)) == [({}, b"")]
