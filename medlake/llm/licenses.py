@@ -6,7 +6,8 @@ its detections are intervals of words.  Every license family contributes its
 names and its own wordings, every name goes through the sentence frames in
 ``FRAMES``: some hundreds of rules in all, compiled on first use.  SPDX short
 identifiers ("MIT", "Apache-2.0") say nothing outside an SPDX line, so they have
-rules of their own there, for each operand of an expression.
+rules of their own there, for each operand of an expression; elsewhere the common
+ones count where a sentence declares them ("License: MIT", "MIT licensed").
 
 * Keyword prefilter: a cheap test of the raw text for the few stems without
   which no rule can match, then a rule runs only if all of its keywords (the
@@ -45,24 +46,31 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 #: Names (regexes over words) by label; the first word group is required.
 FAMILIES: dict[str, tuple[str, ...]] = {
     "mit": ("mit licen[cs]e", "expat licen[cs]e", "mit x11 licen[cs]e"),
-    "apache-1": ("apache (software )?licen[cs]e (version |v )?1( [01])?",),
-    "apache-2": ("apache (software )?licen[cs]e (version |v )?2( 0)?", "apache 2( 0)? licen[cs]e"),
+    "apache-1": ("apache (software )?licen[cs]e (version |v ?)?1( [01])?",),
+    "apache-2": ("apache (software )?licen[cs]e (version |v ?)?2( 0)?", "apache v?2( 0)? licen[cs]e"),
+    "apache": ("apache (software )?licen[cs]e",),
+    "bsd": ("bsd( style)? licen[cs]e",),
     "bsd-2": ("(simplified|freebsd|2 clause|two clause) bsd licen[cs]e", "bsd 2 clause( licen[cs]e)?"),
     "bsd-3": ("(new|modified|revised|3 clause|three clause) bsd licen[cs]e", "bsd 3 clause( licen[cs]e)?"),
     "bsd-4": ("(original|4 clause|four clause) bsd licen[cs]e", "bsd 4 clause( licen[cs]e)?"),
     "0bsd": ("zero clause bsd( licen[cs]e)?", "0bsd( licen[cs]e)?"),
     "isc": ("isc licen[cs]e", "internet systems consortium licen[cs]e"),
     "zlib": ("zlib licen[cs]e", "zlib libpng licen[cs]e"),
-    "gpl-2": ("(gnu )?general public licen[cs]e (version |v )?2( 0)?", "gnu gpl (version |v ?)?2( 0)?", "gpl ?v?2( 0)?"),
-    "gpl-3": ("(gnu )?general public licen[cs]e (version |v )?3( 0)?", "gnu gpl (version |v ?)?3( 0)?", "gpl ?v?3( 0)?"),
-    "lgpl-2": ("(gnu )?(lesser|library) general public licen[cs]e (version |v )?2( [01])?", "lgpl ?v?2( [01])?"),
-    "lgpl-3": ("(gnu )?lesser general public licen[cs]e (version |v )?3( 0)?", "lgpl ?v?3( 0)?"),
-    "agpl-3": ("(gnu )?affero general public licen[cs]e (version |v )?3( 0)?", "agpl ?v?3( 0)?"),
+    "gpl": ("(gnu )?general public licen[cs]e", "(gnu )?gpl"),
+    "lgpl": ("(gnu )?(lesser|library) general public licen[cs]e", "(gnu )?lgpl"),
+    "agpl": ("(gnu )?affero general public licen[cs]e", "(gnu )?agpl"),
+    "mpl": ("mozilla public licen[cs]e",),
+    "epl": ("eclipse public licen[cs]e",),
+    "gpl-2": ("(gnu )?general public licen[cs]e (version |v ?)?2( 0)?", "(gnu )?gpl ?(version |v ?)?2( 0)?"),
+    "gpl-3": ("(gnu )?general public licen[cs]e (version |v ?)?3( 0)?", "(gnu )?gpl ?(version |v ?)?3( 0)?"),
+    "lgpl-2": ("(gnu )?(lesser|library) general public licen[cs]e (version |v ?)?2( [01])?", "(gnu )?lgpl ?(version |v ?)?2( [01])?"),
+    "lgpl-3": ("(gnu )?lesser general public licen[cs]e (version |v ?)?3( 0)?", "(gnu )?lgpl ?(version |v ?)?3( 0)?"),
+    "agpl-3": ("(gnu )?affero general public licen[cs]e (version |v ?)?3( 0)?", "(gnu )?agpl ?(version |v ?)?3( 0)?"),
     "gfdl": ("gnu free documentation licen[cs]e( version 1 [1-3])?", "gfdl"),
-    "mpl-1": ("mozilla public licen[cs]e (version |v )?1( [01])?", "mpl 1 [01]"),
-    "mpl-2": ("mozilla public licen[cs]e (version |v )?2( 0)?", "mpl 2 0"),
-    "epl-1": ("eclipse public licen[cs]e (version |v )?1( 0)?", "epl 1 0"),
-    "epl-2": ("eclipse public licen[cs]e (version |v )?2( 0)?", "epl 2 0"),
+    "mpl-1": ("mozilla public licen[cs]e (version |v ?)?1( [01])?", "mpl ?v?1 [01]"),
+    "mpl-2": ("mozilla public licen[cs]e (version |v ?)?2( 0)?", "mpl ?v?2( 0)?"),
+    "epl-1": ("eclipse public licen[cs]e (version |v ?)?1( 0)?", "epl ?v?1( 0)?"),
+    "epl-2": ("eclipse public licen[cs]e (version |v ?)?2( 0)?", "epl ?v?2( 0)?"),
     "cddl-1": ("common development and distribution licen[cs]e", "cddl( 1 0)?"),
     "eupl": ("european union public licen[cs]e( version)?( 1 [0-2])?", "eupl( v?1 [0-2])?"),
     "artistic-1": ("artistic licen[cs]e 1( 0)?",),
@@ -107,6 +115,13 @@ FAMILIES: dict[str, tuple[str, ...]] = {
 #: SPDX short identifiers by label, as words; families without one have a LicenseRef.
 SPDX: dict[str, tuple[str, ...]] = {
     "mit": ("mit",),
+    "apache": ("licenseref apache",),
+    "bsd": ("licenseref bsd",),
+    "gpl": ("licenseref gpl",),
+    "lgpl": ("licenseref lgpl",),
+    "agpl": ("licenseref agpl",),
+    "mpl": ("licenseref mpl",),
+    "epl": ("licenseref epl",),
     "apache-1": ("apache 1 [01]",),
     "apache-2": ("apache 2 0",),
     "bsd-2": ("bsd 2 clause",),
@@ -176,23 +191,104 @@ FRAMES = (
     (40, 0.85, "subject to (the )?(terms of )?(the )?{}"),
     (20, 0.7, "{}"),
 )
+#: What is declared by a short name alone, where the words around say that it is one
+#: ("License: MIT"); identifiers that are ordinary words only count in an SPDX line.
+DECLARED: dict[str, tuple[str, ...]] = {
+    "mit": ("mit", "expat"),
+    "apache-2": ("apache ?v?2( 0)?", "asl ?2( 0)?"),
+    "apache": ("apache",),
+    "bsd": ("bsd",),
+    "bsd-2": ("bsd 2( clause)?", "2 clause bsd"),
+    "bsd-3": ("bsd 3( clause)?", "3 clause bsd"),
+    "0bsd": ("0bsd",),
+    "isc": ("isc",),
+    "zlib": ("zlib",),
+    "mpl": ("mpl",),
+    "epl": ("epl",),
+    "bsl-1": ("bsl 1 0", "boost"),
+    "ofl": ("ofl( 1 [01])?",),
+    "artistic-2": ("artistic 2 0",),
+    "ncsa": ("ncsa",),
+    "cc0": ("cc0",),
+    "cc-by": ("cc by( [1-4] [05])?",),
+    "postgresql": ("postgresql",),
+}
+#: (priority, weight, sentence around a short name).
+DECLARING = (
+    (30, 0.85, "licen[cs]e (type |name )?(is )?(the )?{}"),
+    (30, 0.85, "{} licen[cs]ed"),
+    (30, 0.85, "licen[cs]ed (as|under) (the )?(terms of )?(the )?{}"),
+    (30, 0.8, "(released|distributed|published|available|provided) under (the )?{}"),
+)
 #: Wordings of the texts themselves: (label, priority, weight, regex).
 GRANTS = (
     ("mit", 55, 0.97, "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", 45, 0.7, "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 35, 0.6, "the software is provided as is without warranty of any kind express or implied"),
     ("isc", 55, 0.95, "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd-3", 55, 0.9, "neither the name of .{1,80}? nor the names of its contributors"),
+    ("isc", 45, 0.7, "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("bsd", 30, 0.7, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", 30, 0.6, "this software is provided by the (copyright holders|author|regents)( and contributors)? as is"),
+    ("bsd-3", 55, 0.9, "neither the name of .{1,80}? nor the names of (its|the) contributors"),
     ("bsd-2", 45, 0.8, "redistributions of source code must retain the above copyright notice"),
-    ("gpl-3", 55, 0.9, "either version 3 of the license or at your option any later version"),
-    ("gpl-2", 55, 0.9, "either version 2 of the license or at your option any later version"),
+    ("bsd-2", 35, 0.7, "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-4", 55, 0.9, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("gpl-3", 55, 0.9, "(under the terms of the )?(gnu general public license as published by the free software foundation )?either version 3 of the license or at your option any later version"),
+    ("gpl-2", 55, 0.9, "(under the terms of the )?(gnu general public license as published by the free software foundation )?either version 2 of the license or at your option any later version"),
+    ("gpl-2", 56, 0.9, "under the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("gpl-3", 56, 0.9, "under the terms of the gnu general public license version 3 as published by the free software foundation"),
+    ("lgpl-3", 57, 0.92, "(under the terms of the )?gnu lesser general public license as published by the free software foundation either version 3 of the license( or at your option any later version)?"),
+    ("lgpl-2", 57, 0.92, "(under the terms of the )?gnu (lesser|library) general public license as published by the free software foundation either version 2( 1)? of the license( or at your option any later version)?"),
+    ("agpl-3", 57, 0.92, "(under the terms of the )?gnu affero general public license as published by the free software foundation either version 3 of the license( or at your option any later version)?"),
+    ("gpl", 30, 0.7, "you should have received a copy of the gnu general public license"),
+    ("lgpl", 30, 0.7, "you should have received a copy of the gnu (lesser|library) general public license"),
+    ("agpl", 30, 0.7, "you should have received a copy of the gnu affero general public license"),
+    ("gpl", 30, 0.7, "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gfdl", 55, 0.95, "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
     ("mpl-2", 55, 0.95, "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1", 55, 0.95, "the contents of this file are subject to the mozilla public license version 1 [01]"),
+    ("epl-1", 55, 0.95, "made available under the terms of the eclipse public license v ?1 0"),
+    ("epl-2", 55, 0.95, "made available under the terms of the eclipse public license (v ?)?2 0"),
+    ("cddl-1", 55, 0.95, "the contents of this file are subject to the terms of the common development and distribution license"),
     ("unlicense", 55, 0.95, "this is free and unencumbered software released into the public domain"),
     ("zlib", 55, 0.9, "altered source versions must be plainly marked as such"),
+    ("zlib", 45, 0.8, "the origin of this software must not be misrepresented"),
     ("apache-2", 55, 0.95, "you may not use this file except in compliance with the license"),
+    ("apache-2", 45, 0.8, "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-1", 55, 0.9, "this product includes software developed by the apache (software foundation|group)"),
+    ("bsl-1", 55, 0.95, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("ofl", 55, 0.95, "this font software is licensed under the sil open font license version 1 [01]"),
+    ("ofl", 45, 0.85, "the font software may be sold as part of a larger software package but"),
+    ("artistic-2", 55, 0.9, "this is free software you can redistribute it and or modify it under the terms of the artistic license 2 0"),
+    ("wtfpl", 55, 0.95, "you just do what the fuck you want to"),
+    ("cc0", 55, 0.95, "to the extent possible under law .{1,80}? has waived all copyright and related or neighboring rights"),
+    ("cc-by", 55, 0.9, "this work is licensed under a creative commons attribution [1-4] [05] (international|unported|generic) licen[cs]e"),
+    ("cc-by-sa", 55, 0.9, "this work is licensed under a creative commons attribution share ?alike [1-4] [05] (international|unported|generic) licen[cs]e"),
+    ("postgresql", 55, 0.9, "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ncsa", 55, 0.9, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("python-2", 55, 0.9, "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("openssl", 55, 0.9, "this product includes software developed by the openssl project"),
+    ("public-domain", 45, 0.8, "the authors? disclaims? copyright to this source code"),
+    ("public-domain", 45, 0.8, "(has been|is hereby) (placed|released) in the public domain"),
+    ("busl", 55, 0.9, "use of this software is governed by the business source license"),
+    ("commons-clause", 55, 0.9, "the software is provided to you by the licensor under the license as defined below subject to the following condition"),
+    ("elastic-2", 55, 0.9, "you may not provide the software to third parties as a hosted or managed service"),
+    ("proprietary", 45, 0.8, "no part of this (work|document|publication|software) may be reproduced"),
+    ("proprietary", 45, 0.8, "this software contains (confidential|proprietary)( and proprietary| and confidential)? information"),
 )
 #: No rule and no base phrase can match a text without one of these.
 STEMS = ("licen", "cc", "spdx", "domain", "copyright", "gpl", "mpl", "epl", "cddl", "eupl", "bsd", "wtfpl", "creative", "gfdl",
-         "odbl", "odc", "pddl", "cecill", "rights", "proprietary", "unauthorized", "permission", "redistributions", "contributors",
-         "version", "altered")
+         "odbl", "odc", "pddl", "cecill", "rights", "proprietary", "unauthorized", "permission", "redistribution", "contributors",
+         "version", "altered", "apache", "warrant", "provided", "reproduced", "fuck", "hosted",
+         "misrepresented", "confidential", "package", "openssl", "advertising")
+#: The one declaring sentence that holds none of them.
+UNDER = re.compile(r"(?:released|distributed|published|available|provided)[\x00-\x2F\x3A-\x60\x7B-\x7F]+under")
+
+
+def may_match(text: str) -> bool:
+    """The cheap test before any rule: False only where nothing can match."""
+    low = text.lower()
+    return any(s in low for s in STEMS) or bool(UNDER.search(low))
 
 
 @dataclass(frozen=True)
@@ -268,6 +364,16 @@ def rules() -> tuple[Rule, ...]:
             for pattern in (f"{SPDX_LINE}(?:{name})", f"{SPDX_LINE}{before}(?P<id>{name})"):
                 out.append(Rule(label, priority, weight, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"),
                                 _keywords(SPDX_LINE) + _keywords(name)))
+    for label, names in DECLARED.items():
+        for name in names:
+            for priority, weight, frame in DECLARING:
+                out.append(Rule(label, priority, weight, re.compile(rf"(?<![^ ])(?:{frame.format(f'(?:{name})')})(?![^ ])"),
+                                _keywords(frame.replace("{}", "")) + _keywords(name)))
+    declared = "|".join(name for names in DECLARED.values() for name in names)
+    for label, names in DECLARED.items():       # the later ones of "License: MIT or Apache-2.0"
+        for name in names:
+            pattern = rf"licen[cs]e (?:(?:{declared}) (?:and |or )?)+(?P<id>{name})"
+            out.append(Rule(label, DECLARING[0][0], DECLARING[0][1], re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), _keywords(name)))
     for label, priority, weight, pattern in GRANTS:
         out.append(Rule(label, priority, weight, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), _keywords(pattern)))
     return tuple(sorted(out, key=lambda r: (-r.priority, r.label, r.regex.pattern)))
@@ -328,8 +434,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base: list[list] = []
             kept: list[list] = []
             for text in texts.slice(lo, hi - lo).to_pylist():
-                low = text.lower()
-                got = detect(text) if any(s in low for s in STEMS) else Found([], [])
+                got = detect(text) if may_match(text) else Found([], [])
                 base.append([{"start": a, "stop": b, "label": x} for a, b, x in got.base])
                 kept.append([{"start": a, "stop": b, "label": x, "weight": w} for a, b, x, w in got.kept])
             yield pa.RecordBatch.from_arrays(

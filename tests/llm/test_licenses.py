@@ -106,3 +106,25 @@ def test_spdx_line_in_a_report(spark):
     rows = [(1, "SPDX-License-Identifier: MIT", "en", "s", 1), (2, "SPDX-License-Identifier: Apache-2.0 OR ISC", "en", "s", 1)]
     got = {r["doc_id"]: r for r in lic.license_report(docs(spark, rows)).collect()}
     assert got[1]["labels"] == "mit" and got[2]["labels"] == "apache-2,isc" and min(got[1]["score"], got[2]["score"]) > 0.9
+
+
+def test_labels_of_written_texts():
+    from tests.llm.license_texts import cases
+    wrong = []
+    for text, want in cases():
+        got = {k[2] for k in lic.detect(text).kept} if lic.may_match(text) else set()
+        if got != want:
+            wrong.append((text, sorted(got), sorted(want)))
+    assert not wrong, wrong
+
+
+def test_declared_names_pass_the_gates():
+    for label, names in lic.DECLARED.items():
+        for name in names:
+            for _, _, frame in lic.DECLARING:
+                for line in lic.choices(frame.replace("{}", "@")):
+                    for text in lic.choices(name):
+                        text = line.replace("@", text)
+                        assert lic.may_match(text), text
+                        hit = [r for r in lic.rules() if r.label == label and r.regex.fullmatch(text)]
+                        assert hit and all(k in text.split() for r in hit for k in r.keywords), text
