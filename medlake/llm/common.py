@@ -190,18 +190,26 @@ FILTER_BITS = (1 << 20, 1 << 28)
 BITS_A_KEY = 16
 
 
+def filter_bits(count: int) -> int:
+    low, high = FILTER_BITS
+    return min(high, max(low, 1 << (count * BITS_A_KEY).bit_length()))
+
+
+def key_hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """True for each 64-bit key whose bit is set."""
+    at = (mix64(keys.view(np.uint64)) % np.uint64(len(bits) * 8)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7)) & 1 == 1
+
+
 def key_filter(keys: DataFrame, count: int) -> Callable[[Column], Column]:
     """A test of 64-bit keys: true for each of the ``count`` given ones and for few
     others.  Rows that fail it need no join with ``keys``.  The bitmap has a bound
     whatever ``count``; beyond it more rows pass, and are joined."""
-    low, high = FILTER_BITS
-    bitmap = key_bitmap(keys, min(high, max(low, 1 << (count * BITS_A_KEY).bit_length())))
+    bitmap = key_bitmap(keys, filter_bits(count))
 
     @F.pandas_udf("boolean")
     def hit(k: pd.Series) -> pd.Series:
-        bits = bitmap.value
-        at = (mix64(k.to_numpy().view(np.uint64)) % np.uint64(len(bits) * 8)).astype(np.int64)
-        return pd.Series((bits[at >> 3] >> (at & 7)) & 1 == 1)
+        return pd.Series(key_hits(bitmap.value, k.to_numpy()))
     return hit
 
 

@@ -82,3 +82,33 @@ def test_a_repeated_id_is_one_row_of_the_sample(spark, corpus):
     words = np.arange(1, 50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     a, b = (tx.train(docs(spark, rows + more), lab).cnn.score(words, np.array([0, 49])) for more in ([], [again] * 300))
     assert a == b
+
+
+def test_rows_beyond_eight_thousand_are_learned(spark):
+    """The word ``late`` stands in toxic texts only that come after the first 4,000 of
+    their label in the order of the ids' hashes."""
+    n = 11000
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    ids = spark.range(n).selectExpr("id", "crc32(cast(cast(id AS string) AS binary)) % 5 = 0 AS held", "xxhash64(id) AS o").collect()
+    learned = sorted((r for r in ids if not r["held"]), key=lambda r: r["o"])
+    toxic = {r["id"]: k for k, r in enumerate(x for x in learned if x["id"] % 5)}
+    rng = random.Random(4)
+    rows = [(i, " ".join([f"w{rng.randrange(50)}" for _ in range(4)] + (["early" if toxic[i] < 4000 else "late"] if i in toxic else [])),
+             "en", "s", 1) for i in range(n)]
+    lab = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(n)], "doc_id long, quality int, toxic int")
+    model = tx.train(docs(spark, rows), lab)
+    asked = docs(spark, [(1, "w1 w2 late w3", "en", "s", 1), (2, "w1 w2 w4 w3", "en", "s", 1)])
+    got = {r["_id"]: r["score"] for r in tx.score(asked, model).collect()}
+    assert got[1] > 0.5 > got[2]
+
+
+def test_shards_learn_together(spark, corpus):
+    rows, labels = corpus
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    truth = dict((i, t) for i, _, t in labels)
+    model = tx.train(docs(spark, rows), lab, shard_rows=100)
+    got = {r["_id"]: r["score"] for r in tx.score(docs(spark, rows), model).collect()}
+    assert np.mean([(got[i] >= 0.5) == truth[i] for i in held]) > 0.9
+    again = tx.train(docs(spark, rows), lab, shard_rows=100)
+    assert all(np.array_equal(a, b) for a, b in zip(model.cnn.tables, again.cnn.tables, strict=True))
