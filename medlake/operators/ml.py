@@ -34,8 +34,9 @@ BOOSTED_TREES = 100
 CV_FOLDS = 5
 PERMUTATION_REPEATS = 10
 
-#: Rows of a task, at least, in the many small jobs of cross-validation.
-CV_TASK_ROWS = 1000
+#: Rows of a task in the many small jobs of cross-validation: at least the first
+#: number, up to the second before there are more tasks than cores.
+CV_TASK_ROWS = (1000, 100_000)
 
 
 # ---------------------------------------------------------------- features
@@ -96,6 +97,14 @@ def train(df: DataFrame, kind: str, label: str = "label", features: str = "featu
     return Pipeline(stages=stages).fit(df)
 
 
+def cv_tasks(rows: int, cores: int) -> int:
+    """Tasks of each job of cross-validation.  Every task of the thousands of jobs sends
+    its status and metrics to the driver, so tasks beyond the cores come only where
+    the rows of one would be too many."""
+    least, most = CV_TASK_ROWS
+    return max(1, min(-(-rows // least), cores), -(-rows // most))
+
+
 def cross_validate(df: DataFrame, kinds: Sequence[str], key: str, label: str = "label", features: str = "features",
                    k: int = CV_FOLDS, seed: int = 0, params: dict[str, dict] | None = None,
                    parallelism: int = 4) -> DataFrame:
@@ -107,7 +116,7 @@ def cross_validate(df: DataFrame, kinds: Sequence[str], key: str, label: str = "
     params = params or {}
     cached = stratified_folds(df, label, key, k=k, seed=seed).persist()
     # boosting runs hundreds of jobs over the folds: few rows are not worth many tasks each
-    f = cached.coalesce(max(1, math.ceil(cached.count() / CV_TASK_ROWS)))
+    f = cached.coalesce(cv_tasks(cached.count(), spark.sparkContext.defaultParallelism))
 
     def fold_auc(kind: str, i: int) -> float:
         tr, te = f.where(F.col("fold") != i), f.where(F.col("fold") == i)

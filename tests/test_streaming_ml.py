@@ -247,3 +247,9 @@ def test_linear_shap_additive(spark):
         "id", vector_to_array("rawPrediction")[1].alias("m")).collect()}
     b = m.stages[-1].intercept
     assert all(abs(sh[i] - (margin[i] - b)) < 1e-6 for i in sh)
+
+
+def test_cross_validation_tasks_do_not_grow_with_rows_up_to_the_rows_of_a_task():
+    assert [mlmod.cv_tasks(n, 12) for n in (0, 1, 1500, 5000)] == [1, 1, 2, 5]
+    assert mlmod.cv_tasks(120_000, 12) == mlmod.cv_tasks(1_200_000, 12) == 12
+    assert mlmod.cv_tasks(12_000_000, 12) == 120
