@@ -191,35 +191,67 @@ def probabilistic_matches(left: DataFrame, right: DataFrame, left_id: str, right
                           blocks: Sequence[Sequence[str]], weights: dict[str, float], name: str | None = None,
                           max_edits: int = 2, name_weight: float = 2.0, threshold: float = 5.0) -> DataFrame:
     """V11 probabilistic [ours]: candidate pairs come only from equi-joins on
-    several blocking keys (each a tuple of fields that must agree exactly),
-    unioned and de-duplicated -- no all-pairs product.  Each candidate is
-    scored by summed agreement weights (Fellegi-Sunter style) plus a name
-    similarity bonus (edit distance <= ``max_edits``); the best candidate
-    per left record above ``threshold`` wins (``max_by``, ties by id)."""
+    several blocking keys (each a tuple of fields that must agree exactly) --
+    no all-pairs product.  Each candidate is scored by summed agreement
+    weights (Fellegi-Sunter style) plus a name similarity bonus (edit distance
+    <= ``max_edits``); the best candidate per left record above ``threshold``
+    wins (ties by smallest id).
+
+    Records with equal fields score alike, so each set of them is joined once, by
+    its smallest id.  Pairs are scored as the join makes them and only the smallest
+    ``r_id`` per left set and score is kept, so a task holds left sets, not pairs.
+    A record whose id has other fields too is a candidate through any of them; those
+    few take the pairs themselves (``_many``)."""
     fields = sorted({f for blk in blocks for f in blk} | set(weights) | ({name} if name else set()))
     a = left.select(F.col(left_id).alias("l_id"), *[F.col(f).alias(f"l_{f}") for f in fields])
     b = right.select(F.col(right_id).alias("r_id"), *[F.col(f).alias(f"r_{f}") for f in fields])
-    cands = None
-    for blk in blocks:
-        cond = None
+
+    def versions(df: DataFrame, key: str) -> DataFrame:
+        one = df.where(F.col(key).isNotNull()).distinct()
+        return one.withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy(key)) > 1)
+
+    def sets(df: DataFrame, side: str) -> DataFrame:
+        return df.where(~F.col("_many")).groupBy(*[f"{side}_{f}" for f in fields]).agg(F.min(f"{side}_id").alias(f"{side}_id"))
+
+    def agree(blk: Sequence[str]) -> Column:
+        cond = F.lit(True)
         for f in blk:
-            c = a[f"l_{f}"] == b[f"r_{f}"]
-            cond = c if cond is None else cond & c
-        pairs = a.join(b, cond).select("l_id", "r_id")
-        cands = pairs if cands is None else cands.unionByName(pairs)
-    cands = cands.distinct()
-    full = cands.join(a, "l_id").join(b, "r_id")
+            cond = cond & (F.col(f"l_{f}") == F.col(f"r_{f}"))
+        return cond
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Every pair of records that agrees in a block, in the first such block only."""
+        out = None
+        for i, blk in enumerate(blocks):
+            p = x.join(y, agree(blk))
+            for had in blocks[:i]:
+                p = p.where(~F.coalesce(agree(had), F.lit(False)))
+            out = p if out is None else out.unionByName(p)
+        return out
+
     score = F.lit(0.0)
     for f, w in weights.items():
         score = score + F.when(F.col(f"l_{f}").eqNullSafe(F.col(f"r_{f}")), F.lit(w)).otherwise(F.lit(0.0))
     if name:
         score = score + F.when(F.levenshtein(F.col(f"l_{name}"), F.col(f"r_{name}")) <= max_edits,
                                F.lit(name_weight)).otherwise(F.lit(0.0))
-    scored = full.select("l_id", "r_id", score.alias("score")).where(F.col("score") >= threshold)
-    best = scored.groupBy("l_id").agg(F.max_by(F.struct("r_id", "score"), F.struct(F.col("score"),
-                                                                                  (-F.col("r_id")).alias("neg_id")))
-                                      .alias("b"))
-    return best.select("l_id", F.col("b.r_id").alias("r_id"), F.col("b.score").alias("score"))
+
+    def best(scored: DataFrame, key: str = "l_id") -> DataFrame:
+        top = scored.where(F.col("score") >= threshold).groupBy(key, "score").agg(F.min("r_id").alias("r_id"))
+        return top.groupBy(key).agg(F.max_by(F.struct("r_id", "score"), F.struct(
+            F.col("score"), (-F.col("r_id")).alias("neg_id"))).alias("b")).select(key, "b.r_id", "b.score")
+
+    va, vb = versions(a, "l_id"), versions(b, "r_id")
+    sa, sb = sets(va, "l"), sets(vb, "r")
+    per_set = best(pairs(sa, sb).select("l_id", "r_id", score.alias("score"))).withColumnRenamed("l_id", "_set")
+    members = va.where(~F.col("_many")).alias("m").join(sa.withColumnRenamed("l_id", "_set").alias("s"), [
+        F.col(f"m.l_{f}").eqNullSafe(F.col(f"s.l_{f}")) for f in fields]).select("m.l_id", "_set")
+    plain = members.join(per_set, "_set").select("l_id", "r_id", "score")
+
+    la, lb = va.drop("_many"), vb.drop("_many")
+    ids = [pairs(va.where("_many").drop("_many"), lb), pairs(va.where(~F.col("_many")).drop("_many"), vb.where("_many").drop("_many"))]
+    again = ids[0].unionByName(ids[1]).select("l_id", "r_id").distinct().join(la, "l_id").join(lb, "r_id")
+    return best(plain.unionByName(best(again.select("l_id", "r_id", score.alias("score")))).select("l_id", "r_id", "score"))
 
 
 def sorted_positions(df: DataFrame, order: Sequence[str], out: str = "pos") -> DataFrame:

@@ -2,6 +2,7 @@
 sepsis screen, record standardisation, file integrity."""
 
 import os
+import random
 import tempfile
 
 import pytest
@@ -69,3 +70,32 @@ def test_file_integrity(spark):
     diff = {r["name"]: r["status"] for r in audit.integrity_diff(audit.file_hashes(spark, d2 + "/*.bin"),
                                                                 audit.file_hashes(spark, d1 + "/*.bin")).collect()}
     assert diff == {"a.bin": "same", "b.bin": "changed", "c.bin": "new"}
+
+
+def _best_pairs(a, b, blocks, weights):
+    """(l_id -> (r_id, score)) over candidate ids, each scored through all rows of both ids."""
+    names = ("name", "yob", "zip")
+    rows = lambda t: [(r[0], dict(zip(names, r[1:]))) for r in t if r[0] is not None]
+    out = {}
+    for l, r in {(l, r) for l, x in rows(a) for r, y in rows(b) for k in blocks if all(x[f] is not None and x[f] == y[f] for f in k)}:
+        s = max(sum(w for f, w in weights.items() if x[f] == y[f]) for i, x in rows(a) if i == l for j, y in rows(b) if j == r)
+        if s >= 3.0 and (l not in out or (s, -r) > (out[l][1], -out[l][0])):
+            out[l] = (r, s)
+    return out
+
+
+def test_probabilistic_matching_of_copies_and_repeated_ids(spark):
+    rng = random.Random(5)
+    row = lambda: (rng.choice(("ann", "bob", None)), rng.choice((1980, 1981, None)), rng.choice(("Z1", "Z2", "Z3", None)))
+    a = [(rng.choice((None, *range(25))), *row()) for _ in range(40)]
+    b = [(rng.choice((None, *range(100, 125))), *row()) for _ in range(40)]
+    blocks, weights = [["name"], ["yob", "zip"], ["zip"]], {"name": 3.0, "yob": 2.0, "zip": 1.0}
+    match = lambda x, y: quality.probabilistic_matches(
+        spark.createDataFrame(x, "id long, name string, yob int, zip string"),
+        spark.createDataFrame(y, "rid long, name string, yob int, zip string"), "id", "rid", blocks=blocks, weights=weights, threshold=3.0)
+    assert {r["l_id"]: (r["r_id"], r["score"]) for r in match(a, b).collect()} == _best_pairs(a, b, blocks, weights)
+
+    # a thousand equal records on each side meet as one pair, not as a million
+    same = [(i, "ann", 1980, "Z1") for i in range(1000)]
+    got = match(same, [(i + 5000, *r) for i, *r in same])
+    assert {(r["r_id"], r["score"]) for r in got.collect()} == {(5000, 6.0)} and got.count() == 1000
