@@ -173,12 +173,30 @@ def rule_summary(hits: DataFrame, population: DataFrame, key: str = "patient_id"
         "rate", F.col("n_flagged") / F.lit(float(n)))
 
 
+#: Hash ranges in which the hits of a code are counted before its first ones are sorted.
+SAMPLE_RANGES = 4096
+
+
 def sample_per_code(hits: DataFrame, k: int = 3, key: str = "patient_id", seed: int = 7) -> DataFrame:
     """Up to ``k`` example cases per rule code in a seeded hash order
-    (a top-k per group: the limit *is* the feature)."""
+    (a top-k per group: the limit *is* the feature).
+
+    Hits are first counted by code and hash range (``SAMPLE_RANGES``); those of the
+    first ranges that hold ``k`` together are all that is sorted, so that no task
+    sorts every hit of its input."""
     from medlake.functions.privacy import hash_unit
-    w = Window.partitionBy("disease", "code").orderBy(hash_unit(key, seed=seed), key)
-    return hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
+    code = ["disease", "code"]
+    at = hits.withColumn("__u", hash_unit(key, seed=seed)).withColumn(
+        "__range", F.coalesce(F.floor(F.col("__u") * SAMPLE_RANGES), F.lit(-1)))
+    n = at.groupBy(*code, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*code).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    # the last range that is needed, a row for each code
+    last = n.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < k).groupBy(
+        *[F.col(c).alias(f"__{c}") for c in code]).agg(F.max("__range").alias("__last"))
+    few = at.join(F.broadcast(last), (F.col("__range") <= F.col("__last")) & F.col("disease").eqNullSafe(F.col("__disease"))
+                  & F.col("code").eqNullSafe(F.col("__code"))).select(*hits.columns, "__u")
+    w = Window.partitionBy(*code).orderBy("__u", key)
+    return few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn", "__u")
 
 
 # ---------------------------------------------------------------- R24 staging

@@ -104,3 +104,21 @@ def test_kbins_quantile(spark):
     assert edges[0] == 1.0 and edges[-1] == 10.0 and edges[1] == pytest.approx(2.8)
     bins = [r[0] for r in df.select(prep.kbins_apply("x", edges)).collect()]
     assert bins == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_sample_per_code_sorts_the_first_hash_ranges_only(spark):
+    from medlake.functions.privacy import hash_unit
+    from medlake.operators import rules
+    rows = [(f"P{i % 3000}", d, c) for i in range(6000) for d, c in (("d1", "a"), ("d2", None))]
+    rows += [(None, "d1", "a"), ("P7", "d3", "few"), ("P8", "d3", "few")]
+    hits = spark.createDataFrame(rows, "patient_id string, disease string, code string")
+    got = rules.sample_per_code(hits, k=3)
+    unit = {r["patient_id"]: r["u"] for r in hits.select("patient_id", hash_unit("patient_id", seed=7).alias("u")).distinct().collect()}
+    want = []
+    for d, c in (("d1", "a"), ("d2", None), ("d3", "few")):
+        own = sorted((r for r in rows if r[1:] == (d, c)), key=lambda r: (unit[r[0]] is not None, unit[r[0]] or 0.0, r[0] is not None, r[0] or ""))
+        want += own[:3]
+    key = lambda r: tuple((v is not None, str(v)) for v in r)
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
+    few = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__range" in few and few.index("Window") < few.index("__last")
