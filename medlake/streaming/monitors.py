@@ -5,7 +5,8 @@ DataFrame with an event-time watermark (late rows beyond it are dropped by
 Spark and do not reopen closed windows).  The sequential detectors (DDM
 with reset, ADWIN) keep bounded per-key state with
 ``applyInPandasWithState``: each micro-batch hands a key only its new
-rows, so neither memory nor a task grows with the history.
+rows, so neither memory nor a task grows with the history.  Of a micro-batch a
+task holds three numbers a row (to put them in order) and emits in parts.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import math
 import os
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -125,6 +127,24 @@ def log_predictions(stream: DataFrame, log_path: str, metrics_path: str, ts: str
 
 # ---------------------------------------------------------------- stateful detectors
 
+#: Rows taken into Python objects, or emitted, at once.
+PART_ROWS = 10_000
+
+
+def in_order(pdfs: Iterator[pd.DataFrame], value: str) -> Iterator[tuple]:
+    """(event_id, ts, value) of all rows by ts and event_id, nulls last.  Only these
+    columns are held, as arrays; the frames are let go as they come."""
+    held: dict[str, list] = {"event_id": [], "ts": [], value: []}
+    for pdf in pdfs:
+        for c, parts in held.items():
+            parts.append(pdf[c].to_numpy(copy=True))
+    cols = [np.concatenate(held.pop(c)) for c in ("event_id", "ts", value)]
+    order = np.lexsort((cols[0], cols[1]))
+    for lo in range(0, len(order), PART_ROWS):
+        at = order[lo:lo + PART_ROWS]
+        yield from zip(cols[0][at].tolist(), cols[1][at], cols[2][at].astype(float).tolist(), strict=True)
+
+
 DDM_STATE = "n long, errors double, p_min double, s_min double"
 DDM_OUT = "model string, event_id long, ts timestamp, level string, n_since_reset long"
 
@@ -134,11 +154,10 @@ def ddm_state_fn(min_samples: int = 30, warning_level: float = 2.0, drift_level:
     function over (model, event_id, ts, error) rows."""
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, errors, p_min, s_min = state.get if state.exists else (0, 0.0, float("inf"), float("inf"))
-        rows = []
-        batch = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        for r in batch.itertuples(index=False):
+        names, rows = ["model", "event_id", "ts", "level", "n_since_reset"], []
+        for event_id, ts, error in in_order(pdfs, "error"):
             n += 1
-            errors += float(r.error)
+            errors += error
             p = errors / n
             s = math.sqrt(p * (1 - p) / n)
             if n < min_samples:
@@ -146,12 +165,15 @@ def ddm_state_fn(min_samples: int = 30, warning_level: float = 2.0, drift_level:
             if p + s < p_min + s_min:
                 p_min, s_min = p, s
             if p + s > p_min + drift_level * s_min:
-                rows.append((key[0], int(r.event_id), r.ts, "drift", n))
+                rows.append((key[0], int(event_id), pd.Timestamp(ts), "drift", n))
                 n, errors, p_min, s_min = 0, 0.0, float("inf"), float("inf")
             elif p + s > p_min + warning_level * s_min:
-                rows.append((key[0], int(r.event_id), r.ts, "warning", n))
+                rows.append((key[0], int(event_id), pd.Timestamp(ts), "warning", n))
+            if len(rows) == PART_ROWS:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
         state.update((n, errors, p_min, s_min))
-        yield pd.DataFrame(rows, columns=["model", "event_id", "ts", "level", "n_since_reset"])
+        yield pd.DataFrame(rows, columns=names)
     return fn
 
 
@@ -243,15 +265,17 @@ def adwin_state_fn(delta: float = 0.002, m: int = 5):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         buckets, n_seen = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
         ad = Adwin(delta, m, buckets)
-        rows = []
-        batch = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
-        for r in batch.itertuples(index=False):
+        names, rows = ["model", "event_id", "ts", "window_width", "mean_before", "mean_after"], []
+        for event_id, ts, x in in_order(pdfs, "x"):
             n_seen += 1
-            hit = ad.add(float(r.x))
+            hit = ad.add(x)
             if hit:
-                rows.append((key[0], int(r.event_id), r.ts, ad.width, hit[0], hit[1]))
+                rows.append((key[0], int(event_id), pd.Timestamp(ts), ad.width, hit[0], hit[1]))
+            if len(rows) == PART_ROWS:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
         state.update((json.dumps(ad.b), n_seen))
-        yield pd.DataFrame(rows, columns=["model", "event_id", "ts", "window_width", "mean_before", "mean_after"])
+        yield pd.DataFrame(rows, columns=names)
     return fn
 
 

@@ -253,3 +253,36 @@ def test_cross_validation_tasks_do_not_grow_with_rows_up_to_the_rows_of_a_task()
     assert [mlmod.cv_tasks(n, 12) for n in (0, 1, 1500, 5000)] == [1, 1, 2, 5]
     assert mlmod.cv_tasks(120_000, 12) == mlmod.cv_tasks(1_200_000, 12) == 12
     assert mlmod.cv_tasks(12_000_000, 12) == 120
+
+
+def test_detectors_hold_three_numbers_a_row_and_emit_in_parts(monkeypatch):
+    import tracemalloc
+
+    import pandas as pd
+    n, rng = 200_000, np.random.default_rng(2)
+    at = rng.permutation(n)
+
+    def frames():
+        for lo in range(0, n, 10_000):
+            i = at[lo:lo + 10_000]
+            yield pd.DataFrame({"model": ["m" * 500 + str(k) for k in i], "event_id": i, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(i // 2, unit="s"),
+                                "error": i % 3.0})
+    tracemalloc.start()
+    got = 0
+    for k, (event_id, ts, error) in enumerate(sm.in_order(frames(), "error")):
+        assert event_id == k and error == k % 3
+        got += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == n and peak < 100 * n
+
+    class State:
+        exists = False
+
+        def update(self, v):
+            self.value = v
+    monkeypatch.setattr(sm, "PART_ROWS", 100)
+    rows = pd.DataFrame({"model": "m", "event_id": range(3000), "ts": pd.Timestamp("2024-01-01"), "error": [float(k % (10 if k < 300 else 2) == 0) for k in range(3000)]})
+    parts = list(sm.ddm_state_fn(drift_level=99.0)(("m",), iter([rows]), State()))
+    whole = pd.concat(parts)
+    assert max(map(len, parts)) == 100 < len(whole) and whole["event_id"].is_monotonic_increasing
