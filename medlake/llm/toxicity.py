@@ -53,7 +53,7 @@ DROP = 0.1
 BATCH = 32
 SHRINK = 200.0
 #: Score bins a unit of the logit, and rows of a table that travel together.
-BINS = 64
+BINS = 256
 SEGMENT = 4096
 
 
@@ -130,7 +130,7 @@ class TextCnn:
         """Adagrad's sums: of the two tables, then of the dense parameters."""
         self.steps = [np.full(x.shape, 1e-2, np.float32) for x in (*self.tables, *self.dense())]
 
-    def fit(self, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int, seed: int) -> None:
+    def fit(self, texts: list[np.ndarray], y: np.ndarray, epochs: int, seed: int) -> None:
         """Mini-batch gradient steps; pooling passes each gradient to the one
         position that won, so only those embedding rows change (Adagrad).
         Pooled features are dropped at random, so that no text is learned by heart.
@@ -150,7 +150,7 @@ class TextCnn:
                 best = pooled = self.pool(act, cut)
                 pooled = pooled * ((rng.random(pooled.shape) >= DROP) / (1 - DROP)).astype(np.float32)
                 p = 1 / (1 + np.exp(-np.clip(pooled @ self.out + self.bias, -30, 30)))
-                d = ((p - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
+                d = ((p - y[pick]) / len(pick)).astype(np.float32)
                 grads = [np.zeros_like(x) for x in dense]
                 grads[-1][:] = pooled.T @ d + 1e-4 * self.out
                 back = d[:, None] * self.out[None, :] * (pooled > 0) / (1 - DROP)
@@ -274,13 +274,12 @@ def _apply(cnn: TextCnn, moves: list) -> None:
             at += x.size
 
 
-def _trainer(model, common, weight: tuple[float, float], epochs: int, turn: int):
+def _trainer(model, common, epochs: int, turn: int):
     """Train the rows of each shard (they come sorted by shard) from ``model``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(shard: int, texts: list[np.ndarray], y: list[int]) -> pa.RecordBatch:
             old, new = model.value, copy.deepcopy(model.value)
-            seed, w = new.seed + 1 + turn * 1_000_003 + shard, np.array(weight, np.float32)
-            new.fit(texts, np.array(y, np.float32), w[y], epochs, seed)
+            new.fit(texts, np.array(y, np.float32), epochs, new.seed + 1 + turn * 1_000_003 + shard)
             cols = zip(*_moves(shard, old, new), strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
                                               names=["chunk", "shard", "places", "moves"])
@@ -398,24 +397,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     frequent = landed(fit.select("_codes").mapInArrow(_code_counts, "code long, n long").groupBy("code")
                       .agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS).select("code"), "toxicity-words")
     common = key_bitmap(frequent, filter_bits(frequent.count()))
-    # both labels weigh the same in the fit; the calibration undoes it
-    weight = ((neg + pos) / (2 * neg), (neg + pos) / (2 * pos))
     shards = rows.select("_shard").distinct().count()
     turns = 1 if shards == 1 else ROUNDS
     epochs = max(EPOCHS, -(-STEPS // -(-(neg + pos) // (BATCH * shards))))
     cnn.begin()
     for turn in range(turns):
         model = sc.broadcast(cnn)
-        moves = (fit.select("_shard", "_codes", "_y").mapInArrow(_trainer(model, common, weight, -(-epochs // turns), turn), _MOVES)
+        moves = (fit.select("_shard", "_codes", "_y").mapInArrow(_trainer(model, common, -(-epochs // turns), turn), _MOVES)
                  .groupBy("chunk").applyInArrow(_mean_moves, _MOVES).collect())
         cnn = copy.deepcopy(cnn)
         _apply(cnn, moves)
         model.unpersist()
     cnn.steps = []
+    seen = pos / neg
     pos, neg = got.get((True, 1), 0), got.get((True, 0), 0)
     if not pos + neg:
-        share = n[1] / total
-        cnn.shift = float(np.log(share / (1 - share)))
+        cnn.shift = float(np.log(n[1] / n[0]) - np.log(seen))
         return ToxicityModel(cnn, 0.5, {})
     cal = landed(rows.filter("_part = 1").select("_y", "_lang", "_codes").mapInArrow(_logits(sc.broadcast(cnn)), "_y int, _lang string, _x double"),
                  "toxicity-logits")

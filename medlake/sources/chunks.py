@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 from typing import Any
 
 from pyarrow import fs as pafs
@@ -40,13 +41,25 @@ class _ChunkReader(DataSourceReader):
         self.hidden = options.get("hidden", "false").lower() == "true"
         if self.chunk < 1:
             raise ValueError("chunk_bytes must be positive")
+        system, self.root = file_system(self.path)
+        self.pattern: list[str] = []
+        steps = self.root.rstrip("/").split("/")
+        wild = next((i for i, x in enumerate(steps) if re.search(r"[*?\[]", x)), None)
+        if wild is not None and system.get_file_info(self.root).type == pafs.FileType.NotFound:
+            self.root, self.pattern = "/".join(steps[:wild]) or "/", steps[wild:]
+        self.cut = len(self.root.rstrip("/")) + 1
 
     def _files(self) -> list[tuple[str, int]]:
-        system, root = file_system(self.path)
-        found = system.get_file_info(pafs.FileSelector(root, recursive=True))
-        return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File
+        system, _ = file_system(self.path)
+        found = system.get_file_info(pafs.FileSelector(self.root, recursive=True))
+        return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and self._named(f.path)
                       and (self.hidden or not f.base_name.startswith(("_", "."))))
 
+    def _named(self, path: str) -> bool:
+        """True below what the pattern names, step by step."""
+        steps = path[self.cut:].split("/")
+        return len(steps) >= len(self.pattern) and all(map(fnmatchcase, steps, self.pattern))
+
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
         now: list[tuple[str, int, int, int]] = []
@@ -62,15 +75,14 @@ class _ChunkReader(DataSourceReader):
         return [*parts, _Ranges(now)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        system, root = file_system(self.path)
-        cut = len(root.rstrip("/")) + 1
+        system, _ = file_system(self.path)
         for path, i, offset, length in partition.ranges:        # type: ignore[attr-defined]
             with system.open_input_file(path) as f:
                 f.seek(offset)
                 data = f.read(length)
             if len(data) != length:
                 raise ValueError(f"{path} became shorter while it was hashed")
-            yield path[cut:], i, length, hashlib.sha256(data).digest()
+            yield path[self.cut:], i, length, hashlib.sha256(data).digest()
 
 
 class FileChunks(DataSource):
@@ -90,7 +102,9 @@ class FileChunks(DataSource):
 
 def file_chunks(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, partition_bytes: int = PARTITION_BYTES,
                 hidden: bool = False) -> DataFrame:
-    """SHA-256 of every byte range of the files below a shared folder; names that start
+    """SHA-256 of every byte range of the files below a shared folder, or below what a
+    pattern (``*``, ``?``, ``[...]``) names; names are relative to the folder above the
+    pattern. Names that start
     with ``_`` or ``.`` are left out unless ``hidden``."""
     spark.dataSource.register(FileChunks)
     return (spark.read.format("file_chunks").option("path", path).option("chunk_bytes", str(chunk_bytes))

@@ -250,9 +250,9 @@ def test_linear_shap_additive(spark):
 
 
 def test_cross_validation_tasks_do_not_grow_with_rows_up_to_the_rows_of_a_task():
-    assert [mlmod.cv_tasks(n, 12) for n in (0, 1, 1500, 5000)] == [1, 1, 2, 5]
-    assert mlmod.cv_tasks(120_000, 12) == mlmod.cv_tasks(1_200_000, 12) == 12
-    assert mlmod.cv_tasks(12_000_000, 12) == 120
+    assert [ml.cv_tasks(n, 12) for n in (0, 1, 1500, 5000)] == [1, 1, 2, 5]
+    assert ml.cv_tasks(120_000, 12) == ml.cv_tasks(1_200_000, 12) == 12
+    assert ml.cv_tasks(12_000_000, 12) == 120
 
 
 def test_detectors_hold_three_numbers_a_row_and_emit_in_parts(monkeypatch):
