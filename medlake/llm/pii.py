@@ -225,10 +225,10 @@ def collisions(entities: DataFrame, key: str = KEY) -> DataFrame:
     a surrogate; the others, and whatever equals a real entity or an earlier
     surrogate, go on to the next attempt.  Rounds go on until all are settled;
     only a space of values that is full raises."""
-    spark = entities.sparkSession
     real = landed(entities.distinct(), "entities")
     taken = None
-    out = spark.createDataFrame([], "type string, canon string, attempt int")
+    # none yet; createDataFrame([]) would start Python workers for no rows, and a daemon that stays
+    out = real.select("type", "canon", F.lit(0).alias("attempt")).filter("false")
     todo, left, stalled = real, None, 0
     for attempt in itertools.count():
         kind = F.col("type")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlake.llm.common import filter_bits, key_bitmap, key_filter, key_hits, landed, lower_bytes, row_key, text_slices, word_bounds, word_hashes
+from medlake.llm.common import filter_bits, key_bitmap, key_hits, landed, lower_bytes, row_key, text_slices, word_bounds, word_hashes
 
 SHARD_ROWS = 16000
 ROUNDS = 4
@@ -199,16 +199,21 @@ class ToxicityModel:
         return out
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each word as its places in the two tables (16 bits each)."""
-    for batch in batches:
-        for lo, words, cut in bucket_words(batch.column("_text")):
-            n, low = len(cut) - 1, np.uint64(BUCKETS - 1)
-            codes = (words & low | (words >> np.uint64(32) & low) << np.uint64(16)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).slice(lo, n) for c in ("_id", "_lang", "_h")]
-                + [pa.array([codes[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
-                names=["_id", "_lang", "_h", "_codes"])
+def _coded(wanted):
+    """Each word as its places in the two tables (16 bits each), for the rows whose id
+    hits the bitmap.  The test is made here, as one of its own would keep a second Python
+    worker for each running task, in every later stage as well."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(key_hits(wanted.value, batch.column("_id").to_numpy())))
+            for lo, words, cut in bucket_words(batch.column("_text")):
+                n, low = len(cut) - 1, np.uint64(BUCKETS - 1)
+                codes = (words & low | (words >> np.uint64(32) & low) << np.uint64(16)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).slice(lo, n) for c in ("_id", "_lang", "_h")]
+                    + [pa.array([codes[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
+                    names=["_id", "_lang", "_h", "_codes"])
+    return run
 
 
 def _words(codes: np.ndarray) -> np.ndarray:
@@ -365,11 +370,11 @@ def _labelled(docs: DataFrame, lab: DataFrame, total: int, id_col: str, text_col
     """_id, _part, _y, _lang, _codes and _shard of every labelled id's document, written.
 
     There are more partitions than shards, so that few shards share one."""
-    wanted = key_filter(lab.select("_id"), total)
+    wanted = key_bitmap(lab.select("_id"), filter_bits(total))
     src = (docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"),
                        F.col(lang_col).cast("string").alias("_lang"))
-           .filter(F.col("_id").isNotNull() & wanted(F.coalesce("_id", F.lit(0))))
-           .withColumn("_h", F.xxhash64("_text", "_lang")).mapInArrow(_coded, "_id long, _lang string, _h long, _codes binary"))
+           .filter("_id IS NOT NULL")
+           .withColumn("_h", F.xxhash64("_text", "_lang")).mapInArrow(_coded(wanted), "_id long, _lang string, _h long, _codes binary"))
     one = src.join(lab, "_id").groupBy("_id", "_y", "_part").agg(F.min(F.struct("_h", "_codes", "_lang")).alias("m"))
     return landed(one.select("_id", "_y", "_part", "m._codes", "m._lang", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int").alias("_shard"))
                   .repartition(4 * shards, "_shard").sortWithinPartitions("_shard", "_id"), "toxicity-rows")

@@ -100,6 +100,13 @@ def test_no_python_in_the_plan(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_collisions_start_no_python(spark):
+    real = spark.range(3).selectExpr("'phone' AS type", "concat('+4930', 1000000 + id) AS canon")
+    out = pii.collisions(real)
+    assert "RDD" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.columns == ["type", "canon", "attempt"] and dict(out.dtypes)["attempt"] == "int" and out.count() == 0
+
+
 def test_more_names_than_surrogates_of_five_syllables(spark, monkeypatch):
     """With two syllables there are 2^5 names of five; the rounds still settle."""
     monkeypatch.setattr(pii, "SYLLABLES", {s: ["ba"] * 8 + ["be"] * 8 for s in pii.SYLLABLES})

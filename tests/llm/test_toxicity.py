@@ -112,3 +112,26 @@ def test_shards_learn_together(spark, corpus):
     assert np.mean([(got[i] >= 0.5) == truth[i] for i in held]) > 0.9
     again = tx.train(docs(spark, rows), lab, shard_rows=100)
     assert all(np.array_equal(a, b) for a, b in zip(model.cnn.tables, again.cnn.tables, strict=True))
+
+
+def test_labelled_rows_take_one_python_worker_a_task(spark, corpus, monkeypatch):
+    """A step of its own before the coding would keep twice the workers in all later stages."""
+    rows, labels = corpus
+    lab = spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int")
+    plans, land = {}, tx.landed
+
+    def landed(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return land(df, name)
+    monkeypatch.setattr(tx, "landed", landed)
+    tx.train(docs(spark, rows), lab)
+    assert "MapInArrow" in plans["toxicity-rows"] and "EvalPython" not in plans["toxicity-rows"]
+
+
+def test_only_wanted_rows_are_coded(spark):
+    """Documents without a label, without an id or without text, and repeated rows."""
+    rows = [(i, f"word{i} vile" if i % 3 else None, "en", "s", 1) for i in range(60)] + [(None, "no id", "en", "s", 1)]
+    lab = spark.createDataFrame([(i, i % 2, 2) for i in range(0, 60, 5)], "_id long, _y int, _part int")
+    got = tx._labelled(docs(spark, rows + rows), lab, 12, "doc_id", "text", "lang", 1).collect()
+    assert sorted(r["_id"] for r in got) == [*range(0, 60, 5)]
+    assert {r["_id"]: len(r["_codes"]) // 4 for r in got} == {i: 2 if i % 3 else 0 for i in range(0, 60, 5)}
